@@ -521,16 +521,23 @@ def _(v: Views) -> DataFrame:
     return out.select("cx", "cy", "yr", _r("nari"), _r("ncri"))
 
 
+_SCENE_ORDER = ["ts", "scene_id", "line_no", "b5"]
+
+
 @_query(
     "mosaic",
-    """select cx, cy, arg_max(b5, row(ts, scene_id, line_no, b5)) as last_b5,
-  arg_min(b5, row(ts, scene_id, line_no, b5)) as first_b5 from {scene} group by cx, cy""",
+    "select cx, cy, arg_max(b5, row(ts, scene_id, line_no, b5)) as b5 from {scene} group by cx, cy",
+)
+def _(v: Views) -> DataFrame:
+    return composites.mosaic(v.scene, ["b5"], _SCENE_ORDER)
+
+
+@_query(
+    "first_composite",
+    "select cx, cy, arg_min(b5, row(ts, scene_id, line_no, b5)) as b5 from {scene} group by cx, cy",
 )
 def _(v: Views) -> DataFrame:
-    order = ["ts", "scene_id", "line_no", "b5"]
-    last = composites.mosaic(v.scene, ["b5"], order).withColumnRenamed("b5", "last_b5")
-    first = composites.mosaic(v.scene, ["b5"], order, on_top="first").withColumnRenamed("b5", "first_b5")
-    return last.join(first, ["cx", "cy"])
+    return composites.mosaic(v.scene, ["b5"], _SCENE_ORDER, on_top="first")
 
 
 _DAILY = """daily as (select cx, cy, d, sum(snowfall_sum) as snowfall, avg(snow_cover) as cover from {climate} group by cx, cy, d),
@@ -562,7 +569,7 @@ def _(v: Views) -> DataFrame:
 # ---- samples --------------------------------------------------------------------------------
 
 _STATIC = ["elevation", "aspect", "chm", "phh2o"]
-_HUMAN = "has_coord and basis = 'HUMAN_OBSERVATION'"
+_HUMAN = "basis = 'HUMAN_OBSERVATION'"
 
 
 @_query(

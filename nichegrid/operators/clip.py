@@ -15,15 +15,16 @@ edges nor grouped again. Interior tiles carry no edges and accept at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from nichegrid.operators.joins import has_at_most, lookup_join
+from nichegrid.operators.joins import lookup_join
 
 # an index within both limits is at most some tens of MB
 INDEX_ROWS = 200_000
 INDEX_EDGES = 1_000_000
 CROWDED_TILE = 256
+MAX_CUTS = 1024
 _PAD = 1e-9
 
 
@@ -64,40 +65,40 @@ def _with_columns_spanned(pieces: DataFrame, tile: float) -> DataFrame:
     )
 
 
-def tile_index(edges: DataFrame, region: str, tile: float, crowded: int = CROWDED_TILE) -> DataFrame:
-    """The index described above, one row per (region, tile); crowded rows of tiles are cut
-    into thinner ones so that few edges meet in each."""
+def _cut_rows(rows: DataFrame, tile: float, crowded: int) -> DataFrame:
+    """Cut crowded tile rows into thinner ones so that few edges meet in each tile."""
     s = F.lit(float(tile))
-    spans = _pieces(edges, region, tile)
-    rows = spans.withColumns(
-        {"y_from": F.col("ty") * s, "y_to": (F.col("ty") + 1) * s}
-    )
     load = (
         _with_columns_spanned(rows, tile)
-        .select("region", "ty", F.explode(F.sequence("c_from", "c_to")).alias("tx"))
+        .select("ty", F.explode(F.sequence("c_from", "c_to")).alias("tx"))
         .groupBy("ty", "tx")
         .count()
         .groupBy("ty")
-        .agg(F.max("count").alias("load"))
-        .where(F.col("load") > crowded)
-        .select("ty", F.least(F.ceil(F.col("load") / crowded), F.lit(1024)).cast("long").alias("cuts"))
+        .agg(F.ceil(F.max("count") / crowded).alias("cuts"))
     )
-    if has_at_most(load, 0):
-        rows = rows.withColumn("sub", F.lit(0).cast("long"))
-    else:
-        cut = rows.join(load, "ty", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
-        height = s / F.col("cuts")
-        cut = cut.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-        rows = cut.withColumns(
-            {
-                "y_from": F.when(F.col("sub") == 0, F.col("ty") * s).otherwise(
-                    F.col("ty") * s + F.col("sub") * height
-                ),
-                "y_to": F.when(F.col("sub") == F.col("cuts") - 1, (F.col("ty") + 1) * s).otherwise(
-                    F.col("ty") * s + (F.col("sub") + 1) * height
-                ),
-            }
-        ).where((F.col("ylo") < F.col("y_to")) & (F.col("yhi") > F.col("y_from"))).drop("cuts")
+    whole = rows.drop("sub").join(load, "ty").withColumn("cuts", F.least("cuts", F.lit(MAX_CUTS)))
+    thin = whole.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    bottom, top = F.col("ty") * s, (F.col("ty") + 1) * s
+    height = s / F.col("cuts")
+    last = F.col("sub") == F.col("cuts") - 1
+    bounded = thin.withColumns(
+        {
+            "y_from": bottom + F.col("sub") * height,
+            "y_to": F.when(last, top).otherwise(bottom + (F.col("sub") + 1) * height),
+        }
+    )
+    return bounded.where((F.col("ylo") < F.col("y_to")) & (F.col("yhi") > F.col("y_from"))).drop("cuts")
+
+
+def tile_index(edges: DataFrame, region: str, tile: float, crowded: int | None = None) -> DataFrame:
+    """The index described above, one row per (region, tile); with ``crowded`` the rows of tiles
+    where more edges meet are cut thinner."""
+    s = F.lit(float(tile))
+    rows = _pieces(edges, region, tile).withColumns(
+        {"sub": F.lit(0).cast("long"), "y_from": F.col("ty") * s, "y_to": (F.col("ty") + 1) * s}
+    )
+    if crowded is not None:
+        rows = _cut_rows(rows, tile, crowded)
 
     row_key = ["region", "ty", "sub", "y_from", "y_to"]
     spanned = _with_columns_spanned(rows, tile)
@@ -147,6 +148,14 @@ def tile_index(edges: DataFrame, region: str, tile: float, crowded: int = CROWDE
     )
 
 
+def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
+    index = index.persist()
+    n = F.size("edges")
+    return index, index.agg(
+        F.count("*").alias("rows"), F.sum(n).alias("edges"), F.max(n).alias("most")
+    ).first()
+
+
 def clip(
     points: DataFrame,
     edges: DataFrame,
@@ -157,8 +166,9 @@ def clip(
     crowded: int = CROWDED_TILE,
 ) -> DataFrame:
     """Rows of ``points`` inside each region, with the region's name in column ``region``."""
-    index = tile_index(edges, region, tile, crowded).persist()
-    size = index.agg(F.count("*").alias("rows"), F.sum(F.size("edges")).alias("edges")).first()
+    index, size = _measured(tile_index(edges, region, tile))
+    if (size["most"] or 0) > crowded:
+        index, size = _measured(tile_index(edges, region, tile, crowded))
     s = F.lit(float(tile))
     placed = points.withColumns(
         {

@@ -62,5 +62,6 @@ def _salted_join(
     """Spread each key over ``salts`` partitions; ``dim`` is repeated once per salt."""
     spread = F.pmod(F.xxhash64(*[c for c in facts.columns if c not in keys] or keys), F.lit(salts))
     left = facts.withColumn("_salt", spread)
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    every = F.array(*[F.lit(i).cast("long") for i in range(salts)])
+    right = dim.withColumn("_salt", F.explode(every))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

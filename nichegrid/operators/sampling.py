@@ -121,7 +121,7 @@ def background_points(
             low, high = F.sin(F.radians(F.lit(box["y0"]))), F.sin(F.radians(F.lit(box["y1"])))
             lat = F.degrees(F.asin(low + v * (high - low)))
         placed = draws.select("draw", (F.lit(box["x0"]) + u * width).alias("lon"), lat.alias("lat"))
-        inside = clip(placed, one_area, "lon", "lat", region, tile).drop(region)
+        inside = clip(placed, one_area, "lon", "lat", region, tile).drop(region).persist()
         if inside.count() >= n:
             return hash_sample(inside, n, ["draw"], seed)
         rounds *= 2

@@ -7,28 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.functions.vectors import complete, mean_vector, similarity
+from nichegrid.functions.vectors import batch_similarity, mean_vector
 
 EVALUATION_LIMIT = 100
 SCALE_M = 30
 
 
 def score_by_similarity(
-    pixels: DataFrame,
-    presence_pixels: DataFrame,
-    vector: str = "embedding",
-    bands: int | None = None,
-    cosine: bool = False,
+    pixels: DataFrame, presence_pixels: DataFrame, vector: str = "embedding", cosine: bool = False
 ) -> DataFrame:
-    """Adds ``score`` to every pixel. The mean is one row, computed first and put in as a literal
-    of ``bands`` numbers, so the pixels are only scanned."""
-    mean = mean_vector(presence_pixels, vector, bands).first()["mean"]
-    if mean is None or mean[0] is None:
+    """Adds ``score`` to every pixel. The mean is one row of as many numbers as there are bands;
+    it is computed first and goes out with the scoring function, so the pixels are only scanned."""
+    mean = mean_vector(presence_pixels, vector).first()["mean"]
+    if not mean:
         raise ValueError("no presence has an embedding")
-    literal = F.array(*[F.lit(float(v)) for v in mean])
-    return pixels.withColumn(
-        "score", F.when(complete(F.col(vector)), similarity(F.col(vector), literal, cosine))
-    )
+    return pixels.withColumn("score", batch_similarity(F.col(vector), mean, cosine))
 
 
 def evaluation_rows(

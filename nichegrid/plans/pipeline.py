@@ -81,7 +81,7 @@ def training_sample(
     features = list(config.selected_layers)
     chosen_temporal = [f for f in features if f in temporal]
     chosen_static = [f for f in features if f not in temporal]
-    points = with_cells(presences, step)
+    points = with_cells(presences, step).persist()  # counted, pruned by and joined
     if chosen_temporal:
         marked = sampling.sample_by_year(points, static, yearly, chosen_temporal, chosen_static, "left")
     else:  # static fast path: no year is looked at
@@ -102,9 +102,9 @@ def training_sample(
         one_area(edges), counted["n"], AREA, tile, config.seed, projected
     )
     background = sampling.sample_layers(
-        with_cells(draws, step).withColumn(
-            "sample_id", F.concat(F.lit("b"), F.col("draw").cast("string"))
-        ),
+        with_cells(draws, step)
+        .withColumn("sample_id", F.concat(F.lit("b"), F.col("draw").cast("string")))
+        .persist(),
         stack,
         features,
     )

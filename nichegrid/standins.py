@@ -93,7 +93,7 @@ from {lineitem}""",
     # events as climate readings and as points that ask for the days before
     "climate": """
 select event_id, user_id%77 as cx, user_id%28 as cy, cast(ts as date) as d,
-  value as snowfall_sum, value as snow_cover
+  value as snowfall_sum, sqrt(value) as snow_cover
 from {events}""",
     # embeddings as a mosaic per year, 25 columns wide
     "mosaic": """
