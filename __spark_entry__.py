@@ -17,7 +17,7 @@ from nichegrid.functions import catalogue, geo, spectral, surface, vectors
 from nichegrid.operators import composites, correlation, grid, metrics, sampling, zonal
 from nichegrid.operators.clip import clip
 from nichegrid.plans import embedding, evaluation, forest, pipeline
-from nichegrid.session import scratch_path
+from nichegrid.session import cut_lineage, scratch_path
 from nichegrid.sources import archives, files, occurrences, regions, shapefiles, surfaces
 from nichegrid.standins import (
     Views,
@@ -904,7 +904,7 @@ def _sample(v: Views) -> DataFrame:
     )
     background = v.pixel.withColumn("sample_id", F.concat(F.lit("b"), F.col("pixel_id").cast("string")))
     labelled = sampling.presence_background(presence, background, _LAYERS, ["sample_id"])
-    return sampling.balanced(labelled, ["sample_id"])
+    return cut_lineage(sampling.balanced(labelled, ["sample_id"]))
 
 
 def _evaluated(v: Views):

@@ -15,7 +15,9 @@ edges nor grouped again. Interior tiles carry no edges and accept at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from nichegrid.operators.joins import lookup_join
@@ -25,132 +27,112 @@ INDEX_ROWS = 200_000
 INDEX_EDGES = 1_000_000
 CROWDED_TILE = 256
 MAX_CUTS = 1024
-_PAD = 1e-9
-
-
-def _pieces(edges: DataFrame, region: str, tile: float) -> DataFrame:
-    """Each edge once per tile row it spans; horizontal edges never cross the ray."""
-    s = F.lit(float(tile))
-    sloped = edges.where(F.col("y1") != F.col("y2")).select(
-        F.col(region).alias("region"),
-        *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")],
-    )
-    spans = sloped.withColumns(
-        {"ylo": F.least("y1", "y2"), "yhi": F.greatest("y1", "y2")}
-    )
-    return spans.withColumn(
-        "ty",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("ylo") / s), F.greatest(F.ceil(F.col("yhi") / s) - 1, F.floor(F.col("ylo") / s))
-            )
-        ),
-    )
-
-
-def _with_columns_spanned(pieces: DataFrame, tile: float) -> DataFrame:
-    """Tile columns the edge can touch inside [y_from, y_to), padded against rounding."""
-    s = F.lit(float(tile))
-
-    def x_at(y):
-        return F.expr("(x2 - x1)") * (y - F.col("y1")) / F.expr("(y2 - y1)") + F.col("x1")
-
-    a = x_at(F.greatest("ylo", "y_from"))
-    b = x_at(F.least("yhi", "y_to"))
-    return pieces.withColumns(
-        {
-            "c_from": F.floor(F.least(a, b) / s - F.lit(_PAD)),
-            "c_to": F.floor(F.greatest(a, b) / s + F.lit(_PAD)),
-        }
-    )
-
-
-def _cut_rows(rows: DataFrame, tile: float, crowded: int) -> DataFrame:
-    """Cut crowded tile rows into thinner ones so that few edges meet in each tile."""
-    s = F.lit(float(tile))
-    load = (
-        _with_columns_spanned(rows, tile)
-        .select("ty", F.explode(F.sequence("c_from", "c_to")).alias("tx"))
-        .groupBy("ty", "tx")
-        .count()
-        .groupBy("ty")
-        .agg(F.ceil(F.max("count") / crowded).alias("cuts"))
-    )
-    whole = rows.drop("sub").join(load, "ty").withColumn("cuts", F.least("cuts", F.lit(MAX_CUTS)))
-    thin = whole.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    bottom, top = F.col("ty") * s, (F.col("ty") + 1) * s
-    height = s / F.col("cuts")
-    last = F.col("sub") == F.col("cuts") - 1
-    bounded = thin.withColumns(
-        {
-            "y_from": bottom + F.col("sub") * height,
-            "y_to": F.when(last, top).otherwise(bottom + (F.col("sub") + 1) * height),
-        }
-    )
-    return bounded.where((F.col("ylo") < F.col("y_to")) & (F.col("yhi") > F.col("y_from"))).drop("cuts")
+
+
+# Each edge once per tile row it spans; horizontal edges never cross the ray.
+_ROWS = """
+sloped as (
+  select {region} as region, cast(x1 as double) as x1, cast(y1 as double) as y1,
+    cast(x2 as double) as x2, cast(y2 as double) as y2,
+    cast(least(y1, y2) as double) as ylo, cast(greatest(y1, y2) as double) as yhi
+  from {edges} where y1 <> y2),
+by_row as (
+  select *, explode(sequence(floor(ylo / :tile), greatest(ceil(yhi / :tile) - 1, floor(ylo / :tile)))) as ty
+  from sloped),
+whole_rows as (
+  select *, 0L as sub, ty * :tile as y_from, (ty + 1) * :tile as y_to from by_row)"""
+
+# Tile columns an edge can touch between y_from and y_to, padded against rounding.
+_SPANNED = """
+  select *, floor(least(xa, xb) / :tile - 1e-9) as c_from, floor(greatest(xa, xb) / :tile + 1e-9) as c_to
+  from (select *, (x2 - x1) * (greatest(ylo, y_from) - y1) / (y2 - y1) + x1 as xa,
+          (x2 - x1) * (least(yhi, y_to) - y1) / (y2 - y1) + x1 as xb from {rows})"""
+
+# Rows of tiles where more than :crowded edges meet in one tile are cut into thinner ones.
+_CUT_ROWS = f"""
+load as (
+  select ty, least(ceil(max(n) / :crowded), :most) as cuts
+  from (select ty, tx, count(*) as n
+        from (select ty, explode(sequence(c_from, c_to)) as tx from ({_SPANNED.replace("{rows}", "whole_rows")}))
+        group by ty, tx)
+  group by ty),
+thin as (
+  select w.* except (sub), cuts, explode(sequence(0L, cuts - 1)) as sub
+  from whole_rows w join load using (ty)),
+rows as (
+  select * except (cuts) from (
+    select * except (y_from, y_to), ty * :tile + sub * :tile / cuts as y_from,
+      if(sub = cuts - 1, (ty + 1) * :tile, ty * :tile + (sub + 1) * :tile / cuts) as y_to
+    from thin)
+  where ylo < y_to and yhi > y_from)"""
+
+# An edge wholly to the right of a tile counts only through its end points: for a point at height
+# py it contributes [y > py] for either end. Shared end points cancel unless the two edges start
+# in different columns; a flip holds for the tiles between those columns.
+_INDEX = f"""
+spanned as ({_SPANNED.replace("{rows}", "rows")}),
+touching as (
+  select region, ty, sub, y_from, y_to, explode(sequence(c_from, c_to)) as tx,
+    struct(x1, y1, x2, y2) as edge, cast(null as double) as step
+  from spanned),
+ends as (
+  select region, ty, sub, y_from, y_to, c_from, explode(array(greatest(ylo, y_from), least(yhi, y_to))) as step
+  from spanned),
+odd as (
+  select region, ty, sub, y_from, y_to, step, c_from from ends where step > y_from
+  group by all having count(*) % 2 = 1),
+ranked as (
+  select *, row_number() over w as rank, lead(c_from) over w as c_next from odd
+  window w as (partition by region, ty, sub, y_from, y_to, step order by c_from desc)),
+flips as (
+  select region, ty, sub, y_from, y_to, explode(sequence(c_next, c_from - 1)) as tx,
+    cast(null as struct<x1: double, y1: double, x2: double, y2: double>) as edge, step
+  from ranked where rank % 2 = 1 and c_next is not null)
+select * from (
+  select region as _region, tx as _tx, ty as _ty, sub as _sub, y_from as _y_from, y_to as _y_to,
+    collect_list(edge) as _edges, collect_list(if(step < y_to, step, null)) as _steps,
+    count_if(step >= y_to) as _parity
+  from (table touching union all table flips)
+  group by all)
+where size(_edges) > 0 or size(_steps) > 0 or _parity % 2 = 1"""
 
 
 def tile_index(edges: DataFrame, region: str, tile: float, crowded: int | None = None) -> DataFrame:
     """The index described above, one row per (region, tile); with ``crowded`` the rows of tiles
     where more edges meet are cut thinner."""
-    s = F.lit(float(tile))
-    rows = _pieces(edges, region, tile).withColumns(
-        {"sub": F.lit(0).cast("long"), "y_from": F.col("ty") * s, "y_to": (F.col("ty") + 1) * s}
-    )
+    named = edges.select(F.col(region).alias("region"), "x1", "y1", "x2", "y2")
+    args = {"tile": float(tile)}
+    rows = "rows as (table whole_rows)"
     if crowded is not None:
-        rows = _cut_rows(rows, tile, crowded)
-
-    row_key = ["region", "ty", "sub", "y_from", "y_to"]
-    spanned = _with_columns_spanned(rows, tile)
-    touching = spanned.select(
-        *row_key,
-        F.explode(F.sequence("c_from", "c_to")).alias("tx"),
-        F.struct("x1", "y1", "x2", "y2").alias("edge"),
-        F.lit(None).cast("double").alias("step"),
-    )
-
-    # An edge wholly to the right of a tile counts only through its end points: for a point at
-    # py it contributes [y > py] for either end. Shared end points cancel unless the two edges
-    # start in different columns.
-    ends = spanned.select(
-        *row_key,
-        "c_from",
-        F.explode(F.array(F.greatest("ylo", "y_from"), F.least("yhi", "y_to"))).alias("step"),
-    ).where(F.col("step") > F.col("y_from"))
-    odd = ends.groupBy(*row_key, "step", "c_from").count().where(F.col("count") % 2 == 1)
-    from_right = Window.partitionBy(*row_key, "step").orderBy(F.desc("c_from"))
-    flips = (
-        odd.select(
-            *row_key,
-            "step",
-            "c_from",
-            F.row_number().over(from_right).alias("rank"),
-            F.lead("c_from").over(from_right).alias("c_next"),
-        )
-        .where((F.col("rank") % 2 == 1) & F.col("c_next").isNotNull())
-        .select(
-            *row_key,
-            F.explode(F.sequence(F.col("c_next"), F.col("c_from") - 1)).alias("tx"),
-            F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("edge"),
-            "step",
-        )
-    )
-    whole_row = F.col("step") >= F.col("y_to")
-    return (
-        touching.unionByName(flips)
-        .groupBy(*row_key, "tx")
-        .agg(
-            F.collect_list("edge").alias("edges"),
-            F.collect_list(F.when(~whole_row, F.col("step"))).alias("steps"),
-            F.sum(F.when(whole_row, 1).otherwise(0)).alias("parity"),
-        )
-        .where((F.size("edges") > 0) | (F.size("steps") > 0) | (F.col("parity") % 2 == 1))
-    )
+        rows, args = _CUT_ROWS, {**args, "crowded": crowded, "most": MAX_CUTS}
+    text = f"with {_ROWS.replace('{region}', 'region')}, {rows}, {_INDEX}"
+    return edges.sparkSession.sql(text, args=args, edges=named)
+
+
+@dataclass(frozen=True)
+class AreaIndex:
+    """A measured tile index; build it once for several clips of the same area."""
+
+    frame: DataFrame
+    region: str
+    tile: float
+    small: bool
+
+
+def index_area(
+    edges: DataFrame, region: str = "region", tile: float = 0.1, crowded: int = CROWDED_TILE
+) -> AreaIndex:
+    """The tile index, persisted and measured, cut thinner where it turns out crowded."""
+    frame, size = _measured(tile_index(edges, region, tile))
+    if (size["most"] or 0) > crowded:
+        frame, size = _measured(tile_index(edges, region, tile, crowded))
+    small = size["rows"] <= INDEX_ROWS and (size["edges"] or 0) <= INDEX_EDGES
+    return AreaIndex(frame, region, float(tile), small)
 
 
 def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
     index = index.persist()
-    n = F.size("edges")
+    n = F.size("_edges")
     return index, index.agg(
         F.count("*").alias("rows"), F.sum(n).alias("edges"), F.max(n).alias("most")
     ).first()
@@ -158,44 +140,31 @@ def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
 
 def clip(
     points: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | AreaIndex,
     x: str = "lon",
     y: str = "lat",
     region: str = "region",
     tile: float = 0.1,
     crowded: int = CROWDED_TILE,
 ) -> DataFrame:
-    """Rows of ``points`` inside each region, with the region's name in column ``region``."""
-    index, size = _measured(tile_index(edges, region, tile))
-    if (size["most"] or 0) > crowded:
-        index, size = _measured(tile_index(edges, region, tile, crowded))
-    s = F.lit(float(tile))
-    placed = points.withColumns(
-        {
-            "tx": F.floor(F.col(x) / s),
-            "ty": F.floor(F.col(y) / s),
-        }
-    )
-    renamed = index.withColumnRenamed("region", "_region")
-    if size["rows"] <= INDEX_ROWS and (size["edges"] or 0) <= INDEX_EDGES:
-        near = placed.join(F.broadcast(renamed), ["tx", "ty"])
+    """Rows of ``points`` inside each region, with the region's name in column ``region``.
+
+    ``edges`` may be an :class:`AreaIndex`, which brings its own region column and tile.
+    """
+    area = edges if isinstance(edges, AreaIndex) else index_area(edges, region, tile, crowded)
+    step = F.lit(area.tile)
+    placed = points.withColumns({"_tx": F.floor(F.col(x) / step), "_ty": F.floor(F.col(y) / step)})
+    if area.small:
+        near = placed.join(F.broadcast(area.frame), ["_tx", "_ty"])
     else:
-        near = lookup_join(placed, renamed, ["tx", "ty"], broadcast_rows=0)
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-
-    def crosses(e):
-        straddles = (e["y1"] > py) != (e["y2"] > py)
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-        return straddles & (px < at)
-
-    crossings = (
-        F.size(F.filter("edges", crosses))
-        + F.size(F.filter("steps", lambda v: v > py))
-        + F.col("parity")
-    )
-    inside = near.where((py >= F.col("y_from")) & (py < F.col("y_to")) & (crossings % 2 == 1))
-    kept = [c for c in points.columns if c != region]
-    return inside.select(*kept, F.col("_region").alias(region))
+        near = lookup_join(placed, area.frame, ["_tx", "_ty"], broadcast_rows=0)
+    crossings = f"""
+      size(filter(_edges, e -> (e.y1 > `{y}`) != (e.y2 > `{y}`)
+        and `{x}` < (e.x2 - e.x1) * (`{y}` - e.y1) / (e.y2 - e.y1) + e.x1))
+      + size(filter(_steps, step -> step > `{y}`)) + _parity"""
+    inside = near.where(f"`{y}` >= _y_from and `{y}` < _y_to and ({crossings}) % 2 = 1")
+    kept = [c for c in points.columns if c != area.region]
+    return inside.select(*kept, F.col("_region").alias(area.region))
 
 
 def rings_to_edges(polygons: DataFrame, rings: str = "rings", keep: tuple[str, ...] = ()) -> DataFrame:

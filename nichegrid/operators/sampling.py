@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.functions.hashing import uniform
+from nichegrid.operators.clip import AreaIndex, clip, index_area
 from nichegrid.operators.joins import BROADCAST_ROWS, has_at_most, lookup_join
 from nichegrid.operators.ordering import hash_sample
 
@@ -90,6 +91,7 @@ def background_points(
     tile: float = 0.1,
     seed: int = 42,
     projected: bool = False,
+    area: AreaIndex | None = None,
 ) -> DataFrame:
     """``n`` points spread evenly over the area of the polygons.
 
@@ -97,8 +99,6 @@ def background_points(
     ``projected``. Candidates come from the extent at the rate at which the area fills it and are doubled
     until enough fall inside; every draw is a hash of its number, so reruns agree.
     """
-    from nichegrid.operators.clip import clip
-
     box = edges.agg(
         F.min(F.least("x1", "x2")).alias("x0"),
         F.max(F.greatest("x1", "x2")).alias("x1"),
@@ -111,7 +111,7 @@ def background_points(
     width, height = box["x1"] - box["x0"], box["y1"] - box["y0"]
     filled = min(1.0, max(box["area"] / (width * height), 1e-6))
     rounds = int(1.2 * n / filled) + 64
-    one_area = edges.withColumn(region, F.lit("area"))
+    area = area or index_area(edges.withColumn(region, F.lit("area")), region, tile)
     while True:
         draws = edges.sparkSession.range(rounds).withColumnRenamed("id", "draw")
         u, v = uniform(["draw"], f"{seed}-x"), uniform(["draw"], f"{seed}-y")
@@ -121,7 +121,7 @@ def background_points(
             low, high = F.sin(F.radians(F.lit(box["y0"]))), F.sin(F.radians(F.lit(box["y1"])))
             lat = F.degrees(F.asin(low + v * (high - low)))
         placed = draws.select("draw", (F.lit(box["x0"]) + u * width).alias("lon"), lat.alias("lat"))
-        inside = clip(placed, one_area, "lon", "lat", region, tile).drop(region).persist()
+        inside = clip(placed, area).drop(area.region).persist()
         if inside.count() >= n:
             return hash_sample(inside, n, ["draw"], seed)
         rounds *= 2

@@ -115,7 +115,9 @@ def permutation_importance(
             for r, a, c in _shuffles(n, repeats, seed)
         ]
     )
-    own = table.select("*", F.explode(plans).alias("_plan")).withColumn(
+    # spread first: every row turns into repeats x features rows
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = table.repartition(tasks, "_pos").select("*", F.explode(plans).alias("_plan")).withColumn(
         "_partner", F.pmod(F.col("_plan.a") * F.col("_pos") + F.col("_plan.c"), F.lit(n))
     )
     partner = table.select(

@@ -72,7 +72,11 @@ def fit(
         featuresCol="features",
         weightCol="weight",
     )
-    return learner.fit(stable_order(rows, ids))
+    ordered = stable_order(rows, ids).persist()  # read once per tree level
+    try:
+        return learner.fit(ordered)
+    finally:
+        ordered.unpersist()
 
 
 def score(

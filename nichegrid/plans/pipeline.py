@@ -18,7 +18,7 @@ from nichegrid.functions.catalogue import TEMPORAL_LAYERS
 from nichegrid.functions.geo import cell_index
 from nichegrid.functions.surface import shift_layers
 from nichegrid.operators import metrics, sampling
-from nichegrid.operators.clip import clip
+from nichegrid.operators.clip import AreaIndex, index_area
 from nichegrid.plans import embedding as embedding_plan
 from nichegrid.plans import forest, maxent
 from nichegrid.session import cut_lineage
@@ -76,6 +76,7 @@ def training_sample(
     tile: float,
     temporal: frozenset[str] = TEMPORAL_LAYERS,
     projected: bool = False,
+    area: AreaIndex | None = None,
 ) -> tuple[DataFrame, int]:
     """(labelled sample with key ``sample_id``, number of excluded presences)."""
     features = list(config.selected_layers)
@@ -99,7 +100,7 @@ def training_sample(
 
     stack = predictor_stack(static, yearly, config, temporal)
     draws = sampling.background_points(
-        one_area(edges), counted["n"], AREA, tile, config.seed, projected
+        one_area(edges), counted["n"], AREA, tile, config.seed, projected, area
     )
     background = sampling.sample_layers(
         with_cells(draws, step)
@@ -131,8 +132,9 @@ def run_model(
         if not config.selected_layers:
             raise ValueError("no layer selected")
         tile = tile or 64 * step
+        area = index_area(one_area(edges), AREA, tile)
         sample, excluded = training_sample(
-            config, presences, edges, static, yearly, step, tile, temporal, projected
+            config, presences, edges, static, yearly, step, tile, temporal, projected, area
         )
         features = tuple(sampling.clean_names(config.selected_layers))
         split = sampling.with_split(sample, ["sample_id"], config.train_size, config.seed)
@@ -152,10 +154,8 @@ def run_model(
 
         stack = clip_cells(
             predictor_stack(static, yearly, config, temporal).toDF("cx", "cy", *features),
-            one_area(edges),
+            area,
             step,
-            AREA,
-            tile,
         ).drop(AREA)
         return Run(config, results, _classify(model, stack, features), model, features, stack)
     except Exception as error:
@@ -215,6 +215,7 @@ def run_embedding(
     """
     try:
         tile = tile or 64 * step
+        area = index_area(one_area(edges), AREA, tile)
         mosaic = embedding_for_year(embeddings, config.year_start)
         points = with_cells(presences, step)
         at_presences = cut_lineage(
@@ -231,14 +232,14 @@ def run_embedding(
         n = chosen.count()
         if n == 0:
             raise ValueError("the evaluation has no samples")
-        draws = sampling.background_points(one_area(edges), n, AREA, tile, config.seed, projected)
+        draws = sampling.background_points(one_area(edges), n, AREA, tile, config.seed, projected, area)
         background = sampling.sample_layers(with_cells(draws, step), scored, ["score"])
         rows = embedding_plan.evaluation_rows(chosen, background)
         auc = metrics.roc_auc(rows).first()["roc_auc"]
         if auc is None:
             raise ValueError("the evaluation has no background")
         results = mosaic.sparkSession.range(1).select(F.lit(auc).alias("roc_auc"))
-        surface = clip_cells(scored, one_area(edges), step, AREA, tile).drop(AREA)
+        surface = clip_cells(scored, area, step).drop(AREA)
         return Run(config, results, surface)
     except Exception as error:
         raise RuntimeError(f"Embedding run failed: {error}") from error

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions.geo import degrees_for
 from nichegrid.functions.vectors import clamp_year
-from nichegrid.operators.clip import clip
+from nichegrid.operators.clip import AreaIndex, clip
 from nichegrid.operators.grid import regrid
 
 TILE_CELLS = 1024
@@ -20,7 +20,11 @@ def embedding_for_year(embeddings: DataFrame, year: int) -> DataFrame:
 
 
 def clip_cells(
-    cells: DataFrame, edges: DataFrame, step: float, region: str = "region", tile: float | None = None
+    cells: DataFrame,
+    edges: DataFrame | AreaIndex,
+    step: float,
+    region: str = "region",
+    tile: float | None = None,
 ) -> DataFrame:
     """Cells whose centre lies inside a region."""
     centred = cells.withColumns(
