@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
+MAX_SALTS = 4096
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -27,41 +28,29 @@ def lookup_join(
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed ``facts`` with ``dim`` (``inner`` or ``left``).
 
-    A counted, small ``dim`` is broadcast, so ``facts`` is not shuffled. Otherwise keys that
-    hold more than ``hot_rows`` facts are joined apart against the few ``dim`` rows they
-    need, and the remaining, even keys take the ordinary shuffled join.
+    A counted, small ``dim`` is broadcast, so ``facts`` is not shuffled. Otherwise both sides are
+    shuffled; a key that holds more than ``hot_rows`` facts is spread over salts, and only the
+    ``dim`` rows of such keys are repeated.
     """
     keys = list(keys)
     if has_at_most(dim, broadcast_rows):
         return facts.join(F.broadcast(dim), keys, how)
 
-    # count >= rows / MAX_HOT_KEYS bounds the number of hot keys by MAX_HOT_KEYS
-    counts = facts.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    threshold = max(hot_rows, total // MAX_HOT_KEYS)
-    hot = (
-        counts.where(F.col("count") > threshold)
-        .dropna(subset=keys)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = counts.where(F.col("_rows") > hot_rows).persist()
     if has_at_most(hot, 0):
         return facts.join(dim, keys, how)
-
-    marked = facts.join(F.broadcast(hot), keys, "left")
-    hot_dim = dim.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(dim, keys, how)
-    rest = marked.where(F.col("_hot")).drop("_hot")
-    if has_at_most(hot_dim, broadcast_rows):
-        return cold.unionByName(rest.join(F.broadcast(hot_dim), keys, how))
-    return cold.unionByName(_salted_join(rest, hot_dim, keys, how))
-
-
-def _salted_join(
-    facts: DataFrame, dim: DataFrame, keys: list[str], how: str, salts: int = 64
-) -> DataFrame:
-    """Spread each key over ``salts`` partitions; ``dim`` is repeated once per salt."""
-    spread = F.pmod(F.xxhash64(*[c for c in facts.columns if c not in keys] or keys), F.lit(salts))
-    left = facts.withColumn("_salt", spread)
-    every = F.array(*[F.lit(i).cast("long") for i in range(salts)])
-    right = dim.withColumn("_salt", F.explode(every))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    if not has_at_most(hot, MAX_HOT_KEYS):
+        # no more than MAX_HOT_KEYS keys can each hold more than this share of the rows
+        share = hot.agg(F.sum("_rows")).first()[0] // MAX_HOT_KEYS
+        hot = hot.where(F.col("_rows") > share)
+
+    # a hot key is spread over as many salts as it has lots of hot_rows
+    salts = F.least(F.ceil(F.col("_rows") / F.lit(max(hot_rows, 1))), F.lit(MAX_SALTS)).cast("long")
+    spread = F.broadcast(hot.select(*keys, salts.alias("_salts")))
+    rest = [c for c in facts.columns if c not in keys]
+    drawn = F.pmod(F.xxhash64(*(rest or keys)), F.col("_salts"))
+    left = facts.join(spread, keys, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0).cast("long")))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)
+    right = dim.join(spread, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    return left.drop("_salts").join(right, [*keys, "_salt"], how).drop("_salt")

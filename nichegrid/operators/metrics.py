@@ -33,7 +33,7 @@ def accuracy(df: DataFrame, label: str = LABEL, predicted: str = "classification
 
 
 def roc_auc(
-    df: DataFrame, label: str = LABEL, score: str = "score", by: Sequence[str] = (), buckets: int = 1024
+    df: DataFrame, label: str = LABEL, score: str = "score", by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve; a tie counts one half.
 

@@ -19,7 +19,8 @@ from nichegrid.operators.joins import has_at_most, lookup_join
 LARGE_GROUP = 200_000
 # a counted table of this many rows may be ordered by one task
 WINDOW_ROWS = 100_000
-_STRIDE = 32
+BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 1_000_000, 64, 8192
+_STRIDE = 64
 
 
 def _bucket_of(value: Column, bounds: Column) -> Column:
@@ -36,14 +37,15 @@ def running_totals(
     value: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
-    buckets: int = 1024,
+    buckets: int | None = None,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Exclusive running sums of ``sums`` in ``value`` order, per group ``by``.
 
     ``df`` must hold each (group, value) once; aggregate before calling. Adds
     ``<sum>_before`` and the group's ``<sum>_total``. The number of groups must be small
-    (features, regions, one): each carries up to ``buckets`` bounds. A table counted to fit one
+    (features, regions, one): each carries up to ``buckets`` bounds, by default one per
+    BUCKET_ROWS rows of the table. A table counted to fit one
     task takes a plain window instead.
     """
     df = df.persist()
@@ -57,7 +59,9 @@ def running_totals(
         )
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(1))
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, df.count() // BUCKET_ROWS))
+    probabilities = F.expr(f"array({', '.join(f'{i / buckets}D' for i in range(1, buckets))})")
     bounds = base.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, probabilities, F.lit(10 * buckets))).alias(
             "_bounds"
@@ -143,9 +147,8 @@ def group_median(
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
-    large = (
-        present.groupBy(*by).count().where(F.col("count") > large_group).select(*by)
-    )
+    counts = present.groupBy(*by).count()
+    large = counts.where(F.col("count") > large_group).select(*by).persist()
     if has_at_most(large, 0):
         return present.groupBy(*by).agg(F.median(value).alias(name))
     flagged = lookup_join(present, large.withColumn("_large", F.lit(True)), by, "left")
@@ -160,7 +163,7 @@ def hash_positions(
     seed: int | str = "",
     by: Sequence[str] = (),
     name: str = "position",
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """0-based position of each row in key-hash order, per group.
 

@@ -26,20 +26,20 @@ def test_lookup_join_keeps_every_row(tables, how, limits):
     assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
 
 
-def test_hot_keys_are_broadcast_when_their_rows_are_few(tables, monkeypatch):
+def test_many_hot_keys(tables, monkeypatch):
     facts, dim = tables
-    seen = []
-    real = joins.has_at_most
-    answers = {0: False, 1: False, 2: True}
+    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 3)
+    expected = facts.join(dim, "k", "left")
+    got = lookup_join(facts, dim, ["k"], "left", broadcast_rows=0, hot_rows=1).select(*expected.columns)
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
 
-    def fake(df, rows):
-        seen.append(rows)
-        return answers.get(len(seen) - 1, real(df, rows))
 
-    monkeypatch.setattr(joins, "has_at_most", fake)
-    expected = facts.join(dim, "k")
-    got = lookup_join(facts, dim, ["k"], hot_rows=100)
-    assert got.count() == expected.count()
+def test_hot_key_is_spread(spark):
+    facts = spark.range(4000).select("id", F.lit(1).alias("k"))
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    out = lookup_join(facts, dim, ["k"], broadcast_rows=0, hot_rows=100)
+    assert "_salt" in out._jdf.queryExecution().analyzed().toString()
+    assert out.count() == 4000
 
 
 def test_has_at_most(spark):
