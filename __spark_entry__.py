@@ -16,7 +16,7 @@ from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, geo, spectral, surface, vectors
 from nichegrid.operators import composites, correlation, grid, metrics, sampling, zonal
 from nichegrid.operators.clip import clip
-from nichegrid.plans import embedding, evaluation, forest, pipeline
+from nichegrid.plans import embedding, evaluation, forest, layers, pipeline
 from nichegrid.session import cut_lineage, scratch_path
 from nichegrid.sources import archives, files, occurrences, regions, shapefiles, surfaces
 from nichegrid.standins import (
@@ -566,6 +566,45 @@ def _(v: Views) -> DataFrame:
     return composites.snowcover_4d(points, v.climate).select("event_id", _r("snowcover"))
 
 
+@_query(
+    "static_layers",
+    """with g as (select p.cx, p.cy, p.elevation, p.aspect as b1, p.chm, p.phh2o, (e.elevation-w.elevation)/cast(200 as double) as dx,
+    (n.elevation-s.elevation)/cast(200 as double) as dy from {pixel} p
+  left join {pixel} w on w.cx=p.cx-1 and w.cy=p.cy left join {pixel} e on e.cx=p.cx+1 and e.cy=p.cy
+  left join {pixel} s on s.cx=p.cx and s.cy=p.cy-1 left join {pixel} n on n.cx=p.cx and n.cy=p.cy+1),
+a as (select *, degrees(atan(sqrt(dx*dx+dy*dy))) as sl, atan2(0.0-dx, 0.0-dy) as az from g)
+select cx, cy, elevation, round(sl, 6) as slope, round(case when sl is not null then cos(az) end, 6) as northness,
+  round(case when sl is not null then sin(az) end, 6) as eastness, chm as "CHM", case when chm >= 1 then chm end as "Trees",
+  round(phh2o*0.1, 3) as soil_ph, b1 from a""",
+)
+def _(v: Views) -> DataFrame:
+    p = v.pixel
+    out = layers.static_layers(
+        dem=p,
+        canopy=p.select("cx", "cy", F.col("chm").alias("height"), F.col("pixel_id").alias("ts")),
+        soil=p.select("cx", "cy", F.col("phh2o").alias("soil_ph")),
+        rasters={"b1": p.select("cx", "cy", "aspect")},
+        spacing=100.0,
+    )
+    return out.select(
+        "cx", "cy", "elevation", _r("slope"), _r("northness"), _r("eastness"), "CHM", "Trees", _r("soil_ph", 3), "b1"
+    )
+
+
+@_query(
+    "yearly_layers",
+    f"""with n as (select *, cast(year(ts) as bigint) as yr, (1/b3-1/b5)/(1/b3+1/b5) as nari, (1/b5-1/b7)/(1/b5+1/b7) as ncri from {{scene}}),
+y as (select cx, cy, yr, avg((b7-b3)/(b7+b3)) as ndvi from n where yr in (1997, 1999) group by 1, 2, 3),
+m as (select cx, cy, yr, median(nari) as nari, median(ncri) as ncri from n
+  where {_CLEAR} and cloudy_pct < 65 and yr in (1997, 1999) and month(ts) in (9, 10) group by 1, 2, 3)
+select cx, cy, yr, round(ndvi, 6) as "NDVI", round(nari, 6) as "NARI", round(ncri, 6) as "NCRI" from y left join m using (cx, cy, yr)""",
+)
+def _(v: Views) -> DataFrame:
+    greenness = v.scene.select("ts", "cx", "cy", spectral.ndvi(F.col("b7"), F.col("b3")).alias("NDVI"))
+    out = layers.yearly_layers([1997, 1999], greenness=greenness, scenes=v.scene)
+    return out.select("cx", "cy", "yr", _r("NDVI"), _r("NARI"), _r("NCRI"))
+
+
 # ---- samples --------------------------------------------------------------------------------
 
 _STATIC = ["elevation", "aspect", "chm", "phh2o"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,23 +56,32 @@ def between(ts: Column, start: str, end: str) -> Column:
     return (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
 
 
+_INDICES = {
+    "nari": (spectral.nari, ("b3", "b5")),
+    "ncri": (spectral.ncri, ("b5", "b7")),
+}
+
+
 def index_median(scenes: DataFrame, index: str, year: int, keys: Sequence[str] = CELL) -> DataFrame:
     """Median NARI or NCRI over the clear pixels of one season."""
-    formulas = {
-        "nari": (spectral.nari, ("b3", "b5")),
-        "ncri": (spectral.ncri, ("b5", "b7")),
-    }
-    if index not in formulas:
-        raise ValueError(f"unknown index {index!r}; expected one of {sorted(formulas)}")
-    formula, bands = formulas[index]
-    chosen = scenes.where(
-        between(F.col("ts"), f"{year}-{SEASON_START}", f"{year}-{SEASON_END}")
-        & (F.col("cloudy_pct") < MAX_CLOUD_PCT)
-    ).select(*keys, "qa60", *bands)
+    return index_medians(scenes, index, [year], keys).drop("yr")
+
+
+def index_medians(
+    scenes: DataFrame, index: str, years: Sequence[int], keys: Sequence[str] = CELL
+) -> DataFrame:
+    """:func:`index_median` for several years in one pass, with the year as ``yr``."""
+    if index not in _INDICES:
+        raise ValueError(f"unknown index {index!r}; expected one of {sorted(_INDICES)}")
+    formula, bands = _INDICES[index]
+    seasons = [between(F.col("ts"), f"{y}-{SEASON_START}", f"{y}-{SEASON_END}") for y in sorted(set(years))]
+    chosen = scenes.where(reduce(or_, seasons) & (F.col("cloudy_pct") < MAX_CLOUD_PCT)).select(
+        *keys, F.year("ts").cast("long").alias("yr"), "qa60", *bands
+    )
     pixels = spectral.mask_clouds(chosen, bands).select(
-        *keys, formula(*[F.col(b) for b in bands]).alias(index)
+        *keys, "yr", formula(*[F.col(b) for b in bands]).alias(index)
     )
-    return group_median(pixels, index, keys, index)
+    return group_median(pixels, index, [*keys, "yr"], index)
 
 
 def ndvi_mean(scenes: DataFrame, year: int, nir: str, red: str, keys: Sequence[str] = CELL) -> DataFrame:

@@ -6,13 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 8_000_000
+_NESTED_VALUES = 256
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SALTS = 4096
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    """How many rows of this width may be broadcast: BROADCAST_VALUES values in all."""
+    width = sum(
+        _NESTED_VALUES if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) else 1
+        for f in df.schema.fields
+    )
+    return min(BROADCAST_ROWS, BROADCAST_VALUES // max(width, 1))
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` holds no more than ``rows`` rows; stops reading beyond that."""
     return df.limit(rows + 1).count() <= rows
@@ -23,7 +35,7 @@ def lookup_join(
     dim: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed ``facts`` with ``dim`` (``inner`` or ``left``).
@@ -33,7 +45,7 @@ def lookup_join(
     ``dim`` rows of such keys are repeated.
     """
     keys = list(keys)
-    if has_at_most(dim, broadcast_rows):
+    if has_at_most(dim, broadcast_limit(dim) if broadcast_rows is None else broadcast_rows):
         return facts.join(F.broadcast(dim), keys, how)
 
     counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))

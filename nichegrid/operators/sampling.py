@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions.hashing import uniform
 from nichegrid.operators.clip import AreaIndex, clip, index_area
-from nichegrid.operators.joins import BROADCAST_ROWS, has_at_most, lookup_join
+from nichegrid.operators.joins import BROADCAST_ROWS, broadcast_limit, has_at_most, lookup_join
 from nichegrid.operators.ordering import hash_sample
 
 CELL = ("cx", "cy")
@@ -30,15 +30,27 @@ def sample_layers(
     cell that holds a third of the points costs one layer row. ``how="left"`` keeps dropped
     points with NULL features.
     """
+    return _attach(points, _hits(points, layers, features, keys), keys, how)
+
+
+def _hits(
+    points: DataFrame, layers: DataFrame, features: Sequence[str] | None, keys: Sequence[str]
+) -> tuple[DataFrame, bool]:
+    """Unmasked layer rows of the cells that are asked for, and whether they may be broadcast."""
     keys = list(keys)
     features = list(features or [c for c in layers.columns if c not in keys])
     wanted = points.select(*keys).dropna().distinct()
     band = layers.select(*keys, *features).dropna(subset=features)
-    if has_at_most(wanted, BROADCAST_ROWS):
-        hits = band.join(F.broadcast(wanted), keys)
-        return points.join(F.broadcast(hits), keys, how)  # one layer row per counted key at most
-    hits = band.join(wanted, keys, "left_semi").persist()
-    return lookup_join(points, hits, keys, how)
+    if has_at_most(wanted, min(BROADCAST_ROWS, broadcast_limit(band))):
+        return band.join(F.broadcast(wanted), keys), True  # one layer row per counted key at most
+    return band.join(wanted, keys, "left_semi").persist(), False
+
+
+def _attach(points: DataFrame, hits: tuple[DataFrame, bool], keys: Sequence[str], how: str) -> DataFrame:
+    rows, small = hits
+    if small:
+        return points.join(F.broadcast(rows), list(keys), how)
+    return lookup_join(points, rows, list(keys), how)
 
 
 def sample_by_year(
@@ -54,9 +66,10 @@ def sample_by_year(
 
     One equality join on (cell, year) serves every year. Points without a year fall out.
     """
-    out = sample_layers(points, yearly, temporal_features, [*keys, "yr"], how)
+    dated = [*keys, "yr"]
+    out = _attach(points, _hits(points, yearly, temporal_features, dated), dated, how)
     if static_features:
-        out = sample_layers(out, static, static_features, keys, how)
+        out = _attach(out, _hits(points, static, static_features, keys), keys, how)
     return out
 
 

@@ -152,7 +152,7 @@ class Views:
         if name == "layer_year":
             years = self.occurrence.agg(F.min("yr").alias("lo"), F.max("yr").alias("hi")).first()
             dated = self.cell.withColumn(
-                "yr", F.explode(F.sequence(F.lit(years["lo"]), F.lit(years["hi"])))
+                "yr", F.explode(F.expr(f"sequence({years['lo']}L, {years['hi']}L)"))
             )
             sql = ORACLE_VIEWS["layer_year"]
             return self.spark.sql(sql[: sql.index("from {cell}")] + "from {cell}", cell=dated)

@@ -76,3 +76,17 @@ def test_annual_mean(spark):
     rows = [(dt.datetime(2020, 1, 1), 0, 0, 1.0), (dt.datetime(2020, 12, 31), 0, 0, 3.0), (dt.datetime(2021, 1, 1), 0, 0, 9.0)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, cx long, cy long, v double")
     assert {r["yr"]: r["v"] for r in composites.annual_mean(df, ["v"]).collect()} == {2020: 2.0, 2021: 9.0}
+
+
+def test_yearly_layers(spark):
+    from nichegrid.plans import layers
+
+    climate = [(dt.datetime(y, m, 1), 0, 0, float(y), None if m == 2 else 1.0) for y in (2019, 2020, 2021) for m in (1, 2)]
+    df = spark.createDataFrame(climate, "ts timestamp_ntz, cx long, cy long, snow_depth_water_equivalent double, snow_cover double")
+    scenes = spark.createDataFrame([scene("2020-09-05", b3=1.0, b5=3.0)], SCENE)
+    out = layers.yearly_layers([2019, 2020], climate=df, scenes=scenes)
+    assert out.columns == ["cx", "cy", "yr", "SWE", "snow_cover", "NARI", "NCRI"]
+    got = {r["yr"]: (r["SWE"], r["snow_cover"], r["NARI"]) for r in out.collect()}
+    assert got == {2019: (2019.0, 1.0, None), 2020: (2020.0, 1.0, pytest.approx(0.5))}
+    with pytest.raises(ValueError):
+        layers.yearly_layers([2019])
