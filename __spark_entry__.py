@@ -140,7 +140,7 @@ def _(v: Views) -> DataFrame:
     return out.select("species", "year", _r("long"), _r("lat"))
 
 
-@_query("records", f"select scientificName as {_PRESENCE} from {{records}}".replace("as species,", "as species, "))
+@_query("records", f"select scientificName as {_PRESENCE} from {{records}}")
 def _(v: Views) -> DataFrame:
     return _presences(occurrences.records_table(v.records.drop("species"), "2-HIGH"))
 

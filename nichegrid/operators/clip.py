@@ -15,6 +15,7 @@ edges nor grouped again. Interior tiles carry no edges and accept at once.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -27,6 +28,7 @@ INDEX_ROWS = 200_000
 INDEX_EDGES = 1_000_000
 CROWDED_TILE = 256
 MAX_CUTS = 1024
+TARGET_TILES = 20_000
 
 
 # Each edge once per tile row it spans; horizontal edges never cross the ray.
@@ -119,10 +121,24 @@ class AreaIndex:
     small: bool
 
 
+def fitting_tile(edges: DataFrame, region: str) -> float:
+    """Tile size at which the extents of all regions together hold about TARGET_TILES tiles."""
+    extents = edges.groupBy(region).agg(
+        (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
+    )
+    total = extents.agg(F.sum(F.col("w") * F.col("h"))).first()[0]
+    return math.sqrt(total / TARGET_TILES) if total else 1.0
+
+
 def index_area(
-    edges: DataFrame, region: str = "region", tile: float = 0.1, crowded: int = CROWDED_TILE
+    edges: DataFrame, region: str = "region", tile: float | None = None, crowded: int = CROWDED_TILE
 ) -> AreaIndex:
-    """The tile index, persisted and measured, cut thinner where it turns out crowded."""
+    """The tile index, persisted and measured, cut thinner where it turns out crowded.
+
+    Without a ``tile`` size one is chosen that keeps the index small enough to broadcast.
+    """
+    tile = tile or fitting_tile(edges, region)
     frame, size = _measured(tile_index(edges, region, tile))
     if (size["most"] or 0) > crowded:
         frame, size = _measured(tile_index(edges, region, tile, crowded))
@@ -144,7 +160,7 @@ def clip(
     x: str = "lon",
     y: str = "lat",
     region: str = "region",
-    tile: float = 0.1,
+    tile: float | None = None,
     crowded: int = CROWDED_TILE,
 ) -> DataFrame:
     """Rows of ``points`` inside each region, with the region's name in column ``region``.

@@ -42,7 +42,8 @@ def mosaic(
     if on_top not in ("last", "first"):
         raise ValueError("on_top is 'last' or 'first'")
     pick = F.max_by if on_top == "last" else F.min_by
-    position = F.struct(*order)
+    # a single column combines in the hash aggregate, several need the sort-based one
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return df.groupBy(*keys).agg(
         *[
             pick(v, F.when(F.col(v).isNotNull(), position)).alias(v)

@@ -12,7 +12,7 @@ from nichegrid.operators.ordering import running_totals
 LABEL = "PresAbs"
 LOW_METRIC = 0.7
 PROBABILITY_CUT = 0.5
-METRIC_COLUMNS = ("roc_auc", "overall_accuracy", "excluded_presence_count")
+METRIC_COLUMNS = ("repeat", "roc_auc", "overall_accuracy", "excluded_presence_count")
 
 
 def cut_probability(df: DataFrame, score: str = "score", name: str = "classification") -> DataFrame:

@@ -48,6 +48,7 @@ def _hits(
 
 def _attach(points: DataFrame, hits: tuple[DataFrame, bool], keys: Sequence[str], how: str) -> DataFrame:
     rows, small = hits
+    points = points.drop(*[c for c in rows.columns if c not in keys])  # a sampled value replaces an own one
     if small:
         return points.join(F.broadcast(rows), list(keys), how)
     return lookup_join(points, rows, list(keys), how)
@@ -101,7 +102,7 @@ def background_points(
     edges: DataFrame,
     n: int,
     region: str = "region",
-    tile: float = 0.1,
+    tile: float | None = None,
     seed: int = 42,
     projected: bool = False,
     area: AreaIndex | None = None,

@@ -84,7 +84,8 @@ def fit(
     features: Sequence[str],
     n_knots: int = 8,
     regularisation: float = 1.0,
-    max_iter: int = 100,
+    max_iter: int = 50,
+    tolerance: float = 1e-5,
     label: str = LABEL,
 ) -> MaxentModel:
     features = tuple(features)
@@ -119,7 +120,12 @@ def fit(
     total_weight = presences + BACKGROUND_WEIGHT * background
     penalty = regularisation * PENALTY / math.sqrt(presences) * presences / total_weight
     model = LogisticRegression(
-        labelCol="label", weightCol="weight", elasticNetParam=1.0, regParam=penalty, maxIter=max_iter
+        labelCol="label",
+        weightCol="weight",
+        elasticNetParam=1.0,
+        regParam=penalty,
+        maxIter=max_iter,
+        tol=tolerance,
     ).fit(rows)
 
     # mean predictor under the fitted density of the background; the intercept cancels

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +34,23 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(
+    spark: SparkSession, path: str, headers: Sequence[str] | None = None
+) -> DataFrame:
     """All archives of a folder as one table of text columns."""
-    return table_of_archives(spark.read.format("binaryFile").load(path).select("content"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return table_of_archives(files, headers)
 
 
-def table_of_archives(files: DataFrame) -> DataFrame:
+def table_of_archives(files: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
     """The same for a table with the archives' bytes in ``content``.
 
     A ZIP member cannot be split, so an archive is one task; it is decompressed as a stream and
     passed on in chunks. The parsing itself is Spark's, after the lines are spread out. Extracted
-    tables need none of this: see :func:`read_tables`.
+    tables need none of this: see :func:`read_tables`. Known header lines save a look into every
+    archive; a line under any other header is then an error.
     """
-    headers = [
+    headers = list(headers) if headers is not None else [
         r["header"]
         for r in files.mapInPandas(_headers, "header string").distinct().collect()
     ]  # one line per distinct layout
@@ -58,6 +62,8 @@ def table_of_archives(files: DataFrame) -> DataFrame:
             for content in batch["content"]:
                 table = _open_table(content)
                 header = table.readline().rstrip("\r\n")
+                if header not in headers:
+                    raise ValueError(f"unexpected header: {header}")
                 while chunk := [line for _, line in zip(range(_CHUNK_LINES), table)]:
                     text = pd.Series(chunk).str.rstrip("\r\n")
                     yield pd.DataFrame({"header": header, "line": text[text != ""]})

@@ -33,7 +33,7 @@ def clip_cells(
             "_y": (F.col("cy") + F.lit(0.5)) * F.lit(float(step)),
         }
     )
-    return clip(centred, edges, "_x", "_y", region, tile or 64 * step).drop("_x", "_y")
+    return clip(centred, edges, "_x", "_y", region, tile).drop("_x", "_y")
 
 
 def export_surface(

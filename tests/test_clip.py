@@ -47,7 +47,7 @@ def world(spark):
     )
 
 
-@pytest.mark.parametrize("tile, crowded", [(0.5, 256), (2.0, 4), (100.0, 8)])
+@pytest.mark.parametrize("tile, crowded", [(0.5, 256), (2.0, 4), (100.0, 8), (None, 256)])
 def test_clip_equals_brute_force(world, tile, crowded):
     points, edges, expected = world
     got = clip(points, edges, tile=tile, crowded=crowded).select("id", "region").collect()

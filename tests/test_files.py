@@ -158,6 +158,10 @@ def test_archives_of_different_layouts(spark, tmp_path):
     archive(tmp_path / "b.zip", "lat\tk\textra col\n3\t4\t5\n")
     got = archives.read_archives(spark, str(tmp_path)).select("k", "lat", "`extra col`").collect()
     assert sorted(map(tuple, got)) == [("1", "2", None), ("4", "3", "5")]
+    known = archives.read_archives(spark, str(tmp_path), ["k\tlat", "lat\tk\textra col"])
+    assert known.count() == 2
+    with pytest.raises(Exception, match="unexpected header"):
+        archives.read_archives(spark, str(tmp_path), ["k\tlat"]).collect()
 
 
 def test_archive_errors(spark, tmp_path):

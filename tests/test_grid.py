@@ -113,3 +113,19 @@ def test_resolutions():
     with pytest.raises(ValueError):
         geo.degrees_for(50)
     assert math.isclose(geo.degrees_for(300), 30 * geo.degrees_for(10))
+
+
+def test_saved_layers_join_in_place(spark, tmp_path):
+    from nichegrid.sources.layers import save_layers
+
+    cells = spark.range(2000).select((F.col("id") % 50).alias("cx"), F.floor(F.col("id") / 50).alias("cy"))
+    spark.sql(f"create database layout location '{tmp_path}/layout'")
+    save_layers(cells.withColumn("elevation", F.col("cx") * 1.0), "layout.static", 4)
+    yearly = cells.withColumn("NDVI", F.col("cy") * 1.0).withColumn("yr", F.explode(F.expr("sequence(2019, 2021)")))
+    save_layers(yearly, "layout.yearly", 4)
+    first = spark.table("layout.yearly").where("yr = 2020")
+    joined = spark.table("layout.static").hint("merge").join(first, ["cx", "cy"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [isnotnull(yr" in plan
+    assert joined.count() == 2000
+    spark.sql("drop database layout cascade")

@@ -184,7 +184,7 @@ def test_repeated_evaluation_and_permutations(spark):
     assert test.count() == 120  # the train size is the share that trains
     drops = {r["feature"]: r for r in evaluation.permutation_importance(model, test, ["sample_id"], ["signal", "noise"], 10).collect()}
     assert drops["signal"]["importance_mean"] > 0.15 > abs(drops["noise"]["importance_mean"])
-    ranked = metrics.importance_rank(results.drop("repeat"))
+    ranked = metrics.importance_rank(results)
     assert [r["feature"] for r in ranked.collect()] == ["signal", "noise"]
 
 
