@@ -29,6 +29,7 @@ INDEX_EDGES = 1_000_000
 CROWDED_TILE = 256
 MAX_CUTS = 1024
 TARGET_TILES = 20_000
+CHUNK_EDGES = 8192
 
 
 # Each edge once per tile row it spans; horizontal edges never cross the ray.
@@ -89,25 +90,51 @@ ranked as (
 flips as (
   select region, ty, sub, y_from, y_to, explode(sequence(c_next, c_from - 1)) as tx,
     cast(null as struct<x1: double, y1: double, x2: double, y2: double>) as edge, step
-  from ranked where rank % 2 = 1 and c_next is not null)
-select * from (
+  from ranked where rank % 2 = 1 and c_next is not null),
+parts as (table touching union all table flips)"""
+
+# The edges of a tile in one row.
+_WHOLE_TILES = """
+select *, 1L as _chunks from (
   select region as _region, tx as _tx, ty as _ty, sub as _sub, y_from as _y_from, y_to as _y_to,
     collect_list(edge) as _edges, collect_list(if(step < y_to, step, null)) as _steps,
     count_if(step >= y_to) as _parity
-  from (table touching union all table flips)
+  from parts
   group by all)
 where size(_edges) > 0 or size(_steps) > 0 or _parity % 2 = 1"""
 
+# The edges of a tile in as many rows as it takes to hold about :chunk of them each.
+_SHARED_TILES = """
+lots as (
+  select region, ty, sub, tx, greatest(ceil(count(edge) / :chunk), 1L) as lots from parts group by all),
+drawn as (
+  select p.*, if(edge is null, 0L, pmod(xxhash64(edge), lots)) as lot
+  from parts p join lots using (region, ty, sub, tx))
+select *, count(*) over (partition by _region, _ty, _sub, _tx) as _chunks from (
+  select region as _region, tx as _tx, ty as _ty, sub as _sub, y_from as _y_from, y_to as _y_to,
+    collect_list(edge) as _edges, collect_list(if(step < y_to, step, null)) as _steps,
+    count_if(step >= y_to) as _parity
+  from drawn
+  group by region, tx, ty, sub, y_from, y_to, lot)
+where size(_edges) > 0 or size(_steps) > 0 or _parity % 2 = 1"""
 
-def tile_index(edges: DataFrame, region: str, tile: float, crowded: int | None = None) -> DataFrame:
-    """The index described above, one row per (region, tile); with ``crowded`` the rows of tiles
-    where more edges meet are cut thinner."""
+
+def tile_index(
+    edges: DataFrame, region: str, tile: float, crowded: int | None = None, chunk: int | None = None
+) -> DataFrame:
+    """The index described above, one row per (region, tile).
+
+    With ``crowded`` the rows of tiles where more edges meet are cut thinner; with ``chunk`` a
+    tile that is still crowded takes several rows.
+    """
     named = edges.select(F.col(region).alias("region"), "x1", "y1", "x2", "y2")
     args = {"tile": float(tile)}
-    rows = "rows as (table whole_rows)"
+    rows, tiles = "rows as (table whole_rows)", _WHOLE_TILES
     if crowded is not None:
         rows, args = _CUT_ROWS, {**args, "crowded": crowded, "most": MAX_CUTS}
-    text = f"with {_ROWS.replace('{region}', 'region')}, {rows}, {_INDEX}"
+    if chunk is not None:
+        tiles, args = f",{_SHARED_TILES}", {**args, "chunk": chunk}
+    text = f"with {_ROWS.replace('{region}', 'region')}, {rows}, {_INDEX}{tiles}"
     return edges.sparkSession.sql(text, args=args, edges=named)
 
 
@@ -119,6 +146,7 @@ class AreaIndex:
     region: str
     tile: float
     small: bool
+    shared: bool
 
 
 def fitting_tile(edges: DataFrame, region: str) -> float:
@@ -142,8 +170,11 @@ def index_area(
     frame, size = _measured(tile_index(edges, region, tile))
     if (size["most"] or 0) > crowded:
         frame, size = _measured(tile_index(edges, region, tile, crowded))
+    shared = (size["most"] or 0) > CHUNK_EDGES
+    if shared:
+        frame, size = _measured(tile_index(edges, region, tile, crowded, CHUNK_EDGES))
     small = size["rows"] <= INDEX_ROWS and (size["edges"] or 0) <= INDEX_EDGES
-    return AreaIndex(frame, region, float(tile), small)
+    return AreaIndex(frame, region, float(tile), small, shared)
 
 
 def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
@@ -178,9 +209,17 @@ def clip(
       size(filter(_edges, e -> (e.y1 > `{y}`) != (e.y2 > `{y}`)
         and `{x}` < (e.x2 - e.x1) * (`{y}` - e.y1) / (e.y2 - e.y1) + e.x1))
       + size(filter(_steps, step -> step > `{y}`)) + _parity"""
-    inside = near.where(f"`{y}` >= _y_from and `{y}` < _y_to and ({crossings}) % 2 = 1")
+    near = near.where(f"`{y}` >= _y_from and `{y}` < _y_to")
     kept = [c for c in points.columns if c != area.region]
-    return inside.select(*kept, F.col("_region").alias(area.region))
+    inside = near.where(f"_chunks = 1 and ({crossings}) % 2 = 1").select(*kept, "_region")
+    if area.shared:
+        # a point meets every row of such a tile; equal points are counted and given back
+        met = near.where("_chunks > 1").groupBy(*kept, "_region", "_chunks")
+        summed = met.agg(F.expr(f"sum({crossings})").alias("_c"), F.count("*").alias("_n"))
+        odd = summed.withColumn("_copies", F.expr("_n div _chunks")).where("(_c div _copies) % 2 = 1")
+        again = odd.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
+        inside = inside.unionByName(again.select(*kept, "_region"))
+    return inside.withColumnRenamed("_region", area.region)
 
 
 def rings_to_edges(polygons: DataFrame, rings: str = "rings", keep: tuple[str, ...] = ()) -> DataFrame:

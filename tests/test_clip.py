@@ -62,6 +62,16 @@ def test_clip_without_broadcast(world, monkeypatch):
     assert {tuple(r) for r in got} == expected
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 50])
+def test_tiles_that_stay_crowded(world, monkeypatch, chunk):
+    points, edges, expected = world
+    monkeypatch.setattr(clip_module, "CHUNK_EDGES", chunk)
+    twice = points.unionByName(points.where("id % 5 = 0"))
+    got = clip(twice, edges, tile=4.0, crowded=10_000).select("id", "region").collect()
+    assert {tuple(r) for r in got} == expected
+    assert len(got) == len(expected) + sum(i % 5 == 0 for i, _ in expected)
+
+
 def test_clip_plan_has_no_nested_loop(world):
     points, edges, _ = world
     plan = clip(points, edges, tile=1.0)._jdf.queryExecution().executedPlan().toString()
