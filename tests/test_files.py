@@ -142,14 +142,14 @@ def archive(path, text, member="data.csv"):
 def test_ingest_archives(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    archive(source / "a.zip", "gbifID\tscientificName\tlat\tdecimalLongitude\n1\tAquila L.\t47.2\t11.4\n2\tB\tbad\t11\n")
-    archive(source / "b.zip", "gbifID\tscientificName\tlat\tdecimalLongitude\n3\tC\t1\t2\n", "x.tsv")
+    archive(source / "a.zip", "recordID\tscientificName\tlat\tdecimalLongitude\n1\tAquila L.\t47.2\t11.4\n2\tB\tbad\t11\n")
+    archive(source / "b.zip", "recordID\tscientificName\tlat\tdecimalLongitude\n3\tC\t1\t2\n", "x.tsv")
     table = archives.ensure_ingested(spark, str(source), target)
-    assert {"gbifID", "species", "scientificName", "year", "decimalLatitude", "decimalLongitude"} == set(table.columns)
+    assert {"recordID", "species", "scientificName", "year", "decimalLatitude", "decimalLongitude"} == set(table.columns)
     assert dict(table.dtypes)["year"] == "bigint"
-    got = {r["gbifID"]: (r["species"], r["year"], r["decimalLatitude"]) for r in table.collect()}
+    got = {r["recordID"]: (r["species"], r["year"], r["decimalLatitude"]) for r in table.collect()}
     assert got == {"1": ("Aquila L.", None, 47.2), "2": ("B", None, None), "3": ("C", None, 1.0)}
-    archive(source / "c.zip", "gbifID\tlat\tlon\n9\t1\t2\n")
+    archive(source / "c.zip", "recordID\tlat\tlon\n9\t1\t2\n")
     assert archives.ensure_ingested(spark, str(source), target).count() == 3  # built once
 
 
