@@ -28,6 +28,15 @@ from nichegrid.standins import (
     zipped_tables,
 )
 
+# The text operators are a subpackage of their own that may be absent; nothing else needs it.
+try:
+    import corpus_pipeline
+    from nichegrid.llm import queries as _text
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "nichegrid.llm"):
+        raise
+    _text = None
+
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -51,11 +60,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: fn(Views(spark, folder))
 
-    return {name: bind(fn) for name, fn in _QUERIES.items()}
+    found = {name: bind(fn) for name, fn in _QUERIES.items()}
+    if _text is not None:
+        found |= _text.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    found = dict(_ORACLES)
+    if _text is not None:
+        found |= _text.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def _r(column: str, digits: int = 6):
