@@ -72,4 +72,23 @@ select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_wo
 from b left join cuts on cuts.s = coalesce(stratum, '')
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY}
+_SHARDING = """
+with recursive shard as (
+  select i, ('0x' || substr(md5('shard-' || i || '/start'), 1, 15))::bigint % 4099 as start,
+    ('0x' || substr(md5('shard-' || i || '/step'), 1, 15))::bigint % 4098 + 1 as step
+  from range(40) as t(i)),
+fill(turn, owners) as (
+  select 0::bigint, list_transform(range(4099), lambda x: -1::bigint)
+  union all
+  select turn + 1, list_concat(list_concat(list_slice(owners, 1, spot), [turn % 40]), list_slice(owners, spot + 2, 4099)) from (
+    select turn, owners, list_extract(list_filter(
+        list_transform(range(4099), lambda j: (start + j * step) % 4099),
+        lambda p: owners[p + 1] = -1), 1) as spot
+    from fill join shard on i = turn % 40 where turn < 4099)),
+slots as (select unnest(owners) as owner, unnest(range(4099)) as slot from fill where turn = 4099)
+select doc_id, slot::int as slot, 'shard-' || owner as shard
+from (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, 'text:' || coalesce(text, ''))), 1, 15))::bigint % 4099
+  as slot from documents) join slots using (slot)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op4_sharding": _SHARDING}

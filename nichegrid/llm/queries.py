@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import quality_rules
+from nichegrid.llm import pieces, quality_rules, sharding
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
+#: a public vocabulary of the machine that plans the query; never part of this repository
+PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -23,5 +26,15 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+@_query
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), pieces.load(PIECES_PATH))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, sql in ORACLES.items() if name in QUERIES}
