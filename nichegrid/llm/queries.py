@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import pieces, quality_rules, sharding
+from nichegrid.llm import line_dedup, pieces, quality_rules, sharding
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup(documents)
+
+
 @_query
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")

@@ -34,3 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def document_key(text: str = "text") -> Column:
+    """What makes a row one document: its id and a hash of its text.
+
+    Rows that repeat a document share the key, rows that only share an id do not; a missing id is a
+    value like any other, since structs compare field by field.
+    """
+    return F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"))
