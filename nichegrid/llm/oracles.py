@@ -91,4 +91,29 @@ from (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, 'text:' || co
   as slot from documents) join slots using (slot)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op4_sharding": _SHARDING}
+_CUT = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_DECONTAMINATION = f"""
+with d as (select row_number() over () as r, doc_id, coalesce({_CUT}, []) as w from documents),
+i as (select item_id, {_CUT} as w from benchmark),
+win as (
+  select distinct item_id, w[s:s + 9] as win from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as u(s)
+  where len(w) > 0),
+lengths as (select distinct len(win) as n from win),
+place as (
+  select r, s, w[s:s + n - 1] as win from d, lengths, unnest(range(1, len(w) - n + 2)) as u(s) where len(w) >= n),
+found as (select distinct r, s, len(win) as n, item_id from place join win using (win)),
+hit as (select r, count(distinct s + o) as n from found, unnest(range(0, n)) as u(o) group by r),
+item as (
+  select r, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct r, item_id from found) group by r)
+select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(item.n, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit using (r) left join item using (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": _DECONTAMINATION,
+    "op2_quality_rules": _QUALITY,
+    "op4_sharding": _SHARDING,
+}

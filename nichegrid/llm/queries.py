@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import line_dedup, pieces, quality_rules, sharding
+from nichegrid.llm import decontaminate, line_dedup, pieces, quality_rules, sharding
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -21,6 +21,11 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @_query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
