@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import decontaminate, line_dedup, pieces, quality_rules, sharding
+from nichegrid.llm import decontaminate, line_dedup, near_dedup, pieces, quality_rules, sharding
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -42,6 +42,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
 
+@_query
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.judge(table(spark, folder, "documents"))
+
+
 @_query
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load(PIECES_PATH))
