@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import decontaminate, line_dedup, near_dedup, pieces, quality_rules, sharding
+from nichegrid.llm import decontaminate, line_dedup, near_dedup, pieces, quality_model, quality_rules, sharding, toxicity
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -47,6 +47,16 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.judge(table(spark, folder, "documents"))
 
 
+@_query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @_query
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load(PIECES_PATH))
