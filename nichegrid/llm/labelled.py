@@ -26,7 +26,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = FITT
     """doc_id, text, label (0 or 1) of at most ``rows`` labelled documents outside the held-out fold.
 
     Labels that are null, contradict each other or have no id are left out. The labels are cut to the
-    bound first and are therefore safe to broadcast; texts do not move.
+    bound first and are therefore safe to broadcast; of equal texts among them the first id stays, so
+    that copies do not pass for evidence.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
@@ -38,7 +39,9 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = FITT
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id")
+    taken = texts.join(F.broadcast(known), "doc_id")
+    first = F.min(F.struct("doc_id", "label")).alias("first")
+    return taken.groupBy("text").agg(first).select("first.doc_id", "text", "first.label")
 
 
 def scored(documents: DataFrame, score: Callable[[Any], np.ndarray], cutoff: float) -> DataFrame:
