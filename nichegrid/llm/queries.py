@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import decontaminate, line_dedup, lm, near_dedup, pieces, quality_model, quality_rules, sharding, toxicity
+from nichegrid.llm import decontaminate, line_dedup, lm, near_dedup, pieces, quality_model, quality_rules, repeats, sharding, toxicity
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -42,6 +42,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
 
+@_query
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.judge(table(spark, folder, "documents"))
+
+
 @_query
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return lm.judge(table(spark, folder, "documents"))
