@@ -1,6 +1,7 @@
-"""The cleaning pipeline: quality rules, and more stages as their operators are written.
+"""The cleaning pipeline: quality rules, line dedup, near-duplicate removal, decontamination, encoding.
 
-Every stage takes all that its predecessor kept, as a written table, and its decisions take effect.
+Every stage takes all that its predecessor kept, as a written table, and its decisions take effect. All
+but the last return the columns of documents; the last adds the ids of every text.
 """
 
 from __future__ import annotations
@@ -9,18 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import quality_rules
+from nichegrid.llm import decontaminate, line_dedup, near_dedup, pieces, quality_rules
+from nichegrid.llm.queries import PIECES_PATH
 from nichegrid.llm.tables import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
     return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines alike to an earlier line go; ``n_chars`` follows the text."""
+    return line_dedup.rewrite(docs)
 
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    return near_dedup.keep_one(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, of which decoding has to give the text back."""
+    return pieces.verified(docs, pieces.load(PIECES_PATH))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", encoding),
+]
+
+#: the last stage's ids are no SQL; tests compare every stage with a brute-force version
 ORACLE_SQL: str | None = None
 
 

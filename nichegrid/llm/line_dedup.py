@@ -186,3 +186,21 @@ def dedup(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
     return out.select(*documents.columns, *(c for c in ("n_lines", "n_removed") if c not in documents.columns))
+
+
+def rewrite(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """``documents`` with the columns it has: the text less the lines that go, ``n_chars`` made to fit.
+
+    A document that loses every line with a word has nothing left and goes; one that had none stays.
+    """
+    rows = dedup(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text"), near_words)
+    rows = rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    fresh = {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        fresh["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+    return rows.select(
+        *(
+            (fresh[c].cast(documents.schema[c].dataType) if c in fresh else F.col(f"row.{c}")).alias(c)
+            for c in documents.columns
+        )
+    )

@@ -187,6 +187,21 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
     return rows.withColumn(text, run(F.col(ids)).cast("string"))
 
 
+def verified(documents: DataFrame, pieces: Pieces) -> DataFrame:
+    """``documents`` with ids, after decoding has given back every text; a text that differs is an error."""
+    text = _free(documents, "decoded")
+    rows = decode(encode(documents, pieces), pieces, text=text)
+    wrong = F.raise_error(F.lit("decoding does not give the text back"))
+    same = F.when(F.col(text).eqNullSafe(F.col("text")), F.col("ids")).otherwise(wrong)
+    return rows.withColumn("ids", same).drop(text)
+
+
+def _free(documents: DataFrame, name: str) -> str:
+    while name in documents.columns:
+        name = "_" + name
+    return name
+
+
 def round_trip(documents: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id, n_ids, ids and whether decoding gives the text back (null where the text is null)."""
     coded = encode(documents.select("doc_id", "text"), pieces)
