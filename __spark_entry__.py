@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, geo, spectral, surface, vectors
 from nichegrid.operators import composites, correlation, grid, metrics, sampling, zonal
-from nichegrid.operators.clip import clip
+from nichegrid.operators.clip import clip, index_area
 from nichegrid.plans import embedding, evaluation, forest, layers, pipeline
 from nichegrid.session import cut_lineage, scratch_path
 from nichegrid.sources import archives, files, occurrences, regions, shapefiles, surfaces
@@ -96,7 +96,7 @@ _PRESENCE = "species, year, round(decimalLongitude, 6) as lon, round(decimalLati
 where {_OBSERVED} and year between 1996 and 1999 order by key limit 300""",
 )
 def _(v: Views) -> DataFrame:
-    return _presences(occurrences.fetch_presences("explore", v.records, "2-HIGH", "C1", 1996, 1999))
+    return _presences(occurrences.fetch_presences("explore", v.records, "2-HIGH", "C1", 1996, 1999, limit=occurrences.EXPLORE_LIMIT))
 
 
 @_query(
@@ -120,7 +120,7 @@ def _(v: Views) -> DataFrame:
 
 @_query(
     "occ_per_year",
-    f"select year, count(*) as n from {{records}} where {_OBSERVED} group by year",
+    f"select year, count(*) as n, 'read' as status from {{records}} where {_OBSERVED} group by year",
 )
 def _(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "by-year")
@@ -129,7 +129,8 @@ def _(v: Views) -> DataFrame:
     seen = stored.where(
         "species = '2-HIGH' and countryCode = 'C1' and hasCoordinate and basisOfRecord = 'HUMAN_OBSERVATION'"
     )
-    return occurrences.records_per_year(seen)
+    status = occurrences.year_status(v.spark, path, v.records.schema).select("year", "status")
+    return occurrences.records_per_year(seen).join(status, "year", "left").select("year", "n", "status")
 
 
 @_query(
@@ -138,7 +139,7 @@ def _(v: Views) -> DataFrame:
 from {{records}} where {_OBSERVED} order by key limit 10000""",
 )
 def _(v: Views) -> DataFrame:
-    found = occurrences.observations(v.records, "2-HIGH", "C1")
+    found = occurrences.observations(v.records, "2-HIGH", "C1", occurrences.OBSERVATION_LIMIT)
     return found.select("species", "year", "month", _r("lon"), _r("lat"))
 
 
@@ -339,6 +340,44 @@ def _(v: Views) -> DataFrame:
     return _clipped(v).select("occ_id", "nuts_name")
 
 
+# decimal coordinates and tiles that no power of two divides
+_CLIP_DECIMAL = """
+with p as (select occ_id, cast(mx as double) / 1000 as x, cast(my as double) / 1000 as y from {occurrence}),
+e as (select nuts_name, x1 / 1000 as x1, y1 / 1000 as y1, x2 / 1000 as x2, y2 / 1000 as y2 from {edge})
+select occ_id, nuts_name, tile from p join e on (y1>y)<>(y2>y) and x < (x2-x1)*(y-y1)/(y2-y1)+x1,
+  (values (0.05), (0.07)) as t(tile)
+group by occ_id, nuts_name, tile having count(*)%2=1"""
+
+
+@_query("clip_decimal", _CLIP_DECIMAL.replace("tile from", "cast(tile as double) as tile from"))
+def _(v: Views) -> DataFrame:
+    points = v.occurrence.selectExpr("occ_id", "cast(mx as double) / 1000 as x", "cast(my as double) / 1000 as y")
+    edges = v.edge.select("nuts_name", *((F.col(c) / 1000).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    parts = [
+        clip(points, edges, "x", "y", "nuts_name", tile=tile).select("occ_id", "nuts_name", F.lit(tile).alias("tile"))
+        for tile in (0.05, 0.07)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+# an area whose parts overlap: every county, and the same counties moved by a quarter of their width
+@_query(
+    "clip_overlap",
+    """
+with e as (select nuts_name, x1, y1, x2, y2 from {boundary_edge}
+  union all select nuts_name || '/moved', x1 + 6, y1, x2 + 6, y2 from {boundary_edge})
+select distinct cx, cy from (
+  select pixel_id, cx, cy, nuts_name from {pixel} join e
+    on (y1>cy+0.5)<>(y2>cy+0.5) and cx+0.5 < (x2-x1)*((cy+0.5)-y1)/(y2-y1)+x1
+  group by pixel_id, cx, cy, nuts_name having count(*)%2=1)""",
+)
+def _(v: Views) -> DataFrame:
+    edges = v.boundary_edge.select("nuts_name", "x1", "y1", "x2", "y2")
+    moved = edges.selectExpr("nuts_name || '/moved' as nuts_name", "x1 + 6 as x1", "y1", "x2 + 6 as x2", "y2")
+    area = index_area(pipeline.one_area(edges.unionByName(moved)), pipeline.AREA, 4.0)
+    return pipeline.cells_inside(v.pixel, area, 1.0).select("cx", "cy")
+
+
 _CLIP_PIXELS = """select pixel_id, nuts_name from {pixel} join {boundary_edge}
   on (y1>cy+0.5)<>(y2>cy+0.5) and cx+0.5 < (x2-x1)*((cy+0.5)-y1)/(y2-y1)+x1
 group by pixel_id, nuts_name having count(*)%2=1"""
@@ -771,7 +810,7 @@ def _(v: Views) -> DataFrame:
 
 @_query(
     "embedding_pipeline",
-    f"""with {_SCORED}, k as (select least(100, count(*)) as k from s where label = 0),
+    f"""with {_SCORED}, k as (select count(*) as k from s where label = 0),
 a as (select score, row_number() over (order by {_U.format("vec_id")}, vec_id) as rn from s where label = 0),
 b as (select score, row_number() over (order by md5(vec_id || '|42'), vec_id) as rn from s),
 t as (select score, 1 as y from a, k where rn <= k union all select score, 0 from b, k where rn <= k), {_AUC}""",
@@ -779,7 +818,7 @@ t as (select score, 1 as y from a, k where rn <= k union all select score, 0 fro
 def _(v: Views) -> DataFrame:
     scored = _similarity(v).withColumn("score", F.round("score", 9)).drop("embedding")
     presences = sampling.evaluation_sample(scored.where("label = 0"), ["vec_id"]).drop("random")
-    n = presences.count()  # at most the evaluation limit
+    n = presences.count()
     background = sampling.background_cells(scored, n, keys=["vec_id"])
     return metrics.roc_auc(embedding.evaluation_rows(presences, background)).select(_r("roc_auc"))
 
@@ -927,7 +966,7 @@ _LAYERS = ("elevation", "aspect", "phh2o")
 
 def _run(v: Views, model_type: str, layers: tuple[str, ...] = _LAYERS) -> pipeline.Run:
     config = RunConfig(
-        species="HOUSEHOLD", selected_layers=layers, model_type=model_type, n_trees=20, max_depth=5, year_start=1998
+        species="HOUSEHOLD", selected_layers=layers, model_type=model_type, n_trees=100, max_depth=5, year_start=1998
     )
     return pipeline.run_model(
         config, surveyed(v), v.boundary_edge, v.pixel, pixel_years(v), step=1.0, tile=4.0, projected=True
@@ -965,7 +1004,7 @@ def _sample(v: Views) -> DataFrame:
 
 def _evaluated(v: Views):
     return evaluation.repeated_evaluation(
-        _sample(v), ["sample_id"], list(_LAYERS), n_trees=20, max_depth=5, train_size=0.85
+        _sample(v), ["sample_id"], list(_LAYERS), n_trees=100, max_depth=5, train_size=0.85
     )
 
 
@@ -980,7 +1019,7 @@ def _(v: Views) -> DataFrame:
     vector = forest.feature_vector(_LAYERS)
     split = evaluation.stratified_split(sample, ["sample_id"], 0.85, 42)
     model = forest.fit(
-        split.where("is_train"), vector, ["sample_id"], 100, 5, balanced=True, leaf_share=forest.LEAF_SHARE
+        split.where("is_train"), vector, ["sample_id"], 500, 5, balanced=True, leaf_share=forest.LEAF_SHARE
     )
     return forest.score(model, v.pixel, vector).select("cx", "cy", _r("score"))
 
@@ -990,7 +1029,7 @@ def _(v: Views) -> DataFrame:
     sample = _sample(v)
     vector = forest.feature_vector(_LAYERS)
     split = evaluation.stratified_split(sample, ["sample_id"], 0.85, 42)
-    model = forest.fit(split.where("is_train"), vector, ["sample_id"], 20, 5, balanced=True)
+    model = forest.fit(split.where("is_train"), vector, ["sample_id"], 100, 5, balanced=True)
     return evaluation.permutation_importance(model, split.where("not is_train"), ["sample_id"], list(_LAYERS))
 
 

@@ -12,6 +12,14 @@ MODEL_TYPES = ("rf", "maxent", "embedding")
 MAX_TREE_DEPTH = 30
 
 
+def check_mode(mode: str, dataset_key: str = "") -> None:
+    """A ``ValueError`` unless presences can come from this mode."""
+    if mode not in DATA_MODES:
+        raise ValueError(f"unknown data mode {mode!r}: choose from {', '.join(DATA_MODES)}")
+    if mode == "own" and not dataset_key:
+        raise ValueError("data mode 'own' needs the key of a dataset (dataset_key)")
+
+
 @dataclass(frozen=True)
 class RunConfig:
     # The defaults of a new run.
@@ -33,10 +41,7 @@ class RunConfig:
 
     def checked(self) -> RunConfig:
         """Itself, or a ``ValueError`` before any job starts."""
-        if self.data_mode not in DATA_MODES:
-            raise ValueError(f"Invalid mode: {self.data_mode}. Must be one of {DATA_MODES}.")
-        if self.data_mode == "own" and not self.dataset_key:
-            raise ValueError("dataset_key is required for 'own' mode")
+        check_mode(self.data_mode, self.dataset_key)
         if self.model_type not in MODEL_TYPES:
             raise ValueError(f"unsupported model_type {self.model_type!r}; use one of {MODEL_TYPES}")
         if self.resolution not in RESOLUTIONS_M:

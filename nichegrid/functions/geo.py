@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,16 +16,18 @@ RESOLUTIONS_M = (10, 30, 100, 300, 1000)
 EARTH_RADIUS_M = 6378137.0
 METRES_PER_DEGREE = math.pi * EARTH_RADIUS_M / 180.0
 
-# Accepted coordinate headers. File uploads try the pairs in this order and
-# ignore case; downloaded archives look for each axis on its own and respect case.
-UPLOAD_PAIRS = (
-    ("x", "y"),
-    ("lon", "lat"),
-    ("longitude", "latitude"),
-    ("decimallongitude", "decimallatitude"),
-)
-ARCHIVE_LAT = ("decimalLatitude", "lat", "latitude", "y")
-ARCHIVE_LON = ("decimalLongitude", "lon", "longitude", "x")
+# Accepted headers per column, in order of preference. Uploads take longitude and
+# latitude from the same place in their lists and ignore case; archives respect case.
+UPLOAD_HEADERS = {
+    "lon": ("x", "lon", "longitude", "decimallongitude"),
+    "lat": ("y", "lat", "latitude", "decimallatitude"),
+    "species": ("species", "name", "taxon"),
+    "year": ("year", "date"),
+}
+ARCHIVE_HEADERS = {
+    "lon": ("decimalLongitude", "lon", "longitude", "x"),
+    "lat": ("decimalLatitude", "lat", "latitude", "y"),
+}
 
 
 def degrees_for(resolution_m: int) -> float:
@@ -39,23 +42,45 @@ def cell_index(coordinate: Column, step: float) -> Column:
     return F.floor(coordinate / F.lit(float(step))).cast("long")
 
 
-def upload_coordinates(columns: Sequence[str]) -> tuple[str, str] | None:
-    """(lon, lat) headers of an uploaded table, first matching pair, any case."""
-    by_lower = {c.lower(): c for c in columns}
-    for lon, lat in UPLOAD_PAIRS:
-        if lon in by_lower and lat in by_lower:
-            return by_lower[lon], by_lower[lat]
-    return None
+@dataclass(frozen=True)
+class Headers:
+    """Which header of a table serves a column, by a list of accepted names per column."""
+
+    accepted: Mapping[str, Sequence[str]]
+    any_case: bool
+
+    def places(self, columns: Sequence[str], column: str) -> dict[int, str]:
+        """Header of the table for each place in the column's list of names."""
+        fold = str.lower if self.any_case else str
+        rank = {fold(name): place for place, name in enumerate(self.accepted[column])}
+        return {rank[fold(c)]: c for c in columns if fold(c) in rank}
+
+    def best(self, columns: Sequence[str], column: str) -> str | None:
+        held = self.places(columns, column)
+        return held[min(held)] if held else None
+
+    def together(self, columns: Sequence[str], *wanted: str) -> tuple[str, ...] | None:
+        """The headers of several columns from the first place that all of them have."""
+        held = [self.places(columns, column) for column in wanted]
+        common = set(held[0]).intersection(*held[1:])
+        return tuple(h[min(common)] for h in held) if common else None
+
+
+UPLOADS = Headers(UPLOAD_HEADERS, any_case=True)
+ARCHIVES = Headers(ARCHIVE_HEADERS, any_case=False)
+
+
+def upload_coordinates(columns: Sequence[str]) -> tuple[str, ...] | None:
+    """(lon, lat) headers of an uploaded table: a pair that belongs together, any case."""
+    return UPLOADS.together(columns, "lon", "lat")
 
 
 def archive_coordinates(columns: Sequence[str]) -> tuple[str, str]:
-    """(lon, lat) headers of a downloaded archive, each axis on its own, exact case."""
-    lon = next((c for c in ARCHIVE_LON if c in columns), None)
-    lat = next((c for c in ARCHIVE_LAT if c in columns), None)
+    """(lon, lat) headers of a downloaded archive: each axis by itself, exact case."""
+    lon, lat = (ARCHIVES.best(columns, axis) for axis in ("lon", "lat"))
     if lon is None or lat is None:
-        raise ValueError(
-            f"coordinate columns not found: need one of {ARCHIVE_LON} and one of {ARCHIVE_LAT}"
-        )
+        missing = "longitude" if lon is None else "latitude"
+        raise ValueError(f"the archive has no coordinate column for the {missing}")
     return lon, lat
 
 

@@ -54,7 +54,7 @@ _SPANNED = """
 # Rows of tiles where more than :crowded edges meet in one tile are cut into thinner ones.
 _CUT_ROWS = f"""
 load as (
-  select ty, least(ceil(max(n) / :crowded), :most) as cuts
+  select ty, cast(pow(2, ceil(log2(least(ceil(max(n) / :crowded), :most)))) as bigint) as cuts
   from (select ty, tx, count(*) as n
         from (select ty, explode(sequence(c_from, c_to)) as tx from ({_SPANNED.replace("{rows}", "whole_rows")}))
         group by ty, tx)
@@ -119,6 +119,26 @@ select *, count(*) over (partition by _region, _ty, _sub, _tx) as _chunks from (
 where size(_edges) > 0 or size(_steps) > 0 or _parity % 2 = 1"""
 
 
+def _exact(tile: float) -> float:
+    """The power of two nearest to a tile size: dividing by it and multiplying with it never rounds,
+    so a point and the rows of its tile always agree."""
+    return 2.0 ** round(math.log2(tile))
+
+
+def most_edges(edges: DataFrame, region: str, tile: float, crowded: int | None = None) -> int:
+    """The most edges that meet in one tile of a region; counted, not gathered."""
+    named = edges.select(F.col(region).alias("region"), "x1", "y1", "x2", "y2")
+    args = {"tile": _exact(tile)}
+    rows = "rows as (table whole_rows)"
+    if crowded is not None:
+        rows, args = _CUT_ROWS, {**args, "crowded": crowded, "most": MAX_CUTS}
+    text = f"""with {_ROWS.replace('{region}', 'region')}, {rows},
+      spanned as ({_SPANNED.replace("{rows}", "rows")}),
+      touching as (select region, ty, sub, explode(sequence(c_from, c_to)) as tx from spanned)
+      select max(n) as most from (select count(*) as n from touching group by region, ty, sub, tx)"""
+    return edges.sparkSession.sql(text, args=args, edges=named).first()["most"] or 0
+
+
 def tile_index(
     edges: DataFrame, region: str, tile: float, crowded: int | None = None, chunk: int | None = None
 ) -> DataFrame:
@@ -128,7 +148,7 @@ def tile_index(
     tile that is still crowded takes several rows.
     """
     named = edges.select(F.col(region).alias("region"), "x1", "y1", "x2", "y2")
-    args = {"tile": float(tile)}
+    args = {"tile": _exact(tile)}
     rows, tiles = "rows as (table whole_rows)", _WHOLE_TILES
     if crowded is not None:
         rows, args = _CUT_ROWS, {**args, "crowded": crowded, "most": MAX_CUTS}
@@ -147,6 +167,7 @@ class AreaIndex:
     tile: float
     small: bool
     shared: bool
+    parts: int = 1  # regions it knows; a point in several of them comes out once for each
 
 
 def fitting_tile(edges: DataFrame, region: str) -> float:
@@ -162,26 +183,26 @@ def fitting_tile(edges: DataFrame, region: str) -> float:
 def index_area(
     edges: DataFrame, region: str = "region", tile: float | None = None, crowded: int = CROWDED_TILE
 ) -> AreaIndex:
-    """The tile index, persisted and measured, cut thinner where it turns out crowded.
+    """The tile index, persisted and measured, cut thinner where tiles are crowded.
 
-    Without a ``tile`` size one is chosen that keeps the index small enough to broadcast.
+    Without a ``tile`` size one is chosen that keeps the index small enough to broadcast; a given
+    one is rounded to a power of two. Edges are counted per tile before any tile is gathered.
     """
-    tile = tile or fitting_tile(edges, region)
-    frame, size = _measured(tile_index(edges, region, tile))
-    if (size["most"] or 0) > crowded:
-        frame, size = _measured(tile_index(edges, region, tile, crowded))
-    shared = (size["most"] or 0) > CHUNK_EDGES
-    if shared:
-        frame, size = _measured(tile_index(edges, region, tile, crowded, CHUNK_EDGES))
+    tile = _exact(tile or fitting_tile(edges, region))
+    cut, most = None, most_edges(edges, region, tile)
+    if most > crowded:
+        cut, most = crowded, most_edges(edges, region, tile, crowded)
+    shared = most > CHUNK_EDGES
+    frame, size = _measured(tile_index(edges, region, tile, cut, CHUNK_EDGES if shared else None))
     small = size["rows"] <= INDEX_ROWS and (size["edges"] or 0) <= INDEX_EDGES
-    return AreaIndex(frame, region, float(tile), small, shared)
+    return AreaIndex(frame, region, float(tile), small, shared, size["parts"])
 
 
 def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
     index = index.persist()
     n = F.size("_edges")
     return index, index.agg(
-        F.count("*").alias("rows"), F.sum(n).alias("edges"), F.max(n).alias("most")
+        F.count("*").alias("rows"), F.sum(n).alias("edges"), F.count_distinct("_region").alias("parts")
     ).first()
 
 

@@ -26,8 +26,8 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` holds no more than ``rows`` rows; stops reading beyond that."""
-    return df.limit(rows + 1).count() <= rows
+    """True if ``df`` holds no more than ``rows`` rows. Only counts travel, never the rows."""
+    return df.count() <= rows
 
 
 def lookup_join(
@@ -57,11 +57,11 @@ def lookup_join(
         share = hot.agg(F.sum("_rows")).first()[0] // MAX_HOT_KEYS
         hot = hot.where(F.col("_rows") > share)
 
-    # a hot key is spread over as many salts as it has lots of hot_rows
+    # a hot key is spread over as many salts as it has lots of hot_rows; a row's salt comes from where
+    # it stands, so equal rows are spread too and any column type will do
     salts = F.least(F.ceil(F.col("_rows") / F.lit(max(hot_rows, 1))), F.lit(MAX_SALTS)).cast("long")
     spread = F.broadcast(hot.select(*keys, salts.alias("_salts")))
-    rest = [c for c in facts.columns if c not in keys]
-    drawn = F.pmod(F.xxhash64(*(rest or keys)), F.col("_salts"))
+    drawn = F.pmod(F.monotonically_increasing_id(), F.col("_salts"))
     left = facts.join(spread, keys, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)
     right = dim.join(spread, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")

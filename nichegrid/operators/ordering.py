@@ -21,6 +21,8 @@ LARGE_GROUP = 200_000
 WINDOW_ROWS = 100_000
 BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 1_000_000, 64, 8192
 _STRIDE = 64
+# hex digits of a key hash by which rows are counted before a sample is drawn
+PREFIX_DIGITS = 4
 
 
 def _bucket_of(value: Column, bounds: Column) -> Column:
@@ -191,7 +193,26 @@ def hash_positions(
 def hash_sample(
     df: DataFrame, n: int, ids: Sequence[str], seed: int | str = "", by: Sequence[str] = ()
 ) -> DataFrame:
-    """The first ``n`` rows (per group) in key-hash order: a sample of any size, any partitioning."""
+    """The first ``n`` rows (per group) in key-hash order: a sample of any size, any partitioning.
+
+    Rows are first counted per leading digits of their hash, which combines before the shuffle; the
+    digits at which ``n`` rows are reached filter the scan. Only what is left, ``n`` rows and those of
+    one more prefix, is shuffled and put in order.
+    """
+    keys = list(by) or ["_all"]
+    base = (df if by else df.withColumn("_all", F.lit(1))).withColumn(
+        "_prefix", F.substring(key_digest(ids, seed), 1, PREFIX_DIGITS)
+    )
+    so_far = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (
+        base.groupBy(*keys, "_prefix")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+        .where(F.col("_before") < n)
+        .groupBy(*keys)
+        .agg(F.max("_prefix").alias("_cut"))
+    )
+    near = _attach(base, cut, keys).where(F.col("_prefix") <= F.col("_cut")).select(*df.columns)
     return (
-        hash_positions(df, ids, seed, by, "_position").where(F.col("_position") < n).drop("_position")
+        hash_positions(near, ids, seed, by, "_position").where(F.col("_position") < n).drop("_position")
     )

@@ -12,6 +12,8 @@ from nichegrid.operators.clip import AreaIndex, clip, index_area
 from nichegrid.operators.joins import BROADCAST_ROWS, broadcast_limit, has_at_most, lookup_join
 from nichegrid.operators.ordering import hash_sample
 
+# candidates in the first lot of random points, and lots (each four times the last) that may hit nothing
+FIRST_DRAWS, EMPTY_LOTS = 4096, 8
 CELL = ("cx", "cy")
 LABEL = "PresAbs"
 
@@ -110,23 +112,25 @@ def background_points(
     """``n`` points spread evenly over the area of the polygons.
 
     Coordinates are longitude and latitude, evened out on the sphere, or plain units when
-    ``projected``. Candidates come from the extent at the rate at which the area fills it and are doubled
-    until enough fall inside; every draw is a hash of its number, so reruns agree.
+    ``projected``. A point counts once however many parts of the area hold it. A first lot of candidates
+    from the extent shows how much of it the area fills; then as many are drawn as that asks for, and
+    doubled until enough fall inside. An area that no candidate hits is an error. Every draw is a hash
+    of its number, so reruns agree.
     """
     box = edges.agg(
         F.min(F.least("x1", "x2")).alias("x0"),
         F.max(F.greatest("x1", "x2")).alias("x1"),
         F.min(F.least("y1", "y2")).alias("y0"),
         F.max(F.greatest("y1", "y2")).alias("y1"),
-        F.abs(F.sum(F.expr("(x1 * y2 - x2 * y1) / 2"))).alias("area"),
     ).first()
-    if box["x0"] is None or not box["area"]:
+    if box["x0"] is None or box["x0"] == box["x1"] or box["y0"] == box["y1"]:
         raise ValueError("the area is empty")
     width, height = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    filled = min(1.0, max(box["area"] / (width * height), 1e-6))
-    rounds = int(1.2 * n / filled) + 64
-    area = area or index_area(edges.withColumn(region, F.lit("area")), region, tile)
-    while True:
+    if area is None:
+        named = edges if region in edges.columns else edges.withColumn(region, F.lit("area"))
+        area = index_area(named, region, tile)
+
+    def inside(rounds: int) -> DataFrame:
         draws = edges.sparkSession.range(rounds).withColumnRenamed("id", "draw")
         u, v = uniform(["draw"], f"{seed}-x"), uniform(["draw"], f"{seed}-y")
         if projected:
@@ -135,10 +139,18 @@ def background_points(
             low, high = F.sin(F.radians(F.lit(box["y0"]))), F.sin(F.radians(F.lit(box["y1"])))
             lat = F.degrees(F.asin(low + v * (high - low)))
         placed = draws.select("draw", (F.lit(box["x0"]) + u * width).alias("lon"), lat.alias("lat"))
-        inside = clip(placed, area).drop(area.region).persist()
-        if inside.count() >= n:
-            return hash_sample(inside, n, ["draw"], seed)
-        rounds *= 2
+        found = clip(placed, area).drop(area.region)
+        return found if area.parts == 1 else found.dropDuplicates(["draw"])
+
+    rounds, empty = FIRST_DRAWS, 0
+    while empty < EMPTY_LOTS:
+        held = inside(rounds).count()
+        if held >= n:
+            return hash_sample(inside(rounds), n, ["draw"], seed)
+        # so many more as the share of hits asks for, twice as many where there is none yet
+        empty = 0 if held else empty + 1
+        rounds = max(4 * rounds if not held else 2 * rounds, int(1.2 * n * rounds / held) + 64 if held else 0)
+    raise ValueError(f"the area is empty: none of {rounds // 4} points of its extent is inside")
 
 
 def thin(points: DataFrame, keep_lowest: str, by: Sequence[str] = (), keys: Sequence[str] = CELL) -> DataFrame:
@@ -190,7 +202,10 @@ def with_split(sample: DataFrame, ids: Sequence[str], train_size: float = 0.75,
     )
 
 
-def evaluation_sample(presence: DataFrame, ids: Sequence[str], limit: int = 100, seed: int | str = "") -> DataFrame:
-    """The first ``limit`` presences in key-hash order, or all of them when there are fewer."""
+def evaluation_sample(
+    presence: DataFrame, ids: Sequence[str], limit: int | None = None, seed: int | str = ""
+) -> DataFrame:
+    """Presences with their draw ``random``: all of them, or the first ``limit`` in key-hash order."""
     draw: Column = uniform(ids, seed).alias("random")
-    return presence.select("*", draw).orderBy("random", *ids).limit(limit)
+    drawn = presence.select("*", draw)
+    return drawn if limit is None else drawn.orderBy("random", *ids).limit(limit)

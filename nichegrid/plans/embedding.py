@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions.vectors import batch_similarity, mean_vector
 
-EVALUATION_LIMIT = 100
-SCALE_M = 30
-
 
 def score_by_similarity(
     pixels: DataFrame, presence_pixels: DataFrame, vector: str = "embedding", cosine: bool = False

@@ -40,8 +40,19 @@ class Run:
 
 
 def one_area(edges: DataFrame) -> DataFrame:
-    """All edges as a single area, so that its parts are not told apart."""
-    return edges.select(F.lit("area").alias(AREA), "x1", "y1", "x2", "y2")
+    """Edges with the part they belong to; inside the area is inside any part.
+
+    Parts are told apart by the names a boundary carries. Without one there is a single part.
+    """
+    names = [c for c in ("level", "cntr_code", "nuts_name", "region") if c in edges.columns]
+    part = F.concat_ws("/", *[F.col(c).cast("string") for c in names]) if names else F.lit("area")
+    return edges.select(part.alias(AREA), "x1", "y1", "x2", "y2")
+
+
+def cells_inside(cells: DataFrame, area: AreaIndex, step: float) -> DataFrame:
+    """Cells with their centre in any part of the area, each once."""
+    found = clip_cells(cells, area, step).drop(area.region)
+    return found if area.parts == 1 else found.dropDuplicates(["cx", "cy"])
 
 
 def with_cells(points: DataFrame, step: float) -> DataFrame:
@@ -151,11 +162,9 @@ def run_model(
         columns = [F.lit(v).alias(k) for k, v in row.items() if v is not None]
         results = sample.sparkSession.range(1).select(*columns)
 
-        stack = clip_cells(
-            predictor_stack(static, yearly, config, temporal).toDF("cx", "cy", *features),
-            area,
-            step,
-        ).drop(AREA)
+        stack = cells_inside(
+            predictor_stack(static, yearly, config, temporal).toDF("cx", "cy", *features), area, step
+        )
         return Run(config, results, _classify(model, stack, features), model, features, stack)
     except Exception as error:
         raise RuntimeError(f"SDM run failed: {error}") from error
@@ -205,14 +214,15 @@ def run_embedding(
     embeddings: DataFrame,
     step: float,
     tile: float | None = None,
-    limit: int | None = embedding_plan.EVALUATION_LIMIT,
+    limit: int | None = None,
     projected: bool = False,
 ) -> Run:
     """Similarity to the mean presence embedding, evaluated on presences and random points.
 
-    ``limit=None`` evaluates on every presence instead of the first hundred by hash.
+    ``limit`` evaluates on the first presences by hash instead of all of them.
     """
     try:
+        config = config.checked()
         area = index_area(one_area(edges), AREA, tile)
         mosaic = embedding_for_year(embeddings, config.year_start)
         points = with_cells(presences, step)
@@ -237,7 +247,7 @@ def run_embedding(
         if auc is None:
             raise ValueError("the evaluation has no background")
         results = mosaic.sparkSession.range(1).select(F.lit(auc).alias("roc_auc"))
-        surface = clip_cells(scored, area, step).drop(AREA)
+        surface = cells_inside(scored, area, step)
         return Run(config, results, surface)
     except Exception as error:
         raise RuntimeError(f"Embedding run failed: {error}") from error

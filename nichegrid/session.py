@@ -27,13 +27,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    It is whatever the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, laptops) a fresh local folder is made.
+    It is whatever the cluster names in ``spark.checkpoint.dir``. Only where that is unset and
+    everything runs in one process (tests, laptops) a fresh local folder is made.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="run-nichegrid-")
+        root = sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="run-nichegrid-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def _table_member(archive: zipfile.ZipFile) -> str:
     for name in archive.namelist():
         if name.endswith((".tsv", ".csv")):
             return name
-    raise ValueError("No TSV file found in archive")
+    raise ValueError("the archive holds no table (.tsv or .csv)")
 
 
 def _open_table(content: bytes) -> io.TextIOWrapper:
@@ -103,12 +104,13 @@ def standardise(table: DataFrame) -> DataFrame:
 
 def ensure_ingested(spark: SparkSession, source: str, target: str, zipped: bool = True) -> DataFrame:
     """The dataset as parquet, built on first use; an existing one is read as it is."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
-        try:
-            table = read_archives(spark, source) if zipped else read_tables(spark, source)
-            standardise(table).write.mode("overwrite").parquet(target)
-        except Exception as error:
-            raise ValueError(f"Failed to ingest {source}: {error}") from error
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException:  # not there, or never finished
+        pass
+    try:
+        table = read_archives(spark, source) if zipped else read_tables(spark, source)
+        standardise(table).write.mode("overwrite").parquet(target)
+    except Exception as error:
+        raise ValueError(f"{source} could not be ingested: {error}") from error
     return spark.read.parquet(target)

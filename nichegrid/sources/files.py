@@ -8,11 +8,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.functions.geo import to_wgs84, upload_coordinates
+from nichegrid.functions.geo import UPLOADS, to_wgs84, upload_coordinates
 
-# Headers a species name or a year may carry, first match wins, any case.
-SPECIES_HEADERS = ("species", "name", "taxon")
-YEAR_HEADERS = ("year", "date")
+# Fixed value: the name of a species nobody named.
 UNKNOWN_SPECIES = "unknown"
 
 FEATURE_SCHEMA = (
@@ -37,11 +35,6 @@ def presence_columns(
     ]
 
 
-def _header(columns: Sequence[str], wanted: Sequence[str]) -> str | None:
-    by_lower = {c.lower(): c for c in columns}
-    return next((by_lower[w] for w in wanted if w in by_lower), None)
-
-
 def normalise(
     df: DataFrame, lon: str | None = None, lat: str | None = None, epsg: int | None = None
 ) -> DataFrame:
@@ -53,16 +46,12 @@ def normalise(
     if lon is None or lat is None:
         pair = upload_coordinates(df.columns)
         if pair is None:
-            raise ValueError(
-                "Could not detect coordinate columns: expected x/y, lon/lat, "
-                "longitude/latitude or decimalLongitude/decimalLatitude"
-            )
+            raise ValueError(f"no pair of coordinate columns among {', '.join(df.columns)}")
         lon, lat = pair
     x, y = to_wgs84(
         F.col(f"`{lon}`").try_cast("double"), F.col(f"`{lat}`").try_cast("double"), epsg
     )
-    species = _header(df.columns, SPECIES_HEADERS)
-    year = _header(df.columns, YEAR_HEADERS)
+    species, year = (UPLOADS.best(df.columns, column) for column in ("species", "year"))
     return df.select(
         *presence_columns(
             F.col(f"`{species}`") if species else None, F.col(f"`{year}`") if year else None, x, y
@@ -82,12 +71,13 @@ def read_points_csv(
     return normalise(table, lon, lat)
 
 
-def _property(df: DataFrame, wanted: Sequence[str]) -> Column | None:
-    """The first wanted property that any feature carries, in its own spelling."""
-    keys = F.filter(F.map_keys("properties"), lambda k: F.lower(k).isin(list(wanted)))
-    found = df.select(F.explode(keys).alias("k")).distinct().collect()  # spellings of a few names
-    name = _header([r["k"] for r in sorted(found)], wanted)
-    return F.col("properties")[name] if name else None
+def _properties(df: DataFrame) -> list[Column | None]:
+    """The properties that serve as species and year, in the spelling that the features have."""
+    accepted = [name for column in ("species", "year") for name in UPLOADS.accepted[column]]
+    keys = F.filter(F.map_keys("properties"), lambda k: F.lower(k).isin(accepted))
+    found = sorted(r["k"] for r in df.select(F.explode(keys).alias("k")).distinct().collect())  # a few names
+    names = [UPLOADS.best(found, column) for column in ("species", "year")]
+    return [F.col("properties")[name] if name else None for name in names]
 
 
 def _epsg_of(name: Column) -> Column:
@@ -109,16 +99,18 @@ def reproject_rows(df: DataFrame, x: Column, y: Column, epsg: Column) -> tuple[C
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """GeoJSON features as ``kind, coordinates (JSON text), properties, epsg``.
 
-    ``lines`` reads one feature per line, which splits; a document is one task per file.
+    ``lines`` reads one feature per line, which splits; a document is one task per file. A line or a
+    document that is not JSON stops the job.
     """
     if lines:
-        return spark.read.schema(FEATURE_SCHEMA).json(path).where("geometry is not null").select(
+        rows = spark.read.schema(FEATURE_SCHEMA).option("mode", "FAILFAST").json(path)
+        return rows.where("geometry is not null").select(
             F.col("geometry.type").alias("kind"),
             F.col("geometry.coordinates").alias("coordinates"),
             "properties",
             F.lit(None).cast("int").alias("epsg"),
         )
-    documents = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", "true").json(path)
+    documents = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     return documents.select(
         _epsg_of(F.col("crs.properties")["name"]).alias("epsg"), F.explode("features").alias("f")
     ).select(
@@ -130,12 +122,14 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def points_of_features(features: DataFrame) -> DataFrame:
-    """Presence columns from point features."""
-    point = F.from_json("coordinates", "array<double>")
-    placed = features.where(F.col("kind") == "Point").select(
+    """Presence columns from point features; a feature of another kind stops the job."""
+    other = F.raise_error(F.concat(F.lit("not a point feature: "), F.col("kind")))
+    text = F.when(F.col("kind") == "Point", F.col("coordinates")).otherwise(other.cast("string"))
+    point = F.from_json(text, "array<double>")
+    placed = features.where("kind is not null").select(
         point[0].alias("x"), point[1].alias("y"), "properties", "epsg"
     )
-    species, year = _property(placed, SPECIES_HEADERS), _property(placed, YEAR_HEADERS)
+    species, year = _properties(placed)
     lon, lat = reproject_rows(placed, F.col("x"), F.col("y"), F.col("epsg"))
     return placed.select(*presence_columns(species, year, lon, lat))
 
@@ -155,9 +149,7 @@ def read_presence_file(spark: SparkSession, path: str) -> DataFrame:
         return read_points_geojson(spark, path)
     if suffix in (".csv", ".txt"):
         return read_points_csv(spark, path)
-    raise ValueError(
-        f"Unsupported file type '{suffix}'. Accepted: .zip (shapefile), .geojson, .json, .csv, .txt"
-    )
+    raise ValueError(f"Unsupported kind of file {suffix!r}: points come as zipped shapefile, GeoJSON or text")
 
 
 def read_background(

@@ -7,12 +7,14 @@ Input is a table of published records, on disk or derived: ``species`` and/or
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from nichegrid.config import DATA_MODES
+from nichegrid.config import check_mode
 
 # Record limits and the basis of record of the interactive scans.
 EXPLORE_LIMIT = 300
@@ -76,11 +78,16 @@ def cleanup(df: DataFrame, keep: tuple[str, ...] = ("year", "lon", "lat")) -> Da
 
 
 def explore(
-    records: DataFrame, species: str, country: str, year_start: int, year_end: int, limit: int = EXPLORE_LIMIT
+    records: DataFrame,
+    species: str,
+    country: str,
+    year_start: int,
+    year_end: int,
+    limit: int | None = None,
 ) -> DataFrame:
-    """A quick look: the first ``limit`` matching records by key."""
+    """A quick look: the first ``limit`` matching records by key, or all of them."""
     found = _observed(records, species, country).where(_years(year_start, year_end))
-    return records_table(found.orderBy("key").limit(limit), species)
+    return records_table(found if limit is None else found.orderBy("key").limit(limit), species)
 
 
 def deepdive(records: DataFrame, species: str, country: str, year_start: int, year_end: int) -> DataFrame:
@@ -90,23 +97,37 @@ def deepdive(records: DataFrame, species: str, country: str, year_start: int, ye
 
 
 def read_by_year(spark: SparkSession, path: str) -> DataFrame:
-    """A record table partitioned by year; an unreadable file is skipped, the rest is kept.
+    """A record table partitioned by year. An unreadable file is an error; see :func:`year_status`."""
+    return spark.read.parquet(path)
 
-    Follow with :func:`records_per_year` to see what was read.
+
+def year_status(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """``year, n, status``: the records of every year of a table, or why the year cannot be read.
+
+    ``schema`` is that of the records, so that no damaged file is asked for it. Every year is a
+    scan of its own, and a year that fails does not touch the others.
     """
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    years = sorted({int(m[1]) for f in table.inputFiles() if (m := re.search(r"/year=(\d+)/", f))})
+    rows = []
+    for year in years:
+        try:
+            # a hash of the whole row, so that every column of every file is read
+            digest = F.xxhash64(*[c for c in table.columns if c != "year"])
+            n = table.where(F.col("year") == year).agg(F.count(digest).alias("n")).first()["n"]
+            rows.append((year, n, "read"))
+        except Exception as error:  # noqa: BLE001
+            rows.append((year, None, f"failed: {str(error).splitlines()[0]}"))
+    return spark.createDataFrame(rows, "year long, n long, status string")
 
 
 def write_by_year(records: DataFrame, path: str) -> None:
     """Store records for year-pruned scans; an existing table is left as it is.
 
-    Rows spread over a hash within the year, so a crowded year is written by many tasks.
+    Rows are rebalanced by year: a crowded year is written by as many tasks as its size asks for.
     """
-    spread = F.pmod(F.xxhash64("key"), F.lit(64))
     (
-        records.withColumn("_spread", spread)
-        .repartition("year", "_spread")
-        .drop("_spread")
+        records.hint("rebalance", F.col("year"))
         .write.mode("ignore")
         .partitionBy("year")
         .parquet(path)
@@ -135,45 +156,44 @@ def fetch_presences(
     year_start: int,
     year_end: int,
     dataset_key: str = "",
+    limit: int | None = None,
 ) -> DataFrame:
-    """Presences by data mode; a wrong mode or a missing key fails before any job."""
-    if mode not in DATA_MODES:
-        raise ValueError(f"Invalid mode: {mode}. Must be one of {DATA_MODES}.")
-    if mode == "own" and not dataset_key:
-        raise ValueError("dataset_key is required for 'own' mode")
+    """Presences by data mode; a wrong mode or a missing key fails before any job.
+
+    ``limit`` cuts the quick look only.
+    """
+    check_mode(mode, dataset_key)
     if mode == "explore":
-        return explore(records, species, country, year_start, year_end)
+        return explore(records, species, country, year_start, year_end, limit)
     if mode == "deepdive":
         return deepdive(records, species, country, year_start, year_end)
     return own(records, species, year_start, year_end)
 
 
 def observations(
-    records: DataFrame, species: str, country: str, limit: int = OBSERVATION_LIMIT
+    records: DataFrame, species: str, country: str, limit: int | None = None
 ) -> DataFrame | None:
     """Observations of a species in a country, any year; ``None`` when there are none."""
-    found = (
-        _observed(records, species, country)
-        .orderBy("key")
-        .limit(limit)
-        .select(
-            "species",
-            "year",
-            "month",
-            F.col("decimalLongitude").alias("lon"),
-            F.col("decimalLatitude").alias("lat"),
-        )
+    found = _observed(records, species, country)
+    found = (found if limit is None else found.orderBy("key").limit(limit)).select(
+        F.col(_name_column(records)).alias("species"),
+        "year",
+        "month",
+        F.col("decimalLongitude").alias("lon"),
+        F.col("decimalLatitude").alias("lat"),
     )
     return None if found.isEmpty() else found
 
 
 def query(records: DataFrame, sql: str, args: Mapping[str, object] | None = None) -> DataFrame:
-    """SQL over the records as view ``occurrence``; values go in as ``:name`` parameters.
+    """SQL over the records as table ``occurrence``; values go in as ``:name`` parameters.
 
-    Rows without a coordinate (``long``, ``lat``) are dropped from the result.
+    The name holds inside this text only. Rows without a coordinate (``long``, ``lat``) are dropped
+    from the result.
     """
-    records.createOrReplaceTempView("occurrence")
-    out = records.sparkSession.sql(sql, args=dict(args or {}))
+    body = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    text = f"with occurrence as (select * from {{records}}) select * from ({body})"
+    out = records.sparkSession.sql(text, args=dict(args or {}), records=records)
     return out.dropna(subset=[c for c in ("long", "lat") if c in out.columns])
 
 

@@ -19,9 +19,13 @@ def read_boundaries(spark: SparkSession, path: str, level: int, lines: bool = Fa
 def boundaries_of_features(features: DataFrame, level: int) -> DataFrame:
     single = F.from_json("coordinates", "array<array<array<double>>>")
     multi = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
-    rings = F.when(F.col("kind") == "Polygon", single).when(F.col("kind") == "MultiPolygon", multi)
+    # a boundary of any other kind is a wrong file, not an empty region
+    other = F.raise_error(F.concat(F.lit("not a polygon feature: "), F.col("kind"))).cast(
+        "array<array<array<double>>>"
+    )
+    rings = F.when(F.col("kind") == "Polygon", single).when(F.col("kind") == "MultiPolygon", multi).otherwise(other)
     corner = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    return features.select(
+    return features.where("kind is not null").select(
         F.lit(level).alias("level"),
         F.col("properties")["CNTR_CODE"].alias("cntr_code"),
         F.col("properties")["NUTS_NAME"].alias("nuts_name"),

@@ -53,7 +53,7 @@ def export_surface(
     out = regrid(surface.select("cx", "cy", "score"), source_m, target_m)
     if edges is not None:
         inside = clip_cells(out, edges, step or degrees_for(target_m))
-        out = inside.select("cx", "cy", "score")
+        out = inside.select("cx", "cy", "score").dropDuplicates(["cx", "cy"])  # in several regions, but one cell
     tiled = out.select(
         "cx",
         "cy",

@@ -72,6 +72,21 @@ def test_tiles_that_stay_crowded(world, monkeypatch, chunk):
     assert len(got) == len(expected) + sum(i % 5 == 0 for i, _ in expected)
 
 
+@pytest.mark.parametrize("tile, decimals", [(0.07, 2), (0.05, 3), (0.01, 2), (0.3, 1)])
+def test_points_on_tile_borders(spark, tile, decimals):
+    rng = np.random.default_rng(3)
+    steps = np.arange(0, 1, tile)
+    border = np.stack([rng.choice(steps, 500), rng.choice(steps, 500)], 1)
+    points = np.round(np.vstack([rng.uniform(0, 1, (1500, 2)), border]), decimals)
+    square = edges_of("all", [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)])
+    well = edges_of("part", [(0.07, 0.07), (0.63, 0.05), (0.7, 0.35), (0.14, 0.7)])
+    schema = "region string, x1 double, y1 double, x2 double, y2 double"
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, lon double, lat double")
+    got = clip(df, spark.createDataFrame(square + well, schema), tile=tile, crowded=2).select("id", "region").collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_force(points, square + well))
+    assert sum(r["region"] == "all" for r in got) == len(points)
+
+
 def test_clip_plan_has_no_nested_loop(world):
     points, edges, _ = world
     plan = clip(points, edges, tile=1.0)._jdf.queryExecution().executedPlan().toString()

@@ -245,10 +245,12 @@ def records(spark):
 
 
 def test_explore_is_limited_and_deepdive_is_not(records):
-    few = occurrences.fetch_presences("explore", records, "Lagopus muta", "AT", 2015, 2024)
+    few = occurrences.fetch_presences("explore", records, "Lagopus muta", "AT", 2015, 2024, limit=300)
     every = occurrences.fetch_presences("deepdive", records, "Lagopus muta", "AT", 2015, 2024)
     assert few.columns == every.columns == COLUMNS
     assert few.count() == 300 and every.count() > 300
+    unlimited = occurrences.fetch_presences("explore", records, "Lagopus muta", "AT", 2015, 2024)
+    assert unlimited.count() == every.count()
     assert every.where("year is null").isEmpty()
 
 
@@ -288,6 +290,35 @@ def test_cleanup_keeps_the_year_a_number(spark):
 def test_observations(records):
     assert occurrences.observations(records, "Lagopus muta", "AT").columns == ["species", "year", "month", "lon", "lat"]
     assert occurrences.observations(records, "Nobody", "AT") is None
+    by_name = occurrences.observations(records.drop("species"), "Lagopus muta (Montin)", "AT")
+    assert by_name.columns == ["species", "year", "month", "lon", "lat"] and not by_name.isEmpty()
+
+
+def test_malformed_and_other_features_are_errors(spark, tmp_path):
+    point = '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"species":"a"}}'
+    line = '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[1,2],[3,4]]},"properties":{}}'
+    for name, bad in (("other", line), ("broken", '{"type": "Feature", "geometry"')):
+        (tmp_path / f"{name}.json").write_text(f"{point}\n{bad}\n")
+        with pytest.raises(Exception, match="not a point|[Mm]alformed"):
+            files.read_points_geojson(spark, str(tmp_path / f"{name}.json"), lines=True).collect()
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from nichegrid import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(lambda: {})  # noqa: N815
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_root(Session())
 
 
 def test_year_partitions_are_pruned(spark, records, tmp_path):
@@ -299,8 +330,11 @@ def test_year_partitions_are_pruned(spark, records, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
     assert found.count() == occurrences.deepdive(records, "Lagopus muta", "AT", 2016, 2017).count()
     (next((tmp_path / "by-year" / "year=2016").glob("*.parquet"))).write_bytes(b"broken")
-    left = {r["year"]: r["n"] for r in occurrences.records_per_year(occurrences.read_by_year(spark, path)).collect()}
-    assert left[2017] > 0  # one unreadable file costs only itself
+    with pytest.raises(Exception, match="2016"):
+        occurrences.read_by_year(spark, path).select("key").write.format("noop").mode("overwrite").save()
+    status = {r["year"]: r for r in occurrences.year_status(spark, path, records.schema).collect()}
+    assert status[2017]["n"] > 0 and status[2017]["status"] == "read"  # one unreadable file costs only its year
+    assert status[2016]["n"] is None and status[2016]["status"].startswith("failed")
 
 
 def test_suggestions(spark):

@@ -252,6 +252,30 @@ def test_background_points(spark, projected):
     assert points.equals(sampling.background_points(edges, 800, tile=5.0, seed=1, projected=projected).toPandas())
 
 
+def test_background_of_opposite_rings_and_of_nothing(spark):
+    schema = "region string, x1 double, y1 double, x2 double, y2 double"
+    corners = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]
+    ring = lambda c: [("t", *a, *b) for a, b in zip(c, c[1:] + c[:1])]
+    edges = spark.createDataFrame(ring(corners(0.0)) + ring(corners(3.0)[::-1]), schema)
+    points = sampling.background_points(edges, 100, tile=1.0, projected=True).toPandas()
+    assert len(points) == 100 and {0, 3} == set(points.lon.astype(int))
+    flat = spark.createDataFrame([("t", 0.0, 0.0, 1.0, 0.0), ("t", 1.0, 0.0, 0.0, 0.0)], schema)
+    with pytest.raises(ValueError, match="empty"):
+        sampling.background_points(flat, 1, projected=True)
+
+
+def test_overlapping_parts_are_one_area(spark):
+    from nichegrid.operators.clip import index_area
+    from nichegrid.plans import pipeline
+
+    schema = "nuts_name string, x1 double, y1 double, x2 double, y2 double"
+    square = [(0.0, 0.0, 10.0, 0.0), (10.0, 0.0, 10.0, 10.0), (10.0, 10.0, 0.0, 10.0), (0.0, 10.0, 0.0, 0.0)]
+    edges = spark.createDataFrame([(name, *e) for name in ("a", "b") for e in square], schema)
+    cells = spark.range(144).selectExpr("id % 12 as cx", "id div 12 as cy", "0.5D as score")
+    area = index_area(pipeline.one_area(edges), pipeline.AREA)
+    assert pipeline.cells_inside(cells, area, 1.0).count() == 100
+
+
 def test_presence_background_names(spark):
     presence = spark.createDataFrame([(1.0, 2.0, "x")], "`b 1` double, a double, extra string")
     background = spark.createDataFrame([(3.0, 4.0)], "a double, `b 1` double")
