@@ -14,6 +14,7 @@ a character without a piece becomes its UTF-8 bytes, so decoding gives back the
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: chunks up to so many characters are remembered, so many at a time
-REMEMBERED_CHARS, REMEMBERED = 48, 1 << 18
+REMEMBERED_CHARS, REMEMBERED = 48, 1 << 17
+#: bytes of text looked up together, and chunks searched side by side
+LOT, SIDE_BY_SIDE = 1 << 20, 8192
 
 
 @dataclass(frozen=True)
@@ -37,11 +40,16 @@ class Pieces:
     decoded: tuple[bytes, ...]
     longest: int = field(init=False)
     unknown: float = field(init=False)
+    #: every start of a piece -> the piece's score and packed id, or None where it is only a start
+    starts: dict[str, tuple[float, bytes] | None] = field(init=False)
     splits: bool = field(init=False)
 
     def __post_init__(self):
         put = object.__setattr__
         put(self, "longest", max(map(len, self.scored), default=1))
+        starts = dict.fromkeys(piece[:n] for piece in self.scored for n in range(1, len(piece)))
+        starts |= {piece: (score, packed([i])) for piece, (i, score) in self.scored.items()}
+        put(self, "starts", starts)
         # a character without a piece costs more than any piece
         put(self, "unknown", min((s for _, s in self.scored.values()), default=0.0) - 10.0)
         # whether no piece goes on to a space mark after another character
@@ -69,73 +77,194 @@ def load(path: str) -> Pieces:
     return Pieces(scored, tuple(byte_ids), tuple(decoded))
 
 
-def stream(pieces: Pieces, chars: str) -> Iterator[list[int]]:
-    """The ids of ``chars`` (spaces already marked) in final lots; memory is a window, not the text."""
-    scored, longest, unknown = pieces.scored, pieces.longest, pieces.unknown
+def packed(ids: Sequence[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return np.array(ids, "<i4").tobytes()
+
+
+def stream(pieces: Pieces, chars: str) -> Iterator[bytes]:
+    """The packed ids of ``chars`` (spaces already marked) in final lots; memory is a window, not the text."""
+    starts, longest, unknown = pieces.starts, pieces.longest, pieces.unknown
+    n, none, get = len(chars), -math.inf, starts.get
     done = 0  # everything before is final
-    score, back = [0.0], [0]  # of positions from ``done`` on
-    for end in range(1, len(chars) + 1):
-        single = scored.get(chars[end - 1])
-        best, at = score[end - 1 - done] + (single[1] if single else unknown), end - 1
-        for start in range(end - 2, max(done, end - longest) - 1, -1):
-            found = scored.get(chars[start:end])
-            if found is not None and score[start - done] + found[1] >= best:
-                best, at = score[start - done] + found[1], start
-        score.append(best)
-        back.append(at)
-        if end - done >= 4 * longest:
-            alive = set(range(end - longest + 1, end + 1))
+    # of positions from ``done`` on: best sum, where its last piece starts, that piece's id
+    score, back, last = [0.0], [0], [b""]
+    for start in range(n):
+        ahead = min(n, start + longest) - done + 1
+        if len(score) < ahead:
+            more = ahead - len(score)
+            score += [none] * more
+            back += [0] * more
+            last += [b""] * more
+        sum_, at = score[start - done], start - done + 1
+        for end in range(start + 1, min(n, start + longest) + 1):
+            piece = get(chars[start:end], 0)
+            if piece:
+                if sum_ + piece[0] > score[at]:
+                    score[at], back[at], last[at] = sum_ + piece[0], start, piece[1]
+            elif piece == 0:  # nothing begins like this
+                break
+            at += 1
+        at = start - done + 1
+        if sum_ + unknown > score[at] and get(chars[start]) is None:
+            ids = packed([pieces.byte_ids[b] for b in _raw(chars[start])])
+            score[at], back[at], last[at] = sum_ + unknown, start, ids
+        if start + 1 - done >= 4 * longest:
+            alive = set(range(start + 2 - longest, start + 2))
             while len(alive) > 1:  # replace the last position by the one its path comes from
-                last = max(alive)
-                alive.discard(last)
-                alive.add(back[last - done])
+                furthest = max(alive)
+                alive.discard(furthest)
+                alive.add(back[furthest - done])
             (meet,) = alive
             if meet > done:
-                yield _ids(pieces, chars, back, done, meet)
-                score, back = score[meet - done :], back[meet - done :]
+                yield _path(back, last, done, meet)
+                score, back, last = score[meet - done :], back[meet - done :], last[meet - done :]
                 done = meet
-    if len(chars) > done:
-        yield _ids(pieces, chars, back, done, len(chars))
+    if n > done:
+        yield _path(back, last, done, n)
 
 
-def _ids(pieces: Pieces, chars: str, back: list[int], first: int, last: int) -> list[int]:
+def _path(back: list[int], last: list[bytes], done: int, end: int) -> bytes:
     lots = []
-    while last > first:
-        start = back[last - first]
-        found = pieces.scored.get(chars[start:last])
-        lots.append([found[0]] if found else [pieces.byte_ids[b] for b in _raw(chars[start:last])])
-        last = start
-    return [i for lot in reversed(lots) for i in lot]
+    while end > done:
+        lots.append(last[end - done])
+        end = back[end - done]
+    lots.reverse()
+    return b"".join(lots)
 
 
 def _raw(chars: str) -> bytes:
     return chars.encode("utf-8", "surrogateescape")
 
 
-def encoder(pieces: Pieces) -> Callable[[bytes | None], bytes | None]:
-    """From the UTF-8 bytes of a text to its ids as little-endian 32-bit integers."""
+class _Side:
+    """The same search for many short chunks side by side, each between two boundaries that no piece spans.
+
+    A chunk starts and ends in one state, so its window is the chunk. Pieces are found by walking a
+    trie whose steps are sorted numbers (node, character); sums are taken place by place for all
+    chunks at once.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        letters = sorted({c for piece in pieces.scored for c in piece})
+        self.codes = np.array([ord(c) for c in letters], np.uint32)
+        number = {c: i for i, c in enumerate(letters)}
+        nodes, steps = {"": 0}, []
+        for prefix in sorted(pieces.starts, key=len):
+            nodes[prefix] = len(nodes)
+            steps.append((nodes[prefix[:-1]] * len(letters) + number[prefix[-1]], nodes[prefix]))
+        steps.sort()
+        self.steps, self.child = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        self.score, self.id = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int64)
+        for piece, (i, score) in pieces.scored.items():
+            self.score[nodes[piece]], self.id[nodes[piece]] = score, i
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        total = len(raw)
+        letter = np.minimum(np.searchsorted(self.codes, raw), len(self.codes) - 1)
+        known = self.codes[letter] == raw
+        offset = np.concatenate([[0], sizes.cumsum()])
+        left = np.repeat(offset[1:], sizes) - np.arange(total)  # characters from here to the chunk's end
+        scores, ids = [], []
+        at, node = np.arange(total), np.zeros(total, np.int64)
+        for length in range(1, int(sizes.max()) + 1):
+            go = left[at] >= length
+            at, node = at[go], node[go]
+            step = node * len(self.codes) + letter[at + length - 1]
+            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            go = (self.steps[place] == step) & known[at + length - 1]
+            at, node = at[go], self.child[place[go]]
+            if not len(at):
+                break
+            own, which = np.full(total, -np.inf), np.zeros(total, np.int64)
+            own[at], which[at] = self.score[node], self.id[node]
+            scores.append(own)
+            ids.append(which)
+        if not scores:
+            scores, ids = [np.full(total, -np.inf)], [np.zeros(total, np.int64)]
+        # a character without a piece: its byte, or a mark that the chunk needs more than one
+        lone = scores[0] == -np.inf
+        single = np.array(self.pieces.byte_ids, np.int64)
+        ids[0][lone] = np.where(raw[lone] < 128, single[np.minimum(raw[lone], 127)], -1)
+        scores[0][lone] = self.pieces.unknown
+
+        # one more place per chunk than it has characters
+        first = offset[:-1] + np.arange(len(chunks))
+        best = np.full(total + len(chunks), -np.inf)
+        back, last = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        best[first] = 0.0
+        for place in range(int(sizes.max())):
+            alive = np.flatnonzero(sizes > place)
+            for length, (own, which) in enumerate(zip(scores, ids, strict=True), 1):
+                alive = alive[sizes[alive] >= place + length]
+                if not len(alive):
+                    break
+                char, here = offset[alive] + place, first[alive] + place
+                sums = best[here] + own[char]
+                better = np.flatnonzero(sums > best[here + length])
+                to = here[better] + length
+                best[to], back[to], last[to] = sums[better], length, which[char[better]]
+
+        lots, owners, now, open_ = [], [], first + sizes, np.arange(len(chunks))
+        while len(open_):
+            lots.append(last[now[open_]])
+            owners.append(open_)
+            now[open_] -= back[now[open_]]
+            open_ = open_[now[open_] > first[open_]]
+        flat, owner = np.concatenate(lots[::-1]), np.concatenate(owners[::-1])
+        order = np.argsort(owner, kind="stable")
+        flat, counts = flat[order], np.bincount(owner, minlength=len(chunks))
+        ends = 4 * np.concatenate([[0], counts.cumsum()])
+        long = set(np.unique(owner[order][flat < 0]).tolist())
+        data, ends = flat.astype("<i4").tobytes(), ends.tolist()
+        return [
+            b"".join(stream(self.pieces, chunks[i])) if i in long else data[ends[i] : ends[i + 1]]
+            for i in range(len(chunks))
+        ]
+
+
+def encoder(pieces: Pieces) -> Callable[[Sequence[bytes | None]], Iterator[bytes | None]]:
+    """From the UTF-8 bytes of texts to their packed ids."""
     known: dict[str, bytes] = {}
-    chunks = re.compile(f"{SPACE}*[^{SPACE}]*" if pieces.splits else "(?s).+")
-    mark = b"".join(pieces.byte_ids[b].to_bytes(4, "little") for b in SPACE.encode())
+    side = _Side(pieces)
+    chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if pieces.splits else "(?s).+")
+    mark = packed([pieces.byte_ids[b] for b in SPACE.encode()])
 
-    def packed(chunk: str) -> bytes:
-        ids = known.get(chunk)
-        if ids is None:
-            ids = b"".join(np.array(lot, "<i4").tobytes() for lot in stream(pieces, chunk))
-            if len(chunk) <= REMEMBERED_CHARS:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[chunk] = ids
-        return ids
-
-    def encode(raw: bytes | None) -> bytes | None:
-        if not raw:
-            return raw
+    def marked(raw: bytes) -> list[list[str]]:
         # a mark that the text itself holds is not a space: it goes as its three bytes
         parts = raw.decode("utf-8", "surrogateescape").split(SPACE)
         parts = [part.replace(" ", SPACE) for part in parts]
         parts[0] = SPACE + parts[0]
-        return mark.join(b"".join(map(packed, chunks.findall(part))) for part in parts)
+        return [chunks.findall(part) for part in parts]
+
+    def coded(chunk: str) -> bytes:
+        return b"".join(stream(pieces, chunk))
+
+    def lot(texts: Sequence[bytes | None]) -> Iterator[bytes | None]:
+        cut = [marked(raw) if raw else raw for raw in texts]
+        new = {x for text in cut if text for part in text for x in part if len(x) <= REMEMBERED_CHARS} - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = {x for text in cut if text for part in text for x in part if len(x) <= REMEMBERED_CHARS}
+        todo = sorted(new, key=len)
+        for i in range(0, len(todo), SIDE_BY_SIDE):
+            known.update(zip(todo[i : i + SIDE_BY_SIDE], side(todo[i : i + SIDE_BY_SIDE]), strict=True))
+        for text in cut:
+            yield mark.join(b"".join([known.get(x) or coded(x) for x in part]) for part in text) if text else text
+
+    def encode(texts: Sequence[bytes | None]) -> Iterator[bytes | None]:
+        first = 0
+        while first < len(texts):
+            last = size = 0
+            for last in range(first, len(texts)):
+                size += len(texts[last] or b"")
+                if size >= LOT:
+                    break
+            yield from lot(texts[first : last + 1])
+            first = last + 1
 
     return encode
 
@@ -170,7 +299,7 @@ def encode(documents: DataFrame, pieces: Pieces, text: str = "text", ids: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = encoder(pieces)
         for batch in batches:
-            yield _lists([one(x) for x in batch.to_pylist()])
+            yield _lists(list(one(batch.to_pylist())))
 
     return documents.withColumn(ids, run(F.col(text).cast("binary")))
 
@@ -182,7 +311,16 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = decoder(pieces)
         for batch in batches:
-            yield pa.array([one(x) for x in batch.to_pylist()], pa.binary())
+            # a row at a time: all ids of a batch as Python numbers would take ten times their room
+            values, starts = batch.values.to_numpy(), batch.offsets.to_numpy().tolist()
+            missing = batch.is_null().to_pylist()
+            yield pa.array(
+                (
+                    one(None if none else values[a:b].tolist())
+                    for none, a, b in zip(missing, starts, starts[1:], strict=False)
+                ),
+                pa.binary(),
+            )
 
     return rows.withColumn(text, run(F.col(ids)).cast("string"))
 
