@@ -112,7 +112,6 @@ def _trailing(
     equality; repeated points are attached afterwards.
     """
     wanted = points.select(*keys, "d").dropna().distinct()
-    daily = _daily(climate, value, how, keys)
     asked = wanted.withColumnRenamed("d", "_asked").withColumn(
         "d",
         F.explode(
@@ -120,6 +119,10 @@ def _trailing(
         ),
     )
     few = has_at_most(wanted, BROADCAST_ROWS // TRAILING_DAYS)
+    # only days that somebody asks for are added up
+    days = asked.select(*keys, "d").distinct()
+    needed = climate.join(F.broadcast(days) if few else days, [*keys, "d"], "left_semi")
+    daily = _daily(needed, value, how, keys)
     hits = daily.join(F.broadcast(asked) if few else asked, [*keys, "d"])
     result = (
         hits.groupBy(*keys, F.col("_asked").alias("d")).agg(how(value).alias(name)).dropna(subset=[name])

@@ -43,8 +43,10 @@ def _hits(
     features = list(features or [c for c in layers.columns if c not in keys])
     wanted = points.select(*keys).dropna().distinct()
     band = layers.select(*keys, *features).dropna(subset=features)
-    if has_at_most(wanted, min(BROADCAST_ROWS, broadcast_limit(band))):
-        return band.join(F.broadcast(wanted), keys), True  # one layer row per counted key at most
+    limit = min(BROADCAST_ROWS, broadcast_limit(band))
+    if has_at_most(wanted, limit):
+        rows = band.join(F.broadcast(wanted), keys)
+        return rows, has_at_most(rows, limit)  # a layer may hold a cell more than once
     return band.join(wanted, keys, "left_semi").persist(), False
 
 

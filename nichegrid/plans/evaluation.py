@@ -88,6 +88,14 @@ def _shuffles(n: int, repeats: int, seed: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _partner(factor: Column, position: Column, shift: Column, n: int) -> Column:
+    """``(factor * position + shift) mod n``; factors are below 2**30, so from 2**33 rows on a long overflows."""
+    if n < 1 << 32:
+        return F.pmod(factor * position + shift, F.lit(n))
+    wide = factor.cast("decimal(10,0)") * position.cast("decimal(19,0)") + shift.cast("decimal(20,0)")
+    return F.pmod(wide, F.lit(n).cast("decimal(20,0)")).cast("long")
+
+
 def permutation_importance(
     model: RandomForestClassificationModel,
     test: DataFrame,
@@ -118,7 +126,7 @@ def permutation_importance(
     # spread first: every row turns into repeats x features rows
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = table.repartition(tasks, "_pos").select("*", F.explode(plans).alias("_plan")).withColumn(
-        "_partner", F.pmod(F.col("_plan.a") * F.col("_pos") + F.col("_plan.c"), F.lit(n))
+        "_partner", _partner(F.col("_plan.a"), F.col("_pos"), F.col("_plan.c"), n)
     )
     partner = table.select(
         F.col("_pos").alias("_partner"), *[F.col(f).alias(f"_other_{f}") for f in features]
