@@ -33,23 +33,30 @@ _GAPS = "[\\x20\\x09-\\x0D]+"
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc, place, line (its words joined by single spaces); lines without a word are left out."""
-    rows = documents.select(document_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = documents.select(document_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    raw = F.col("raw")
     # the usual line has single spaces already; only the others are put together anew
-    uneven = F.col("line").rlike("^[\\x20\\x09-\\x0D]|[\\x09-\\x0D]|\\x20\\x20|\\x20$")
-    words = F.filter(F.split("line", _GAPS), lambda word: word != "")
-    return rows.select(
-        "doc", "place", F.when(uneven, F.array_join(words, " ")).otherwise(F.col("line")).alias("line")
-    ).where("line <> ''")
+    uneven = raw.startswith(" ") | raw.endswith(" ") | raw.contains("  ")
+    for space in "\t\x0b\x0c\r":
+        uneven = uneven | raw.contains(space)
+    words = F.filter(F.split(raw, _GAPS), lambda word: word != "")
+    line = F.when(uneven, F.array_join(words, " ")).otherwise(raw)
+    # unfolding an array of one makes the line a column of its own, worked out once however often it is used
+    return rows.select("doc", "place", F.explode(F.array(line)).alias("line")).where("line <> ''")
+
+
+def _size(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _halves(line: Column, n: Column) -> Column:
     """Hashes of the first and the last half, as the line and as the longer of two lines cuts them."""
     keys = []
     for shorter in (n, n - 1):
-        head = F.floor(shorter / 2).cast("int")
-        tail = (shorter - head).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), shorter, F.array_join(F.slice(words, F.lit(1), head), " ")))
-        keys.append(F.xxhash64(F.lit("tail"), shorter, F.array_join(F.slice(words, n - tail + 1, tail), " ")))
+        middle = F.floor(shorter / 2).cast("int")
+        for head, words in ((True, middle), (False, middle - shorter)):  # so many from the start or the end
+            part = F.call_function("substring_index", line, F.lit(" "), words)
+            keys.append(F.struct(F.xxhash64(F.lit(head), shorter, part).alias("half"), F.lit(head).alias("head")))
     return F.array(*keys)
 
 
@@ -58,41 +65,48 @@ def _xor(hashes: Column) -> Column:
 
 
 def _entries(lines: DataFrame) -> DataFrame:
-    """doc, place (of a first occurrence) and its entries; ``whole`` is true for the line itself.
+    """doc, place (of a first occurrence) and its entries; ``kind`` is 0 for a line that agrees but for the
+    word at one place, 1 for a line without one of its words, 2 for the line itself.
 
-    ``lines``: doc, place, line, laid out by (doc, place), which the window then needs no shuffle for.
+    ``lines``: doc, place, line, head and tail (whether a partner shares that half), laid out by (doc,
+    place), which the window then needs no shuffle for. Words of a shared half are not taken out.
     """
     words = F.split("line", " ")
-    here = _xor(F.transform(words, lambda word, at: F.xxhash64(word, at)))
-    before = _xor(F.transform(words, lambda word, at: F.xxhash64(word, at - 1)))
-    each = lines.select(
+    sums = lines.select(
         "doc",
         "place",
-        F.size(words).alias("n"),
-        here.alias("here"),
-        before.alias("before"),
-        F.posexplode(words).alias("at", "word"),
+        "head",
+        "tail",
+        words.alias("words"),
+        F.explode(
+            F.array(
+                F.struct(
+                    _xor(F.transform(words, lambda word, at: F.xxhash64(word, at))).alias("here"),
+                    _xor(F.transform(words, lambda word, at: F.xxhash64(word, at - 1))).alias("before"),
+                )
+            )
+        ).alias("sums"),
     )
+    each = sums.select("doc", "place", "head", "tail", F.size("words").alias("n"), "sums", F.posexplode("words").alias("at", "word"))
     own = F.xxhash64("word", F.col("at"))
     moved = F.xxhash64("word", F.col("at") - 1)
     # what comes before the word keeps its place, what comes after moves up by one
     passed = F.bit_xor(own.bitwiseXOR(moved)).over(
         Window.partitionBy("doc", "place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     )
-    each = each.withColumn("without", F.col("before").bitwiseXOR(passed).bitwiseXOR(own))
-    without = F.col("without")
-    # replaced: equal lengths that agree without the word at this place. deleted: the longer line
-    # without some word is the whole of the shorter
-    def entry(kind: str, whole: bool, *parts: Column | str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), F.xxhash64(*parts).alias("entry"), F.lit(whole).alias("whole")
-        )
-
-    n = F.col("n")
-    entries = F.array(entry("replace", False, n, F.col("at"), without), entry("delete", False, n - 1, without))
-    itself = F.array(entry("delete", True, n, F.col("here")))
-    return each.select(
-        "doc", "place", F.inline(F.when(F.col("at") == 0, F.concat(entries, itself)).otherwise(entries))
+    each = each.withColumn("without", F.col("sums.before").bitwiseXOR(passed).bitwiseXOR(own))
+    n, at, without = F.col("n"), F.col("at"), F.col("without")
+
+    def entry(kind: int, *parts: Column) -> Column:
+        return F.struct(F.lit(kind).cast("byte").alias("kind"), F.xxhash64(F.lit(kind == 0), *parts).alias("entry"))
+
+    # the longer line without some word is the whole of the shorter
+    parts = F.array(entry(0, n, at, without), entry(1, n - 1, without))
+    itself = F.array(entry(2, n, F.col("sums.here")))
+    outside = (F.col("head") & (at >= F.floor((n - 1) / 2))) | (F.col("tail") & (at <= F.floor(n / 2)))
+    none = F.slice(parts, 1, 0)
+    return each.where(outside | (at == 0)).select(
+        "doc", "place", F.inline(F.concat(F.when(outside, parts).otherwise(none), F.when(at == 0, itself).otherwise(none)))
     )
 
 
@@ -112,38 +126,47 @@ def _alike(a: Column, b: Column) -> Column:
 
 def kept_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc, place of the lines with a word that stay: the first of its words, and none alike before."""
-    split = F.split("line", " ")
-    lines = _lines(documents).withColumn("n", F.size(split))
+    n = _size(F.col("line"))
+    lines = _lines(documents)
     marked = stored(
         lines.select(
             "doc",
             "place",
             F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"),
-            F.when(F.col("n") >= near_words, _halves(split, F.col("n"))).alias("halves"),
+            F.when(n >= near_words, _halves(F.col("line"), n)).alias("halves"),
         ),
         "lines",
     )
     first = F.min(F.struct("doc", "place")).alias("first")
     firsts = stored(marked.groupBy("id").agg(first, F.first("halves").alias("halves")), "first-lines")
-    halves = firsts.where("halves is not null").select("first", "id", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
-    may = halves.join(shared.select("half"), "half").select("first.*").distinct()
-
+    halves = firsts.where("halves is not null").select("first.*", F.inline("halves"))
+    place = F.xxhash64("doc", "place")
+    shared = halves.groupBy("half").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
+    may = (
+        halves.join(shared.select("half"), "half")
+        .groupBy("doc", "place")
+        .agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
+    )
     candidates = stored(
-        lines.where(F.col("n") >= near_words).select("doc", "place", "line").join(may, ["doc", "place"]).distinct(),
-        "candidate-lines",
+        lines.where(n >= near_words).join(may, ["doc", "place"]).dropDuplicates(["doc", "place"]), "candidate-lines"
     )
     entries = stored(_entries(candidates.repartition("doc", "place")), "line-entries")
     line = F.struct("doc", "place")
-    # without a whole line in it, an entry of the second kind joins nothing: members are then two edits apart
-    groups = entries.groupBy("entry", "kind").agg(
-        F.min(line).alias("least"),
-        F.min(F.when(F.col("whole"), line)).alias("whole_line"),
-        F.count("*").alias("members"),
-    ).where("members > 1 and (kind = 'replace' or whole_line is not null)").drop("members")
-    partner = F.when((F.col("kind") == "delete") & ~F.col("whole"), F.col("whole_line")).otherwise(F.col("least"))
+    # lines that are each without a word, but none whole, are two edits apart: they count with a whole one only
+    groups = (
+        entries.groupBy("entry")
+        .agg(
+            F.min(line).alias("least"),
+            F.min(F.when(F.col("kind") == 2, line)).alias("whole"),
+            F.min("kind").alias("kind_"),
+            F.count("*").alias("members"),
+        )
+        .where("members > 1 and (kind_ = 0 or whole is not null)")
+        .drop("members", "kind_")
+    )
+    partner = F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("least"))
     met = (
-        entries.join(groups, ["entry", "kind"])
+        entries.join(groups, "entry")
         .select("doc", "place", partner.alias("partner"))
         .where(F.col("partner") < F.struct("doc", "place"))
         .groupBy("doc", "place")
