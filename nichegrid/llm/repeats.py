@@ -9,8 +9,8 @@ are sorted on their own:
 * Equal contexts are one text with its earliest place; all windows of the others start earlier elsewhere.
 * The different texts are dealt to shards, every shard is sorted and has its Burrows-Wheeler
   transform. The transforms are merged by refining an interleave: the order of all suffixes by their
-  first h bytes, as the shard each place comes from, gives the order by h + 1 bytes through one stable
-  count of the transforms' bytes, without sorting suffixes again. The places that still share a block
+  first h bytes, as the shard each place comes from, gives the order by h + 2 bytes through one stable
+  count of the transforms' pairs of bytes, without sorting suffixes again. The places that still share a block
   after LENGTH steps are a repeated interval: windows with a common prefix of LENGTH bytes.
 * In each interval all windows but the earliest are repeats.
 
@@ -44,6 +44,8 @@ SPAN, BUCKET = LENGTH - GRAM + 1, 20_000
 TWICE = 128
 #: contexts of one anchor that go to one bucket at most
 HOT = 20_000
+#: keys of changed documents that are broadcast, 20 bytes each; beyond, all texts are dealt by their key
+BROADCAST_KEYS = 500_000
 #: bytes of one shard of a bucket
 SHARD = 1 << 16
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,17 +153,23 @@ def _shared(documents: DataFrame) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(meet, "row long, anchor long, start long, windows int, hot boolean")
 
 
-def transform(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's rotations in order: text number and place of each, and the byte before it (0: the end).
+def alphabet(texts: Sequence[bytes]) -> np.ndarray:
+    """The symbol of each byte: 1, 2, ... for those that occur; 0 is the end of a text."""
+    held = np.unique(np.frombuffer(b"".join(texts), np.uint8))
+    symbols = np.zeros(256, np.uint16)
+    symbols[held] = np.arange(1, len(held) + 1)
+    return symbols
 
-    Bytes are raised by one so that the end of a text is the least symbol. Sorted by prefixes that
-    double up to LENGTH symbols, which is all that intervals need.
+
+def transform(texts: Sequence[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's rotations in order: text number and place of each, and the symbols before it.
+
+    That is one symbol, or two as one number where the alphabet leaves room for that. Rotations are
+    sorted by prefixes that double up to more than LENGTH symbols, which is all that intervals need.
     """
     sizes = np.array([len(t) + 1 for t in texts])
     offset = np.concatenate([[0], sizes.cumsum()])
-    symbols = np.zeros(offset[-1], np.uint16)
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    symbols[:] = raw.astype(np.uint16) + 1
+    symbols = letters[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
     symbols[offset[1:] - 1] = 0
     owner = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(offset[-1]) - offset[owner]
@@ -169,20 +177,34 @@ def transform(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     def ahead(h: int) -> np.ndarray:
         return offset[owner] + (place + h) % sizes[owner]
 
-    rank, have = symbols.astype(np.int64), 1
-    while have < LENGTH:
-        key = rank * (offset[-1] + 258) + rank[ahead(have)]
+    # the first ranks are of as many symbols as fit into a number
+    rank, have, width = symbols.astype(np.int64), 1, int(letters.max()) + 1
+    while (have + 1) * math.log2(width) < 62:
+        rank = rank * width + symbols[ahead(have)]
+        have += 1
+    rank = np.unique(rank, return_inverse=True)[1]
+    while have < LENGTH + 2:
+        key = rank * offset[-1] + rank[ahead(have)]
         order = np.argsort(key, kind="stable")
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty_like(rank)
         rank[order] = new
         have *= 2
     order = np.argsort(rank, kind="stable")
-    return owner[order], place[order], symbols[offset[owner[order]] + (place[order] - 1) % sizes[owner[order]]]
+    owner, place = owner[order], place[order]
+    before = symbols[offset[owner] + (place - 1) % sizes[owner]]
+    if _step(letters) == 2:
+        before = symbols[offset[owner] + (place - 2) % sizes[owner]] * np.uint16(width) + before
+    return owner, place, before
+
+
+def _step(letters: np.ndarray) -> int:
+    """How many symbols a refinement adds: two if all pairs fit into 16 bits."""
+    return 2 if (int(letters.max()) + 1) ** 2 <= 1 << 16 else 1
 
 
-def merged(shards: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' transforms and the block of each place after LENGTH refinements.
+def merged(shards: Sequence[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' transforms and the block of each place, LENGTH symbols deep.
 
     The interleave says which shard each place of the merged order comes from; places in one block have
     rotations that agree in their first LENGTH symbols.
@@ -191,12 +213,12 @@ def merged(shards: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.concatenate(shards)
     origin = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
     block = np.zeros(len(joined), np.int32)
-    for _ in range(LENGTH):
+    for _ in range(LENGTH // step):
         # the n-th place of a shard in the interleave carries the n-th symbol of its transform
         where = np.argsort(origin, kind="stable")
         before = np.empty(len(joined), np.uint16)
         before[where] = joined
-        order = np.argsort(before, kind="stable")  # a counting sort: 257 symbols
+        order = np.argsort(before, kind="stable")  # a radix sort of 16 bits
         origin, block, symbol = origin[order], block[order], before[order]
         edge = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         block = np.concatenate([[0], np.cumsum(edge, dtype=np.int32)]).astype(np.int32)
@@ -205,18 +227,18 @@ def merged(shards: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def intervals(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, place) of the windows of each repeated interval of different texts."""
-    shards, numbers, own, size = [], [], [], 0
+    shards, numbers, own, size, letters = [], [], [], 0, alphabet(texts)
     for i, text in enumerate(texts):
         own.append(i)
         size += len(text) + 1
         if size >= SHARD or i == len(texts) - 1:
-            owner, place, before = transform([texts[j] for j in own])
+            owner, place, before = transform([texts[j] for j in own], letters)
             shards.append(before)
             numbers.append((np.array(own)[owner], place))
             own, size = [], 0
     if not shards:
         return
-    origin, block = merged(shards)
+    origin, block = merged(shards, _step(letters))
     where = np.argsort(origin, kind="stable")
     number, place = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
     number[where], place[where] = (np.concatenate(x) for x in zip(*numbers, strict=True))
@@ -295,7 +317,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     )
     held = texts.join(per_row, "row").select("doc_id", F.col("hash").alias("text"), "body", "at")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, bodies = (batch.column(i).to_pylist() for i in range(3))
             at = batch.column(3)
@@ -311,7 +333,9 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
                 doc = (ids[i], hashes[i])
                 for j in range(edges[i], edges[i + 1]):
                     s, n = int(start[j]), int(windows[j]) % TWICE
-                    if hot[j]:
+                    if hot[j] != hot_ones:
+                        continue
+                    if hot_ones:
                         for w in range(s, s + n):
                             if w + LENGTH <= len(body):
                                 put(-1, 0, doc, w, 1, hashlib.blake2b(body[w : w + LENGTH], digest_size=16).digest())
@@ -329,12 +353,13 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
                 names=["bucket", "anchor", "doc_id", "text", "start", "windows", "context"],
             )
 
-    found = held.mapInArrow(
-        contexts, f"bucket long, anchor long, doc_id {kind}, text long, start long, windows int, context binary"
-    )
-    found = stored(found, "contexts")
-    plain = found.where("bucket >= 0").groupBy("bucket").applyInPandas(_repeated, f"doc_id {kind}, {_RANGES}")
-    hot = found.where("bucket < 0").select("context", F.struct("doc_id", "text", "start").alias("place"))
+    schema = f"bucket long, anchor long, doc_id {kind}, text long, start long, windows int, context binary"
+    found = held.mapInArrow(lambda batches: contexts(batches, False), schema)
+    plain = found.groupBy("bucket").applyInPandas(_repeated, f"doc_id {kind}, {_RANGES}")
+    if not shared.where("hot").limit(1).count():
+        return plain
+    found = held.mapInArrow(lambda batches: contexts(batches, True), schema)
+    hot = found.select("context", F.struct("doc_id", "text", "start").alias("place"))
     least = hot.groupBy("context").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
     late = hot.join(least, "context").where("place <> least").select(
         "place.doc_id", "place.text", F.col("place.start").alias("first"), (F.col("place.start") + 1).alias("last")
@@ -349,9 +374,15 @@ def dedup(documents: DataFrame) -> DataFrame:
         .groupBy(F.struct("doc_id", "text").alias("doc"))
         .agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     )
+    ranges = stored(ranges, "ranges")
     rows = documents.select(
         document_key().alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")
-    ).join(ranges, "doc", "left")
+    )
+    whole = rows.limit(0)
+    if ranges.count() <= BROADCAST_KEYS:  # only the texts that lose something have to move
+        keys = F.broadcast(ranges.select("doc"))
+        whole, rows = rows.join(keys, "doc", "left_anti"), rows.join(keys, "doc", "left_semi")
+    rows = rows.join(ranges, "doc", "left")
 
     @F.arrow_udf("struct<n_removed: bigint, n_spans: bigint, kept: binary>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -374,8 +405,10 @@ def dedup(documents: DataFrame) -> DataFrame:
             kind = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
             yield pa.array(out, kind)
 
-    return rows.select("doc", F.length("body").cast("long").alias("n_bytes"), cut("body", "ranges").alias("_c")).select(
-        "doc", "n_bytes", "_c.*"
+    size, none = F.length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    changed = rows.select("doc", size, cut("body", "ranges").alias("_c")).select("doc", "n_bytes", "_c.*")
+    return changed.unionByName(
+        whole.select("doc", size, none.alias("n_removed"), none.alias("n_spans"), F.col("body").alias("kept"))
     )
 
 

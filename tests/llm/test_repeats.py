@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from nichegrid.llm import repeats
@@ -36,8 +37,9 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("hot, shard", [(20_000, 1 << 16), (3, 1 << 16), (20_000, 500)])
-def test_equals_brute_force(spark, pairs, monkeypatch, hot, shard):
+@pytest.mark.parametrize("hot, shard, keys", [(20_000, 1 << 16, 500_000), (3, 1 << 16, 0), (20_000, 500, 0)])
+def test_equals_brute_force(spark, pairs, monkeypatch, hot, shard, keys):
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", keys)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SHARD", shard)
     rows = [r for r in pairs if r[1] is None or len(r[1]) < 5000] + [(1000 + d, t) for d, t in passages()]
@@ -58,10 +60,13 @@ def test_merging_equals_sorting_everything():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 400))).encode() for _ in range(30)]
     texts += [texts[0][:250] + b"z", b"q" + texts[0][20:300]]
-    shards = [texts[:10], texts[10:25], texts[25:]]
-    _, block = repeats.merged([repeats.transform(s)[2] for s in shards])
-    single = repeats.merged([repeats.transform(texts)[2]])[1]
-    assert sorted(Counter(block.tolist()).values()) == sorted(Counter(single.tolist()).values())
+    for letters in (repeats.alphabet(texts), np.arange(1, 257, dtype=np.uint16)):
+        shards = [repeats.transform(t, letters)[2] for t in (texts[:10], texts[10:25], texts[25:])]
+        _, block = repeats.merged(shards, repeats._step(letters))
+        size = Counter(block.tolist())
+        rotations = [(t + b"\0")[i:] + (t + b"\0")[:i] for t in texts for i in range(len(t) + 1)]
+        first = Counter((r * (100 // len(r) + 1))[:100] for r in rotations)
+        assert sorted(size.values()) == sorted(first.values())
 
 
 def test_awkward_tables(spark, documents, nothing, pairs):
