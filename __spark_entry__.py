@@ -993,6 +993,17 @@ def _(v: Views) -> DataFrame:
     return pipeline.what_if(_run(v, "rf"), {"elevation": 500.0})
 
 
+# what does not depend on the trees: which cells are scored, scores are shares, no shift changes nothing
+@_query(
+    "whatif_zero",
+    f"""select distinct cx, cy, cast(0 as double) as delta, true as is_share
+from ({_CLIP_PIXELS}) join {{pixel}} using (pixel_id)""",
+)
+def _(v: Views) -> DataFrame:
+    same = pipeline.what_if(_run(v, "rf"), {"elevation": 0.0})
+    return same.select("cx", "cy", "delta", F.col("score").between(0, 1).alias("is_share"))
+
+
 def _sample(v: Views) -> DataFrame:
     presence = sampling.sample_layers(surveyed(v), v.pixel, _LAYERS).withColumn(
         "sample_id", F.concat(F.lit("p"), F.col("occ_id").cast("string"))
