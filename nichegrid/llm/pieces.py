@@ -289,6 +289,17 @@ def _lists(rows: list[bytes | None]) -> pa.Array:
 
 
 
+def _parts(batch: pa.Array, rows: int = 256) -> list[pa.Array]:
+    """Slices of a batch, so that only a few rows are Python objects at a time."""
+    return [batch.slice(i, rows) for i in range(0, max(len(batch), 1), rows)]
+
+
+def _numbers(lists: pa.Array) -> Iterator[list[int] | None]:
+    starts = lists.offsets.to_numpy().tolist()
+    for i, none in enumerate(lists.is_null().to_pylist()):
+        yield None if none else lists.values[starts[i] : starts[i + 1]].to_numpy(zero_copy_only=False).tolist()
+
+
 def encode(documents: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
     """``documents`` with a column of ids. Null text gives null, empty text no ids.
 
@@ -299,7 +310,7 @@ def encode(documents: DataFrame, pieces: Pieces, text: str = "text", ids: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = encoder(pieces)
         for batch in batches:
-            yield _lists(list(one(batch.to_pylist())))
+            yield pa.concat_arrays([_lists(list(one(part.to_pylist()))) for part in _parts(batch)])
 
     return documents.withColumn(ids, run(F.col(text).cast("binary")))
 
@@ -312,15 +323,7 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
         one = decoder(pieces)
         for batch in batches:
             # a row at a time: all ids of a batch as Python numbers would take ten times their room
-            values, starts = batch.values.to_numpy(), batch.offsets.to_numpy().tolist()
-            missing = batch.is_null().to_pylist()
-            yield pa.array(
-                (
-                    one(None if none else values[a:b].tolist())
-                    for none, a, b in zip(missing, starts, starts[1:], strict=False)
-                ),
-                pa.binary(),
-            )
+            yield pa.concat_arrays([pa.array(map(one, _numbers(part)), pa.binary()) for part in _parts(batch)])
 
     return rows.withColumn(text, run(F.col(ids)).cast("string"))
 
