@@ -33,7 +33,9 @@ _GAPS = "[\\x20\\x09-\\x0D]+"
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc, place, line (its words joined by single spaces); lines without a word are left out."""
-    rows = documents.select(document_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    # the key first: beside the unfolding it would be worked out for every line
+    keyed = documents.select(document_key().alias("doc"), "text")
+    rows = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     raw = F.col("raw")
     # the usual line has single spaces already; only the others are put together anew
     uneven = raw.startswith(" ") | raw.endswith(" ") | raw.contains("  ")
