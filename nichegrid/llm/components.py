@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from nichegrid.llm.tables import stored
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, which has none: the components are stars."""
+    both = F.array(*(F.struct(F.col(c).alias("node"), F.lit(up).alias("up")) for c, up in (("u", 1), ("v", 0))))
+    ends = edges.select(F.inline(both))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where(
+        "up > 1 or (up > 0 and least = 0)"
+    ).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of the links ``a``, ``b``.
 
@@ -19,10 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every edge now points from a larger to a smaller node
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")
@@ -32,11 +41,7 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = stored(small, "links")
-        changed = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if changed:
-            break
+        edges = stored(small, "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

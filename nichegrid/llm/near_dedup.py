@@ -9,9 +9,9 @@ the threshold shares no bucket with probability ``MISS`` at most.
 
 Documents with equal sets are one node. In a bucket the nodes are not paired with each other: all
 point at one hub, the node that shares most buckets overall, and the edges are confirmed on the full
-sets. A bucket whose nodes are then in one component is settled. The others choose the next hub, and
-after ``ROUNDS`` hubs the pairs between different components that are still open are confirmed one by
-one, so no link between different texts is lost to the star.
+sets. A bucket whose nodes are then in one component is settled. What a star cannot see, a link between
+two nodes of an open bucket that the hub is not linked with, is found by an exact prefix filter over
+the nodes of the open buckets, so no link between different texts is lost to the star.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegrid.llm import wordhash
@@ -31,7 +31,6 @@ from nichegrid.llm.tables import document_key, stored
 
 ROWS = 5
 MISS = 1e-6
-ROUNDS = 3
 #: edges of one hub that meet a copy of its set
 HUB_EDGES = 500
 
@@ -198,38 +197,60 @@ def _links(documents: DataFrame, nodes: DataFrame, size: int, percent: int) -> D
     texts = documents.select(document_key().alias("doc"), "text").join(wanted, "doc")
     sets = stored(_set_of(texts, size).dropDuplicates(["node"]), "sets")
 
-    # hubs are taken in descending order, so of a bucket's nodes those above its last hub have been hubs
-    linked = None
-    open_ = members.select(
-        "bucket", "member", F.col("member.node").alias("component"), F.lit(None).cast(members.schema["member"].dataType).alias("past")
+    hubs = members.groupBy("bucket").agg(F.max("member").alias("hub"))
+    pairs = members.join(hubs, "bucket").where("member <> hub").select(F.col("hub").alias("x"), F.col("member").alias("y"))
+    linked = _more(pairs, sets, percent, None)
+    placed = members.withColumn("node", F.col("member.node"))
+    if linked is None:
+        placed = placed.withColumn("component", F.col("node"))
+    else:
+        placed = placed.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("greatest"))
+    mixed = mixed.where("least <> greatest").select("bucket")
+    open_ = placed.join(mixed, "bucket").select("member", "node", "component").distinct()
+    return _more(_prefix_pairs(stored(open_, "open-nodes"), sets, percent), sets, percent, linked)
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs x, y of different components that can still be linked, by the prefix filter.
+
+    Two sets of n and m hashes at the threshold share at least ``o = percent * (n + m) / (100 + percent)``,
+    so the n - o + 1 rarest of the one and the m - o + 1 rarest of the other have one in common. A copy
+    with many changes of its own has nothing but those there, and meets nobody.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            offsets = np.frombuffer(batch.buffers()[1], np.int32)[batch.offset : batch.offset + len(batch) + 1]
+            flat = np.frombuffer(batch.buffers()[2], np.int64)[offsets[0] // 8 : offsets[-1] // 8]
+            yield pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // 8), pa.array(flat))
+
+    hashes = nodes.join(sets, "node").select("member", "node", "component", F.explode(numbers("own")).alias("hash"))
+    hashes = stored(hashes, "open-hashes")
+    often = hashes.groupBy("hash").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("node").orderBy("often", "hash")
+    n = F.col("member.n")
+    prefix = (
+        hashes.join(often.where("often > 1"), "hash", "left")
+        .withColumn("often", F.coalesce("often", F.lit(1)))
+        .withColumn("place", F.row_number().over(rarest))
+        .where((F.col("place") <= n - F.ceil(n * percent / 100) + 1) & (F.col("often") > 1))
+        .select("hash", "place", "member", "component")
     )
-    for _ in range(ROUNDS):
-        left = open_.where("past is null or member < past")
-        hubs = left.groupBy("bucket").agg(F.max(F.struct("member", "component")).alias("hub"))
-        met = open_.join(hubs, "bucket")
-        pairs = met.where("member < hub.member and component <> hub.component")
-        linked = _more(pairs.select(F.col("hub.member").alias("x"), F.col("member").alias("y")), sets, percent, linked)
-        after = met.select("bucket", "member", F.col("member.node").alias("node"), F.col("hub.member").alias("past"))
-        if linked is not None:
-            after = after.join(linked, "node", "left")
-        else:
-            after = after.withColumn("component", F.col("node"))
-        after = after.withColumn("component", F.coalesce("component", "node"))
-        several = after.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("greatest"))
-        several = several.where("least <> greatest").select("bucket")
-        open_ = stored(after.join(several, "bucket").select("bucket", "member", "component", "past"), "open-buckets")
-        if open_.isEmpty():
-            return linked
-    rest = open_.where("member < past").select("bucket", "member", "component")
-    other = rest.select("bucket", F.col("member").alias("x"), F.col("component").alias("of"))
-    pairs = rest.join(other, "bucket").where("member < x and component <> of")
-    return _more(pairs.select("x", F.col("member").alias("y")), sets, percent, linked)
+    prefix = stored(prefix, "prefixes")
+    mixed = prefix.groupBy("hash").agg(F.min("component").alias("least"), F.max("component").alias("greatest"))
+    left = prefix.join(mixed.where("least <> greatest").select("hash"), "hash")
+    right = left.select("hash", F.col("place").alias("at"), F.col("member").alias("x"), F.col("component").alias("of"))
+    least = F.ceil((F.col("x.n") + F.col("member.n")) * percent / (100 + percent))
+    near = (F.col("at") <= F.col("x.n") - least + 1) & (F.col("place") <= F.col("member.n") - least + 1)
+    other = (F.col("member") < F.col("x")) & (F.col("component") != F.col("of"))
+    return left.join(right, "hash").where(other & near).select("x", F.col("member").alias("y"))
 
 
 def _more(pairs: DataFrame, sets: DataFrame, percent: int, linked: DataFrame | None) -> DataFrame | None:
     """The components once the links among ``pairs`` of members are added to those known."""
-    fits = F.col("y.n") * 100 >= F.col("x.n") * percent
-    fits = fits & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     edges = stored(
         pairs.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "edges"
     )
