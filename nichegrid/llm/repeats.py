@@ -14,9 +14,10 @@ are sorted on their own:
   after LENGTH steps are a repeated interval: windows with a common prefix of LENGTH bytes.
 * In each interval all windows but the earliest are repeats.
 
-An anchor with very many contexts (a short line that most documents hold) would make a bucket of its
+Contexts are counted by anchor in an ordinary aggregate before any of them are brought together. An
+anchor with very many contexts (a short line that most documents hold) would make a bucket of its
 own size. Above HOT contexts its windows are dealt by their own digest instead, and their earliest
-place is an ordinary aggregate.
+place is an ordinary aggregate; anchors and digests that are hot are marked by a broadcast.
 
 Documents are ordered by doc_id (missing first), then by the hash of their text; rows that share both
 are one document and come out alike. Null counts as empty.
@@ -93,10 +94,19 @@ def _packed(**columns: tuple[Sequence, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
 
 
-def _shared(documents: DataFrame) -> DataFrame:
-    """row, anchor, start, windows, hot of the contexts whose anchor occurs twice or more."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / (BUCKET * 10 * LENGTH // 2)))
+def _met(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``counted``: key, n (how many rows have it, or more) and further columns.
+
+    Keys of more than HOT rows are at most one in HOT rows and are broadcast, so their rows stay where
+    they are; the others are dealt by key, at most HOT rows each. No task holds all rows of a hot key.
+    """
+    many = F.broadcast(counted.where(F.col("n") > HOT))
+    few = rows.join(many.select(key), key, "left_anti").join(counted.where(F.col("n") <= HOT), key)
+    return rows.join(many, key).unionByName(few)
+
+
+def _occurrences(documents: DataFrame) -> DataFrame:
+    """row, anchor, start, windows of every context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,48 +119,21 @@ def _shared(documents: DataFrame) -> DataFrame:
             if not found:
                 continue
             a, r, s, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(a, kind="stable")
-            a, r, s, c = a[order], r[order], s[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            times = np.diff(np.append(first, len(a)))
-            # every anchor goes on once, with how often the batch holds it; what stands twice here is
-            # known to be shared and waits only for its count
-            to = (a[first] % np.uint64(buckets)).astype(np.int64)
-            deal = np.argsort(to, kind="stable")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=buckets))])
-            held = np.flatnonzero(np.diff(cuts))
-            ends = np.append(first, len(a))
-
-            def cut(b: int, kind: int) -> bytes:
-                own = deal[cuts[b] : cuts[b + 1]]
-                if kind == 0:
-                    return a[first[own]].tobytes()
-                if kind == 1:
-                    return times[own].astype(np.int64).tobytes()
-                at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in own])
-                return {2: r, 3: s.astype(np.int64), 4: c.astype(np.uint8)}[kind][at].tobytes()
-
             yield _packed(
-                bucket=(held, pa.int32()),
-                **{f"x{k}": ([cut(b, k) for b in held], pa.binary()) for k in range(5)},
-            )
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        a, n, r, s, c = (
-            np.concatenate([np.frombuffer(x, kind) for x in frame[f"x{k}"]])
-            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int64, np.uint8))
-        )
-        own, at = np.unique(a, return_inverse=True)
-        total = np.bincount(np.repeat(at, n), 1 + c // TWICE).astype(np.int64)[at]
-        keep = np.repeat(total > 1, n)
-        every = np.repeat(a, n)[keep].view(np.int64)
-        hot = np.repeat(total > HOT, n)[keep]
-        return pd.DataFrame({"row": r[keep], "anchor": every, "start": s[keep], "windows": c[keep].astype("int32"), "hot": hot})
-
-    blobs = documents.select(
-        F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")
-    ).mapInArrow(find, "bucket int, x0 binary, x1 binary, x2 binary, x3 binary, x4 binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "row long, anchor long, start long, windows int, hot boolean")
+                row=(r, pa.int64()), anchor=(a.view(np.int64), pa.int64()),
+                start=(s.astype(np.int64), pa.int64()), windows=(c.astype(np.int32), pa.int32()),
+            )
+
+    blobs = documents.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
+    return blobs.mapInArrow(find, "row long, anchor long, start long, windows int")
+
+
+def _shared(documents: DataFrame) -> DataFrame:
+    """row, anchor, start, windows, hot of the contexts whose anchor occurs twice or more."""
+    every = stored(_occurrences(documents), "contexts")
+    times = F.when(F.col("windows") >= TWICE, 2).otherwise(1)
+    totals = stored(every.groupBy("anchor").agg(F.sum(times).alias("n")).where("n > 1"), "anchor-counts")
+    return _met(every, totals, "anchor").select("row", "anchor", "start", "windows", (F.col("n") > HOT).alias("hot"))
 
 
 def alphabet(texts: Sequence[bytes]) -> np.ndarray:
@@ -359,9 +342,9 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     if not shared.where("hot").limit(1).count():
         return plain
     found = held.mapInArrow(lambda batches: contexts(batches, True), schema)
-    hot = found.select("context", F.struct("doc_id", "text", "start").alias("place"))
+    hot = stored(found.select("context", F.struct("doc_id", "text", "start").alias("place")), "hot-windows")
     least = hot.groupBy("context").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
-    late = hot.join(least, "context").where("place <> least").select(
+    late = _met(hot, stored(least, "hot-least"), "context").where("place <> least").select(
         "place.doc_id", "place.text", F.col("place.start").alias("first"), (F.col("place.start") + 1).alias("last")
     )
     return plain.unionByName(late)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nichegrid.llm import repeats
 from nichegrid.llm.tables import document_key
@@ -73,3 +74,13 @@ def test_awkward_tables(spark, documents, nothing, pairs):
     assert repeats.judge(nothing).isEmpty()
     got = repeats.judge(documents)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and got.count() == len(pairs)
+
+
+def test_no_task_holds_all_contexts_of_a_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 50)
+    shared = "a passage that every document holds, word by word, and that is well over a hundred bytes long, so that it has windows of its own."
+    rows = [(i, f"{i:05d} {shared}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    held = repeats._shared(df).where("hot").groupBy("anchor", F.spark_partition_id().alias("task")).count()
+    most = held.groupBy("anchor").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
+    assert most and all(r.n >= 400 and 2 * r.most < r.n for r in most)
