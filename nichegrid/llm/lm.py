@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.llm.tables import fold, stored
@@ -123,10 +123,28 @@ def count(documents: DataFrame) -> Counts:
             low = r["bin"]
         return low
 
-    model, frequent = lowest(CLASSES * WIDTH - RESTS - 1), lowest(FREQUENT)
+    def filled(most: int) -> Column:
+        """Whether a word is among the ``most`` most frequent; equal counts in the order of the words.
+
+        Only the bin that crosses the bound is put in order.
+        """
+        low = lowest(most)
+        left = most - sum(r["words"] for r in bins if r["bin"] >= low)
+        crossing = max((r["bin"] for r in bins if r["bin"] < low and r["words"]), default=None)
+        whole = F.col("bin") >= low
+        if crossing is None or left <= 0:
+            return whole
+        taken = counted.where((F.col("bin") == crossing) & F.col("word").isNotNull())
+        last = taken.orderBy(F.desc("c"), "word").limit(left).orderBy("c", F.desc("word")).first()
+        c, word = F.lit(last["c"]), F.lit(bytes(last["word"]))
+        in_part = (F.col("c") > c) | ((F.col("c") == c) & (F.col("word") <= word))
+        return whole | ((F.col("bin") == crossing) & in_part)
+
+    model = F.col("word").isNotNull() & filled(CLASSES * WIDTH - RESTS - 1)
+    broadcast = F.col("word").isNotNull() & ((F.col("bin") >= lowest(FREQUENT)) | model)
     rest = F.crc32(F.expr("substring(word, -2, 2)")) % RESTS
     rests = (
-        counted.where((F.col("bin") < model) & F.col("word").isNotNull())
+        counted.where(~model & F.col("word").isNotNull())
         .groupBy(rest.alias("rest"))
         .agg(F.sum("c").alias("t"), F.count("*").alias("v"))
         .collect()
@@ -134,12 +152,12 @@ def count(documents: DataFrame) -> Counts:
     total, size = np.zeros(RESTS), np.ones(RESTS)
     for r in rests:
         total[r["rest"]], size[r["rest"]] = r["t"], r["t"] + r["v"] + 1
-    known = counted.where((F.col("bin") >= frequent) & F.col("word").isNotNull()).orderBy(F.desc("c"), "word")
-    known = [(bytes(r["word"]), r["c"], r["bin"]) for r in known.collect()]
+    known = counted.where(broadcast).withColumn("model", model).orderBy(F.desc("c"), "word")
+    known = [(bytes(r["word"]), r["c"], r["model"]) for r in known.collect()]
     ends = counted.where("word is null").agg(F.sum("c")).first()[0] or 0
 
     # symbols by falling frequency: the end, the rests, and the words of the model
-    modelled = [i for i, (_, _, b) in enumerate(known) if b >= model]
+    modelled = [i for i, (_, _, own) in enumerate(known) if own]
     frequency = [(ends, -1, 0), *((t, -2, i) for i, t in enumerate(total)), *((known[i][1], 0, i) for i in modelled)]
     symbol, rest_symbol, end_symbol = np.full(len(known), -1), np.zeros(RESTS, np.int64), 0
     for place, (_, kind, i) in enumerate(sorted(frequency, key=lambda x: (-x[0], x[1], x[2]))):
@@ -154,7 +172,7 @@ def count(documents: DataFrame) -> Counts:
             symbol[i] = -1 - rest_of(word)  # a word of a rest
     return Counts(
         n, distinct, ends, {w: i for i, (w, _, _) in enumerate(known)}, np.array([c for _, c, _ in known], np.int64),
-        symbol, rest_symbol, size, end_symbol, counted.where((F.col("bin") < frequent) & F.col("word").isNotNull()),
+        symbol, rest_symbol, size, end_symbol, counted.where(~broadcast & F.col("word").isNotNull()),
     )
 
 

@@ -72,3 +72,14 @@ def test_empty_tables(spark, nothing):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = lm.judge(spark.createDataFrame([(held, "a b", "x")], "doc_id long, text string, word string")).first()
     assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (3, 0, 0, 0.0)
+
+
+def test_equal_counts_fill_the_model(spark):
+    words = [f"w{i:04d}" for i in range(1500)]  # all equally frequent, more than the model holds
+    texts = [" ".join(words)] * 12
+    counts = lm.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    most = lm.CLASSES * lm.WIDTH - lm.RESTS - 1
+    held = [w.decode() for w, i in counts.words.items() if counts.symbol[i] >= 0]
+    assert sorted(held) == words[:most]
+    symbols = [*counts.symbol[counts.symbol >= 0], *counts.rest_symbol, counts.end_symbol]
+    assert sorted(symbols) == list(range(lm.CLASSES * lm.WIDTH))
