@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichegrid.functions.hashing import uniform
 from nichegrid.operators.grid import cells_of_extent
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -188,11 +187,24 @@ def oracle(body: str) -> str:
 # ---- tables for the modelling queries (no oracle) -------------------------------------------
 
 
+#: columns from its own to the cells that a sighting chooses among; the raster is 250 wide
+_ROAMS = (0, 61, 122, 183)
+
+
 def surveyed(views: Views) -> DataFrame:
-    """Sightings that favour high ground, so that a model has something to learn."""
-    on_ground = views.sighting.join(views.pixel.select("cx", "cy", "elevation"), ["cx", "cy"])
-    favoured = F.pow(F.greatest(F.col("elevation"), F.lit(0.0)) / 4500.0, 2)
-    return on_ground.where(uniform(["occ_id"], "survey") < favoured).drop("elevation")
+    """Every sighting, in the highest of a few cells of its row, so that a model has something to learn.
+
+    A cell without a pixel is the last choice, and of cells alike the nearest to its own wins.
+    """
+    near = views.sighting.select(
+        "occ_id", "species", "yr", "cx", "cy", F.explode(F.array(*map(F.lit, _ROAMS))).alias("_shift")
+    ).withColumn("cx", (F.col("cx") + F.col("_shift")) % 250)
+    on_ground = near.join(views.pixel.select("cx", "cy", "elevation"), ["cx", "cy"], "left")
+    choice = F.struct("elevation", (-F.col("_shift")).alias("_near"), "cx", "cy")  # null is the least
+    chosen = on_ground.groupBy("occ_id", "species", "yr").agg(F.max(choice).alias("_at"))
+    return chosen.select("occ_id", "species", "yr", "_at.cx", "_at.cy").withColumns(
+        {"lon": F.col("cx") + 0.5, "lat": F.col("cy") + 0.5}
+    )
 
 
 def pixel_years(views: Views) -> DataFrame:

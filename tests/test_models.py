@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from nichegrid.functions import catalogue, vectors
 from nichegrid.operators import correlation, metrics, sampling, zonal
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.plans import embedding, evaluation, forest, maxent, pipeline
+from nichegrid.standins import Views, surveyed
 
 STEP = 1.0
 
@@ -352,3 +355,15 @@ def test_evaluation_rows(spark):
     rows = embedding.evaluation_rows(df, spark.createDataFrame([(0.6,)], "score double"))
     assert {tuple(r) for r in rows.collect()} == {(0.8, 1), (0.6, 0)}
     assert roc_auc(rows).first()["roc_auc"] == 1.0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables not present")
+def test_surveyed_keeps_every_sighting(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    kept = surveyed(views)
+    assert kept.select("occ_id", "species", "yr").exceptAll(views.sighting.select("occ_id", "species", "yr")).isEmpty()
+    assert kept.count() == views.sighting.count()
+    cells = views.pixel.select("cx", "cy", "elevation")
+    high, all_over = (d.agg(F.avg("elevation")).first()[0] for d in (kept.join(cells, ["cx", "cy"]), cells))
+    assert high > all_over + 300
+    assert kept.where((F.floor("lon") != F.col("cx")) | (F.floor("lat") != F.col("cy"))).isEmpty()
