@@ -823,6 +823,40 @@ def _(v: Views) -> DataFrame:
     return metrics.roc_auc(embedding.evaluation_rows(presences, background)).select(_r("roc_auc"))
 
 
+# the whole run: presences sampled on the mosaic of a year, background, AUC, surface clipped to the area
+_MOSAIC_STEP, _MOSAIC_YEAR = 10.0, 2021
+
+
+def _embedding_run(v: Views) -> pipeline.Run:
+    config = RunConfig(model_type="embedding", year_start=_MOSAIC_YEAR)
+    return pipeline.run_embedding(
+        config, v.sighting, v.boundary_edge, v.mosaic, _MOSAIC_STEP, tile=40.0, projected=True
+    )
+
+
+@_query(
+    "embedding_run",
+    f"""with y as (select cx, cy, embedding from {{mosaic}} where year = {_MOSAIC_YEAR}),
+a as (select embedding from {{sighting}} s join y on y.cx = floor(s.lon/10) and y.cy = floor(s.lat/10)),
+p as (select unnest(embedding)::double x, generate_subscripts(embedding,1) i from a),
+m as (select i, avg(x) m from p group by 1),
+e as (select cx, cy, unnest(embedding)::double x, generate_subscripts(embedding,1) i from y),
+s as (select cx, cy, sum(x*m)/greatest(sqrt(sum(x*x)),1e-9) as score from e join m using(i) group by 1, 2),
+c as (select cx, cy from y join {{boundary_edge}}
+  on (y1>(cy+0.5)*10)<>(y2>(cy+0.5)*10) and (cx+0.5)*10 < (x2-x1)*((cy+0.5)*10-y1)/(y2-y1)+x1
+  group by cx, cy, cntr_code, nuts_name having count(*)%2=1)
+select cx, cy, round(score, 6) as score from s join (select distinct cx, cy from c) using (cx, cy)""",
+)
+def _(v: Views) -> DataFrame:
+    return _embedding_run(v).surface.select("cx", "cy", _r("score"))
+
+
+# background points are drawn by hash in the area, so there is no SQL for it
+@_query("embedding_run_auc")
+def _(v: Views) -> DataFrame:
+    return _embedding_run(v).results
+
+
 # ---- quality and summaries ------------------------------------------------------------------
 
 _JUDGED = """select case when o_orderstatus = 'F' then 1 else 0 end as y,

@@ -50,3 +50,7 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry_module.entry(spark).columns == ["roc_auc"]
+
+
+def test_whole_embedding_run_is_registered():
+    assert {"embedding_run", "embedding_run_auc"} <= set(QUERIES) and "embedding_run" in ORACLES
