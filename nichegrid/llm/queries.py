@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichegrid.llm import decontaminate, line_dedup, lm, near_dedup, pieces, quality_model, quality_rules, repeats, sharding, toxicity
+from nichegrid.llm import (
+    collocations,
+    conversations,
+    decontaminate,
+    line_dedup,
+    lm,
+    near_dedup,
+    pieces,
+    quality_model,
+    quality_rules,
+    repeats,
+    sharding,
+    toxicity,
+)
 from nichegrid.llm.oracles import ORACLES
 from nichegrid.llm.tables import table
 
@@ -72,5 +85,15 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load(PIECES_PATH))
 
 
+@_query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.judge(table(spark, folder, "conversations"))
+
+
+@_query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.ranked(table(spark, folder, "documents"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, sql in ORACLES.items() if name in QUERIES}
