@@ -112,8 +112,40 @@ select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(item.n,
 from d left join hit using (r) left join item using (r)
 """
 
+_COLLOCATIONS = r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+    regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces
+  from documents),
+p as (select lang, unnest(pieces) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+f as (
+  select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase, count(*) as c
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from w, (values (1), (2), (3)) as s(size)
+        where len(w) >= size)
+  group by all),
+total as (select lang, sum(c)::bigint as n from f where size = 1 group by lang),
+found as (select lang, size, phrase, c as a, string_split(phrase, ' ') as q from f where size > 1 and c >= 10),
+cut as (
+  select found.lang, found.phrase, found.size, a, k, l.c as l, r.c as r,
+    (1000000::hugeint * a * a) // (l.c::hugeint * r.c) as score
+  from (select *, unnest(range(1, size)) as k from found) as found
+  join f as l on l.lang = found.lang and l.size = k and l.phrase = array_to_string(q[1:k], ' ')
+  join f as r on r.lang = found.lang and r.size = found.size - k and r.phrase = array_to_string(q[k + 1:], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+within as (
+  select lang, phrase, max(a) as most
+  from (select lang, a, array_to_string(q[o:o + 1], ' ') as phrase from found, (values (1), (2)) as v(o) where size = 3)
+  group by all),
+ranked as (
+  select best.*, row_number() over (partition by best.lang order by score desc, a desc, best.phrase) as rank
+  from best left join within using (lang, phrase) where most is null or 100 * most < 50 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION,
     "op2_quality_rules": _QUALITY,
     "op4_sharding": _SHARDING,
+    "op13_collocations": _COLLOCATIONS,
 }

@@ -10,6 +10,7 @@ from nichegrid.llm import (
     collocations,
     conversations,
     decontaminate,
+    jaccard_join,
     line_dedup,
     lm,
     near_dedup,
@@ -85,6 +86,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load(PIECES_PATH))
 
 
+@_query
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.judge(table(spark, folder, "documents"))
+
+
 @_query
 def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.judge(table(spark, folder, "conversations"))
