@@ -12,7 +12,7 @@ and positional bounds), and all its shingles must then be found at their places,
 containment, since shingles are compared as words.
 
 Only DataFrame functions are used. Documents are read and cut into words once; what goes on from
-there are the places that hold a shingle of some item.
+there are the places that hold a shingle of some item, and one row with the number of words.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WINDOW = 10
 SHINGLE = 3
 #: item shingles up to this number are broadcast (some 100 bytes each); beyond, both sides are shuffled
 BROADCAST_SHINGLES = 300_000
+#: keys that the rows standing for whole documents are dealt over
+LEADS = 1024
 _OTHER = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -62,33 +64,61 @@ def _shingles(wins: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc (key), item_id, start, size: every place where a document holds a window of an item."""
-    owned = stored(windows_of(items, window), "item-windows")
-    wins = owned.select("win").distinct().withColumn("win_id", F.md5(F.to_json(F.struct("win")).cast("binary")))
-    parts = stored(_shingles(wins), "item-shingles")
+def _keyed(size: Column, words_of: list[Column]) -> Column:
+    return F.xxhash64(size, *words_of)
+
+
+def shingle_places(documents: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc (key), at, shingle, room: every place where a document holds a shingle of ``parts``, and how many words
+    are left from there; with ``at`` -1 and an empty shingle one row per row of ``documents``, its words.
+
+    A text is read and cut once. Places are looked up by hash, then compared as words.
+    """
+    # few, whatever the items: shingles are shorter only in windows that are
+    lengths = sorted(r[0] for r in parts.select(F.size("shingle")).distinct().collect()) or [SHINGLE]
     distinct = parts.select("shingle").distinct()
-    # one entry per first word and length: a document place is looked up by hash, then compared as words
-    lengths = sorted(r[0] for r in parts.select(F.size("shingle")).distinct().collect())
-    known = distinct.select("shingle", F.xxhash64(F.size("shingle"), F.array_join("shingle", " ")).alias("hash"))
-    if distinct.count() <= BROADCAST_SHINGLES:
-        known = F.broadcast(known)
+    by_word = [F.get("shingle", F.lit(i)) for i in range(SHINGLE)]
+    keys = [F.when(F.size("shingle") == n, _keyed(F.lit(n), by_word[:n])) for n in lengths]
+    known = distinct.select("shingle", F.coalesce(*keys).alias("hash"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(LEADS - 1))).alias("lead")
+    leads = documents.sparkSession.range(1).select(spread).select(
+        F.array().cast("array<string>").alias("shingle"), F.xxhash64(F.lit("document"), "lead").alias("hash")
+    )
+    few = distinct.count() <= BROADCAST_SHINGLES
+    known = known.unionByName(leads)
 
     cut = documents.select(document_key().alias("doc"), words(F.col("text")).alias("w"))
-    here = cut.select("doc", "w", F.posexplode("w").alias("at", "word"))
-    second, third = F.get("w", F.col("at") + 1), F.get("w", F.col("at") + 2)
-    ways = {1: F.col("word"), 2: F.concat_ws(" ", "word", second), 3: F.concat_ws(" ", "word", second, third)}
-    room = F.size("w") - F.col("at")
-    found = None
-    for size in lengths:
-        place = here.where(room >= size).withColumn("hash", F.xxhash64(F.lit(size), ways[size]))
-        same = place.join(known, "hash").where(
-            F.slice("w", F.col("at") + 1, F.lit(size)) == F.col("shingle")
-        ).select("doc", "at", "shingle", room.alias("room"))
-        found = same if found is None else found.unionByName(same)
-    if found is None:
-        found = here.where(F.lit(False)).select("doc", "at", F.array("word").alias("shingle"), room.alias("room"))
-    hits = stored(found, "shingle-places")
+    lead = F.xxhash64(F.lit("document"), F.pmod(F.xxhash64("doc"), F.lit(LEADS)).cast("int"))
+    # the row before the first word stands for the document
+    here = cut.select("doc", "w", lead.alias("lead"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
+    here = here.withColumn("at", F.col("at") - 1)
+    room = F.size("w") - F.greatest("at", F.lit(0))
+    following = [F.col("word"), *(F.get("w", F.col("at") + i) for i in range(1, SHINGLE))]
+    hashes = [F.when(room >= n, _keyed(F.lit(n), following[:n])) for n in lengths]
+    own = F.when(F.col("at") < 0, F.col("lead"))
+    if len(lengths) == 1:
+        place = here.withColumn("hash", own.otherwise(hashes[0]))
+    else:
+        several = F.filter(F.array(*hashes), lambda h: h.isNotNull())
+        place = here.withColumn("hash", F.explode(F.when(F.col("at") < 0, F.array("lead")).otherwise(several)))
+    room = room.alias("room")
+    if few:
+        same = F.slice("w", F.greatest("at", F.lit(0)) + 1, F.size("shingle")) == F.col("shingle")
+        return place.join(F.broadcast(known), "hash").where(same).select("doc", "at", "shingle", room)
+    # the words of the place travel, not those of the text
+    ahead = F.slice("w", F.greatest("at", F.lit(0)) + 1, F.lit(SHINGLE)).alias("ahead")
+    moved = place.where("hash is not null").select("doc", "at", "hash", room, ahead).join(known, "hash")
+    same = F.slice("ahead", F.lit(1), F.size("shingle")) == F.col("shingle")
+    return moved.where(same).select("doc", "at", "shingle", "room")
+
+
+def _found(documents: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The stored places of shingles, and doc, item_id, start, size of the windows that are there."""
+    owned = stored(windows_of(items, window), "item-windows")
+    wins = owned.select("win").distinct().withColumn("win_id", F.md5(F.to_json(F.struct("win")).cast("binary")))
+    parts = stored(_shingles(wins), "item-shingles")
+    places = stored(shingle_places(documents, parts), "shingle-places")
+    hits = places.where("at >= 0")
 
     often = hits.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = parts.join(often, "shingle")  # a window with a shingle that no document holds has no occurrence
@@ -116,7 +146,12 @@ def occurrences(documents: DataFrame, items: DataFrame, window: int = WINDOW) ->
         .where(F.col("n") == F.greatest(F.col("size") - SHINGLE + 1, F.lit(1)))
     )
     owners = owned.join(wins, "win").select("win_id", "item_id")
-    return verified.join(owners, "win_id").select("doc", "item_id", "start", "size")
+    return places, verified.join(owners, "win_id").select("doc", "item_id", "start", "size")
+
+
+def occurrences(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc (key), item_id, start, size: every place where a document holds a window of an item."""
+    return _found(documents, items, window)[1]
 
 
 def judge(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,7 +160,8 @@ def judge(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     Null and empty texts have no words and no hits; without items nothing is hit. Rows of ``items``
     that repeat are one item, and an item without an id counts but is left out of the joined ids.
     """
-    found = stored(occurrences(documents, items, window), "occurrences")
+    places, found = _found(documents, items, window)
+    found = stored(found, "occurrences")
     covered = (
         found.select("doc", "start", "size")
         .distinct()
@@ -143,12 +179,9 @@ def judge(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     hit = covered.join(named, "doc").select(
         "doc", "n_hit", "n_items", F.array_join("ids", ",").alias("ids")
     )
-    counted = F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
-    rows = documents.select(
-        "doc_id", document_key().alias("doc"), F.coalesce(counted, F.lit(0)).cast("long").alias("n_words")
-    )
+    rows = places.where("at < 0").select("doc", F.col("room").cast("long").alias("n_words"))
     return rows.join(hit, "doc", "left").select(
-        "doc_id",
+        F.col("doc.doc_id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -159,6 +192,6 @@ def judge(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
 
 def clean(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without those that hold a window of an item; rows of one document go together."""
-    found = occurrences(documents, items, window).select(F.col("doc").alias("_doc")).distinct()
-    rows = documents.withColumn("_key", document_key())
-    return rows.join(found, F.col("_key") == F.col("_doc"), "left_anti").select(*documents.columns)
+    found = occurrences(documents, items, window).select("doc").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("row"), document_key().alias("doc"))
+    return rows.join(found, "doc", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

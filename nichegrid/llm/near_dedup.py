@@ -274,6 +274,6 @@ def judge(documents: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one document of each group, its first; columns stay as they are."""
-    gone = groups(documents, size, percent).where("doc <> first").select(F.col("doc").alias("_doc")).distinct()
-    rows = documents.withColumn("_key", document_key())
-    return rows.join(gone, F.col("_key") == F.col("_doc"), "left_anti").select(*documents.columns)
+    gone = groups(documents, size, percent).where("doc <> first").select("doc").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("row"), document_key().alias("doc"))
+    return rows.join(gone, "doc", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

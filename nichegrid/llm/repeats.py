@@ -235,30 +235,21 @@ def intervals(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
     """doc, first, last: ranges of windows of a bucket's contexts that start earlier elsewhere."""
-    frame = frame.sort_values(["anchor", "context", "doc_id", "text", "start"], na_position="first", kind="stable")
+    frame = frame.sort_values(["anchor", "context", *_DOC, "start"], kind="stable")
     same = (frame["anchor"] == frame["anchor"].shift()) & (frame["context"] == frame["context"].shift())
     group = (~same).cumsum()
     lead = frame[~same]
     at_lead = lead.iloc[group.to_numpy() - 1]
-    later = ~(
-        (frame["start"].to_numpy() == at_lead["start"].to_numpy())
-        & (frame["text"].to_numpy() == at_lead["text"].to_numpy())
-        & (frame["doc_id"].fillna(0).to_numpy() == at_lead["doc_id"].fillna(0).to_numpy())
-        & (frame["doc_id"].isna().to_numpy() == at_lead["doc_id"].isna().to_numpy())
-    )
-    out = frame.loc[later, ["doc_id", "text", "start", "windows"]].copy()
+    later = (frame[[*_DOC, "start"]].to_numpy() != at_lead[[*_DOC, "start"]].to_numpy()).any(axis=1)
+    out = frame.loc[later, [*_DOC, "start", "windows"]].copy()
     out["last"] = out["start"] + out["windows"] % TWICE
-    out = out.rename(columns={"start": "first"})[["doc_id", "text", "first", "last"]]
+    out = out.rename(columns={"start": "first"})[[*_DOC, "first", "last"]]
     # a context that is alone with its anchor has no window in common with another
     several = lead["anchor"].duplicated(keep=False) | (lead["windows"] >= TWICE)
     lead = lead[several].reset_index(drop=True)
     if len(lead):
         # places in order: the first documents come first
-        order = lead[["doc_id", "text"]].sort_values(["doc_id", "text"], na_position="first").index
-        known = lead[["doc_id", "text"]].iloc[order]
-        step = (known != known.shift()).any(axis=1) & ~(known.isna() & known.shift().isna()).all(axis=1)
-        rank = np.empty(len(lead), np.int64)
-        rank[order] = step.cumsum()
+        rank = lead.groupby(_DOC, sort=True).ngroup().to_numpy()
         start = lead["start"].to_numpy()
         texts = lead["context"].tolist()
         numbers, places = [], []
@@ -276,12 +267,14 @@ def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
             begin = np.concatenate([[True], (number[1:] != number[:-1]) | (place[1:] > place[:-1] + 1)])
             a = np.flatnonzero(begin)
             b = np.append(a[1:], len(number)) - 1
-            got = lead.loc[number[a], ["doc_id", "text"]].reset_index(drop=True)
+            got = lead.loc[number[a], _DOC].reset_index(drop=True)
             got["first"], got["last"] = start[number[a]] + place[a], start[number[a]] + place[b] + 1
             out = pd.concat([out, got])
     return out.astype({"first": "int64", "last": "int64"})
 
 
+#: a document inside a bucket. A missing id is its own column: pandas makes numbers beside a null inexact
+_DOC = ["has_id", "doc_id", "text"]
 _RANGES = "text long, first long, last long"
 
 
@@ -298,22 +291,25 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
         F.col("text").cast("binary").alias("body"),
     )
-    held = texts.join(per_row, "row").select("doc_id", F.col("hash").alias("text"), "body", "at")
+    id_ = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id")
+    held = texts.join(per_row, "row").select(
+        id_, F.col("hash").alias("text"), "body", "at", F.col("doc_id").isNotNull().alias("has_id")
+    )
 
     def contexts(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, bodies = (batch.column(i).to_pylist() for i in range(3))
+            ids, hashes, bodies, has_id = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             at = batch.column(3)
             edges = at.offsets.to_numpy()
             anchor, start, windows, hot = (at.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
 
             def put(bucket, own, doc, first, n, context, rows=rows):
                 for column, value in zip(rows, (bucket, own, *doc, first, n, context), strict=True):
                     column.append(value)
 
             for i, body in enumerate(bodies):
-                doc = (ids[i], hashes[i])
+                doc = (has_id[i], ids[i], hashes[i])
                 for j in range(edges[i], edges[i + 1]):
                     s, n = int(start[j]), int(windows[j]) % TWICE
                     if hot[j] != hot_ones:
@@ -329,20 +325,22 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
                     put(int(anchor[j]) % buckets, int(anchor[j]), doc, s, int(windows[j]), context)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
-                    pa.array(rows[2], batch.column(0).type), pa.array(rows[3], pa.int64()),
-                    pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.int32()), pa.array(rows[6], pa.binary()),
+                    pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()),
+                    pa.array(rows[3], batch.column(0).type), pa.array(rows[4], pa.int64()),
+                    pa.array(rows[5], pa.int64()), pa.array(rows[6], pa.int32()), pa.array(rows[7], pa.binary()),
                 ],
-                names=["bucket", "anchor", "doc_id", "text", "start", "windows", "context"],
+                names=["bucket", "anchor", "has_id", "doc_id", "text", "start", "windows", "context"],
             )
 
-    schema = f"bucket long, anchor long, doc_id {kind}, text long, start long, windows int, context binary"
+    own = F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id")
+    schema = f"bucket long, anchor long, has_id boolean, doc_id {kind}, text long, start long, windows int, context binary"
     found = held.mapInArrow(lambda batches: contexts(batches, False), schema)
-    plain = found.groupBy("bucket").applyInPandas(_repeated, f"doc_id {kind}, {_RANGES}")
+    plain = found.groupBy("bucket").applyInPandas(_repeated, f"has_id boolean, doc_id {kind}, {_RANGES}")
+    plain = plain.select(own, "text", "first", "last")
     if not shared.where("hot").limit(1).count():
         return plain
     found = held.mapInArrow(lambda batches: contexts(batches, True), schema)
-    hot = stored(found.select("context", F.struct("doc_id", "text", "start").alias("place")), "hot-windows")
+    hot = stored(found.select("context", F.struct(own, "text", "start").alias("place")), "hot-windows")
     least = hot.groupBy("context").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
     late = _met(hot, stored(least, "hot-least"), "context").where("place <> least").select(
         "place.doc_id", "place.text", F.col("place.start").alias("first"), (F.col("place.start") + 1).alias("last")
@@ -396,6 +394,10 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 
 def judge(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``documents``.
+
+    Null text has no bytes and the digest of nothing; an empty table has no rows; see ``dedup``.
+    """
     return dedup(documents).select(
         "doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )

@@ -65,6 +65,27 @@ def test_without_broadcast(spark, documents, pairs, monkeypatch):
     assert got == brute(pairs, [r[:2] for r in rows])
 
 
+def test_words_of_the_text_stay_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 0)
+    text = " ".join(f"w{i % 700}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "y")], "doc_id long, text string, _key string")
+    items = items_of(spark, [(7, " ".join(f"w{i}" for i in range(40, 60)), "", ""), (8, "w1 w2", "", "")])
+    parts = decontaminate._shingles(decontaminate.windows_of(items).withColumnRenamed("item_id", "win_id"))
+    plan = decontaminate.shingle_places(docs, parts)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("Join Inner") :].split("Generate")[0]
+    assert "ahead" in moved and "slice(w" in moved
+    assert sorted(map(tuple, decontaminate.judge(docs, items).collect())) == brute([(1, text), (2, None)], [
+        (7, " ".join(f"w{i}" for i in range(40, 60))), (8, "w1 w2")])
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == ["doc_id", "text", "_key"] and [tuple(r) for r in kept.collect()] == [(2, None, "y")]
+
+
+def test_plan_is_native(spark, documents):
+    items = items_of(spark, [(1, "some words that are there", "x", "y")])
+    plan = decontaminate.judge(documents, items)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
 def test_empty_tables(spark, documents, nothing, pairs):
     assert decontaminate.judge(nothing, items_of(spark, [(1, "a b", "", "")])).isEmpty()
     got = decontaminate.judge(documents, items_of(spark, [])).collect()

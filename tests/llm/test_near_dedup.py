@@ -54,7 +54,8 @@ def families():
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_equals_brute_force(spark, pairs, size, percent):
     rows = [*pairs, *families()]
-    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int").repartition(3)
+    schema = "doc_id long, text string, node int, _key string, _doc int"
+    df = spark.createDataFrame([(d, t, 1, "k", 2) for d, t in rows], schema).repartition(3)
     expected = brute(rows, size, percent)
     got = near_dedup.judge(df, size, percent).collect()
     assert len(got) == len(rows)
@@ -62,7 +63,7 @@ def test_equals_brute_force(spark, pairs, size, percent):
     assert found == sorted(((d, *expected[d, t], d == expected[d, t][1]) for d, t in rows), key=str)
     assert len({c for _, c in expected.values()}) < len(expected) - 80
     kept = near_dedup.keep_one(df, size, percent)
-    assert kept.columns == df.columns
+    assert kept.schema == df.schema
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in found if r[3]), key=str)
 
 
