@@ -17,6 +17,8 @@ from nichegrid.functions import catalogue, geo, spectral, surface, vectors
 from nichegrid.operators import composites, correlation, grid, metrics, sampling, zonal
 from nichegrid.operators.clip import clip, index_area
 from nichegrid.plans import embedding, evaluation, forest, layers, pipeline
+from nichegrid.plans import run as runs
+from nichegrid.plans.landscape import Layer
 from nichegrid.session import cut_lineage, scratch_path
 from nichegrid.sources import archives, files, occurrences, regions, shapefiles, surfaces
 from nichegrid.standins import (
@@ -993,6 +995,134 @@ def _(v: Views) -> DataFrame:
     return stored.withColumns({c: F.col(c).cast("long") for c in ("tile_x", "tile_y")})
 
 
+# ---- runs from their configuration ------------------------------------------------------------
+
+# one unit of the raster is 100 m; the layers lie on grids of 30, 100 and 300 m, the mosaic on one of 1000 m
+_CHOICES = {
+    "species": "BUILDING", "country_code": "C1", "data_mode": "deepdive",
+    "year_start": 1996, "year_end": 2000, "selected_layers": ("elevation", "bdod", "phh2o", "NDVI"),
+}
+_CHOSEN = """species = 'BUILDING' and countryCode = 'C1' and hasCoordinate
+  and basisOfRecord = 'HUMAN_OBSERVATION' and year between 1996 and 2000"""
+
+
+def _tables(v: Views) -> runs.Tables:
+    return runs.Tables(
+        records=v.survey, countries=v.country_edge, counties=v.country_edge,
+        layers=(Layer(v.pixel.select("cx", "cy", "elevation"), 100), Layer(v.coarse, 300), Layer(v.fine, 30),
+                Layer(pixel_years(v), 100)),
+        mosaic=Layer(v.mosaic.select("cx", "cy", "year", "embedding"), 1000),
+        datasets={"survey": v.survey.drop("key")}, metres_per_unit=100.0, projected=True,
+    )
+
+
+def _at(cell: str, target: int, source: int) -> str:
+    """The source cell under the centre of a target cell."""
+    return f"cast(floor((2*{cell}+1)*{target}/{2 * source}.0) as bigint)"
+
+
+def _layers_sql(metres: int, cells: str, year: str, join: str) -> str:
+    """Layer values for ``cells`` (cx, cy), the yearly ones of ``year``."""
+    ndvi = f"case when (q.pixel_id + {year}) % 11 <> 0 then ((q.pixel_id*7 + {year}*13) % 200 - 100)/100.0 end"
+    return f"""select s.*, q.elevation, c.bdod, f.phh2o, round({ndvi}, 6) as "NDVI" from {cells} s
+{join} {{pixel}} q on q.cx = {_at("s.cx", metres, 100)} and q.cy = {_at("s.cy", metres, 100)}
+{join} {{coarse}} c on c.cx = {_at("s.cx", metres, 300)} and c.cy = {_at("s.cy", metres, 300)}
+{join} {{fine}} f on f.cx = {_at("s.cx", metres, 30)} and f.cy = {_at("s.cy", metres, 30)}"""
+
+
+def _register_run(metres: int) -> None:
+    config = RunConfig(**_CHOICES, resolution=metres)
+    features = config.selected_layers
+    at = f"""select 'p' || key as sample_id, year, cast(floor(decimalLongitude*100/{metres}) as bigint) as cx,
+  cast(floor(decimalLatitude*100/{metres}) as bigint) as cy from {{survey}} where {_CHOSEN}"""
+
+    @_query(f"run_sample_{metres}", f"""select sample_id, cx, cy, elevation, bdod, phh2o, "NDVI"
+from ({_layers_sql(metres, f"({at})", "s.year", "left join")})""")
+    def _(v: Views) -> DataFrame:
+        tables = _tables(v)
+        found = runs.presences(config, tables)
+        marked = pipeline.sampled_presences(config, found, runs.landscape(config, tables))
+        return marked.withColumn("NDVI", F.round("NDVI", 6))
+
+    unit = metres / 100
+    cells = f"""select distinct t.cx, t.cy from
+  (select distinct cast(floor((cx+0.5)/{unit}) as bigint) as cx, cast(floor((cy+0.5)/{unit}) as bigint) as cy from {{pixel}}) t
+  join {{country_edge}} on cntr_code = 'C1' and (y1>(cy+0.5)*{unit})<>(y2>(cy+0.5)*{unit})
+    and (cx+0.5)*{unit} < (x2-x1)*((cy+0.5)*{unit}-y1)/(y2-y1)+x1
+  group by t.cx, t.cy, nuts_name having count(*)%2=1"""
+
+    @_query(f"run_map_{metres}", f"""select cx, cy, elevation, bdod, phh2o, "NDVI"
+from ({_layers_sql(metres, f"({cells})", str(config.year_start), "join")}) where "NDVI" is not null""")
+    def _(v: Views) -> DataFrame:
+        tables = _tables(v)
+        area = index_area(pipeline.one_area(runs.area(config, tables)), pipeline.AREA, 4.0)
+        land = runs.landscape(config, tables)
+        inside = lambda cells: pipeline.cells_inside(cells, area, land.step)
+        return land.map(features, config.year_start, inside).dropna().withColumn("NDVI", F.round("NDVI", 6))
+
+
+for _metres in (30, 100, 300):
+    _register_run(_metres)
+
+
+# the county wins over its country
+@_query(
+    "run_county",
+    """select cx, cy, elevation from {pixel} join {boundary_edge} on nuts_name = 'Supplier#000000004'
+  and (y1>cy+0.5)<>(y2>cy+0.5) and cx+0.5 < (x2-x1)*(cy+0.5-y1)/(y2-y1)+x1
+group by cx, cy, elevation having count(*)%2=1""",
+)
+def _(v: Views) -> DataFrame:
+    config = RunConfig(**{**_CHOICES, "county_name": "Supplier#000000004", "selected_layers": ("elevation",)})
+    tables = _tables(v)
+    area = index_area(pipeline.one_area(runs.area(config, tables)), pipeline.AREA, 4.0)
+    return runs.landscape(config, tables).map(["elevation"], 1996, lambda cells: pipeline.cells_inside(cells, area, 1.0))
+
+
+# a whole run; its sample and map are compared above, trees and random background have no SQL
+@_query("run_forest_300")
+def _(v: Views) -> DataFrame:
+    return runs.run(RunConfig(**_CHOICES, resolution=300), _tables(v), tile=4.0).results
+
+
+# the records of an own dataset have no key: the sample is numbered by their content
+@_query(
+    "run_own",
+    """select species, year as yr, decimalLongitude as lon, decimalLatitude as lat, cast(1 as bigint) as ids
+from {survey} where lower(species) like '%build%' and year between 1996 and 2000""",
+)
+def _(v: Views) -> DataFrame:
+    own = {"data_mode": "own", "dataset_key": "survey", "species": "Build"}
+    found = runs.presences(RunConfig(**{**_CHOICES, **own}), _tables(v))
+    return found.groupBy("occ_id", "species", "yr", "lon", "lat").agg(F.count("*").alias("ids")).drop("occ_id")
+
+
+# an embedding run keeps to 30 m whatever its configuration says; the mosaic has cells of 1000 m
+_MOSAIC_30 = f"""with y as (select cx, cy, embedding from {{mosaic}} where year = 2023),
+a as (select embedding from (select cast(floor(decimalLongitude*100/30) as bigint) as cx, cast(floor(decimalLatitude*100/30) as bigint) as cy
+    from {{survey}} where lower(species) like '%u%' and year between 1990 and 2000) s
+  join y on y.cx = {_at("s.cx", 30, 1000)} and y.cy = {_at("s.cy", 30, 1000)}),
+p as (select unnest(embedding)::double x, generate_subscripts(embedding,1) i from a),
+m as (select i, avg(x) m from p group by 1),
+e as (select cx, cy, unnest(embedding)::double x, generate_subscripts(embedding,1) i from y),
+s as (select cx, cy, sum(x*m)/greatest(sqrt(sum(x*x)),1e-9) as score from e join m using(i) group by 1, 2),
+f as (select tx, cy, score from (select cx, cy, score,
+  unnest(range(cast(ceil((1000*cx-15)/30.0) as bigint), cast(ceil((1000*cx+985)/30.0) as bigint))) as tx from s)),
+t as (select tx as cx, ty as cy, score from (select tx, score,
+  unnest(range(cast(ceil((1000*cy-15)/30.0) as bigint), cast(ceil((1000*cy+985)/30.0) as bigint))) as ty from f)),
+c as (select cx, cy from t join {{country_edge}}
+  on cntr_code = 'C1' and (y1>(cy+0.5)*0.3)<>(y2>(cy+0.5)*0.3) and (cx+0.5)*0.3 < (x2-x1)*((cy+0.5)*0.3-y1)/(y2-y1)+x1
+  group by cx, cy, nuts_name having count(*)%2=1)
+select cx, cy, round(score, 6) as score from t join (select distinct cx, cy from c) using (cx, cy)"""
+
+
+@_query("run_embedding_30", _MOSAIC_30)
+def _(v: Views) -> DataFrame:
+    own = {"data_mode": "own", "dataset_key": "survey", "species": "U"}
+    config = RunConfig(**{**_CHOICES, **own, "model_type": "embedding", "resolution": 300, "year_start": 1990})
+    return runs.run(config, _tables(v), tile=4.0).surface.select("cx", "cy", _r("score"))
+
+
 # ---- models (no oracle: trained) ------------------------------------------------------------
 
 _LAYERS = ("elevation", "aspect", "phh2o")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def _targets(cell: Column, source_m: int, target_m: int) -> Column:
     )
 
 
+def source_cell(cell: Column, target_m: int, source_m: int) -> Column:
+    """The cell of a grid of ``source_m`` that holds the centre of a cell of a grid of ``target_m``."""
+    if source_m == target_m:
+        return cell
+    return _floor_div((cell.cast("long") * 2 + 1) * F.lit(target_m), 2 * source_m)
+
+
 def regrid(df: DataFrame, source_m: int, target_m: int) -> DataFrame:
     """Nearest-neighbour resampling to another resolution, finer or coarser.
 
@@ -66,13 +74,10 @@ def regrid_mean(df: DataFrame, source_m: int, target_m: int, values: Sequence[st
     if target_m < source_m:
         raise ValueError("the mean needs a coarser target")
 
-    def target(cell: Column) -> Column:
-        return _floor_div((cell * 2 + 1) * F.lit(source_m), 2 * target_m)
-
     return (
         df.select(
-            target(F.col("cx").cast("long")).alias("cx"),
-            target(F.col("cy").cast("long")).alias("cy"),
+            source_cell(F.col("cx").cast("long"), source_m, target_m).alias("cx"),
+            source_cell(F.col("cy").cast("long"), source_m, target_m).alias("cy"),
             *values,
         )
         .groupBy("cx", "cy")
@@ -153,6 +158,20 @@ def stack_layers(
     )
 
 
+def stack_wide(
+    parts: Sequence[DataFrame], names: Sequence[str], keys: Sequence[str] = ("cx", "cy")
+) -> DataFrame:
+    """Tables with some of the layers each to one row per cell with all of them.
+
+    The rows are put one below the other and grouped once, whatever the number of tables; a single
+    table that has all layers is taken as it is.
+    """
+    if len(parts) == 1 and all(n in parts[0].columns for n in names):
+        return parts[0].select(*keys, *names)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(*keys).agg(*[F.max(f"`{n}`").alias(n) for n in names])
+
+
 def add_custom_layer(
     stack: DataFrame, asset: DataFrame, band: str | None, name: str, keys: Sequence[str] = ("cx", "cy")
 ) -> DataFrame:

@@ -41,11 +41,11 @@ def _hits(
     """Unmasked layer rows of the cells that are asked for, and whether they may be broadcast."""
     keys = list(keys)
     features = list(features or [c for c in layers.columns if c not in keys])
-    wanted = points.select(*keys).dropna().distinct()
+    wanted = points.select(*keys).dropna().distinct().persist()  # counted, then joined
     band = layers.select(*keys, *features).dropna(subset=features)
     limit = min(BROADCAST_ROWS, broadcast_limit(band))
     if has_at_most(wanted, limit):
-        rows = band.join(F.broadcast(wanted), keys)
+        rows = band.join(F.broadcast(wanted), keys).persist()  # the layer is scanned once
         return rows, has_at_most(rows, limit)  # a layer may hold a cell more than once
     return band.join(wanted, keys, "left_semi").persist(), False
 

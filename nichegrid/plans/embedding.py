@@ -13,11 +13,22 @@ from nichegrid.functions.vectors import batch_similarity, mean_vector
 def score_by_similarity(
     pixels: DataFrame, presence_pixels: DataFrame, vector: str = "embedding", cosine: bool = False
 ) -> DataFrame:
-    """Adds ``score`` to every pixel. The mean is one row of as many numbers as there are bands;
-    it is computed first and goes out with the scoring function, so the pixels are only scanned."""
+    """Adds ``score`` to every pixel, its similarity to the mean of the presences."""
+    return score_against(pixels, mean_of(presence_pixels, vector), vector, cosine)
+
+
+def mean_of(presence_pixels: DataFrame, vector: str = "embedding") -> list[float]:
+    """The mean embedding of the presences: one row of as many numbers as there are bands."""
     mean = mean_vector(presence_pixels, vector).first()["mean"]
     if not mean:
         raise ValueError("no presence has an embedding")
+    return mean
+
+
+def score_against(
+    pixels: DataFrame, mean: Sequence[float], vector: str = "embedding", cosine: bool = False
+) -> DataFrame:
+    """Adds ``score``, the similarity to ``mean``; the numbers go out with the function, pixels are only scanned."""
     return pixels.withColumn("score", batch_similarity(F.col(vector), mean, cosine))
 
 

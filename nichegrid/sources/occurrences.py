@@ -8,7 +8,7 @@ Input is a table of published records, on disk or derived: ``species`` and/or
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ def _years(start: int, end: int) -> Column:
     return F.col("year").between(start, end)
 
 
-def records_table(records: DataFrame, query: str) -> DataFrame:
-    """Standard presence columns. A missing ``species`` column (not a missing value) is taken
+def records_table(records: DataFrame, query: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Standard presence columns, after those in ``carry`` as they are. A missing ``species`` column (not a missing value) is taken
     from ``scientificName``, else from the text that was searched for."""
     if "species" in records.columns:
         species = F.col("species")
@@ -57,12 +57,13 @@ def records_table(records: DataFrame, query: str) -> DataFrame:
     else:
         species = F.lit(query)
     out = records.select(
+        *carry,
         species.alias("species"),
         F.col("year"),
         F.col("decimalLongitude").cast("double").alias("lon"),
         F.col("decimalLatitude").cast("double").alias("lat"),
     )
-    return cleanup(out)
+    return cleanup(out, (*carry, "year", "lon", "lat"))
 
 
 def cleanup(df: DataFrame, keep: tuple[str, ...] = ("year", "lon", "lat")) -> DataFrame:
@@ -84,16 +85,19 @@ def explore(
     year_start: int,
     year_end: int,
     limit: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """A quick look: the first ``limit`` matching records by key, or all of them."""
     found = _observed(records, species, country).where(_years(year_start, year_end))
-    return records_table(found if limit is None else found.orderBy("key").limit(limit), species)
+    return records_table(found if limit is None else found.orderBy("key").limit(limit), species, carry)
 
 
-def deepdive(records: DataFrame, species: str, country: str, year_start: int, year_end: int) -> DataFrame:
+def deepdive(
+    records: DataFrame, species: str, country: str, year_start: int, year_end: int, carry: Sequence[str] = ()
+) -> DataFrame:
     """Every matching record. On a table partitioned by year only those years are read."""
     found = _observed(records, species, country).where(_years(year_start, year_end))
-    return records_table(found, species)
+    return records_table(found, species, carry)
 
 
 def read_by_year(spark: SparkSession, path: str) -> DataFrame:
@@ -138,14 +142,16 @@ def records_per_year(records: DataFrame) -> DataFrame:
     return records.groupBy("year").agg(F.count("*").alias("n"))
 
 
-def own(dataset: DataFrame, species: str, year_start: int, year_end: int) -> DataFrame:
+def own(
+    dataset: DataFrame, species: str, year_start: int, year_end: int, carry: Sequence[str] = ()
+) -> DataFrame:
     """Records whose name contains the text, ignoring case, in the year range.
 
     ``%`` and ``_`` in the text are ordinary characters. A record without a year never matches.
     """
     name = F.lower(F.col(_name_column(dataset)))
     found = dataset.where(name.contains(species.lower()) & _years(year_start, year_end))
-    return records_table(found, species)
+    return records_table(found, species, carry)
 
 
 def fetch_presences(
@@ -157,17 +163,18 @@ def fetch_presences(
     year_end: int,
     dataset_key: str = "",
     limit: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Presences by data mode; a wrong mode or a missing key fails before any job.
 
-    ``limit`` cuts the quick look only.
+    ``limit`` cuts the quick look only, ``carry`` names columns of the records to keep.
     """
     check_mode(mode, dataset_key)
     if mode == "explore":
-        return explore(records, species, country, year_start, year_end, limit)
+        return explore(records, species, country, year_start, year_end, limit, carry)
     if mode == "deepdive":
-        return deepdive(records, species, country, year_start, year_end)
-    return own(records, species, year_start, year_end)
+        return deepdive(records, species, country, year_start, year_end, carry)
+    return own(records, species, year_start, year_end, carry)
 
 
 def observations(

@@ -73,6 +73,10 @@ select cntr_code, nuts_name, x0+12.5 as x1, y0 as y1, x0+25 as x2, y0+3 as y2 fr
 union all select cntr_code, nuts_name, x0+25, y0+3, x0+12.5, y0+6 from {boundary}
 union all select cntr_code, nuts_name, x0+12.5, y0+6, x0, y0+3 from {boundary}
 union all select cntr_code, nuts_name, x0, y0+3, x0+12.5, y0 from {boundary}""",
+    # the same parts as five countries
+    "country_edge": """
+select 'C' || cast(area_id % 5 as string) as cntr_code, b.nuts_name, x1, y1, x2, y2
+from {boundary_edge} e join {boundary} b on b.nuts_name = e.nuts_name""",
     # one sighting per customer on the raster
     "sighting": """
 select c_custkey as occ_id, c_mktsegment as species,
@@ -82,6 +86,20 @@ select c_custkey as occ_id, c_mktsegment as species,
   cast((c_custkey*10 + c_custkey%10) % 250 as double) + cast(0.5 as double) as lon,
   cast(floor((c_custkey*10 + c_custkey%10)/250) as double) + cast(0.5 as double) as lat
 from {customer}""",
+    # the sightings as published records
+    "survey": """
+select occ_id as key, species, species || ' L.' as scientificName, yr as year, cast(6 as bigint) as month,
+  lon as decimalLongitude, lat as decimalLatitude, 'C' || cast(occ_id % 5 as string) as countryCode,
+  occ_id % 10 <> 3 as hasCoordinate,
+  case when occ_id % 9 = 0 then 'PRESERVED_SPECIMEN' else 'HUMAN_OBSERVATION' end as basisOfRecord
+from {sighting}""",
+    # layers on other grids than the raster, whose cells are 100 m: one of 300 m, one of 30 m that is sparse
+    "coarse": """
+select cast(floor(cx/3) as bigint) as cx, cast(floor(cy/3) as bigint) as cy, max(bdod) as bdod
+from {pixel} group by cast(floor(cx/3) as bigint), cast(floor(cy/3) as bigint)""",
+    "fine": """
+select cast(floor((2*cx+1)*100/60) as bigint) as cx, cast(floor((2*cy+1)*100/60) as bigint) as cy, phh2o
+from {pixel}""",
     # line items as image pixels
     "scene": """
 select l_shipdate as ts, l_partkey%77 as cx, l_suppkey%28 as cy, l_orderkey as scene_id, l_linenumber as line_no,

@@ -1,3 +1,5 @@
+import math
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -9,6 +11,7 @@ from nichegrid.functions import catalogue, vectors
 from nichegrid.operators import correlation, metrics, sampling, zonal
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.plans import embedding, evaluation, forest, maxent, pipeline
+from nichegrid.plans import run as run_plan
 from nichegrid.standins import Views, surveyed
 
 STEP = 1.0
@@ -367,3 +370,95 @@ def test_surveyed_keeps_every_sighting(spark):
     high, all_over = (d.agg(F.avg("elevation")).first()[0] for d in (kept.join(cells, ["cx", "cy"]), cells))
     assert high > all_over + 300
     assert kept.where((F.floor("lon") != F.col("cx")) | (F.floor("lat") != F.col("cy"))).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def choices(spark, world):
+    """Tables for configured runs: layers on grids of 30, 100 and 300 m; one unit of coordinates is 100 m."""
+    static, yearly, points, edges = world
+    named = edges.withColumns({"cntr_code": F.lit("AT"), "nuts_name": F.lit("Tirol")})
+    west = F.least("x1", F.lit(20.0)), F.least("x2", F.lit(20.0))
+    county = named.select(west[0].alias("x1"), "y1", west[1].alias("x2"), "y2", "cntr_code", F.lit("West").alias("nuts_name"))
+    coarse = spark.range(140).select((F.col("id") % 14).alias("cx"), F.floor(F.col("id") / 14).alias("cy"), F.col("id").cast("double").alias("soil"))
+    records = points.select(
+        F.col("occ_id").alias("key"), "species", F.col("yr").alias("year"), F.col("lon").alias("decimalLongitude"),
+        F.col("lat").alias("decimalLatitude"), F.lit("AT").alias("countryCode"), F.lit(True).alias("hasCoordinate"),
+        F.lit("HUMAN_OBSERVATION").alias("basisOfRecord"),
+    )
+    layers = (run_plan.Layer(static, 100), run_plan.Layer(coarse, 300), run_plan.Layer(yearly, 100))
+    return run_plan.Tables(
+        records, named, county, layers, datasets={"mine": records.drop("key")}, metres_per_unit=100.0, projected=True
+    )
+
+
+def chosen(**changes):
+    return config(**{"species": "s", "country_code": "AT", "data_mode": "deepdive", "year_end": 2022, **changes})
+
+
+@pytest.mark.parametrize("resolution", [30, 100, 300, 1000])
+def test_run_reads_layers_at_its_resolution(choices, resolution):
+    picked = chosen(resolution=resolution, selected_layers=("elevation", "soil", "NDVI"))
+    found = run_plan.presences(picked, choices)
+    land = run_plan.landscape(picked, choices)
+    got = {r.sample_id: r for r in pipeline.sampled_presences(picked, found, land).collect()}
+    for p in found.collect():
+        cx, cy = (math.floor(x / (resolution / 100)) for x in (p.lon, p.lat))
+        middle = (2 * cx + 1) * resolution / 2, (2 * cy + 1) * resolution / 2
+        x, y = int(middle[0] // 100), int(middle[1] // 100)
+        r = got[f"p{p.occ_id}"]
+        assert (r.cx, r.cy) == (cx, cy)
+        inside = x < 40 and y < 30
+        assert r.elevation == (x * 50.0 if inside else None)
+        assert r.soil == (int(middle[0] // 300) + 14 * int(middle[1] // 300) if middle[1] < 3000 and middle[0] < 4200 else None)
+        dated = inside and p.yr is not None and p.yr != 2021
+        assert (r.NDVI is None) == (not dated) and (not dated or r.NDVI == pytest.approx((y + p.yr) % 5 / 5))
+    cells = land.map(picked.selected_layers, 2018).dropna().collect()
+    assert len({(r.cx, r.cy) for r in cells}) == len(cells) > 0
+    assert all(r.elevation == (2 * r.cx + 1) * resolution // 200 * 50.0 for r in cells)
+
+
+def test_sampling_does_not_move_the_layers(choices):
+    picked = chosen(resolution=300, selected_layers=("elevation", "soil"))
+    land = run_plan.landscape(picked, choices)
+    plan = land.at_points(land.placed(run_plan.presences(picked, choices)).persist(), picked.selected_layers)
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_configured_run(choices):
+    one = run_plan.run(chosen(resolution=300, selected_layers=("elevation", "soil"), whatif_offsets={"elevation": 500.0}), choices, 4.0)
+    row = one.results.first().asDict()
+    assert {"overall_accuracy", "roc_auc", "elevation", "soil"} <= set(row)
+    assert one.surface.agg(F.max("cx")).first()[0] == 12  # 300 m
+    assert pipeline.what_if(one).where("delta <> 0").count() > 0  # shifted as the configuration says
+    west = run_plan.run(chosen(county_name="West"), choices, 4.0)
+    assert west.surface.agg(F.max("cx")).first()[0] == 19  # the county wins, 100 m
+
+
+def test_configured_run_fails_early(choices):
+    for changes, text in (
+        ({"country_code": "XX"}, "XX"), ({"county_name": "Nowhere"}, "Nowhere"), ({"selected_layers": ("gone",)}, "gone"),
+        ({"data_mode": "own", "dataset_key": "other"}, "other"), ({"model_type": "embedding"}, "mosaic"),
+        ({"species": "nobody"}, "no presence"),
+    ):
+        with pytest.raises(RuntimeError, match=text):
+            run_plan.run(chosen(**changes), choices, 4.0)
+
+
+def test_own_records_without_key_are_numbered(choices):
+    picked = chosen(data_mode="own", dataset_key="mine")
+    once = run_plan.presences(picked, choices)
+    doubled = replace(choices, datasets={"mine": choices.datasets["mine"].unionAll(choices.datasets["mine"])})
+    twice = run_plan.presences(picked, doubled)
+    assert twice.select("occ_id").distinct().count() == twice.count() == 2 * once.count()
+    assert once.select("occ_id").exceptAll(twice.select("occ_id")).isEmpty()
+
+
+def test_embedding_run_keeps_its_resolution(choices, mosaic):
+    # mosaic cells of 100 m: what the configuration asks for makes no difference
+    tables = replace(choices, mosaic=run_plan.Layer(mosaic, 100))
+    surfaces = [
+        run_plan.run(chosen(model_type="embedding", resolution=r, year_start=2019, year_end=2022, county_name="West"), tables, 4.0).surface
+        for r in (100, 1000)
+    ]
+    assert surfaces[0].exceptAll(surfaces[1]).isEmpty()
+    assert surfaces[0].count() == 67 * 100  # 30 m cells whose centre lies in 2000 m x 3000 m
