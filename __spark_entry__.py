@@ -131,8 +131,19 @@ def _(v: Views) -> DataFrame:
     seen = stored.where(
         "species = '2-HIGH' and countryCode = 'C1' and hasCoordinate and basisOfRecord = 'HUMAN_OBSERVATION'"
     )
-    status = occurrences.year_status(v.spark, path, v.records.schema).select("year", "status")
-    return occurrences.records_per_year(seen).join(status, "year", "left").select("year", "n", "status")
+    status = occurrences.year_status(v.spark, path).withColumnRenamed("year", "of").select("of", "status")
+    counted = occurrences.records_per_year(seen)
+    return counted.join(status, F.col("year").eqNullSafe(F.col("of")), "left").select("year", "n", "status")
+
+
+# what every file of every year holds, those without a year included
+@_query("occ_year_status", "select year, count(*) as n, 'read' as status, count(*) as kept from {records} group by year")
+def _(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "by-year")
+    occurrences.write_by_year(v.records, path)
+    kept, status = occurrences.read_readable(v.spark, path, v.records.schema)
+    found = occurrences.records_per_year(kept).select(F.col("year").alias("of"), F.col("n").alias("kept"))
+    return status.join(found, F.col("year").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @_query(

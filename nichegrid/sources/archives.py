@@ -6,12 +6,13 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichegrid.functions.geo import archive_coordinates
+from nichegrid.session import scratch_path
 
 _CHUNK_LINES = 50_000
 
@@ -23,18 +24,11 @@ def _table_member(archive: zipfile.ZipFile) -> str:
     raise ValueError("the archive holds no table (.tsv or .csv)")
 
 
-def _open_table(content: bytes) -> io.TextIOWrapper:
-    archive = zipfile.ZipFile(io.BytesIO(content))
+def _open_table(content: pa.Buffer) -> io.TextIOWrapper:
+    archive = zipfile.ZipFile(pa.BufferReader(content))
     return io.TextIOWrapper(archive.open(_table_member(archive)), encoding="utf-8-sig", newline="")
 
 
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame(
-            {"header": [_open_table(c).readline().rstrip("\r\n") for c in batch["content"]]}
-        )
-
-
 def read_archives(
     spark: SparkSession, path: str, headers: Sequence[str] | None = None
 ) -> DataFrame:
@@ -43,40 +37,44 @@ def read_archives(
     return table_of_archives(files, headers)
 
 
+def _lines(batches: Iterator[pa.RecordBatch], headers: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
+    """``header, line`` of every line of every archive, some thousand at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            table = _open_table(content.as_buffer())
+            header = table.readline().rstrip("\r\n")
+            if headers is not None and header not in headers:
+                raise ValueError(f"unexpected header: {header}")
+            while chunk := [line.rstrip("\r\n") for _, line in zip(range(_CHUNK_LINES), table)]:
+                kept = [line for line in chunk if line]
+                yield pa.RecordBatch.from_pydict({"header": pa.array([header] * len(kept), pa.string()), "line": pa.array(kept, pa.string())})
+            # an archive without a line still has its columns
+            yield pa.RecordBatch.from_pydict({"header": pa.array([header]), "line": pa.array([None], pa.string())})
+
+
 def table_of_archives(files: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
     """The same for a table with the archives' bytes in ``content``.
 
-    A ZIP member cannot be split, so an archive is one task; it is decompressed as a stream and
-    passed on in chunks. The parsing itself is Spark's, after the lines are spread out. Extracted
-    tables need none of this: see :func:`read_tables`. Known header lines save a look into every
-    archive; a line under any other header is then an error.
+    Every archive is opened once: it is decompressed as a stream, in one task, since a ZIP member cannot be
+    split, and its lines are written to the shared folder by layout. Layouts are resolved on what was
+    written: each is a folder of its own that Spark parses with the columns of its header, spread over
+    tasks. Extracted tables need none of this: see :func:`read_tables`. With ``headers`` a line under any
+    other header is an error.
     """
-    headers = list(headers) if headers is not None else [
-        r["header"]
-        for r in files.mapInPandas(_headers, "header string").distinct().collect()
-    ]  # one line per distinct layout
-    if not headers:
+    known = list(headers) if headers is not None else None
+    rows = files.mapInArrow(lambda batches: _lines(batches, known), "header string, line string")
+    path = scratch_path(files.sparkSession, "archive-lines")
+    rows.withColumn("layout", F.md5("header")).write.partitionBy("layout").parquet(path)
+    stored = files.sparkSession.read.schema("header string, line string, layout string").parquet(path)
+    layouts = stored.groupBy("layout").agg(F.first("header").alias("header")).collect()  # one row per layout
+    if not layouts:
         raise ValueError("no archive found")
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                table = _open_table(content)
-                header = table.readline().rstrip("\r\n")
-                if header not in headers:
-                    raise ValueError(f"unexpected header: {header}")
-                while chunk := [line for _, line in zip(range(_CHUNK_LINES), table)]:
-                    text = pd.Series(chunk).str.rstrip("\r\n")
-                    yield pd.DataFrame({"header": header, "line": text[text != ""]})
-
-    rows = files.mapInPandas(lines, "header string, line string")
     out = None
-    for header in headers:
-        names = [c.replace("`", "``") for c in header.split("\t")]
+    for layout in sorted(layouts, key=lambda r: r["header"]):
+        names = [c.replace("`", "``") for c in layout["header"].split("\t")]
         schema = ", ".join(f"`{c}` string" for c in names)
-        parsed = rows.where(F.col("header") == header).select(
-            F.from_csv("line", schema, {"sep": "\t"}).alias("r")
-        ).select("r.*")
+        lines = stored.where((F.col("layout") == layout["layout"]) & F.col("line").isNotNull())
+        parsed = lines.select(F.from_csv("line", schema, {"sep": "\t"}).alias("r")).select("r.*")
         out = parsed if out is None else out.unionByName(parsed, allowMissingColumns=True)
     return out
 

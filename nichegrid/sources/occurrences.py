@@ -7,14 +7,16 @@ Input is a table of published records, on disk or derived: ``species`` and/or
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nichegrid.config import check_mode
+from nichegrid.session import cut_lineage
 
 # Record limits and the basis of record of the interactive scans.
 EXPLORE_LIMIT = 300
@@ -105,24 +107,58 @@ def read_by_year(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def year_status(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """``year, n, status``: the records of every year of a table, or why the year cannot be read.
+def _file_status(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``year, n, failure`` of every file: its rows, or why it cannot be read. Every page of every column is read."""
+    for batch in batches:
+        counts, failures = [], []
+        for path, content in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            n, failure = 0, None
+            try:
+                table = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                for rows in table.iter_batches(1 << 14):
+                    n += rows.num_rows
+            except Exception as error:  # noqa: BLE001
+                failure = f"{path.rsplit('/', 1)[-1]}: {str(error).splitlines()[0] if str(error) else type(error).__name__}"
+            counts.append(None if failure else n)
+            failures.append(failure)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(failures, pa.string())],
+            names=["year", "n", "failure"],
+        )
+
+
+def year_status(spark: SparkSession, path: str) -> DataFrame:
+    """``year, n, status``: the records of every year of a table partitioned by year, or why it cannot be read.
+
+    The year of records without one is NULL. One job reads every file on its own, so any number of years
+    side by side, and a file that fails touches no other year. Spark lists and opens the files; a task holds
+    as many of them as fit a scan partition, or one larger one.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    if "year" not in files.columns:
+        raise ValueError(f"{path} is not partitioned by year")
+    read = files.select(F.col("year").cast("long").alias("year"), "path", "content").mapInArrow(
+        _file_status, "year long, n long, failure string"
+    )
+    failure = F.min("failure")
+    return read.groupBy("year").agg(
+        F.when(failure.isNull(), F.sum("n")).alias("n"),
+        F.when(failure.isNull(), F.lit("read")).otherwise(F.concat(F.lit("failed: "), failure)).alias("status"),
+    )
+
+
+def read_readable(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
+    """The records of all years that can be read, and the status of every year.
 
-    ``schema`` is that of the records, so that no damaged file is asked for it. Every year is a
-    scan of its own, and a year that fails does not touch the others.
+    Years that failed are pruned by their partition, so none of their files is opened. ``schema`` is that of
+    the records, so that no damaged file is asked for it.
     """
-    table = spark.read.schema(schema).parquet(path)
-    years = sorted({int(m[1]) for f in table.inputFiles() if (m := re.search(r"/year=(\d+)/", f))})
-    rows = []
-    for year in years:
-        try:
-            # a hash of the whole row, so that every column of every file is read
-            digest = F.xxhash64(*[c for c in table.columns if c != "year"])
-            n = table.where(F.col("year") == year).agg(F.count(digest).alias("n")).first()["n"]
-            rows.append((year, n, "read"))
-        except Exception as error:  # noqa: BLE001
-            rows.append((year, None, f"failed: {str(error).splitlines()[0]}"))
-    return spark.createDataFrame(rows, "year long, n long, status string")
+    status = cut_lineage(year_status(spark, path))
+    good = [r["year"] for r in status.where("status = 'read'").select("year").collect()]  # a row per year
+    wanted = F.col("year").isin([y for y in good if y is not None])
+    if None in good:
+        wanted = wanted | F.col("year").isNull()
+    return spark.read.schema(schema).parquet(path).where(wanted), status
 
 
 def write_by_year(records: DataFrame, path: str) -> None:

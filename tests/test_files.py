@@ -164,6 +164,25 @@ def test_archives_of_different_layouts(spark, tmp_path):
         archives.read_archives(spark, str(tmp_path), ["k\tlat"]).collect()
 
 
+def test_archives_are_opened_once(spark, tmp_path, monkeypatch):
+    source, log = tmp_path / "in", tmp_path / "opened"
+    source.mkdir()
+    for i in range(4):  # two layouts, and an archive without a line
+        archive(source / f"{i}.zip", "k\tlat\n1\t2\n" if i % 2 else "lat\tk\tmore\n" + "3\t4\t5\n" * (i > 0))
+    opened = archives._open_table
+
+    def counted(content):
+        with open(log, "a") as f:
+            f.write("x")
+        return opened(content)
+
+    monkeypatch.setattr(archives, "_open_table", counted)
+    table = archives.read_archives(spark, str(source))
+    assert sorted(map(tuple, table.select("k", "lat", "more").collect()), key=str) == [("1", "2", None)] * 2 + [("4", "3", "5")]
+    assert table.count() == 3 and table.where("more is not null").count() == 1
+    assert log.read_text() == "xxxx"
+
+
 def test_archive_errors(spark, tmp_path):
     (tmp_path / "in").mkdir()
     archive(tmp_path / "in" / "a.zip", "a\tb\n1\t2\n")
@@ -332,9 +351,48 @@ def test_year_partitions_are_pruned(spark, records, tmp_path):
     (next((tmp_path / "by-year" / "year=2016").glob("*.parquet"))).write_bytes(b"broken")
     with pytest.raises(Exception, match="2016"):
         occurrences.read_by_year(spark, path).select("key").write.format("noop").mode("overwrite").save()
-    status = {r["year"]: r for r in occurrences.year_status(spark, path, records.schema).collect()}
-    assert status[2017]["n"] > 0 and status[2017]["status"] == "read"  # one unreadable file costs only its year
-    assert status[2016]["n"] is None and status[2016]["status"].startswith("failed")
+
+
+def jobs_of(spark, group, action):
+    """What ``action`` returns, and how many jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        return action(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setJobGroup("other", "other")
+
+
+def test_every_year_is_judged_in_one_scan(spark, records, tmp_path):
+    path = tmp_path / "by-year"
+    occurrences.write_by_year(records, str(path))
+    expected = {r["year"]: r["n"] for r in occurrences.records_per_year(records).collect()}
+    assert None in expected
+    collect = lambda: {r["year"]: r for r in occurrences.year_status(spark, str(path)).collect()}
+    status, many = jobs_of(spark, "ten years", collect)
+    assert {y: r["n"] for y, r in status.items()} == expected and {r["status"] for r in status.values()} == {"read"}
+    # a file that is no table, one that ends early, and one with a damaged page in the partition without a year
+    next((path / "year=2016").glob("*.parquet")).write_bytes(b"broken")
+    whole = next((path / "year=2018").glob("*.parquet")).read_bytes()
+    next((path / "year=2018").glob("*.parquet")).write_bytes(whole[: len(whole) // 2])
+    missing = next((path / "year=__HIVE_DEFAULT_PARTITION__").glob("*.parquet"))
+    data = bytearray(missing.read_bytes())
+    data[4:200] = bytes(196)
+    missing.write_bytes(bytes(data))
+    for crc in path.rglob(".*.crc"):
+        crc.unlink()
+    status, again = jobs_of(spark, "damaged years", collect)
+    failed = {y for y, r in status.items() if r["status"].startswith("failed: part-")}
+    assert failed == {2016, 2018, None} and all(status[y]["n"] is None for y in failed)
+    assert all(status[y]["n"] == n for y, n in expected.items() if y not in failed)
+    kept, told = occurrences.read_readable(spark, str(path), records.schema)
+    assert kept.count() == sum(n for y, n in expected.items() if y not in failed) and told.count() == len(expected)
+    few = tmp_path / "few"
+    occurrences.write_by_year(records.where("year = 2015"), str(few))
+    _, one = jobs_of(spark, "one year", lambda: occurrences.year_status(spark, str(few)).collect())
+    assert many == again == one  # the years do not multiply jobs
+    with pytest.raises(ValueError, match="partitioned"):
+        occurrences.year_status(spark, str(few / "year=2015"))
 
 
 def test_suggestions(spark):
