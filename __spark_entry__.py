@@ -21,6 +21,7 @@ from nichegrid.plans import run as runs
 from nichegrid.plans.landscape import Layer
 from nichegrid.session import cut_lineage, scratch_path
 from nichegrid.sources import archives, files, occurrences, regions, shapefiles, surfaces
+from nichegrid.sources.layers import save_layers
 from nichegrid.standins import (
     Views,
     oracle,
@@ -247,6 +248,21 @@ def _(v: Views) -> DataFrame:
     return _presences(files.read_points_geojson(v.spark, path, lines=True))
 
 
+# whole documents of some thousand features, which several tasks share
+@_query("read_geojson_documents", _POINTS)
+def _(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "documents-geojson")
+    feature = F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct("species", F.col("yr").alias("year"), F.lit('a "}" in a string').alias("note")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+    ))
+    held = v.occurrence.groupBy(F.expr("occ_id div 4000").alias("doc")).agg(F.collect_list(feature).alias("features"))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join("features", ",\n "), F.lit("]}"))
+    held.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
+    return _presences(files.read_points_geojson(v.spark, path))
+
+
 @_query("read_shp_zip", _POINTS)
 def _(v: Views) -> DataFrame:
     bundles = zipped_shapefiles(v.occurrence.select("occ_id", "species", "yr", "lon", "lat"))
@@ -689,6 +705,16 @@ def _(v: Views) -> DataFrame:
     return sampling.sample_layers(v.occurrence, v.layer_static, _STATIC).select("occ_id", *_STATIC)
 
 
+# the layers are stored by cell and stay where they are
+@_query("sample_stored", """select occ_id, elevation, phh2o from {sighting} join {pixel} using (cx, cy)""")
+def _(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "layers")
+    name = "layers_" + path.rsplit("-", 1)[-1]
+    save_layers(v.pixel.select("cx", "cy", "elevation", "phh2o"), name, int(v.spark.conf.get("spark.sql.shuffle.partitions")), path)
+    features = ["elevation", "phh2o"]
+    return sampling.sample_stored(v.sighting, v.spark.table(name), features).select("occ_id", *features)
+
+
 @_query(
     "sample_temporal",
     f"""select occ_id, yr, ndvi, elevation from {{occurrence}} join {{layer_year}} using (cx, cy, yr)

@@ -35,6 +35,24 @@ def sample_layers(
     return _attach(points, _hits(points, layers, features, keys), keys, how)
 
 
+def sample_stored(
+    points: DataFrame,
+    stored: DataFrame,
+    features: Sequence[str],
+    keys: Sequence[str] = CELL,
+    how: str = "inner",
+) -> DataFrame:
+    """The same from a table that is bucketed by the keys (:func:`nichegrid.sources.layers.save_layers`).
+
+    The distinct cells asked for go to the buckets of the layers, whose rows are neither counted nor moved.
+    What they find has a row per cell, and a crowded cell is split where it is attached to its points.
+    """
+    keys, features = list(keys), list(features)
+    wanted = points.select(*keys).dropna().distinct()
+    hits = stored.select(*keys, *features).dropna(subset=features).join(wanted, keys)
+    return points.drop(*features).join(hits, keys, how)
+
+
 def _hits(
     points: DataFrame, layers: DataFrame, features: Sequence[str] | None, keys: Sequence[str]
 ) -> tuple[DataFrame, bool]:

@@ -9,19 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichegrid.functions.geo import UPLOADS, to_wgs84, upload_coordinates
+from nichegrid.sources.geojson import FEATURE_SCHEMA, read_documents
 
 # Fixed value: the name of a species nobody named.
 UNKNOWN_SPECIES = "unknown"
 
-FEATURE_SCHEMA = (
-    "type string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
-)
-COLLECTION_SCHEMA = (
-    "type string, crs struct<properties:map<string,string>>, "
-    f"features array<struct<{FEATURE_SCHEMA.replace('type string', 'type:string').replace('geometry struct', 'geometry:struct').replace('properties map', 'properties:map')}>>"
-)
-
-
 def presence_columns(
     species: Column | None, year: Column | None, lon: Column, lat: Column
 ) -> list[Column]:
@@ -99,8 +91,8 @@ def reproject_rows(df: DataFrame, x: Column, y: Column, epsg: Column) -> tuple[C
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """GeoJSON features as ``kind, coordinates (JSON text), properties, epsg``.
 
-    ``lines`` reads one feature per line, which splits; a document is one task per file. A line or a
-    document that is not JSON stops the job.
+    ``lines`` reads one feature per line; documents are read by ranges (:mod:`nichegrid.sources.geojson`). A
+    line or a document that is not JSON stops the job.
     """
     if lines:
         rows = spark.read.schema(FEATURE_SCHEMA).option("mode", "FAILFAST").json(path)
@@ -110,14 +102,12 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
             "properties",
             F.lit(None).cast("int").alias("epsg"),
         )
-    documents = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    return documents.select(
-        _epsg_of(F.col("crs.properties")["name"]).alias("epsg"), F.explode("features").alias("f")
-    ).select(
-        F.col("f.geometry.type").alias("kind"),
-        F.col("f.geometry.coordinates").alias("coordinates"),
-        F.col("f.properties").alias("properties"),
-        "epsg",
+    crs = F.from_json("crs", "properties map<string,string>")["properties"]["name"]
+    return read_documents(spark, path).select(
+        F.col("feature.geometry.type").alias("kind"),
+        F.col("feature.geometry.coordinates").alias("coordinates"),
+        F.col("feature.properties").alias("properties"),
+        _epsg_of(crs).alias("epsg"),
     )
 
 

@@ -1,10 +1,12 @@
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from nichegrid.functions.geo import archive_coordinates, upload_coordinates
-from nichegrid.sources import archives, files, occurrences, regions, surfaces
+from nichegrid.sources import archives, files, geojson, occurrences, regions, surfaces
 from nichegrid.sources.files import read_presence_file
 from nichegrid.standins import point_shapefile
 
@@ -88,6 +90,63 @@ def test_geojson_in_metres(spark, tmp_path):
         other.collect()
 
 
+def awkward_document():
+    """Braces, quotes and backslashes in strings, nested properties, other members before and after."""
+    rng = random.Random(8)
+    texts = ["}", "{[", '"', "\\", '\\"}', "a\\\\", "é \U0001f600 ]}", "", '{"type": "Feature"}', "features", "\n}\t"]
+    features = []
+    for i in range(120):
+        extra = {"note": "".join(rng.choice(texts) for _ in range(rng.randint(0, 6))), "deep": {"a": [{"b": i}, "}"]}}
+        features.append(feature(i / 10, -i / 20, species=f"s{i % 7}", year=2000 + i % 20, **extra))
+    return {
+        "name": "features", "bbox": [0, 1, 2, 3], "meta": {"features": [{"type": "Feature"}], "x": {"y": "}"}},
+        "type": "FeatureCollection", "features": features,
+        "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}, "after": [{"z": "]"}],
+    }
+
+
+@pytest.mark.parametrize("size, layout", [("64m", {"indent": 1}), ("6k", {"separators": (",", ":")}), ("2k", {"ensure_ascii": False})])
+def test_documents_are_split_by_ranges(spark, tmp_path, monkeypatch, size, layout):
+    monkeypatch.setattr(geojson, "_LOT", 2000)
+    document = awkward_document()
+    for i in range(2):
+        (tmp_path / f"{i}.geojson").write_text(json.dumps(document, **layout) + "\n" * i, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = files.read_features(spark, str(tmp_path)).persist()
+        assert found.count() == 240 and found.where("epsg = 84 and kind = 'Point'").count() == 240
+        notes = sorted(r[0] for r in found.select(F.col("properties")["note"]).collect())
+        assert notes == sorted(f["properties"]["note"] for f in document["features"] * 2)
+        got = sorted(rows(files.read_points_geojson(spark, str(tmp_path))))
+        assert got == sorted((f["properties"]["species"], f["properties"]["year"], *f["geometry"]["coordinates"]) for f in document["features"] * 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_document_takes_several_tasks(spark, tmp_path):
+    document = {"type": "FeatureCollection", "features": [feature(i % 360 - 180, 1, species="s" * 50) for i in range(20_000)]}
+    path = write(tmp_path / "big.geojson", json.dumps(document))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        fragments = geojson._fragments(spark, path)
+        assert fragments.select(F.spark_partition_id()).distinct().count() >= 8
+        assert files.read_points_geojson(spark, path).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_damaged_documents_stop_the_job(spark, tmp_path):
+    whole = json.dumps({"type": "FeatureCollection", "features": [feature(i, i, species="s") for i in range(50)]})
+    for name, text in (
+        ("short", whole[:-40]), ("string", whole.replace('"s"', '"s', 1)), ("feature", whole.replace('"geometry":', '"geometry"', 1)),
+        ("extra", whole + "}"),
+    ):
+        with pytest.raises(Exception, match="whole JSON|[Mm]alformed"):
+            files.read_points_geojson(spark, write(tmp_path / f"{name}.geojson", text)).collect()
+
+
 def bundle(path, prefix="", prj=None, columns=None):
     members = point_shapefile([11.4, 11.5], [47.2, 47.25], columns or {"species": ["Lagopus", "Aquila"], "year": [2020, 2021]})
     if prj:

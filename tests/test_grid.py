@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nichegrid.functions import geo, surface
-from nichegrid.operators import grid
+from nichegrid.operators import grid, sampling
 
 
 @pytest.fixture(scope="module")
@@ -128,4 +128,17 @@ def test_saved_layers_join_in_place(spark, tmp_path):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "PartitionFilters: [isnotnull(yr" in plan
     assert joined.count() == 2000
+    # points go to the layers, whatever the size of either, if these have as many buckets as a shuffle has partitions
+    save_layers(cells.withColumn("elevation", F.col("cx") * 1.0), "layout.wide", 8)
+    points = spark.range(300).select(F.col("id"), (F.col("id") % 60).alias("cx"), (F.col("id") % 30).alias("cy"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sampled = sampling.sample_stored(points, spark.table("layout.wide"), ["elevation"], how="left")
+        plan = sampled._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("FileScan parquet")
+        above = plan[:scan].splitlines()[-4:]
+        assert "Bucketed: true" in plan and not any("Exchange" in line for line in above)
+        assert sampled.count() == 300 and sampled.where("elevation = cx").count() == 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("drop database layout cascade")
