@@ -17,11 +17,13 @@ extended until it must hold a whole combination: of its tokens so many are commo
 two (three) common ones or more, wherever the missing ones are. If x ends its prefix first, all of that
 combination lies in the prefix of y as well. Long prefixes are needed only against smaller partners: keys
 carry a band of sizes, a set gives the short prefix of the smaller partner for its own band and the
-longer one of the larger partner for each band of smaller sets.
+longer one of the larger partner for each band of smaller sets. A key's level, how many missing tokens it is
+in the prefix for, then holds two sets to the prefixes of just their sizes.
 
-Sets that share a key are not paired with each other at once: all that look for partners meet the key's
-smallest set, and the links are verified on the full sets. Where all sets of a key are one component then,
-the key is done; otherwise sets of different components are paired and verified, so no link is lost.
+Sets that share a key are not paired with each other at once: in turns, all meet one drawn from the key,
+and the links are verified on the full sets. Where all sets of a key are one component, the key is done.
+What turns leave open is paired across components, unless parity sketches show that two sets differ in
+too many tokens, and verified, so no link is lost.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ import bisect
 import hashlib
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegrid.llm import wordhash
@@ -42,6 +45,12 @@ from nichegrid.llm.tables import document_key, stored
 
 #: nodes that hold a token of the first and of the second class at most, tokens of a set for one group
 RARE, OFTEN, GROUP = 16, 512, 16
+#: turns of stars at most, and the share of rows that a turn may leave open to be followed by another
+TURNS, WORTH = 8, 0.9
+#: how the keys that turns leave open are shared out to the joins that follow each other
+PARTS = (1, 3, 12)
+#: numbers of 64 bits in a sketch
+SKETCH = 16
 #: edges of one node that meet a copy of its set
 COPIES_FOR = 500
 #: bits of the filter that picks texts to be read again, at most (8 MB) and for each of them
@@ -192,8 +201,15 @@ def _bits(keys: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """SKETCH numbers whose bits say for an odd or even number of tokens; each token that only one of two sets holds
+    turns one bit, so two sets differ in as many tokens as their sketches differ in bits, or more."""
+    bits = np.bincount((wordhash.mixed(own) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _reread(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """id, n, own: the sets of ``nodes`` (id, doc, digest, n), from the text of their first document.
+    """id, n, own, sketch: the sets of ``nodes`` (id, doc, digest, n), from the text of their first document.
 
     A bit filter of the documents spares the others the shuffle; the join is exact.
     """
@@ -208,45 +224,56 @@ def _reread(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 own = [s for s in _sets(batch.column(1).take(pa.array(part)).to_pylist(), size)] if len(part) else []
                 own = [s for s in own if len(s)]
                 if own:
+                    digests = pa.array([_digest(s) for s in own], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([_digest(s) for s in own], pa.binary()), _lists(own)], names=["digest", "own"]
+                        [digests, _lists(own), _lists([sketch(s) for s in own])], names=["digest", "own", "sketch"]
                     )
 
     blobs = documents.select(F.xxhash64(document_key()).alias("key"), F.col("text").cast("binary").alias("text"))
-    found = blobs.mapInArrow(read, "digest binary, own array<bigint>").dropDuplicates(["digest"])
-    return found.join(nodes.select("digest", "id", "n"), "digest").select("id", "n", "own")
+    found = blobs.mapInArrow(read, "digest binary, own array<bigint>, sketch array<bigint>").dropDuplicates(["digest"])
+    return found.join(nodes.select("digest", "id", "n"), "digest").select("id", "n", "own", "sketch")
+
 
+def _frequent_keys(
+    tokens: np.ndarray, often: np.ndarray, need: int, groups: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, levels) of combinations of frequent tokens, the prefix being extended until one must be common.
 
-def _frequent_keys(tokens: np.ndarray, often: np.ndarray, need: int, groups: int) -> list[np.ndarray]:
-    """Keys of combinations of frequent tokens, the prefix being extended until one must be common."""
+    The level is how many missing tokens the combination's last one is needed for.
+    """
     held: dict[tuple[int, int], list[int]] = {}
     of = (wordhash.mixed(tokens) % np.uint64(groups)).tolist()
-    wanted = need + 1
+    spare, level, levels = 0, 0, []
     for i, (group, many) in enumerate(zip(of, often.tolist(), strict=True)):
-        if i >= wanted:
+        level = max(level, i - spare)
+        if level > need:
             break
+        levels.append(level)
         k = 3 if many else 2
         own = held.setdefault((k, group), [])
         if not own:
-            wanted += k - 1
+            spare += k - 1
         own.append(i)
     out = []
     for k in (2, 3):
         combos = [c for (size, _), own in held.items() if size == k for c in itertools.combinations(own, k)]
         if combos:
-            picked = tokens[np.array(combos)]
+            places = np.array(combos)
+            picked = tokens[places]
             key = picked[:, 0]
             for i in range(1, k):
                 key = wordhash.mixed(key) + picked[:, i]
-            out.append(key)
+            out.append((key, np.array(levels)[places[:, -1]]))
     return out
 
 
-def keys_of(n: int, tokens: np.ndarray, nodes: np.ndarray, percent: int) -> list[tuple[bool, np.ndarray]]:
-    """(whether they look for smaller partners, keys) of a set of ``n`` tokens.
+def keys_of(
+    n: int, tokens: np.ndarray, nodes: np.ndarray, percent: int
+) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(whether they look for smaller partners, keys, levels) of a set of ``n`` tokens.
 
     ``tokens`` are those that several nodes hold, in order; ``nodes`` says how many. The other tokens come
-    first and give no keys.
+    first and give no keys. A key of level l is in the prefix when l tokens or more may be missing.
     """
     alone, rare = n - len(tokens), int(np.searchsorted(nodes, RARE, side="right"))
     if len(tokens) < smallest(n, percent):
@@ -257,17 +284,23 @@ def keys_of(n: int, tokens: np.ndarray, nodes: np.ndarray, percent: int) -> list
     roles += [(True, b, max(BOUNDS[b], low)) for b in range(band(low), band(n) + 1)]
     for probe, b, partner in roles:
         lost = missing(n, partner, percent)
-        keys = [tokens[: max(min(rare, lost + 1 - alone), 0)]]
+        single = tokens[: max(min(rare, lost + 1 - alone), 0)]
+        keys = [(single, alone + np.arange(len(single)))]
         if alone + rare <= lost:
-            groups = 1 + BOUNDS[b] // GROUP
-            keys += _frequent_keys(tokens[rare:], nodes[rare:] > OFTEN, lost - alone - rare, groups)
+            more = _frequent_keys(tokens[rare:], nodes[rare:] > OFTEN, lost - alone - rare, 1 + BOUNDS[b] // GROUP)
+            keys += [(key, alone + rare + level) for key, level in more]
         salt = wordhash.mixed(np.array([b + 1], np.uint64))
-        out.append((probe, np.unique(wordhash.mixed(np.concatenate(keys) ^ salt))))
+        key, level = (np.concatenate(x) for x in zip(*keys, strict=True))
+        key = wordhash.mixed(key ^ salt)
+        order = np.lexsort((level, key))
+        key, level = key[order], level[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        out.append((probe, key[first], level[first]))
     return out
 
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
-    """key, probe, n, shared (tokens that others hold too), id: the prefixes' keys of every set."""
+    """key, probe, level, n, shared (tokens that others hold too), id: the prefixes' keys of every set."""
     tokens = sets.select("id", F.explode("own").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("nodes")).where("nodes > 1")
     counts = stored(counts, "token-counts")
@@ -285,24 +318,22 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
             edges = lists.offsets.to_numpy()
             nodes, tokens = (lists.values.field(i).to_numpy() for i in (0, 1))
             tokens = tokens.view(np.uint64)
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, (own, n) in enumerate(zip(ids, ns, strict=True)):
                 span = slice(edges[i], edges[i + 1])
-                for probe, keys in keys_of(n, tokens[span], nodes[span], percent):
-                    values = (keys.view(np.int64), probe, n, edges[i + 1] - edges[i], own)
+                for probe, keys, levels in keys_of(n, tokens[span], nodes[span], percent):
+                    values = (keys.view(np.int64), probe, levels, n, edges[i + 1] - edges[i], own)
                     for column, value in zip(columns, values, strict=True):
                         column.append(np.broadcast_to(value, len(keys)))
             if columns[0]:
                 flat = [np.concatenate(c) for c in columns]
+                flat = [flat[0], flat[1].astype(bool), *(c.astype(np.int64) for c in flat[2:])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(flat[0]), pa.array(flat[1].astype(bool)), pa.array(flat[2].astype(np.int64)),
-                        pa.array(flat[3].astype(np.int64)), pa.array(flat[4].astype(np.int64)),
-                    ],
-                    names=["key", "probe", "n", "shared", "id"],
-                )
+                    [pa.array(c) for c in flat], names=["key", "probe", "level", "n", "shared", "id"]
+                )
 
-    return wide.select("id", "n", "tokens").mapInArrow(cut, "key long, probe boolean, n long, shared long, id long")
+    schema = "key long, probe boolean, level long, n long, shared long, id long"
+    return wide.select("id", "n", "tokens").mapInArrow(cut, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,55 +361,113 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(there, "b").join(here, ["a", "copy"]).where(alike("own_a", "own_b")).select("a", "b")
 
 
-def _fits(percent: int):
-    """Whether index entry x and probe entry y can link, by their sizes and what others hold of them."""
-    enough = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+def _least(percent: int) -> Column:
+    """The tokens that sets x and y have in common at least if they link."""
+    return F.expr(f"((x.n + y.n) * {percent} + {99 + percent}) div {100 + percent}")
+
+
+def _differ_little(percent: int) -> Column:
+    """Whether the sketches of x and y leave room for a link."""
+    bits = [F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(SKETCH)]
+    return reduce(lambda a, b: a + b, bits) <= F.col("x.n") + F.col("y.n") - 2 * _least(percent)
+
+
+def _fits(percent: int) -> Column:
+    """Whether index entry x and probe entry y can link: the smaller looks up the larger, the key is in both prefixes
+    for just these sizes, and what others hold of both is enough."""
+    least = _least(percent)
     larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") != F.col("y.id")))
-    return larger & enough
+    in_prefix = (F.col("x.level") + least <= F.col("x.n")) & (F.col("y.level") + least <= F.col("y.n"))
+    return larger & in_prefix & (F.least("x.shared", "y.shared") >= least)
 
 
 def _pairs(found: DataFrame, percent: int) -> DataFrame:
-    return stored(
-        found.where(_fits(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs"
+    """a, b (ids) of the members x and y of ``found`` that can link."""
+    return found.where(_fits(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of one set of each key, drawn by a hash of its id and the turn, with the key's other components.
+
+    A set that is drawn to be looked up meets larger ones, one that looks up meets smaller ones.
+    """
+    drawn = F.struct(F.xxhash64("member.id", F.lit(turn)).alias("draw"), "member", "component")
+    hubs = placed.groupBy("key").agg(
+        F.min(F.when(~F.col("probe"), drawn)).alias("low"), F.min(F.when(F.col("probe"), drawn)).alias("high")
     )
+    met = placed.join(hubs, "key")
+    above = met.where("probe and component <> low.component").select(F.col("low.member").alias("x"), F.col("member").alias("y"))
+    below = met.where("not probe and component <> high.component").select(F.col("member").alias("x"), F.col("high.member").alias("y"))
+    return _pairs(above.unionByName(below), percent)
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of keys that a set of another component can still be found by."""
+    ends = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("greatest"))
+    return placed.join(ends.where("least <> greatest").select("key"), "key")
+
+
+def _all_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that share a key and can link."""
+    members = placed.join(sets.select("id", "sketch"), F.col("member.id") == F.col("id")).drop("id")
+    members = stored(members, "open-members")
+    x, y = (
+        members.where(F.col("probe") == probes).select(
+            "key", F.col("member").alias(side), F.col("component").alias(f"of_{side}"), F.col("sketch").alias(f"sketch_{side}")
+        )
+        for side, probes in (("x", False), ("y", True))
+    )
+    found = x.join(y, "key").where((F.col("of_x") != F.col("of_y")) & _differ_little(percent))
+    return _pairs(found, percent).distinct()
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, component of the ids that link with another; None where none can."""
+    """node, component of the ids that link with another; None where none can.
+
+    In turns, the sets of a key meet one of them, and keys that are one component then are done. When turns no
+    longer settle much, what is left is joined key by key.
+    """
     entries = stored(_entries(sets, percent), "prefix-keys")
-    member = F.struct("n", "id", "shared")
-    hubs = (
-        entries.groupBy("key")
-        .agg(
-            F.min(F.when(~F.col("probe"), member)).alias("x"),
-            F.max("probe").alias("asked"),
-            F.min("id").alias("least"),
-            F.max("id").alias("greatest"),
-        )
-        .where("x is not null and asked and least <> greatest")
-        .select("key", "x")
+    useful = entries.groupBy("key").agg(
+        F.min("probe").alias("looked_up"), F.max("probe").alias("asks"), F.min("id").alias("least"), F.max("id").alias("greatest")
     )
-    hubs = stored(hubs, "hubs")
-    asking = entries.where("probe").select("key", member.alias("y"))
-    pairs = _pairs(asking.join(hubs, "key"), percent)
-    if pairs.isEmpty():
-        return None
-    links = stored(_verified(pairs, sets, percent), "links")
-    known = stored(components(links), "components")
-
-    placed = entries.join(hubs.select("key"), "key", "left_semi").join(known, F.col("id") == F.col("node"), "left")
-    placed = placed.select("key", "probe", member.alias("member"), F.coalesce("component", "id").alias("component"))
+    useful = useful.where("not looked_up and asks and least <> greatest").select("key")
+    member = F.struct("n", "id", "shared", "level").alias("member")
+    placed = entries.join(useful, "key").select("key", "probe", member, F.col("id").alias("component"))
     placed = stored(placed, "placed-keys")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("greatest"))
-    mixed = stored(mixed.where("least <> greatest").select("key"), "open-keys")
-    open_ = placed.join(mixed, "key")
-    x = open_.where("not probe").select("key", F.col("member").alias("x"), F.col("component").alias("of_x"))
-    y = open_.where("probe").select("key", F.col("member").alias("y"), F.col("component").alias("of_y"))
-    more = _pairs(x.join(y, "key").where("of_x <> of_y"), percent)
-    if more.isEmpty():
-        return known
-    found = _verified(more, sets, percent).unionByName(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    return stored(components(found), "components")
+    known, rows = None, placed.count()
+
+    def settle(pairs: DataFrame) -> None:
+        """Adds the links among ``pairs`` to what is known, and leaves the keys of several components."""
+        nonlocal known, placed, rows
+        pairs = stored(pairs, "pairs")
+        if not pairs.isEmpty():
+            found = _verified(pairs, sets, percent)
+            if known is not None:
+                found = found.unionByName(known.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            known = stored(components(found), "components")
+            named = known.withColumnsRenamed({"node": "of", "component": "now"})
+            placed = placed.join(named, F.col("member.id") == F.col("of"), "left")
+            placed = placed.select("key", "probe", "member", F.coalesce("now", "component").alias("component"))
+        placed = stored(_open(placed), "open-keys")
+        rows = placed.count()
+
+    for turn in range(TURNS):
+        if not rows:
+            return known
+        before = rows
+        settle(_stars(placed, turn, percent).distinct())
+        if rows > before * WORTH:
+            break
+    # some keys first: what they link need not be found again by the others
+    for share in range(len(PARTS)):
+        if not rows:
+            return known
+        done = F.pmod(F.xxhash64("key"), F.lit(sum(PARTS)))
+        now = placed.where(done < sum(PARTS[: share + 1]))
+        placed = placed.where(done >= sum(PARTS[: share + 1]))
+        settle(_all_pairs(now, sets, percent))
+    return known
 
 
 def joined(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -33,20 +33,31 @@ def test_linked_sets_share_a_key(monkeypatch, percent):
 
         small = keys(np.concatenate([np.arange(common), np.arange(common, n)]), n)
         large = keys(np.concatenate([np.arange(common), np.arange(n, n + m - common)]), m)
-        index = np.concatenate([k for probe, k in small if not probe])
-        probes = np.concatenate([k for probe, k in large if probe])
+        lost = n - least, m - least
+        index = np.concatenate([k[level <= lost[0]] for probe, k, level in small if not probe])
+        probes = np.concatenate([k[level <= lost[1]] for probe, k, level in large if probe])
         assert len(np.intersect1d(index, probes)), (n, m, common)
         seen[bool((kinds[:common] > jaccard_join.RARE).all())] += 1
     assert min(seen.values()) > 100
 
 
+def test_sketches_never_tell_more_than_the_sets_differ():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, shared = int(rng.integers(1, 800)), int(rng.integers(0, 800))
+        one, two, both = (np.unique(rng.integers(1, 1 << 63, k, dtype=np.uint64)) for k in (n, n, shared))
+        a, b = (jaccard_join.sketch(np.unique(np.concatenate([own, both]))) for own in (one, two))
+        assert len(a) == jaccard_join.SKETCH
+        assert np.unpackbits((a ^ b).view(np.uint8)).sum() <= 2 * n
+
+
 def test_keys_grow_with_the_set_only():
     rng = np.random.default_rng(8)
     for n in (100, 1000, 20_000):
         tokens = rng.integers(1, 1 << 63, n, dtype=np.uint64)
         for nodes in (100, 100_000):
             keys = jaccard_join.keys_of(n, tokens, np.full(n, nodes), 80)
-            assert sum(len(k) for _, k in keys) < 8 * n
+            assert sum(len(k) for _, k, _ in keys) < 8 * n
 
 
 def test_first_tokens_keep_every_node_with_a_partner():
