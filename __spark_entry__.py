@@ -16,7 +16,7 @@ from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, geo, spectral, surface, vectors
 from nichegrid.operators import composites, correlation, grid, metrics, sampling, zonal
 from nichegrid.operators.clip import clip, index_area
-from nichegrid.plans import embedding, evaluation, forest, layers, pipeline
+from nichegrid.plans import embedding, evaluation, forest, layers, notebook, pipeline
 from nichegrid.plans import run as runs
 from nichegrid.plans.landscape import Layer
 from nichegrid.session import cut_lineage, scratch_path
@@ -1067,6 +1067,16 @@ def _layers_sql(metres: int, cells: str, year: str, join: str) -> str:
 {join} {{fine}} f on f.cx = {_at("s.cx", metres, 30)} and f.cy = {_at("s.cy", metres, 30)}"""
 
 
+def _cells_sql(metres: int) -> str:
+    """Cells of a grid, where the raster has any, with their centre in the chosen country."""
+    unit = metres / 100
+    return f"""select distinct t.cx, t.cy from
+  (select distinct cast(floor((cx+0.5)/{unit}) as bigint) as cx, cast(floor((cy+0.5)/{unit}) as bigint) as cy from {{pixel}}) t
+  join {{country_edge}} on cntr_code = 'C1' and (y1>(cy+0.5)*{unit})<>(y2>(cy+0.5)*{unit})
+    and (cx+0.5)*{unit} < (x2-x1)*((cy+0.5)*{unit}-y1)/(y2-y1)+x1
+  group by t.cx, t.cy, nuts_name having count(*)%2=1"""
+
+
 def _register_run(metres: int) -> None:
     config = RunConfig(**_CHOICES, resolution=metres)
     features = config.selected_layers
@@ -1081,12 +1091,7 @@ from ({_layers_sql(metres, f"({at})", "s.year", "left join")})""")
         marked = pipeline.sampled_presences(config, found, runs.landscape(config, tables))
         return marked.withColumn("NDVI", F.round("NDVI", 6))
 
-    unit = metres / 100
-    cells = f"""select distinct t.cx, t.cy from
-  (select distinct cast(floor((cx+0.5)/{unit}) as bigint) as cx, cast(floor((cy+0.5)/{unit}) as bigint) as cy from {{pixel}}) t
-  join {{country_edge}} on cntr_code = 'C1' and (y1>(cy+0.5)*{unit})<>(y2>(cy+0.5)*{unit})
-    and (cx+0.5)*{unit} < (x2-x1)*((cy+0.5)*{unit}-y1)/(y2-y1)+x1
-  group by t.cx, t.cy, nuts_name having count(*)%2=1"""
+    cells = _cells_sql(metres)
 
     @_query(f"run_map_{metres}", f"""select cx, cy, elevation, bdod, phh2o, "NDVI"
 from ({_layers_sql(metres, f"({cells})", str(config.year_start), "join")}) where "NDVI" is not null""")
@@ -1160,6 +1165,29 @@ def _(v: Views) -> DataFrame:
     return runs.run(config, _tables(v), tile=4.0).surface.select("cx", "cy", _r("score"))
 
 
+# the notebook's maps: which cells are scored, and that scores are shares
+@_query("notebook_area", f"""select cx, cy, true as is_share
+from ({_layers_sql(30, f"({_cells_sql(30)})", "1996", "join")}) where "NDVI" is not null""")
+def _(v: Views) -> DataFrame:
+    config = RunConfig(**_CHOICES, n_trees=20, max_depth=5)
+    surface = notebook.forest_area(config, _tables(v), tile=4.0)
+    return surface.select("cx", "cy", F.col("score").between(0, 1).alias("is_share"))
+
+
+@_query(
+    "embedding_area",
+    """select distinct cx, cy, true as is_share from (
+  select cx, cy from {mosaic} join {country_edge} on year = 2023 and cntr_code = 'C1'
+    and (y1>(cy+0.5)*10)<>(y2>(cy+0.5)*10) and (cx+0.5)*10 < (x2-x1)*((cy+0.5)*10-y1)/(y2-y1)+x1
+  group by cx, cy, nuts_name having count(*)%2=1)""",
+)
+def _(v: Views) -> DataFrame:
+    own = {"data_mode": "own", "dataset_key": "survey", "species": "U"}
+    config = RunConfig(**{**_CHOICES, **own, "model_type": "embedding", "year_start": 1990})
+    surface = notebook.embedding_area(config, _tables(v), tile=4.0)
+    return surface.select("cx", "cy", F.col("score").between(0, 1).alias("is_share"))
+
+
 # ---- models (no oracle: trained) ------------------------------------------------------------
 
 _LAYERS = ("elevation", "aspect", "phh2o")

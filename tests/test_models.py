@@ -10,7 +10,7 @@ from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, vectors
 from nichegrid.operators import correlation, metrics, sampling, zonal
 from nichegrid.operators.metrics import roc_auc
-from nichegrid.plans import embedding, evaluation, forest, maxent, pipeline
+from nichegrid.plans import embedding, evaluation, forest, maxent, notebook, pipeline
 from nichegrid.plans import run as run_plan
 from nichegrid.standins import Views, surveyed
 
@@ -462,3 +462,16 @@ def test_embedding_run_keeps_its_resolution(choices, mosaic):
     ]
     assert surfaces[0].exceptAll(surfaces[1]).isEmpty()
     assert surfaces[0].count() == 67 * 100  # 30 m cells whose centre lies in 2000 m x 3000 m
+
+
+def test_notebook_maps(choices, mosaic):
+    tables = replace(choices, mosaic=run_plan.Layer(mosaic, 100))
+    picked = chosen(selected_layers=("elevation", "soil"), max_depth=3, county_name="West")
+    surface = notebook.forest_area(picked, tables, 4.0)
+    cells = surface.agg(F.count("*"), F.count_distinct("cx", "cy"), F.min("score"), F.max("score"), F.max("cx")).first()
+    assert cells[0] == cells[1] == 67 * 100 and 0 <= cells[2] <= cells[3] <= 1 and cells[4] == 66  # 30 m
+    one = notebook.embedding_area(chosen(model_type="embedding", year_start=2019, year_end=2022), tables, 4.0, n_trees=10)
+    east = {r[0]: r[1] for r in one.groupBy(F.col("cx") >= 20).agg(F.avg("score")).collect()}
+    assert east[True] > east[False] and one.count() == 1200 - 30  # the mosaic's own cells, less a masked column
+    with pytest.raises(ValueError, match="embedding"):
+        notebook.embedding_area(chosen(model_type="embedding", year_start=2018, year_end=2018, species="nobody"), tables, 4.0)
