@@ -128,8 +128,9 @@ def _alike(a: Column, b: Column) -> Column:
 
 def kept_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc, place of the lines with a word that stay: the first of its words, and none alike before."""
-    n = _size(F.col("line"))
-    lines = _lines(documents)
+    # a column of its own: inside conditions it would be counted again for every use
+    lines = _lines(documents).select("*", F.explode(F.array(_size(F.col("line")))).alias("n"))
+    n = F.col("n")
     marked = stored(
         lines.select(
             "doc",
@@ -150,7 +151,8 @@ def kept_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
         .agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
     )
     candidates = stored(
-        lines.where(n >= near_words).join(may, ["doc", "place"]).dropDuplicates(["doc", "place"]), "candidate-lines"
+        lines.where(n >= near_words).drop("n").join(may, ["doc", "place"]).dropDuplicates(["doc", "place"]),
+        "candidate-lines",
     )
     entries = stored(_entries(candidates.repartition("doc", "place")), "line-entries")
     line = F.struct("doc", "place")
