@@ -1,18 +1,17 @@
 """Toxicity by the nearest labelled examples.
 
-A text is a vector over a fitted vocabulary: term counts times inverse document frequency over all
-documents, brought to length one. Terms are words and, for inflected forms, the first four bytes of
-longer words. The vocabulary holds the terms that a few in a hundred examples of a class have, whose share of the toxic and of the
-other sampled examples differs by a factor of two at least and significantly (chi-squared with one degree
-of freedom, the level divided by the number of terms tested), so that cosines compare what bears on
-the label rather than the prose around it.
-
-The examples stand in blocks, each term with the greatest weight it has in a block. A text looks at
-the blocks in the order of the bound that these maxima give, and stops when no block that is left can
-reach its ``neighbours``-th best cosine; the neighbours are therefore exact, of equal cosines the
-smaller doc_id. Their votes weigh by cosine against a prior, the share of toxic examples that the index
-cannot place (those without any term of the vocabulary), and a logistic curve fitted to the
-examples' votes without themselves turns the vote into a score.
+A text is a vector over all terms of the sampled examples: term counts times inverse document frequency
+over all documents, brought to length one. Terms are words and, for inflected forms, the first four
+bytes of longer words. So that cosines compare what bears on the label rather than the prose around
+it, a term's weight is scaled by its evidence, from FLOOR for a term that says nothing to 1, which
+rises with the chi-squared of the term against the label; no term and no example is left out.
+
+The examples stand in blocks of alike ones. Postings give the cosines' part from rare terms for all
+examples at once; for the frequent ones each block has the greatest weight of each term. Texts go
+through the index in lots: all look at the block with the best bound first, then at every block whose
+bound reaches the ``neighbours``-th best cosine found there. The neighbours are therefore exact, of equal
+cosines the smaller doc_id. Their votes weigh by cosine against the prior, the examples' share of toxic
+ones, and a logistic curve fitted to the examples' votes without themselves turns the vote into a score.
 """
 
 from __future__ import annotations
@@ -20,10 +19,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +30,15 @@ from nichegrid.llm import labelled
 
 CUTOFF = 0.5
 NEIGHBOURS = 15
-BLOCK = 32
-#: chi-squared of one degree of freedom at 1e-4 after division by some 1e6 tested terms
+BLOCK = 128
+#: texts that are searched together
+LOT = 64
+#: terms whose weights are held for every example; all others are in postings
+FREQUENT = 1024
+#: chi-squared of one degree of freedom at which a term has half of the full evidence
 SIGNIFICANT = 50.0
-#: per cent of a class's examples that a term of the vocabulary is in
-SUPPORT = 3
+#: evidence of a term that is as frequent among toxic examples as among others
+FLOOR = 0.1
 PRIOR_WEIGHT = 0.5
 #: bytes of a longer word that stand for its forms
 STEM = 4
@@ -46,150 +48,214 @@ _WORD = bytes(
 )
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    """Words (runs of ASCII letters, digits and bytes beyond ASCII, A-Z in lower case) and their stems.
+def words(text: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and bytes beyond ASCII, A-Z in lower case."""
+    return (text or b"").translate(_WORD).split()
 
-    A stem ends in an asterisk, which no word holds.
-    """
-    words = (text or b"").translate(_WORD).split()
-    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+
+def stem(word: bytes) -> bytes:
+    """The first bytes of a longer word and an asterisk, which no word holds; short words have none."""
+    return word[:STEM] + b"*" if len(word) > STEM else b""
+
+
+def terms(text: bytes | None) -> list[bytes]:
+    """Words and their stems."""
+    own = words(text)
+    return own + [s for s in map(stem, own) if s]
 
 
 @dataclass(frozen=True)
 class Index:
-    """Labelled examples as blocks of postings."""
+    """Labelled examples as blocks of weights and as postings."""
 
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    stem_of: np.ndarray  # the stem's number for each word, -1 for none
+    weight: np.ndarray  # of each term: inverse document frequency times evidence
     ids: np.ndarray  # doc_id of each example
     labels: np.ndarray
-    blocks: tuple[tuple[int, int, np.ndarray, np.ndarray], ...]  # first, last, its terms, examples x terms
-    maxima: np.ndarray  # terms x blocks
+    column: np.ndarray  # of each term in ``blocks``, -1 for a rare one
+    blocks: np.ndarray  # examples x frequent terms
+    maxima: np.ndarray  # frequent terms x blocks of examples
+    starts: np.ndarray  # where each term's postings begin; frequent terms have none
+    holder: np.ndarray  # postings: the example
+    held: np.ndarray  # postings: its weight
     prior: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, words: Sequence[bytes]) -> tuple[tuple[int, int], ...]:
-        """(term, count) of the vocabulary's terms among those of a text."""
-        held = self.vocabulary.keys() & set(words)
-        if not held:
-            return ()
-        counts = Counter(w for w in words if w in held)
-        return tuple(sorted((self.vocabulary[w], n) for w, n in counts.items()))
-
-    def unit(self, vector: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([t for t, _ in vector], np.int64)
-        weight = np.array([n for _, n in vector], np.float64) * self.idf[at]
+    def vectors(self, texts: Sequence[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the vocabulary's terms in each text, and their counts."""
+        get, size = self.vocabulary.get, len(self.vocabulary)
+        split = [words(t) for t in texts]
+        flat = [w for own in split for w in own]
+        number = np.array([get(w, -1) for w in flat], np.int64)
+        stems = self.stem_of[number]  # the last one is for unknown words, which may have a known stem
+        for i in np.flatnonzero(number < 0):
+            stems[i] = get(stem(flat[i]), -1)
+        row = np.repeat(np.arange(len(split)) * size, [len(own) for own in split])
+        held, count = np.unique(
+            np.concatenate([(row + number)[number >= 0], (row + stems)[stems >= 0]]), return_counts=True
+        )
+        ends = np.searchsorted(held, np.arange(len(split) + 1) * size)
+        return [
+            (held[a:b] - i * size, count[a:b].astype(float)) for i, (a, b) in enumerate(zip(ends, ends[1:]))
+        ]
+
+    def unit(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at, count = vector
+        weight = count * self.weight[at]
         length = math.sqrt(float(weight @ weight))
         return at, weight / length if length else weight
 
-    def nearest(self, vector: tuple[tuple[int, int], ...], k: int = NEIGHBOURS, without: int = -1):
-        """The ``k`` examples (numbers) with the greatest positive cosines, and the cosines."""
-        at, weight = self.unit(vector)
-        bound = weight @ self.maxima[at] if len(at) else np.zeros(0)
-        best_sim, best_at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            # rounding of the bound must not hide a tie
-            if bound[b] <= 0 or (len(best_sim) == k and bound[b] < best_sim[-1] - 1e-9):
-                break
-            first, last, own, matrix = self.blocks[b]
-            place = np.searchsorted(own, at)
-            here = own[np.minimum(place, len(own) - 1)] == at
-            sim = np.round(matrix[:, place[here]] @ weight[here], 12)
-            found = np.flatnonzero(sim > 0)
-            found = found[found + first != without]
-            best_sim = np.concatenate([best_sim, sim[found]])
-            best_at = np.concatenate([best_at, found + first])
-            order = np.lexsort((self.ids[best_at], -best_sim))[:k]
-            best_sim, best_at = best_sim[order], best_at[order]
-        return best_at, best_sim
-
-    def vote(self, vector: tuple[tuple[int, int], ...], without: int = -1) -> float:
-        at, sim = self.nearest(vector, without=without)
-        return float((sim @ self.labels[at] + PRIOR_WEIGHT * self.prior) / (sim.sum() + PRIOR_WEIGHT))
-
-    def score(self, vector: tuple[tuple[int, int], ...]) -> float:
-        if not vector:
-            return self.prior
-        vote = min(max(self.vote(vector), 1e-4), 1 - 1e-4)
-        return 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.shift)))
+    def search(self, units: Sequence[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS):
+        """For each text the ``k`` examples (numbers) with the greatest positive cosines, and the cosines."""
+        size, n = len(units), len(self.ids)
+        if not size or not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * size
+        at, weight = (np.concatenate([u[i] for u in units]) for i in (0, 1))
+        row = np.repeat(np.arange(size), [len(u[0]) for u in units])
+        column = self.column[at]
+        frequent = column >= 0
+        asked = np.zeros((size, self.blocks.shape[1]))
+        asked[row[frequent], column[frequent]] = weight[frequent]
+
+        # rare terms: all their postings
+        at, weight, row = at[~frequent], weight[~frequent], row[~frequent]
+        times = self.starts[at + 1] - self.starts[at]
+        posting = np.repeat(self.starts[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        sim = np.bincount(
+            np.repeat(row * n, times) + self.holder[posting],
+            self.held[posting] * np.repeat(weight, times),
+            minlength=size * n,
+        ).astype(float).reshape(size, n)  # without any posting they are whole numbers
+
+        # frequent terms: blocks whose bound reaches what the best block holds
+        firsts = np.arange(0, n, BLOCK)
+        bound = np.maximum.reduceat(sim, firsts, axis=1) + asked @ self.maxima
+        visited = np.zeros(bound.shape, bool)
+
+        def visit(block: int, rows: np.ndarray) -> None:
+            if len(rows):
+                part = slice(firsts[block], min(firsts[block] + BLOCK, n))
+                sim[rows, part] += asked[rows] @ self.blocks[part].T
+                visited[rows, block] = True
+
+        best = bound.argmax(1)
+        reached = np.zeros(size)
+        for block in np.unique(best):
+            rows = np.flatnonzero(best == block)
+            visit(block, rows)
+            part = sim[rows, firsts[block] : firsts[block] + BLOCK]
+            if part.shape[1] >= k:
+                reached[rows] = np.partition(part, part.shape[1] - k, axis=1)[:, -k]
+        # rounding of the bound must not hide a tie
+        wanted = (bound > 0) & (bound >= reached[:, None] - 1e-9)
+        for block in range(len(firsts)):
+            visit(block, np.flatnonzero(wanted[:, block] & ~visited[:, block]))
+        sim = np.where(np.repeat(visited, BLOCK, axis=1)[:, :n], np.round(sim, 12), 0)
+
+        least = np.partition(sim, n - k, axis=1)[:, n - k] if n > k else np.zeros(size)
+        out = []
+        for own, low in zip(sim, least, strict=True):
+            found = np.flatnonzero((own >= low) & (own > 0))
+            found = found[np.lexsort((self.ids[found], -own[found]))[:k]]
+            out.append((found, own[found]))
+        return out
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS):
+        return self.search([self.unit(vector)], k)[0]
+
+    def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
+        """Share of toxic neighbours, kept a little inside 0 and 1."""
+        share = (sim @ self.labels[at] + PRIOR_WEIGHT * self.prior) / (sim.sum() + PRIOR_WEIGHT)
+        return min(max(float(share), 1e-4), 1 - 1e-4)
+
+    def lots(self, texts: Sequence[bytes]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """Neighbours of the texts, lot by lot."""
+        for a in range(0, len(texts), LOT):
+            yield self.search([self.unit(v) for v in self.vectors(texts[a : a + LOT])])
 
     def scores(self, texts: Sequence[bytes]) -> np.ndarray:
-        known: dict[tuple, float] = {}
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            vector = self.vector(terms(text))
-            if vector not in known:
-                known[vector] = self.score(vector)
-            out[i] = known[vector]
-        return out
+        distinct = list(dict.fromkeys(texts))
+        votes = np.array([self.vote(at, sim) for lot in self.lots(distinct) for at, sim in lot])
+        score = labelled.logistic(self.slope * np.log(votes / (1 - votes)) + self.shift)
+        known = dict(zip(distinct, score, strict=True))
+        return np.array([known[t] for t in texts], np.float64)
 
 
-def choose(counts: pd.DataFrame, toxic: int, other: int) -> list[bytes]:
-    """The terms that tell the classes apart. ``counts``: term, n_toxic, n_other (examples with it)."""
-    a, b = counts["n_toxic"].to_numpy(float), counts["n_other"].to_numpy(float)
-    if not toxic or not other:
-        return []
-    c, d, n = toxic - a, other - b, toxic + other
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * toxic * other, 1e-9)
-    common = (100 * a >= SUPPORT * toxic) | (100 * b >= SUPPORT * other)
-    ratio = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (other + 1))
-    return sorted(counts["term"][common & (chi > SIGNIFICANT) & ((ratio >= 2) | (ratio <= 0.5))])
+def evidence_of(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """FLOOR to 1 for terms that are in so many of the toxic and of the other examples."""
+    if not all(sizes):
+        return np.ones(len(toxic))
+    a, b = toxic.astype(float), other.astype(float)
+    c, d, n = sizes[0] - a, sizes[1] - b, sum(sizes)
+    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * sizes[0] * sizes[1], 1e-9)
+    return FLOOR + (1 - FLOOR) * chi**2 / (chi**2 + SIGNIFICANT**2)
 
 
 def build(vocabulary: Sequence[bytes], idf: Sequence[float], rows: Sequence[tuple[int, list[bytes], int]]) -> Index:
-    """The index of sampled (doc_id, terms, label) rows; terms beyond the vocabulary do not matter."""
-    place = {t: i for i, t in enumerate(vocabulary)}
-    empty = Index(place, np.asarray(idf, float), *(np.zeros(0),) * 2, (), np.zeros((len(place), 0)), 0.0)
-    seen = [(empty.vector(own), doc, label) for doc, own, label in rows]
-    blank = [label for vector, _, label in seen if not vector]
-    prior = (sum(blank) + 0.5) / (len(blank) + 1) if blank else 0.5
+    """The index of sampled (doc_id, terms, label) rows."""
+    names = {t: i for i, t in enumerate(vocabulary)}
+    size, none = len(names), np.zeros(0)
+    counts = [Counter(w for w in own if w in names) for _, own, _ in rows]
+    number = [np.array([names[t] for t in c], np.int64) for c in counts]
+    labels = np.array([label for _, _, label in rows], float)
+    holds = [np.concatenate([x for x, l in zip(number, labels, strict=True) if l == k] or [none.astype(int)]) for k in (1, 0)]
+    toxic, other = (np.bincount(x, minlength=size) for x in holds)
+    weight = np.asarray(idf, float) * evidence_of(toxic, other, (int(labels.sum()), int((1 - labels).sum())))
+
+    total = toxic + other
+    often = np.argsort(-total, kind="stable")[:FREQUENT]
+    column = np.full(size, -1)
+    column[often] = np.arange(len(often))
+    stem_of = np.array([names.get(stem(t), -1) if t[-1:] != b"*" else -1 for t in vocabulary] + [-1])
+    bare = Index(names, stem_of, weight, none, none, column, none, none, none, none, none, 0.5)
+    units = [bare.unit((at, np.array(list(c.values()), float))) for at, c in zip(number, counts, strict=True)]
     # alike examples share blocks, which keeps the maxima close to the weights
-    held = sorted(x for x in seen if x[0])
-    ids, labels = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], float)
-    units = [empty.unit(x[0]) for x in held]
-    blocks, maxima = [], np.zeros((len(place), math.ceil(len(held) / BLOCK)))
-    for b in range(maxima.shape[1]):
-        part = units[b * BLOCK : (b + 1) * BLOCK]
-        own = np.unique(np.concatenate([at for at, _ in part]))
-        matrix = np.zeros((len(part), len(own)))
-        for row, (at, weight) in enumerate(part):
-            matrix[row, np.searchsorted(own, at)] = weight
-        maxima[own, b] = matrix.max(0)
-        blocks.append((b * BLOCK, b * BLOCK + len(part), own, matrix))
-    index = Index(place, empty.idf, ids, labels, tuple(blocks), maxima, prior)
-    if not held:
+    blocks = np.zeros((len(rows), len(often)))
+    for i, (at, w) in enumerate(units):
+        blocks[i, column[at[column[at] >= 0]]] = w[column[at] >= 0]
+    strongest = np.argsort(-blocks, axis=1, kind="stable")[:, :3]
+    order = sorted(range(len(rows)), key=lambda i: (strongest[i].tolist(), rows[i][0]))
+    blocks, labels = blocks[order], labels[order]
+    ids = np.array([rows[i][0] for i in order], np.int64)
+    maxima = np.maximum.reduceat(blocks, np.arange(0, len(rows), BLOCK)).T if rows else np.zeros((len(often), 0))
+
+    at = np.concatenate([units[i][0] for i in order] or [none]).astype(np.int64)
+    own = np.concatenate([units[i][1] for i in order] or [none])
+    holder = np.repeat(np.arange(len(order)), [len(units[i][0]) for i in order]).astype(np.int32)
+    rare = column[at] < 0
+    at, own, holder = at[rare], own[rare], holder[rare]
+    by_term = np.argsort(at, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=size))])
+    prior = float((labels.sum() + 0.5) / (len(labels) + 1))
+    index = Index(
+        names, stem_of, weight, ids, labels, column, blocks, np.ascontiguousarray(maxima),
+        starts, holder[by_term], own[by_term], prior,
+    )
+    if not rows:
         return index
-    votes = np.clip([index.vote(x[0], without=i) for i, x in enumerate(held)], 1e-4, 1 - 1e-4)
+    votes = np.zeros(len(order))
+    for a in range(0, len(order), LOT):
+        for i, (found, sim) in enumerate(index.search([units[j] for j in order[a : a + LOT]], NEIGHBOURS + 1), a):
+            others = found != i
+            votes[i] = index.vote(found[others][:NEIGHBOURS], sim[others][:NEIGHBOURS])
     slope, shift = labelled.curve(np.log(votes / (1 - votes)), labels)
-    return Index(place, empty.idf, ids, labels, tuple(blocks), maxima, prior, slope, shift)
+    return replace(index, slope=slope, shift=shift)
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.FITTED_ROWS) -> Index:
     """The index of the bounded sample; document frequencies are counted over all documents."""
     taken = labelled.sample(documents, labels, "toxic", rows)
 
-    def term_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            toxic, other = Counter(), Counter()
-            for text, label in zip(frame["text"], frame["label"], strict=True):
-                (toxic if label else other).update(set(terms(text)))
-            held = list(toxic.keys() | other.keys())
-            yield pd.DataFrame(
-                {"term": held, "n_toxic": [toxic[t] for t in held], "n_other": [other[t] for t in held]}
-            )
-
-    counted = (
-        taken.select("text", "label")
-        .mapInPandas(term_counts, "term binary, n_toxic long, n_other long")
-        .groupBy("term")
-        .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
-        .where("n_toxic + n_other >= 5")  # rarer ones cannot reach the level
-    )
-    sizes = {r["label"]: r["n"] for r in taken.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = counted.toPandas()
-    counts["term"] = counts["term"].map(bytes)
-    vocabulary = choose(counts, sizes.get(1, 0), sizes.get(0, 0))
+    @F.arrow_udf("binary")
+    def only_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([b" ".join(terms(x)) for x in batch.to_pylist()], pa.binary())
+
+    held = taken.select("doc_id", only_terms("text").alias("own"), "label").collect()
+    held = sorted((r["doc_id"], bytes(r["own"]).split(), r["label"]) for r in held)
+    vocabulary = sorted({t for _, own, _ in held for t in own})
     chosen = frozenset(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +263,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.FITTED_ROW
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total += 1
-                found.update(chosen & set(terms(text)))
+                own = set(words(text))
+                found.update(chosen & (own | set(map(stem, own))))
         yield pa.RecordBatch.from_pydict(
             {"term": pa.array([None, *found], pa.binary()), "n": pa.array([total, *found.values()], pa.int64())}
         )
@@ -206,21 +273,14 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.FITTED_ROW
     often = often.groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = {None if r["term"] is None else bytes(r["term"]): r["n"] for r in often}
     idf = [math.log((1 + seen.get(None, 0)) / (1 + seen.get(t, 0))) + 1 for t in vocabulary]
-
-    @F.arrow_udf("binary")
-    def only_chosen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([b" ".join(w for w in terms(x) if w in chosen) for x in batch.to_pylist()], pa.binary())
-
-    held = taken.select("doc_id", only_chosen("text").alias("own"), "label").collect()
-    return build(vocabulary, idf, sorted((r["doc_id"], bytes(r["own"]).split(), r["label"]) for r in held))
+    return build(vocabulary, idf, held)
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score of at least CUTOFF) for every row.
 
-    A text without a term of the vocabulary, empty and null ones too, scores the prior of such
-    examples; without labels of both kinds every text does.
+    A text without a term of the vocabulary, empty and null ones too, has no neighbours and gets the
+    score of the prior; without labels every text does. Ids of labelled rows are whole numbers.
     """
     index = fit(documents, labels)
     return labelled.scored(documents, index.scores, CUTOFF)
@@ -233,15 +293,14 @@ def evidence(documents: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                at, sim = index.nearest(index.vector(terms(text)))
-                out.append(
-                    [
-                        {"doc_id": int(index.ids[i]), "cosine": float(s), "label": int(index.labels[i])}
-                        for i, s in zip(at, sim, strict=True)
-                    ]
-                )
+            out = [
+                [
+                    {"doc_id": int(index.ids[i]), "cosine": float(s), "label": int(index.labels[i])}
+                    for i, s in zip(at, sim, strict=True)
+                ]
+                for lot in index.lots(batch.to_pylist())
+                for at, sim in lot
+            ]
             yield pa.array(out, kind)
 
     return documents.select("doc_id", run(F.col("text").cast("binary")).alias("neighbours"))

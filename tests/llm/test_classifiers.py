@@ -66,22 +66,26 @@ def test_labels_of_the_held_out_fold_are_not_used(tables):
     assert not {r.doc_id for r in taken} & {3, 4, None}
 
 
-def test_neighbours_equal_brute_force(monkeypatch):
+@pytest.mark.parametrize("frequent", [0, 5, 1024])
+def test_neighbours_equal_brute_force(monkeypatch, frequent):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(2)
     names = [f"t{i}".encode() for i in range(12)]
     rows = [(int(i), [names[j] for j in rng.integers(0, 12, rng.integers(0, 6))], int(rng.random() < 0.4)) for i in range(200)]
     index = toxicity.build(names, rng.uniform(1, 3, 12).tolist(), rows)
 
+    vector_of = lambda own: index.vectors([b" ".join(own)])[0]
+
     def dense(vector):
         out = np.zeros(12)
         at, weight = index.unit(vector)
         out[at] = weight
         return out
 
-    known = [(doc, dense(index.vector(own))) for doc, own, _ in rows if own]
+    known = [(doc, dense(vector_of(own))) for doc, own, _ in rows if own]
     for _ in range(100):
-        vector = index.vector([names[j] for j in rng.integers(0, 12, rng.integers(1, 7))])
+        vector = vector_of([names[j] for j in rng.integers(0, 12, rng.integers(1, 7))])
         sims = sorted(((-round(float(dense(vector) @ v), 12), doc) for doc, v in known))
         expected = [(doc, -s) for s, doc in sims if s < 0][: toxicity.NEIGHBOURS]
         at, sim = index.nearest(vector)
@@ -89,6 +93,62 @@ def test_neighbours_equal_brute_force(monkeypatch):
         assert sim == pytest.approx([s for _, s in expected])
 
 
+def test_toxicity_equals_brute_force(tables, monkeypatch):
+    """Scores of the whole query: all terms and all examples, every cosine computed."""
+    monkeypatch.setattr(toxicity, "FREQUENT", 40)
+    documents, labels, docs = tables
+    texts = [(d[1] or "") for d in docs]
+    cut = [toxicity.terms(t.encode()) for t in texts]
+    known = {}
+    for r in labels.collect():
+        known.setdefault(r.doc_id, set()).add(r.toxic)
+    by_text = {}
+    for (doc, *_), text in zip(docs, texts, strict=True):
+        own = known.get(doc, set()) - {None}
+        if doc is not None and len(own) == 1 and zlib.crc32(str(doc).encode()) % 5:
+            by_text[text] = min(by_text.get(text, (doc, 2)), (doc, own.pop()))
+    examples = sorted((doc, label, toxicity.terms(text.encode())) for text, (doc, label) in by_text.items())
+    names = sorted({t for *_, own in examples for t in own})
+    at = {t: i for i, t in enumerate(names)}
+    often = np.zeros(len(names))
+    for own in cut:
+        for t in set(own) & at.keys():
+            often[at[t]] += 1
+    idf = np.log((1 + len(cut)) / (1 + often)) + 1
+    label = np.array([x[1] for x in examples])
+    holds = np.zeros((len(examples), len(names)), bool)
+    for i, (*_, own) in enumerate(examples):
+        holds[i, [at[t] for t in own]] = True
+    a, b = holds[label == 1].sum(0), holds[label == 0].sum(0)
+    toxic, other = label.sum(), (1 - label).sum()
+    expected = (a + b) / len(label) * np.array([[toxic], [other]])
+    chi = (((np.array([a, b]) - expected) ** 2 / expected).sum(0) * len(label) / (len(label) - a - b).clip(1e-9)).clip(0)
+    scale = idf * (toxicity.FLOOR + (1 - toxicity.FLOOR) * chi**2 / (chi**2 + toxicity.SIGNIFICANT**2))
+
+    def unit(own):
+        out = np.zeros(len(names))
+        for t in own:
+            if t in at:
+                out[at[t]] += scale[at[t]]
+        return out / (np.linalg.norm(out) or 1)
+
+    matrix = np.array([unit(own) for *_, own in examples])
+    prior = (toxic + 0.5) / (len(label) + 1)
+
+    def odds(vector, without=None):
+        sim = np.round(matrix @ vector, 12)
+        best = [i for i in np.lexsort((np.arange(len(sim)), -sim)) if sim[i] > 0 and i != without][: toxicity.NEIGHBOURS]
+        share = (sim[best] @ label[best] + toxicity.PRIOR_WEIGHT * prior) / (sim[best].sum() + toxicity.PRIOR_WEIGHT)
+        share = min(max(share, 1e-4), 1 - 1e-4)
+        return np.log(share / (1 - share))
+
+    slope, shift = labelled.curve(np.array([odds(v, i) for i, v in enumerate(matrix)]), label)
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.judge(documents, labels).collect())
+    want = sorted((str(d[0]), 1 / (1 + np.exp(-slope * odds(unit(own)) - shift))) for d, own in zip(docs, cut, strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-7)
+
+
 def test_descent_reaches_the_hinge_optimum():
     """The dual solution's margins meet the optimality conditions of the hinge loss."""
     rng = np.random.default_rng(0)
