@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -193,37 +193,45 @@ def evidence_of(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int]) ->
     return FLOOR + (1 - FLOOR) * chi**2 / (chi**2 + SIGNIFICANT**2)
 
 
-def build(vocabulary: Sequence[bytes], idf: Sequence[float], rows: Sequence[tuple[int, list[bytes], int]]) -> Index:
-    """The index of sampled (doc_id, terms, label) rows."""
+def build(vocabulary: Sequence[bytes], idf: Sequence[float], rows: Iterable[tuple[int, list[bytes], int]]) -> Index:
+    """The index of sampled (doc_id, terms, label) rows, which are turned into numbers one by one."""
     names = {t: i for i, t in enumerate(vocabulary)}
     size, none = len(names), np.zeros(0)
-    counts = [Counter(w for w in own if w in names) for _, own, _ in rows]
-    number = [np.array([names[t] for t in c], np.int64) for c in counts]
-    labels = np.array([label for _, _, label in rows], float)
-    holds = [np.concatenate([x for x, l in zip(number, labels, strict=True) if l == k] or [none.astype(int)]) for k in (1, 0)]
-    toxic, other = (np.bincount(x, minlength=size) for x in holds)
-    weight = np.asarray(idf, float) * evidence_of(toxic, other, (int(labels.sum()), int((1 - labels).sum())))
-
-    total = toxic + other
-    often = np.argsort(-total, kind="stable")[:FREQUENT]
+    doc_ids, marks, held = [], [], []
+    for doc, own, label in rows:
+        count = Counter(names[t] for t in own if t in names)
+        held.append((np.array(list(count), np.int64), np.array(list(count.values()), float)))
+        doc_ids.append(doc)
+        marks.append(label)
+    ids, labels = np.array(doc_ids, np.int64), np.array(marks, float)
+    holds = np.zeros((2, size), np.int64)
+    for (at, _), label in zip(held, marks, strict=True):
+        holds[label, at] += 1
+    weight = np.asarray(idf, float) * evidence_of(holds[1], holds[0], (int(labels.sum()), int((1 - labels).sum())))
+
+    often = np.argsort(-holds.sum(0), kind="stable")[:FREQUENT]
     column = np.full(size, -1)
     column[often] = np.arange(len(often))
     stem_of = np.array([names.get(stem(t), -1) if t[-1:] != b"*" else -1 for t in vocabulary] + [-1])
     bare = Index(names, stem_of, weight, none, none, column, none, none, none, none, none, 0.5)
-    units = [bare.unit((at, np.array(list(c.values()), float))) for at, c in zip(number, counts, strict=True)]
+    units = [bare.unit(vector) for vector in held]
+
     # alike examples share blocks, which keeps the maxima close to the weights
-    blocks = np.zeros((len(rows), len(often)))
-    for i, (at, w) in enumerate(units):
-        blocks[i, column[at[column[at] >= 0]]] = w[column[at] >= 0]
-    strongest = np.argsort(-blocks, axis=1, kind="stable")[:, :3]
-    order = sorted(range(len(rows)), key=lambda i: (strongest[i].tolist(), rows[i][0]))
-    blocks, labels = blocks[order], labels[order]
-    ids = np.array([rows[i][0] for i in order], np.int64)
-    maxima = np.maximum.reduceat(blocks, np.arange(0, len(rows), BLOCK)).T if rows else np.zeros((len(often), 0))
-
-    at = np.concatenate([units[i][0] for i in order] or [none]).astype(np.int64)
-    own = np.concatenate([units[i][1] for i in order] or [none])
-    holder = np.repeat(np.arange(len(order)), [len(units[i][0]) for i in order]).astype(np.int32)
+    def strongest(i: int) -> tuple:
+        at, own = units[i]
+        own = np.where(column[at] >= 0, own, 0)
+        return (*column[at[np.argsort(-own, kind="stable")[:3]]].tolist(), math.inf, doc_ids[i])
+
+    order = sorted(range(len(units)), key=strongest)
+    units, ids, labels = [units[i] for i in order], ids[order], labels[order]
+    blocks = np.zeros((len(units), len(often)))
+    for i, (at, own) in enumerate(units):
+        blocks[i, column[at[column[at] >= 0]]] = own[column[at] >= 0]
+    maxima = np.maximum.reduceat(blocks, np.arange(0, len(units), BLOCK)).T if units else np.zeros((len(often), 0))
+
+    at = np.concatenate([x for x, _ in units] or [none]).astype(np.int64)
+    own = np.concatenate([x for _, x in units] or [none])
+    holder = np.repeat(np.arange(len(units)), [len(x) for x, _ in units]).astype(np.int32)
     rare = column[at] < 0
     at, own, holder = at[rare], own[rare], holder[rare]
     by_term = np.argsort(at, kind="stable")
@@ -233,11 +241,11 @@ def build(vocabulary: Sequence[bytes], idf: Sequence[float], rows: Sequence[tupl
         names, stem_of, weight, ids, labels, column, blocks, np.ascontiguousarray(maxima),
         starts, holder[by_term], own[by_term], prior,
     )
-    if not rows:
+    if not units:
         return index
-    votes = np.zeros(len(order))
-    for a in range(0, len(order), LOT):
-        for i, (found, sim) in enumerate(index.search([units[j] for j in order[a : a + LOT]], NEIGHBOURS + 1), a):
+    votes = np.zeros(len(units))
+    for a in range(0, len(units), LOT):
+        for i, (found, sim) in enumerate(index.search(units[a : a + LOT], NEIGHBOURS + 1), a):
             others = found != i
             votes[i] = index.vote(found[others][:NEIGHBOURS], sim[others][:NEIGHBOURS])
     slope, shift = labelled.curve(np.log(votes / (1 - votes)), labels)
@@ -248,14 +256,10 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.FITTED_ROW
     """The index of the bounded sample; document frequencies are counted over all documents."""
     taken = labelled.sample(documents, labels, "toxic", rows)
 
-    @F.arrow_udf("binary")
-    def only_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([b" ".join(terms(x)) for x in batch.to_pylist()], pa.binary())
-
-    held = taken.select("doc_id", only_terms("text").alias("own"), "label").collect()
-    held = sorted((r["doc_id"], bytes(r["own"]).split(), r["label"]) for r in held)
-    vocabulary = sorted({t for _, own, _ in held for t in own})
+    held = sorted((r["doc_id"], bytes(r["text"]), r["label"]) for r in taken.select("doc_id", "text", "label").collect())
+    vocabulary = set()
+    for _, text, _ in held:
+        vocabulary.update(terms(text))
     chosen = frozenset(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +274,11 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.FITTED_ROW
         )
 
     often = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(frequencies, "term binary, n long")
-    often = often.groupBy("term").agg(F.sum("n").alias("n")).collect()
-    seen = {None if r["term"] is None else bytes(r["term"]): r["n"] for r in often}
-    idf = [math.log((1 + seen.get(None, 0)) / (1 + seen.get(t, 0))) + 1 for t in vocabulary]
-    return build(vocabulary, idf, held)
+    often = often.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = dict(zip(often["term"].to_pylist(), often["n"].to_pylist(), strict=True))
+    vocabulary = sorted(vocabulary)
+    idf = [math.log((1 + (seen.get(None) or 0)) / (1 + seen.get(t, 0))) + 1 for t in vocabulary]
+    return build(vocabulary, idf, ((doc, terms(text), label) for doc, text, label in held))
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
