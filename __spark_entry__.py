@@ -961,6 +961,39 @@ def _(v: Views) -> DataFrame:
     return out.select("feature_a", "feature_b", _r("rho"))
 
 
+# ground that a sensor does not see: each feature is missing on rows of its own
+_GAPS = {
+    "elevation": "phh2o is null or phh2o < 70",
+    "aspect": "bdod < 120",
+    "chm": "chm is not null",
+    "phh2o": "elevation >= 500",
+}
+_GAPPY = "select pixel_id, " + ", ".join(f"case when {seen} then {f} end as {f}" for f, seen in _GAPS.items())
+
+
+def _complete_pair(a: str, b: str) -> str:
+    ranks = ", ".join(
+        f"rank() over (order by {f}) + (count(*) over (partition by {f})-1)/cast(2 as double) as r{i}"
+        for i, f in enumerate((a, b))
+    )
+    return (
+        f"select '{a}' as feature_a, '{b}' as feature_b, round(corr(r0, r1), 6) as rho "
+        f"from (select {ranks} from g where {a} is not null and {b} is not null)"
+    )
+
+
+@_query(
+    "spearman_pairwise",
+    f"with g as ({_GAPPY} from {{pixel}}) " + " union all ".join(_complete_pair(a, b) for a, b in _PAIRS),
+)
+def _(v: Views) -> DataFrame:
+    gappy = v.pixel.select(
+        "pixel_id", *[F.expr(f"case when {seen} then {f} end").alias(f) for f, seen in _GAPS.items()]
+    )
+    out = correlation.spearman(gappy, ["pixel_id"], _FEATURES, pairwise=True)
+    return out.select("feature_a", "feature_b", _r("rho"))
+
+
 @_query("prune_features")
 def _(v: Views) -> DataFrame:
     features = ["b3", "b5", "b7", "cloudy_pct"]

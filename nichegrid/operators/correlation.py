@@ -36,23 +36,59 @@ def average_ranks(df: DataFrame, ids: Sequence[str], features: Sequence[str]) ->
     )
 
 
+def pairwise_ranks(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Columns ``_i_j``: average rank of feature i among the rows that also have feature j.
+
+    One pass ranks a feature against all its partners: a value is counted once with how many of
+    its rows have each partner, and the running sums of these counts are its ranks. Where the
+    partner is missing ``_j_i`` is null, and ``_i_j`` means nothing.
+    """
+    places = range(len(features))
+    number = [F.col(f).cast("double") for f in features]
+    known = df.select(*ids, *[F.when(~F.isnan(n), n).alias(f"_f{i}") for i, n in enumerate(number)])
+    held = [F.col(f"_f{i}").isNotNull().cast("long").alias(f"_n{i}") for i in places]
+    values = [f"_f{i}" for i in places]
+    counted = (
+        known.select(*held, *values)
+        .unpivot([f"_n{j}" for j in places], values, "_feature", "_value")
+        .where("_value is not null")
+        .groupBy("_feature", "_value")
+        .agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in places])
+    )
+    ranked = running_totals(counted, "_value", [f"_n{j}" for j in places], ["_feature"]).select(
+        "_feature", "_value", *[(F.col(f"_n{j}_before") + (F.col(f"_n{j}") + 1) / 2).alias(f"_rank{j}") for j in places]
+    )
+    long = known.unpivot(list(ids), values, "_feature", "_value").where("_value is not null")
+    return (
+        lookup_join(long, ranked, ["_feature", "_value"])
+        .groupBy(*ids)
+        .agg(
+            *[
+                F.max(F.when(F.col("_feature") == f"_f{i}", F.col(f"_rank{j}"))).alias(f"_{i}_{j}")
+                for i in places
+                for j in places
+                if i != j
+            ]
+        )
+    )
+
+
 def spearman(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], pairwise: bool = False
 ) -> DataFrame:
     """Spearman correlation of every feature pair as ``(feature_a, feature_b, rho)``.
 
     ``pairwise`` ranks each pair on the rows complete for that pair; otherwise a row must have
-    every feature. Needs a unique ``ids`` key.
+    every feature. Needs a unique ``ids`` key. Without two different ranks on both sides rho is null.
     """
     pairs = list(combinations(features, 2))
     if pairwise:
-        out = None
-        for a, b in pairs:
-            one = spearman(df, ids, [a, b])
-            out = one if out is None else out.unionByName(one)
-        return out
-    ranks = average_ranks(df, ids, features)
-    wide = ranks.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+        ranks = pairwise_ranks(df, ids, features)
+        corr = [F.corr(f"_{i}_{j}", f"_{j}_{i}") for i, j in combinations(range(len(features)), 2)]
+    else:
+        ranks = average_ranks(df, ids, features)
+        corr = [F.corr(a, b) for a, b in pairs]
+    wide = ranks.agg(*[c.alias(f"_r{i}") for i, c in enumerate(corr)])
     entries = F.array(
         *[
             F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_r{i}").alias("rho"))

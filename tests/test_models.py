@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, vectors
-from nichegrid.operators import correlation, metrics, sampling, zonal
+from nichegrid.operators import correlation, metrics, ordering, sampling, zonal
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.plans import embedding, evaluation, forest, maxent, notebook, pipeline
 from nichegrid.plans import run as run_plan
@@ -335,6 +335,32 @@ def test_spearman_with_gaps(spark):
             assert r["rho"] == pytest.approx(expected(r["feature_a"], r["feature_b"], whole))
 
 
+@pytest.mark.parametrize("window_rows", [0, 100_000])
+def test_pairwise_ranks_are_one_plan(spark, monkeypatch, window_rows):
+    import pandas as pd
+
+    monkeypatch.setattr(ordering.running_totals, "__defaults__", (*ordering.running_totals.__defaults__[:-1], window_rows))
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 7, (300, 5)).astype(float)
+    values[:, 1] += values[:, 0]
+    values[rng.random(values.shape) < 0.25] = np.nan
+    values[:, 4] = np.nan  # a feature that nobody has
+    names = ["feature", "value", "c", "d", "e"]  # names that the long form could clash with
+    rows = [(i, *[None if np.isnan(x) and i % 2 else float(x) for x in row]) for i, row in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = correlation.spearman(df, ["id"], names, pairwise=True)
+    frame = pd.DataFrame(values, columns=names)
+    for r in got.collect():
+        both = frame[[r["feature_a"], r["feature_b"]]].dropna().rank()
+        if both.empty:
+            assert r["rho"] is None
+        else:
+            assert r["rho"] == pytest.approx(both.iloc[:, 0].corr(both.iloc[:, 1]))
+    # the number of joins does not grow with the number of pairs
+    plan = lambda f: correlation.spearman(df, ["id"], f, pairwise=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(names).count("Join ") == plan(names[:2]).count("Join ")
+
+
 def test_suitable_share_weight(spark):
     df = spark.createDataFrame([(0.9, 0.0), (0.1, 60.0), (None, 0.0)], "score double, lat double")
     assert zonal.suitable_share(df, 0.5).first()[0] == 0.5
