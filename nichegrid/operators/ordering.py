@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichegrid.functions.hashing import key_digest
-from nichegrid.operators.joins import has_at_most, lookup_join
+from nichegrid.operators.joins import broadcast_limit, has_at_most, lookup_join
 
 # groups larger than this leave the in-memory percentile aggregate
 LARGE_GROUP = 200_000
@@ -21,6 +21,8 @@ LARGE_GROUP = 200_000
 WINDOW_ROWS = 100_000
 BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 1_000_000, 64, 8192
 _STRIDE = 64
+# leading bits of a value by which a quantile is narrowed down at a time; a divisor of 64
+RADIX_BITS = 16
 # hex digits of a key hash by which rows are counted before a sample is drawn
 PREFIX_DIGITS = 4
 
@@ -108,35 +110,88 @@ def _attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return lookup_join(rows, small, keys)
 
 
+def ordered_bits(value: Column) -> Column:
+    """A whole number that sorts as the double does; both zeros are one, NaN is the greatest."""
+    plain = value.cast("double") + F.lit(0.0)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
+
+
 def exact_quantile(
-    df: DataFrame, value: str, q: float, by: Sequence[str] = (), name: str = "quantile"
+    df: DataFrame, value: str, q: float, by: Sequence[str] = (), name: str = "quantile",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Exact interpolated quantile per group, for few groups of any size.
+    """Exact interpolated quantile per group, for groups of any size and skew.
 
-    Repeats are counted first, so a value that fills a third of the table is one row.
+    Values are counted by their leading bits, which combines before the shuffle, and only rows of
+    the buckets that hold the wanted ranks are looked at again with RADIX_BITS more, until these
+    buckets are small or single values. No window is longer than 2**RADIX_BITS or ``window_rows``
+    rows. Nulls are left out; null keys are a group.
     """
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = running_totals(counted, value, ["_n"], by)
-    position = (F.col("_n_total") - 1) * F.lit(float(q))
-    low, high = F.floor(position), F.ceil(position)
+    base = df.where(F.col(value).isNotNull()).select(
+        F.struct(*[F.col(c) for c in by] or [F.lit(1).alias("_all")]).alias("_key"),
+        F.col(value).cast("double").alias("_v"),
+        ordered_bits(F.col(value)).alias("_bits"),
+    )
+
+    def prefix(shift: int) -> Column:
+        return F.shiftright("_bits", shift).alias("_prefix")
+
+    def covers(rank: str) -> Column:
+        return (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
 
-    def covers(rank: Column) -> Column:
-        return (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
+    shift = 64 - RADIX_BITS
+    position = (F.sum("_n").over(Window.partitionBy("_key")) - 1) * F.lit(float(q))
+    below = Window.partitionBy("_key").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    state = (
+        base.groupBy("_key", prefix(shift))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_at", position)
+        .select(
+            "_key", "_prefix", "_n", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"),
+            F.floor("_at").alias("_low"), F.ceil("_at").alias("_high"), (F.col("_at") - F.floor("_at")).alias("_frac"),
+        )
+        .where(covers("_low") | covers("_high"))
+        .persist()
+    )
 
-    v = F.col(value).cast("double")
+    def split(part: str) -> DataFrame:
+        """Rows of the state's buckets, counted by ``part`` and put in its order."""
+        own = state.select("_key", "_prefix", F.col("_before").alias("_base"), "_low", "_high", "_frac")
+        inside = Window.partitionBy("_key", "_prefix").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        placed = base.select("_key", prefix(shift), "_v", finer.alias("_next"))
+        keys = ["_key", "_prefix"]
+        few = buckets <= broadcast_limit(own)
+        counted = (
+            (placed.join(F.broadcast(own), keys) if few else lookup_join(placed, own, keys))
+            .groupBy("_key", "_prefix", "_base", "_low", "_high", "_frac", part)
+            .agg(F.count("*").alias("_n"))
+        )
+        before = F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+        return counted.withColumn("_before", before).where(covers("_low") | covers("_high"))
+
+    finer = F.lit(0)
+    buckets, most = state.agg(F.count("*"), F.max("_n")).first()
+    while shift > 0 and (most or 0) > window_rows:
+        finer = F.shiftright("_bits", shift - RADIX_BITS)
+        coarse, state = state, split("_next").select(
+            "_key", F.col("_next").alias("_prefix"), "_n", "_before", "_low", "_high", "_frac"
+        ).persist()
+        buckets, most = state.agg(F.count("*"), F.max("_n")).first()
+        coarse.unpersist()
+        shift -= RADIX_BITS
     picked = (
-        ranked.where(covers(low) | covers(high))
-        .groupBy(*by)
+        split("_v")
+        .groupBy("_key")
         .agg(
-            F.max(F.when(covers(low), v)).alias("_lo"),
-            F.max(F.when(covers(high), v)).alias("_hi"),
-            F.max(position - low).alias("_frac"),
+            F.max(F.when(covers("_low"), F.col("_v"))).alias("_lo"),
+            F.max(F.when(covers("_high"), F.col("_v"))).alias("_hi"),
+            F.max("_frac").alias("_frac"),
         )
     )
-    return picked.select(
-        *by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(name)
-    )
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return picked.select(*[F.col("_key").getField(c).alias(c) for c in by], between.alias(name))
 
 
 def group_median(

@@ -42,17 +42,30 @@ def test_running_totals(values, window_rows):
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 1.0])
 def test_exact_quantile(values, window_rows, q):
     rows, df = values
-    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"]).collect()}
+    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], window_rows=window_rows).collect()}
     for g in "abc":
         assert got[g] == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], q))
 
 
 def test_ungrouped_quantile(values, window_rows):
     rows, df = values
-    got = exact_quantile(df, "v", 0.1).first()["quantile"]
+    got = exact_quantile(df, "v", 0.1, window_rows=window_rows).first()["quantile"]
     assert got == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.1))
 
 
+@pytest.mark.parametrize("rows", [0, 50, 100_000])
+def test_quantile_narrowed_by_bits(spark, rows):
+    """Signs, zeros, extremes, neighbours in the last bit, a null key and a value that fills a third."""
+    near = [float(x) for x in np.nextafter(1.0, 2.0) + np.arange(300) * np.finfo(float).eps]
+    wide = [s * 10.0**e for e in range(-300, 300, 7) for s in (-1.0, 1.0)] + [0.0, -0.0, 5e-324, -5e-324]
+    rows_of = {"near": near, "wide": wide, None: [2.0] * 200 + near + [-x for x in near[:90]], "one": [7.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in rows_of.items() for x in [*xs, None]], "_v string, v double")
+    for q in (0.0, 0.31, 0.5, 1.0):
+        got = {r["_v"]: r["quantile"] for r in exact_quantile(df, "v", q, ["_v"], window_rows=rows).collect()}
+        assert got == {g: pytest.approx(np.quantile(xs, q), rel=1e-15, abs=0) for g, xs in rows_of.items()}
+    assert exact_quantile(df.where("v is null"), "v", 0.5, ["_v"], window_rows=rows).isEmpty()
+
+
 @pytest.mark.parametrize("large_group", [100, 10_000_000])
 def test_group_median_large_and_small_groups(values, large_group):
     rows, df = values
