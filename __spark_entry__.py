@@ -788,7 +788,7 @@ def _(v: Views) -> DataFrame:
     f"""select vec_id from {{embeddings}} where label = 0 order by {_U.format("vec_id")}, vec_id limit 100""",
 )
 def _(v: Views) -> DataFrame:
-    return sampling.evaluation_sample(v.embeddings.where("label = 0"), ["vec_id"]).select("vec_id")
+    return sampling.evaluation_sample(v.embeddings.where("label = 0"), ["vec_id"], 100).select("vec_id")
 
 
 @_query(

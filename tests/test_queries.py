@@ -54,3 +54,14 @@ def test_entry(spark):
 
 def test_whole_embedding_run_is_registered():
     assert {"embedding_run", "embedding_run_auc"} <= set(QUERIES) and "embedding_run" in ORACLES
+
+
+def test_evaluation_sample_stops_at_its_limit(spark, tmp_path):
+    """More presences than the SQL asks for; the smallest tables have fewer."""
+    vectors = spark.range(250).selectExpr("id as vec_id", "array(float(id)) as embedding", "int(id % 2) as label")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = con.sql(ORACLES["eval_sample"]).fetchall()
+    got = QUERIES["eval_sample"](spark, str(tmp_path)).collect()
+    assert len(wanted) == 100 and {r[0] for r in got} == {r[0] for r in wanted} and len(got) == 100
