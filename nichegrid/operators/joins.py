@@ -30,6 +30,11 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not to be broadcast, whatever size Spark takes it for."""
+    return df.hint("merge")
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -37,21 +42,25 @@ def lookup_join(
     how: str = "inner",
     broadcast_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed ``facts`` with ``dim`` (``inner`` or ``left``).
 
     A counted, small ``dim`` is broadcast, so ``facts`` is not shuffled. Otherwise both sides are
     shuffled; a key that holds more than ``hot_rows`` facts is spread over salts, and only the
-    ``dim`` rows of such keys are repeated.
+    ``dim`` rows of such keys are repeated. What was counted as large stays shuffled: Spark's own guess
+    from the size of compressed files or caches would bring millions of rows to the driver. ``counts``
+    are the facts per key in ``_rows``, where they are known.
     """
     keys = list(keys)
     if has_at_most(dim, broadcast_limit(dim) if broadcast_rows is None else broadcast_rows):
         return facts.join(F.broadcast(dim), keys, how)
 
-    counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    if counts is None:
+        counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
     hot = counts.where(F.col("_rows") > hot_rows).persist()
     if has_at_most(hot, 0):
-        return facts.join(dim, keys, how)
+        return facts.join(shuffled(dim), keys, how)
     if not has_at_most(hot, MAX_HOT_KEYS):
         # no more than MAX_HOT_KEYS keys can each hold more than this share of the rows
         share = hot.agg(F.sum("_rows")).first()[0] // MAX_HOT_KEYS
@@ -65,4 +74,4 @@ def lookup_join(
     left = facts.join(spread, keys, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)
     right = dim.join(spread, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
-    return left.drop("_salts").join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(shuffled(right), [*keys, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.functions.hashing import uniform
 from nichegrid.operators.clip import AreaIndex, clip, index_area
-from nichegrid.operators.joins import BROADCAST_ROWS, broadcast_limit, has_at_most, lookup_join
+from nichegrid.operators.joins import BROADCAST_ROWS, broadcast_limit, has_at_most, lookup_join, shuffled
 from nichegrid.operators.ordering import hash_sample
 
 # candidates in the first lot of random points, and lots (each four times the last) that may hit nothing
@@ -65,7 +65,7 @@ def _hits(
     if has_at_most(wanted, limit):
         rows = band.join(F.broadcast(wanted), keys).persist()  # the layer is scanned once
         return rows, has_at_most(rows, limit)  # a layer may hold a cell more than once
-    return band.join(wanted, keys, "left_semi").persist(), False
+    return band.join(shuffled(wanted), keys, "left_semi").persist(), False
 
 
 def _attach(points: DataFrame, hits: tuple[DataFrame, bool], keys: Sequence[str], how: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichegrid.operators.joins import lookup_join
+from nichegrid.operators.joins import broadcast_limit, shuffled
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.operators.ordering import hash_positions
 from nichegrid.plans import forest
@@ -131,7 +131,12 @@ def permutation_importance(
     partner = table.select(
         F.col("_pos").alias("_partner"), *[F.col(f).alias(f"_other_{f}") for f in features]
     )
-    joined = lookup_join(own, partner, ["_partner"])
+    # every row is the partner of one row in each repeat, so no key is hot; `repeats` times the rows look
+    # as small to Spark as the table, and must not be the side that is broadcast
+    if n <= broadcast_limit(partner):
+        joined = own.join(F.broadcast(partner), "_partner")
+    else:
+        joined = own.repartition(tasks, "_partner").join(shuffled(partner), "_partner")
 
     def swapped(position: int) -> Column:
         values = [

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichegrid.operators.grid import cells_of_extent
+from nichegrid.operators.joins import lookup_join
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -217,7 +218,7 @@ def surveyed(views: Views) -> DataFrame:
     near = views.sighting.select(
         "occ_id", "species", "yr", "cx", "cy", F.explode(F.array(*map(F.lit, _ROAMS))).alias("_shift")
     ).withColumn("cx", (F.col("cx") + F.col("_shift")) % 250)
-    on_ground = near.join(views.pixel.select("cx", "cy", "elevation"), ["cx", "cy"], "left")
+    on_ground = lookup_join(near, views.pixel.select("cx", "cy", "elevation"), ["cx", "cy"], "left")
     choice = F.struct("elevation", (-F.col("_shift")).alias("_near"), "cx", "cy")  # null is the least
     chosen = on_ground.groupBy("occ_id", "species", "yr").agg(F.max(choice).alias("_at"))
     return chosen.select("occ_id", "species", "yr", "_at.cx", "_at.cy").withColumns(

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from nichegrid.operators import joins
+from nichegrid.operators import joins, sampling
 from nichegrid.operators.joins import has_at_most, lookup_join
 
 
@@ -45,3 +45,25 @@ def test_hot_key_is_spread(spark):
 def test_has_at_most(spark):
     assert has_at_most(spark.range(5), 5)
     assert not has_at_most(spark.range(6), 5)
+
+
+def test_a_side_counted_as_large_is_not_broadcast(spark):
+    """Spark takes a cache for as small as it is packed; millions of rows of it went to the driver."""
+    facts = spark.range(1000).select(F.col("id").alias("k"))
+    dim = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("v")).persist()
+    assert dim.count() == 1000
+    for limits in ({"hot_rows": 100}, {"hot_rows": 0}):
+        out = lookup_join(facts, dim, ["k"], broadcast_rows=10, **limits)
+        assert out.count() == 1000
+        hot = "_salt" in out._jdf.queryExecution().analyzed().toString()
+        assert hot == (limits["hot_rows"] == 0)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
+
+
+def test_layers_and_sightings_are_not_broadcast_beyond_the_count(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 10)
+    cells = spark.range(500).select(F.col("id").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    rows, small = sampling._hits(cells, cells.withColumn("elevation", F.lit(1.0)), ["elevation"], ["cx", "cy"])
+    assert not small and rows.count() == 500
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()

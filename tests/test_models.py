@@ -194,6 +194,22 @@ def test_repeated_evaluation_and_permutations(spark):
     assert [r["feature"] for r in ranked.collect()] == ["signal", "noise"]
 
 
+def test_permuted_rows_are_not_broadcast(spark, monkeypatch):
+    """Beyond what may be broadcast neither side is, and the drops are the same."""
+    _, model, test = evaluation.repeated_evaluation(
+        labelled(spark), ["sample_id"], ["signal", "noise"], n_trees=3, max_depth=3, train_size=0.8, repeats=1
+    )
+
+    def drops():
+        return evaluation.permutation_importance(model, test, ["sample_id"], ["signal", "noise"], 5)
+
+    small = sorted(drops().select("feature", "q25", "q50", "q75").collect())
+    monkeypatch.setattr("nichegrid.operators.joins.BROADCAST_ROWS", 10)
+    large = drops()
+    assert sorted(large.select("feature", "q25", "q50", "q75").collect()) == small
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().toString()
+
+
 def test_shuffles_are_permutations():
     for n in (1, 2, 12, 97, 360):
         for _, a, c in evaluation._shuffles(n, 20, 42):
