@@ -4,7 +4,7 @@ Spark cuts a document at closing braces, so every range of a file gives whole fr
 a range means depends on how it begins: inside a string or not, and how deep. Two light passes settle that.
 The first gives, for each range, how the depth changes and whether it ends inside a string, for both ways to
 begin; added up in order, a few numbers per range, that says how every range begins. The second names the
-member of the document that a range begins in. A third pass then gives out features, which are the
+member of the document that a range begins in. A third pass then writes out features, which are the
 objects in the array ``features``, and the object ``crs``; those that a border cuts are put together again.
 """
 
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nichegrid.session import scratch_path
+
 FEATURE_SCHEMA = (
     "type string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
 )
@@ -209,7 +211,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     fragments = _fragments(spark, path)
     starts = _members(fragments, _beginnings(fragments))
-    found = fragments.mapInArrow(lambda batches: _objects(batches, starts), _OBJECTS)
+    # written out: the pieces, the coordinate system and the features would each read the documents again
+    stored = scratch_path(spark, "geojson")
+    fragments.mapInArrow(lambda batches: _objects(batches, starts), _OBJECTS).write.parquet(stored)
+    found = spark.read.schema(_OBJECTS).parquet(stored)
     # an object that a border cuts: a beginning, then what follows up to the next beginning
     pieces = found.where("part > 0").withColumn(
         "nth", F.expr("count(if(part = 3, 1, null)) over (partition by file order by block, part)")

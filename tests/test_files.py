@@ -70,6 +70,15 @@ def test_geojson(spark, tmp_path):
     assert rows(read_presence_file(spark, write(tmp_path / "p.geojson", json.dumps(document, indent=1)))) == EXPECTED
 
 
+def test_documents_are_parsed_once(spark, tmp_path):
+    """Names of properties, pieces, coordinate system and features all come from what one pass wrote."""
+    point = {"type": "Feature", "properties": {"species": "s"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    path = write(tmp_path / "once.geojson", json.dumps({"type": "FeatureCollection", "features": [point] * 3}))
+    found = geojson.read_documents(spark, path)
+    assert found.count() == 3
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
 def test_geojson_header_is_chosen_for_the_file(spark, tmp_path):
     document = {"type": "FeatureCollection", "features": [feature(1, 2, Name="n"), feature(3, 4, SPECIES="s", Name="m")]}
     got = rows(read_presence_file(spark, write(tmp_path / "p.json", json.dumps(document))))
