@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.operators.joins import lookup_join
 from nichegrid.operators.ordering import running_totals
+from nichegrid.session import cut_lineage
 
 CLUSTER_DISTANCE = 0.35
 
@@ -21,16 +22,20 @@ def average_ranks(df: DataFrame, ids: Sequence[str], features: Sequence[str]) ->
     Features are ranked together in long form; equal values are counted once, and the ranks
     return to the rows through a join that splits hot values.
     """
-    complete = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).dropna(
-        subset=list(features)
+    # read once, then counted and ranked: sums of doubles may come out otherwise when they are made again
+    complete = cut_lineage(
+        df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=list(features))
     )
     long = complete.unpivot(list(ids), list(features), "feature", "value")
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, "value", ["n"], ["feature"]).select(
-        "feature", "value", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")
+    ranked = cut_lineage(
+        running_totals(counted, "value", ["n"], ["feature"]).select(
+            "feature", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")
+        )
     )
+    rows = ranked.select("feature", "value", F.col("n").alias("_rows"))
     return (
-        lookup_join(long, ranked, ["feature", "value"])
+        lookup_join(long, ranked.drop("n"), ["feature", "value"], counts=rows)
         .groupBy(*ids)
         .agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in features])
     )
@@ -45,7 +50,7 @@ def pairwise_ranks(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -
     """
     places = range(len(features))
     number = [F.col(f).cast("double") for f in features]
-    known = df.select(*ids, *[F.when(~F.isnan(n), n).alias(f"_f{i}") for i, n in enumerate(number)])
+    known = cut_lineage(df.select(*ids, *[F.when(~F.isnan(n), n).alias(f"_f{i}") for i, n in enumerate(number)]))
     held = [F.col(f"_f{i}").isNotNull().cast("long").alias(f"_n{i}") for i in places]
     values = [f"_f{i}" for i in places]
     counted = (
@@ -53,14 +58,18 @@ def pairwise_ranks(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -
         .unpivot([f"_n{j}" for j in places], values, "_feature", "_value")
         .where("_value is not null")
         .groupBy("_feature", "_value")
-        .agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in places])
-    )
-    ranked = running_totals(counted, "_value", [f"_n{j}" for j in places], ["_feature"]).select(
-        "_feature", "_value", *[(F.col(f"_n{j}_before") + (F.col(f"_n{j}") + 1) / 2).alias(f"_rank{j}") for j in places]
+        .agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in places], F.count("*").alias("_rows"))
     )
+    ranked = cut_lineage(
+        running_totals(counted, "_value", [f"_n{j}" for j in places], ["_feature"]).select(
+            "_feature", "_value", "_rows",
+            *[(F.col(f"_n{j}_before") + (F.col(f"_n{j}") + 1) / 2).alias(f"_rank{j}") for j in places],
+        )
+    )
     long = known.unpivot(list(ids), values, "_feature", "_value").where("_value is not null")
+    keys = ["_feature", "_value"]
     return (
-        lookup_join(long, ranked, ["_feature", "_value"])
+        lookup_join(long, ranked.drop("_rows"), keys, counts=ranked.select(*keys, "_rows"))
         .groupBy(*ids)
         .agg(
             *[

@@ -351,6 +351,16 @@ def test_spearman_with_gaps(spark):
             assert r["rho"] == pytest.approx(expected(r["feature_a"], r["feature_b"], whole))
 
 
+@pytest.mark.parametrize("pairwise", [False, True])
+def test_ranking_reads_its_rows_once(spark, pairwise):
+    """Rows that came out otherwise when they were made again lost their ranks."""
+    df = spark.range(40).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"))
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: read.add(1) or v, "long").asNondeterministic()
+    rows = correlation.spearman(df.select("id", seen("a").alias("a"), "b"), ["id"], ["a", "b"], pairwise).collect()
+    assert rows[0]["rho"] is not None and read.value == 40
+
+
 @pytest.mark.parametrize("window_rows", [0, 100_000])
 def test_pairwise_ranks_are_one_plan(spark, monkeypatch, window_rows):
     import pandas as pd
