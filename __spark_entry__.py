@@ -1267,7 +1267,7 @@ def _(v: Views) -> DataFrame:
 
 
 def _sample(v: Views) -> DataFrame:
-    presence = sampling.sample_layers(surveyed(v), v.pixel, _LAYERS).withColumn(
+    presence = sampling.sample_layers(cut_lineage(surveyed(v)), v.pixel, _LAYERS).withColumn(
         "sample_id", F.concat(F.lit("p"), F.col("occ_id").cast("string"))
     )
     background = v.pixel.withColumn("sample_id", F.concat(F.lit("b"), F.col("pixel_id").cast("string")))

@@ -268,6 +268,7 @@ def hash_sample(
         .agg(F.max("_prefix").alias("_cut"))
     )
     near = _attach(base, cut, keys).where(F.col("_prefix") <= F.col("_cut")).select(*df.columns)
+    near = near.persist()  # counted by bucket, then numbered
     return (
         hash_positions(near, ids, seed, by, "_position").where(F.col("_position") < n).drop("_position")
     )
