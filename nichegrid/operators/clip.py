@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from nichegrid.operators.joins import lookup_join
+from nichegrid.session import cut_lineage
 
 # an index within both limits is at most some tens of MB
 INDEX_ROWS = 200_000
@@ -183,7 +184,7 @@ def fitting_tile(edges: DataFrame, region: str) -> float:
 def index_area(
     edges: DataFrame, region: str = "region", tile: float | None = None, crowded: int = CROWDED_TILE
 ) -> AreaIndex:
-    """The tile index, persisted and measured, cut thinner where tiles are crowded.
+    """The tile index, written and measured, cut thinner where tiles are crowded.
 
     Without a ``tile`` size one is chosen that keeps the index small enough to broadcast; a given
     one is rounded to a power of two. Edges are counted per tile before any tile is gathered.
@@ -199,7 +200,8 @@ def index_area(
 
 
 def _measured(index: DataFrame) -> tuple[DataFrame, Row]:
-    index = index.persist()
+    # its plan is long and would be planned, and in places run, again in every plan that clips twice
+    index = cut_lineage(index)
     n = F.size("_edges")
     return index, index.agg(
         F.count("*").alias("rows"), F.sum(n).alias("edges"), F.count_distinct("_region").alias("parts")

@@ -32,7 +32,8 @@ def sample_layers(
     cell that holds a third of the points costs one layer row. ``how="left"`` keeps dropped
     points with NULL features.
     """
-    return _attach(points, _hits(points, layers, features, keys), keys, how)
+    asked = _asked(points, keys)
+    return _attach(points, _hits(points, layers, features, keys, asked), keys, how, asked)
 
 
 def sample_stored(
@@ -53,13 +54,23 @@ def sample_stored(
     return points.drop(*features).join(hits, keys, how)
 
 
+def _asked(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct cells of the points, each with its number of points in ``_rows``."""
+    cells = points.select(*keys).dropna().groupBy(*keys)
+    return cells.agg(F.count("*").alias("_rows")).persist()  # counted, joined, and searched for crowded cells
+
+
 def _hits(
-    points: DataFrame, layers: DataFrame, features: Sequence[str] | None, keys: Sequence[str]
+    points: DataFrame,
+    layers: DataFrame,
+    features: Sequence[str] | None,
+    keys: Sequence[str],
+    asked: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Unmasked layer rows of the cells that are asked for, and whether they may be broadcast."""
     keys = list(keys)
     features = list(features or [c for c in layers.columns if c not in keys])
-    wanted = points.select(*keys).dropna().distinct().persist()  # counted, then joined
+    wanted = (_asked(points, keys) if asked is None else asked).select(*keys)
     band = layers.select(*keys, *features).dropna(subset=features)
     limit = min(BROADCAST_ROWS, broadcast_limit(band))
     if has_at_most(wanted, limit):
@@ -68,12 +79,14 @@ def _hits(
     return band.join(shuffled(wanted), keys, "left_semi").persist(), False
 
 
-def _attach(points: DataFrame, hits: tuple[DataFrame, bool], keys: Sequence[str], how: str) -> DataFrame:
+def _attach(
+    points: DataFrame, hits: tuple[DataFrame, bool], keys: Sequence[str], how: str, asked: DataFrame | None = None
+) -> DataFrame:
     rows, small = hits
     points = points.drop(*[c for c in rows.columns if c not in keys])  # a sampled value replaces an own one
     if small:
         return points.join(F.broadcast(rows), list(keys), how)
-    return lookup_join(points, rows, list(keys), how)
+    return lookup_join(points, rows, list(keys), how, counts=asked)
 
 
 def sample_by_year(
@@ -90,7 +103,8 @@ def sample_by_year(
     One equality join on (cell, year) serves every year. Points without a year fall out.
     """
     dated = [*keys, "yr"]
-    out = _attach(points, _hits(points, yearly, temporal_features, dated), dated, how)
+    asked = _asked(points, dated)
+    out = _attach(points, _hits(points, yearly, temporal_features, dated, asked), dated, how, asked)
     if static_features:
         out = _attach(out, _hits(points, static, static_features, keys), keys, how)
     return out
@@ -164,9 +178,11 @@ def background_points(
 
     rounds, empty = FIRST_DRAWS, 0
     while empty < EMPTY_LOTS:
-        held = inside(rounds).count()
+        found = inside(rounds).persist()  # counted, then drawn from
+        held = found.count()
         if held >= n:
-            return hash_sample(inside(rounds), n, ["draw"], seed)
+            return hash_sample(found, n, ["draw"], seed)
+        found.unpersist()
         # so many more as the share of hits asks for, twice as many where there is none yet
         empty = 0 if held else empty + 1
         rounds = max(4 * rounds if not held else 2 * rounds, int(1.2 * n * rounds / held) + 64 if held else 0)

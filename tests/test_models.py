@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nichegrid.config import RunConfig
 from nichegrid.functions import catalogue, vectors
-from nichegrid.operators import correlation, metrics, ordering, sampling, zonal
+from nichegrid.operators import clip, correlation, metrics, ordering, sampling, zonal
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.plans import embedding, evaluation, forest, maxent, notebook, pipeline
 from nichegrid.plans import run as run_plan
@@ -274,6 +274,17 @@ def test_background_points(spark, projected):
     assert points.equals(sampling.background_points(edges, 800, tile=5.0, seed=1, projected=projected).toPandas())
 
 
+def test_background_is_clipped_once_by_a_written_index(spark, monkeypatch):
+    rows = [(0.0, 0.0, 40.0, 0.0), (40.0, 0.0, 40.0, 30.0), (40.0, 30.0, 0.0, 30.0), (0.0, 30.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double").withColumn("region", F.lit("a"))
+    area = clip.index_area(edges, "region", 4.0)
+    assert "CTE" not in area.frame._jdf.queryExecution().analyzed().toString()
+    clips = []
+    monkeypatch.setattr(sampling, "clip", lambda *a: clips.append(1) or clip.clip(*a))
+    drawn = sampling.background_points(edges, 3000, "region", projected=True, area=area)
+    assert drawn.count() == 3000 and drawn.distinct().count() == 3000 and len(clips) == 1
+
+
 def test_background_of_opposite_rings_and_of_nothing(spark):
     schema = "region string, x1 double, y1 double, x2 double, y2 double"
     corners = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]
