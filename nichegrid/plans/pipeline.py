@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +33,39 @@ EMBEDDING_RESOLUTION = 30
 
 @dataclass(frozen=True)
 class Run:
-    """Outcome of a run: a results row, the suitability surface and what is needed to redo it."""
+    """Outcome of a run: a results row, the suitability surface and what is needed to redo it.
+
+    Each is made when it is first asked for, so that a run asked for its figures never looks at a map's cells.
+    """
 
     config: RunConfig
     judge: Callable[[], DataFrame] = field(repr=False)
-    surface: DataFrame
+    draw: Callable[[], DataFrame] = field(repr=False)
     model: object = None
     features: tuple[str, ...] = ()
-    stack: DataFrame | None = field(default=None, repr=False)
+    layers: Callable[[], DataFrame] | None = field(default=None, repr=False)
 
     @cached_property
     def results(self) -> DataFrame:
-        """One row of figures; the evaluation runs when it is first asked for."""
-        try:
-            return self.judge()
-        except Exception as error:
-            raise RuntimeError(f"SDM run failed: {error}") from error
+        """One row of figures."""
+        return _made(self.judge)
+
+    @cached_property
+    def surface(self) -> DataFrame:
+        """``cx, cy, score`` for the cells of the area."""
+        return _made(self.draw)
+
+    @cached_property
+    def stack(self) -> DataFrame | None:
+        """The features of the cells of the area."""
+        return None if self.layers is None else _made(self.layers)
+
+
+def _made(make: Callable[[], DataFrame]) -> DataFrame:
+    try:
+        return make()
+    except Exception as error:
+        raise RuntimeError(f"SDM run failed: {error}") from error
 
 
 def one_area(edges: DataFrame) -> DataFrame:
@@ -167,9 +184,12 @@ def model_run(
             row |= forest.importances(model, features)
         return sample.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in row.items() if v is not None])
 
-    stack = land.map(config.selected_layers, config.year_start, lambda cells: cells_inside(cells, area, land.step))
-    stack = stack.toDF(*CELL, *features)
-    return Run(config, judged, _classify(model, stack, features), model, features, stack)
+    @cache
+    def stack() -> DataFrame:
+        inside = land.map(config.selected_layers, config.year_start, lambda cells: cells_inside(cells, area, land.step))
+        return inside.toDF(*CELL, *features)
+
+    return Run(config, judged, lambda: _classify(model, stack(), features), model, features, stack)
 
 
 def _fit(config: RunConfig, train: DataFrame, features: tuple[str, ...]):
@@ -271,6 +291,8 @@ def embedding_run(
             raise ValueError("the evaluation has no background")
         return mosaic.table.sparkSession.range(1).select(F.lit(auc).alias("roc_auc"))
 
-    scored = embedding_plan.score_against(mosaic.table, mean).select(*CELL, "score")
-    surface = cells_inside(regrid(scored, mosaic.metres, EMBEDDING_RESOLUTION), area, step)
+    def surface() -> DataFrame:
+        scored = embedding_plan.score_against(mosaic.table, mean).select(*CELL, "score")
+        return cells_inside(regrid(scored, mosaic.metres, EMBEDDING_RESOLUTION), area, step)
+
     return Run(config, judged, surface)

@@ -71,6 +71,20 @@ def test_forest_run_repeats_itself(world, forest_run):
     assert again.surface.exceptAll(forest_run.surface).isEmpty()
 
 
+@pytest.mark.parametrize("model_type", ["rf", "embedding"])
+def test_figures_never_look_at_the_map(world, mosaic, monkeypatch, model_type):
+    asked = []
+    inside = pipeline.cells_inside
+    monkeypatch.setattr(pipeline, "cells_inside", lambda *a: asked.append(1) or inside(*a))
+    if model_type == "rf":
+        out = run(world)
+    else:
+        settings = config(model_type="embedding", year_start=2019)
+        out = pipeline.run_embedding(settings, world[2], world[3], mosaic, STEP, tile=4.0)
+    assert out.results.first()["roc_auc"] > 0.5 and not asked
+    assert not out.surface.isEmpty() and out.surface is out.surface and len(asked) == 1
+
+
 def test_excluded_presences(world):
     out = run(world, selected_layers=("elevation", "NDVI"))
     # one in ten has no year; of the others those of 2021 have no NDVI
