@@ -76,6 +76,14 @@ def test_columns(spark, documents, nothing, pairs, vocabularies):
         assert p.round_trip(nothing, vocabulary).isEmpty()
 
 
+def test_encoding_and_its_check_take_one_worker(spark):
+    df = spark.createDataFrame([(1, "abc cab"), (2, ""), (3, None)], "doc_id long, text string")
+    for out in (p.verified(df, toy()), p.round_trip(df, toy())):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert {r.doc_id: r.ids is None for r in out.collect()} == {1: False, 2: False, 3: True}
+
+
 def test_bytes_that_are_no_text(spark):
     df = spark.range(1).selectExpr("id as doc_id", "cast(unhex('61ff20e962') as string) as text")
     assert p.round_trip(df, toy()).first().same
