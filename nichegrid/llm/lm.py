@@ -43,6 +43,8 @@ FEATURES = 2 * CLASSES * WIDTH + PAIRS
 FREQUENT = 1 << 17
 ROUNDS = 3
 BATCH, RATE = 4096, 0.3
+#: tokens whose logits are made together, so that they stay in a core's cache
+NEAR = 512
 #: training tokens that one task takes at least where there are so many
 TASK_TOKENS = 2_000_000
 BLOCK = 1024
@@ -216,50 +218,64 @@ def features(symbols: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
     before[begins] = start
     skip = np.concatenate([[start], before[:-1]])
     skip[begins] = start
-    pair = (before * 1_000_003 + skip * 7919) * 2654435761 % (1 << 31) >> 7
+    pair = ((before * 1_000_003 + skip * 7919) * 2654435761 & (1 << 31) - 1) >> 7
     size = CLASSES * WIDTH
-    return np.stack([before, size + skip, 2 * size + pair % PAIRS], 1)
+    return np.stack([before, size + skip, 2 * size + (pair & PAIRS - 1)], 1)
 
 
 def _symbol_rows(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    return ((rows * CLASSES + owner[:, None]) * 2654435761 % (1 << 40) >> 11) % ROWS
+    return ((rows * CLASSES + owner[:, None]) * 2654435761 >> 11) & (ROWS - 1)
 
 
-def _soft(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _powers(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """What a softmax divides, in ``out``, and the sums that it divides by."""
+    np.take(table, rows[:, 0], axis=0, out=out, mode="clip")
+    out += table.take(rows[:, 1], 0)
+    out += table.take(rows[:, 2], 0)
+    out += bias
+    out -= out.max(1, keepdims=True)
+    np.exp(out, out=out)
+    return out.sum(1, keepdims=True)
 
 
 def predict(weights: Weights, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
     """Softmax over classes, rows of symbol weights, softmax over the symbols of the true class."""
     owner = symbols // WIDTH
-    w = weights.of_class
-    by_class = _soft(w[rows[:, 0]] + w[rows[:, 1]] + w[rows[:, 2]] + w[-1])
     inner = _symbol_rows(rows, owner)
-    w = weights.of_symbol
-    by_symbol = _soft(w[inner[:, 0]] + w[inner[:, 1]] + w[inner[:, 2]] + w[ROWS + owner])
+    by_class = np.empty((len(rows), CLASSES), np.float32)
+    by_symbol = np.empty((len(rows), WIDTH), np.float32)
+    for a in range(0, len(rows), NEAR):
+        lot = slice(a, a + NEAR)
+        by_class[lot] /= _powers(weights.of_class, rows[lot], weights.of_class[-1], by_class[lot])
+        bias = weights.of_symbol.take(ROWS + owner[lot], 0)
+        by_symbol[lot] /= _powers(weights.of_symbol, inner[lot], bias, by_symbol[lot])
     return by_class, inner, by_symbol
 
 
 def log10_of(weights: Weights, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    out = np.empty(len(symbols))
-    for a in range(0, len(symbols), BATCH):
-        own, part = symbols[a : a + BATCH], rows[a : a + BATCH]
-        by_class, _, by_symbol = predict(weights, part, own)
-        at = np.arange(len(own))
-        out[a : a + BATCH] = np.log10(by_class[at, own // WIDTH].astype(float)) + np.log10(
-            by_symbol[at, own % WIDTH].astype(float)
-        )
-    return out
+    """The logarithms of what :func:`predict` gives the symbols; only that is divided."""
+    owner, inside = symbols // WIDTH, symbols % WIDTH
+    inner = _symbol_rows(rows, owner)
+    chances = np.empty((2, len(symbols)), np.float32)
+    powers = np.empty((NEAR, max(CLASSES, WIDTH)), np.float32)
+    for a in range(0, len(symbols), NEAR):
+        lot = slice(a, a + NEAR)
+        at = np.arange(len(symbols[lot]))
+        sums = _powers(weights.of_class, rows[lot], weights.of_class[-1], now := powers[: len(at), :CLASSES])
+        chances[0, lot] = now[at, owner[lot]] / sums[:, 0]
+        bias = weights.of_symbol.take(ROWS + owner[lot], 0)
+        sums = _powers(weights.of_symbol, inner[lot], bias, now := powers[: len(at), :WIDTH])
+        chances[1, lot] = now[at, inside[lot]] / sums[:, 0]
+    return np.log10(chances.astype(float)).sum(0)
 
 
 def _descend(table: np.ndarray, seen: np.ndarray, square: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """One step for the rows of one feature: gradients of equal rows are added first."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # numbers of two bytes are put in order by counting
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     own = ordered[starts]
-    total = np.add.reduceat(gradient[order], starts, axis=0)
+    total = np.add.reduceat(gradient.take(order, 0), starts, axis=0)
     square[own] += (total * total).mean(1)
     table[own] -= RATE * total / np.sqrt(square[own] + 1e-8)[:, None]
     seen[own] += np.diff(np.append(starts, len(rows)))

@@ -83,3 +83,18 @@ def test_equal_counts_fill_the_model(spark):
     assert sorted(held) == words[:most]
     symbols = [*counts.symbol[counts.symbol >= 0], *counts.rest_symbol, counts.end_symbol]
     assert sorted(symbols) == list(range(lm.CLASSES * lm.WIDTH))
+
+
+def test_lots_do_not_change_the_chances(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = lm.Weights.zero()
+    weights.of_class += rng.normal(size=weights.of_class.shape)
+    weights.of_symbol += rng.normal(size=weights.of_symbol.shape)
+    symbols = rng.integers(0, lm.CLASSES * lm.WIDTH, 1300)
+    rows = lm.features(symbols, np.array([700, 1300]), 0)
+    by_class, _, by_symbol = lm.predict(weights, rows, symbols)
+    at = np.arange(1300)
+    chance = by_class[at, symbols // lm.WIDTH].astype(float), by_symbol[at, symbols % lm.WIDTH].astype(float)
+    for near in (1, 512, 5000):
+        monkeypatch.setattr(lm, "NEAR", near)
+        assert np.array_equal(lm.log10_of(weights, rows, symbols), np.log10(chance[0]) + np.log10(chance[1]))
