@@ -3,14 +3,18 @@
 A window is LENGTH consecutive bytes of one document. The least hash among the runs of GRAM bytes in
 a window is its anchor, so equal windows have equal anchors. Consecutive windows with one anchor form a
 context (up to SPAN windows and the bytes they cover); anchors found once in all documents are dropped,
-which only drops windows that occur once. The contexts of an anchor then meet in one bucket, and buckets
-are sorted on their own:
+which only drops windows that occur once. Of documents with one and the same text only the first has
+contexts, since all windows of the others start earlier there. The contexts of an anchor then meet in one
+bucket, and buckets are sorted on their own:
 
 * Equal contexts are one text with its earliest place; all windows of the others start earlier elsewhere.
+* Texts that have no window in common with another are left out. A window holds its anchor in one of SPAN
+  places; for each fifth of them the bytes that all its windows hold have to occur in another text too.
 * The different texts are dealt to shards, every shard is sorted and has its Burrows-Wheeler
-  transform. The transforms are merged by refining an interleave: the order of all suffixes by their
-  first h bytes, as the shard each place comes from, gives the order by h + 2 bytes through one stable
-  count of the transforms' pairs of bytes, without sorting suffixes again. The places that still share a block
+  transform. The transforms are merged by refining an interleave: the order of suffixes by their
+  first h bytes gives the order by h + 2 bytes through one stable count of the transforms' pairs of
+  bytes, without sorting suffixes again. Only suffixes that can still become a window take part: those at
+  the end of a window at first, and never one that is alone in its block. The places that share a block
   after LENGTH steps are a repeated interval: windows with a common prefix of LENGTH bytes.
 * In each interval all windows but the earliest are repeats.
 
@@ -45,7 +49,8 @@ SPAN, BUCKET = LENGTH - GRAM + 1, 20_000
 TWICE = 128
 #: contexts of one anchor that go to one bucket at most
 HOT = 20_000
-#: keys of changed documents that are broadcast, 20 bytes each; beyond, all texts are dealt by their key
+#: keys of changed documents and of copies, and hot contexts, that are broadcast, some 20 bytes each; beyond,
+#: all texts are dealt by their key
 BROADCAST_KEYS = 500_000
 #: bytes of one shard of a bucket
 SHARD = 1 << 16
@@ -60,18 +65,23 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def _grams(text: np.ndarray) -> np.ndarray:
+    """The hashes of all runs of GRAM bytes."""
+    grams, factor, have = _BYTES[text], 0x9E3779B97F4A7C15, 1
+    while have < GRAM:  # doubles the run each time
+        grams = grams[:-have] * np.uint64(factor) + grams[have:]
+        factor = factor * factor % (1 << 64)
+        have *= 2
+    return wordhash.mixed(grams)
+
+
 def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, number of windows) of the contexts of a text of at least LENGTH bytes.
 
     A context that may hold a window twice, since its anchor stands in it twice, has TWICE added to the
     number of its windows.
     """
-    grams, factor, have = _BYTES[text], 0x9E3779B97F4A7C15, 1
-    while have < GRAM:  # doubles the run each time
-        grams = grams[:-have] * np.uint64(factor) + grams[have:]
-        factor = factor * factor % (1 << 64)
-        have *= 2
-    grams = wordhash.mixed(grams)
+    grams = _grams(text)
     least = _sliding_least(grams, SPAN)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     counts = np.diff(np.append(starts, len(least)))
@@ -186,51 +196,97 @@ def _step(letters: np.ndarray) -> int:
     return 2 if (int(letters.max()) + 1) ** 2 <= 1 << 16 else 1
 
 
-def merged(shards: Sequence[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(
+    shards: Sequence[np.ndarray], step: int, at: np.ndarray | None = None, links: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' transforms and the block of each place, LENGTH symbols deep.
 
-    The interleave says which shard each place of the merged order comes from; places in one block have
-    rotations that agree in their first LENGTH symbols.
+    The interleave says which place of the joined shards each place of the merged order is; places in one
+    block have rotations that agree in their first LENGTH symbols. ``at`` are the places to begin with, all
+    by default, and ``links`` the place whose rotation begins ``step`` symbols before. With ``at``, places
+    that are alone in their block go: what stands before them is alone too.
     """
-    sizes = [len(s) for s in shards]
     joined = np.concatenate(shards)
-    origin = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
-    block = np.zeros(len(joined), np.int32)
+    every = at is None
+    if every:
+        at = np.arange(len(joined))
+    if links is None:  # the n-th place with a symbol leads to the n-th rotation that begins with it
+        links, first = np.empty(len(joined), np.int64), 0
+        for shard in shards:
+            links[first + np.argsort(shard, kind="stable")] = np.arange(first, first + len(shard))
+            first += len(shard)
+    block = np.zeros(len(at), np.int32)
     for _ in range(LENGTH // step):
-        # the n-th place of a shard in the interleave carries the n-th symbol of its transform
-        where = np.argsort(origin, kind="stable")
-        before = np.empty(len(joined), np.uint16)
-        before[where] = joined
-        order = np.argsort(before, kind="stable")  # a radix sort of 16 bits
-        origin, block, symbol = origin[order], block[order], before[order]
-        edge = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([[0], np.cumsum(edge, dtype=np.int32)]).astype(np.int32)
-    return origin, block
-
-
-def intervals(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, place) of the windows of each repeated interval of different texts."""
-    shards, numbers, own, size, letters = [], [], [], 0, alphabet(texts)
+        symbol = joined[at]
+        order = np.argsort(symbol, kind="stable")  # a radix sort of 16 bits
+        at, block, symbol = links[at[order]], block[order], symbol[order]
+        edge = np.ones(len(at) + 1, bool)
+        edge[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        if every:
+            edge = edge[:-1]
+        else:
+            stay = np.flatnonzero(~(edge[:-1] & edge[1:]))
+            at, edge = at[stay], edge[stay]
+        block = np.cumsum(edge, dtype=np.int32)
+    return at, block
+
+
+def intervals(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and interval of the windows that stand in several places of different texts."""
+    shards, places, links, own, size, done, letters = [], [], [], [], 0, 0, alphabet(texts)
+    step = _step(letters)
     for i, text in enumerate(texts):
         own.append(i)
         size += len(text) + 1
         if size >= SHARD or i == len(texts) - 1:
             owner, place, before = transform([texts[j] for j in own], letters)
             shards.append(before)
-            numbers.append((np.array(own)[owner], place))
-            own, size = [], 0
+            numbers = np.array(own)
+            places.append((numbers[owner], place))
+            # where the rotation of the same text that begins a step before has come to stand
+            sizes = np.array([len(texts[j]) + 1 for j in own])
+            offset = sizes.cumsum() - sizes
+            stands = np.empty(size, np.int64)
+            stands[offset[owner] + place] = np.arange(done, done + size)
+            links.append(stands[offset[owner] + (place - step) % sizes[owner]])
+            own, size, done = [], 0, done + size
     if not shards:
-        return
-    origin, block = merged(shards, _step(letters))
-    where = np.argsort(origin, kind="stable")
-    number, place = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
-    number[where], place[where] = (np.concatenate(x) for x in zip(*numbers, strict=True))
-    fits = place + LENGTH <= np.array([len(t) for t in texts])[number]
-    number, place, block = number[fits], place[fits], block[fits]
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True):
-        if b - a > 1:
-            yield number[a:b], place[a:b]
+        return (np.zeros(0, np.int64),) * 3
+    number, place = (np.concatenate(x) for x in zip(*places, strict=True))
+    # LENGTH symbols on from the beginning of a window, to which the steps lead back
+    at, block = merged(shards, step, np.flatnonzero(place >= LENGTH), np.concatenate(links))
+    return number[at], place[at], block
+
+
+def _may_share(texts: Sequence[bytes], anchor: np.ndarray) -> np.ndarray:
+    """Which texts may have a window in common with another text of their anchor, or hold one twice.
+
+    In a window the anchor stands behind 0 to SPAN - 1 bytes. Windows where that is ``least`` to ``least +
+    width - 1`` have LENGTH - width + 1 bytes in common that begin ``least`` before the anchor, so only
+    texts that agree in these can share one of them. Anchors that stand several times in a text keep all texts.
+    """
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    begin = sizes.cumsum() - sizes
+    grams = _grams(joined)
+    found = np.flatnonzero(grams == np.repeat(anchor.view(np.uint64), sizes)[: len(grams)])
+    of = np.searchsorted(begin, found, side="right") - 1
+    inside = found + GRAM <= begin[of] + sizes[of]
+    found, of = found[inside], of[inside]
+    once = np.bincount(of, minlength=len(texts)) == 1
+    found, of = found[once[of]], of[once[of]]
+    keep = np.isin(anchor, anchor[~once])
+    width = SPAN // 5
+    common = LENGTH - width + 1
+    for least in range(0, SPAN, width):
+        first = found - least
+        whole = np.flatnonzero((first >= begin[of]) & (first + common <= begin[of] + sizes[of]))
+        key = anchor[of[whole]].view(np.uint64)
+        for ahead in (*range(0, common - GRAM, GRAM), common - GRAM):
+            key = wordhash.mixed(key) + grams[first[whole] + ahead]
+        _, same, times = np.unique(key, return_inverse=True, return_counts=True)
+        keep[of[whole][times[same] > 1]] = True
+    return keep
 
 
 def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
@@ -246,22 +302,23 @@ def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
     out = out.rename(columns={"start": "first"})[[*_DOC, "first", "last"]]
     # a context that is alone with its anchor has no window in common with another
     several = lead["anchor"].duplicated(keep=False) | (lead["windows"] >= TWICE)
-    lead = lead[several].reset_index(drop=True)
+    lead = lead[several]
+    if len(lead):
+        lead = lead[_may_share(lead["context"].tolist(), lead["anchor"].to_numpy(np.int64))].reset_index(drop=True)
     if len(lead):
         # places in order: the first documents come first
         rank = lead.groupby(_DOC, sort=True).ngroup().to_numpy()
         start = lead["start"].to_numpy()
-        texts = lead["context"].tolist()
-        numbers, places = [], []
-        for number, place in intervals(texts):
-            # equal windows share their anchor, so intervals do not mix buckets' anchors
-            at = np.lexsort((start[number] + place, rank[number]))
-            earliest = (rank[number[at[0]]], start[number[at[0]]] + place[at[0]])
-            repeat = (rank[number] != earliest[0]) | (start[number] + place != earliest[1])
-            numbers.append(number[repeat])
-            places.append(place[repeat])
-        if numbers:
-            number, place = np.concatenate(numbers), np.concatenate(places)
+        # equal windows share their anchor, so intervals do not mix buckets' anchors
+        number, place, block = intervals(lead["context"].tolist())
+        at = np.lexsort((start[number] + place, rank[number], block))
+        number, place, block = number[at], place[at], block[at]
+        begin = np.flatnonzero(np.diff(block, prepend=-1))
+        earliest = np.repeat(begin, np.diff(np.append(begin, len(block))))
+        where = start[number] + place
+        repeat = (rank[number] != rank[number[earliest]]) | (where != where[earliest])
+        number, place = number[repeat], place[repeat]
+        if len(number):
             at = np.lexsort((place, number))
             number, place = number[at], place[at]
             begin = np.concatenate([[True], (number[1:] != number[:-1]) | (place[1:] > place[:-1] + 1)])
@@ -278,13 +335,37 @@ _DOC = ["has_id", "doc_id", "text"]
 _RANGES = "text long, first long, last long"
 
 
+def _copies(documents: DataFrame) -> DataFrame:
+    """doc, n_bytes of the documents of LENGTH bytes or more whose whole text an earlier document has."""
+    body = F.col("text").cast("binary")
+    keyed = documents.where(F.length(body) >= LENGTH).select(
+        document_key().alias("doc"), F.unhex(F.md5(body)).alias("digest"), F.length(body).cast("long").alias("n_bytes")
+    )
+    several = keyed.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("last"))
+    several = stored(several.where("least <> last"), "equal-texts").select("digest", "least")
+    return keyed.join(several, "digest").where("doc <> least").select("doc", "n_bytes").distinct()
+
+
 def repeated_windows(documents: DataFrame) -> DataFrame:
     """doc_id, text (hash), first, last: ranges of window starts whose bytes are removed."""
+    copies = stored(_copies(documents), "copies")
+    keys = copies.select("doc")
+    if copies.count() <= BROADCAST_KEYS:  # so no text has to move
+        keys = F.broadcast(keys)
+    firsts = documents.select(document_key().alias("doc"), "doc_id", "text").join(keys, "doc", "left_anti")
+    whole = copies.select(
+        "doc.doc_id", "doc.text", F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - LENGTH + 1).alias("last")
+    )
+    return _windows_of_different(firsts.select("doc_id", "text")).unionByName(whole)
+
+
+def _windows_of_different(documents: DataFrame) -> DataFrame:
+    """The same for documents of which no two have one text, but for rows that repeat a document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     shared = stored(_shared(documents), "shared-anchors")
     total = shared.count()
     buckets = max(1, math.ceil(total / BUCKET))
-    per_row = shared.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("at"))
+    hot_ones = shared.where("hot").count()
     texts = documents.select(
         F.xxhash64("doc_id", "text").alias("row"),
         "doc_id",
@@ -292,16 +373,19 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         F.col("text").cast("binary").alias("body"),
     )
     id_ = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id")
-    held = texts.join(per_row, "row").select(
-        id_, F.col("hash").alias("text"), "body", "at", F.col("doc_id").isNotNull().alias("has_id")
-    )
 
-    def contexts(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
+    def held(part: DataFrame, few: bool) -> DataFrame:
+        at = part.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("at"))
+        return texts.join(F.broadcast(at) if few else at, "row").select(
+            id_, F.col("hash").alias("text"), "body", "at", F.col("doc_id").isNotNull().alias("has_id")
+        )
+
+    def contexts(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, bodies, has_id = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             at = batch.column(3)
             edges = at.offsets.to_numpy()
-            anchor, start, windows, hot = (at.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            anchor, start, windows = (at.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             rows: list[list] = [[] for _ in range(8)]
 
             def put(bucket, own, doc, first, n, context, rows=rows):
@@ -312,9 +396,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
                 doc = (has_id[i], ids[i], hashes[i])
                 for j in range(edges[i], edges[i + 1]):
                     s, n = int(start[j]), int(windows[j]) % TWICE
-                    if hot[j] != hot_ones:
-                        continue
-                    if hot_ones:
+                    if hot:
                         for w in range(s, s + n):
                             if w + LENGTH <= len(body):
                                 put(-1, 0, doc, w, 1, hashlib.blake2b(body[w : w + LENGTH], digest_size=16).digest())
@@ -334,12 +416,14 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
 
     own = F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id")
     schema = f"bucket long, anchor long, has_id boolean, doc_id {kind}, text long, start long, windows int, context binary"
-    found = held.mapInArrow(lambda batches: contexts(batches, False), schema)
+    found = held(shared.where("not hot"), False).mapInArrow(lambda batches: contexts(batches, False), schema)
     plain = found.groupBy("bucket").applyInPandas(_repeated, f"has_id boolean, doc_id {kind}, {_RANGES}")
     plain = plain.select(own, "text", "first", "last")
-    if not shared.where("hot").limit(1).count():
+    if not hot_ones:
         return plain
-    found = held.mapInArrow(lambda batches: contexts(batches, True), schema)
+    # the texts do not move a second time for hot contexts, unless there are very many
+    few = held(shared.where("hot"), hot_ones <= BROADCAST_KEYS)
+    found = few.mapInArrow(lambda batches: contexts(batches, True), schema)
     hot = stored(found.select("context", F.struct(own, "text", "start").alias("place")), "hot-windows")
     least = hot.groupBy("context").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
     late = _met(hot, stored(least, "hot-least"), "context").where("place <> least").select(

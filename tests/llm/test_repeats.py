@@ -87,3 +87,55 @@ def test_no_task_holds_all_contexts_of_a_hot_anchor(spark, monkeypatch):
     held = repeats._shared(df).where("hot").groupBy("anchor", F.spark_partition_id().alias("task")).count()
     most = held.groupBy("anchor").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
     assert most and all(r.n >= 400 and 2 * r.most < r.n for r in most)
+
+
+def test_merge_follows_only_windows_that_stay_shared(monkeypatch):
+    rng = random.Random(8)
+    text = lambda n, letters="abcd": "".join(rng.choice(letters) for _ in range(n)).encode()
+    shared = text(130)
+    texts = [text(50) + shared + text(20), shared[10:] + text(90), text(180), text(184), b"ab" * 80, b"ba" * 70, text(99)]
+    texts += [text(80) + shared[:100], text(150, "a"), text(120, "a")]
+    windows = [(t[p : p + 100], i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
+    held = Counter(w for w, _, _ in windows)
+    expected = Counter((w, i, p) for w, i, p in windows if held[w] > 1)
+    sizes = []
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, **k: (sizes.append(len(x)), cumsum(x, **k))[1])
+    for shard in (1 << 16, 300):
+        monkeypatch.setattr(repeats, "SHARD", shard)
+        sizes.clear()
+        number, place, block = (x.tolist() for x in repeats.intervals(texts))
+        found = [texts[i][p : p + 100] for i, p in zip(number, place, strict=True)]
+        assert Counter(zip(found, number, place, strict=True)) == expected
+        assert len(set(zip(block, found, strict=True))) == len(set(block)) == len(set(found))
+        rounds = sizes[-(100 // repeats._step(repeats.alphabet(texts))) :]
+        assert max(rounds) <= len(windows) and rounds[-1] == len(found)
+
+
+def test_texts_without_a_common_window_are_left_out():
+    rng = random.Random(9)
+    text = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    gram = text(16)
+    anchor = repeats._grams(np.frombuffer(gram, np.uint8)).view(np.int64)[0]
+    for before in (0, 1, 16, 17, 40, 67, 68, 84):  # where the anchor stands in the one common window
+        window = text(before) + gram + text(84 - before)
+        texts = [text(84 - before) + window + text(before), text(10) + window, text(84) + gram + text(84)]
+        assert repeats._may_share(texts, np.full(3, anchor)).tolist() == [True, True, False]
+        assert not repeats._may_share(texts[:2], np.array([anchor, anchor + 1]))[0]
+    twice = [gram + text(60) + gram + text(60), text(84) + gram + text(84)]
+    assert repeats._may_share(twice, np.full(2, anchor)).all()
+
+
+def test_equal_texts_have_contexts_once(spark, monkeypatch):
+    rng = random.Random(10)
+    body = "".join(rng.choice("abcdef ") for _ in range(500))
+    rows = [(i, body) for i in (7, 3, 5, 3)] + [(None, body), (9, body + "z"), (1, None), (2, "short")]
+    seen = []
+    inner = repeats._windows_of_different
+    monkeypatch.setattr(repeats, "_windows_of_different", lambda d: (seen.extend(d.collect()), inner(d))[1])
+    for keys in (500_000, 0):
+        monkeypatch.setattr(repeats, "BROADCAST_KEYS", keys)
+        seen.clear()
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {None: (0, 0), 3: (500, 1), 5: (500, 1), 7: (500, 1), 9: (500, 1), 1: (0, 0), 2: (0, 0)}
+        assert [r.doc_id for r in seen if r.text == body] == [None]
