@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichegrid.llm import wordhash
 from nichegrid.llm.tables import fold, stored
 
 FOLDS, HELD = 7, 2
@@ -45,6 +46,12 @@ ROUNDS = 3
 BATCH, RATE = 4096, 0.3
 #: tokens whose logits are made together, so that they stay in a core's cache
 NEAR = 512
+#: tokens that one update is given at most but for one long text, and those that are scored together
+LOT, SCORED = 1 << 16, 1 << 18
+#: sums of so many gradients at most are made for all rows at once
+FEW = 8
+#: bytes of texts that are cut into words together
+CUT = 1 << 18
 #: training tokens that one task takes at least where there are so many
 TASK_TOKENS = 2_000_000
 BLOCK = 1024
@@ -183,32 +190,93 @@ def _plain(counts: Counts) -> Counts:
     return Counts(**{**counts.__dict__, "rare": None})
 
 
-def encoded(counts: Counts, texts: Sequence[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Lots of texts: (first, past the last, ends of each text, place of each token, symbols, rare words).
-
-    The place is that among the frequent words, -1 for a rare one and -2 for an end.
+class Lookup:
+    """The places of words among the frequent ones, for many words at a time, by their 64-bit hashes."""
+
+    BITS = 20
+
+    def __init__(self, counts: Counts):
+        self.counts = counts
+        hashes = wordhash.words(b" ".join(counts.words))
+        self.place = np.argsort(hashes)
+        self.hashes = hashes[self.place]
+        slots = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
+        self.first = np.append(np.searchsorted(self.hashes, slots), len(hashes))
+        # the rest that a word belongs to, by its last byte and by its last two
+        rests, size = range(256), len(counts.rest_symbol)
+        lower = [bytes([b]).lower() for b in rests]
+        self.of_one = np.array([zlib.crc32(b) % size for b in lower])
+        self.of_two = np.array([zlib.crc32(a + b) % size for a in lower for b in lower])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, past = self.first[slot], self.first[slot + 1]
+        place = np.full(len(hashes), -1)
+        left = np.flatnonzero(at < past)
+        while len(left):
+            own = at[left]
+            hit = self.hashes[own] == hashes[left]
+            place[left[hit]] = self.place[own[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < past[left]]
+        return place
+
+    def cut(self, texts: Sequence[bytes | None], words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Number of tokens of each text, place of each token, symbols, and with ``words`` each text's rare words."""
+        joined = b"\n".join(t or b"" for t in texts)
+        raw = np.frombuffer(joined, np.uint8)
+        begins, ends = wordhash.spans(raw)
+        edges = np.array([len(t or b"") + 1 for t in texts]).cumsum()
+        known = self.find(wordhash.words(joined))
+        upto = np.searchsorted(begins, edges)  # words of the texts so far
+        last = upto + np.arange(len(texts))  # where the ends are among the tokens
+        is_word = np.ones(len(known) + len(texts), bool)
+        is_word[last] = False
+        place = np.full(len(is_word), -2)
+        place[is_word] = known
+        symbols = self.counts.symbol[place] if len(self.counts.symbol) else np.full(len(place), -1)
+        late = np.flatnonzero(known < 0)
+        final = raw[ends[late] - 1].astype(np.int64)
+        two = ends[late] - begins[late] > 1
+        rests = np.where(two, self.of_two[raw[ends[late] - 1 - two].astype(np.int64) << 8 | final], self.of_one[final])
+        symbols[place == -1] = -1 - rests
+        in_rest = symbols < 0
+        symbols[in_rest] = self.counts.rest_symbol[-1 - symbols[in_rest]]
+        symbols[last] = self.counts.end_symbol
+        rare: list[list[bytes]] = [[] for _ in texts] if words else []
+        if words:
+            owner = np.searchsorted(upto, late, side="right")
+            for i, a, b in zip(owner.tolist(), begins[late].tolist(), ends[late].tolist(), strict=True):
+                rare[i].append(joined[a:b].lower())
+        return np.diff(last, prepend=-1), place, symbols, rare
+
+
+def encoded(
+    lookup: Lookup, texts: Sequence[bytes | None], lot: int = LOT, words: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Lots of texts in order: ends of each text, place of each token, symbols, and with ``words`` the rare words.
+
+    The place is that among the frequent words, -1 for a rare one and -2 for an end. A lot ends with the
+    text that makes it ``lot`` tokens or more.
     """
+    sizes, place, symbols, rare = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
     first = 0
-    get = counts.words.get
     while first < len(texts):
-        places, rare, ends, last = [], [], [], first
-        while last < len(texts) and len(places) < 1 << 16:
-            words = tokens(texts[last])
-            own = [get(w, -1) for w in words]
-            rare.append([w for w, at in zip(words, own, strict=True) if at < 0] if -1 in own else [])
-            places += own
-            places.append(-2)
-            ends.append(len(places))
+        last, held = first, 0
+        while last < len(texts) and (last == first or held + len(texts[last] or b"") <= CUT):
+            held += len(texts[last] or b"")
             last += 1
-        place = np.array(places)
-        symbols = counts.symbol[place] if len(counts.symbol) else np.full(len(place), -1)
-        rests = np.array([rest_of(w) for words in rare for w in words], np.int64)
-        symbols[place == -1] = -1 - rests
-        in_rest = symbols < 0
-        symbols[in_rest] = counts.rest_symbol[-1 - symbols[in_rest]]
-        symbols[place == -2] = counts.end_symbol
-        yield first, last, np.array(ends), place, symbols, rare
+        more = lookup.cut(texts[first:last], words)
+        sizes, place, symbols = (np.concatenate(x) for x in zip((sizes, place, symbols), more[:3], strict=True))
+        rare += more[3]
         first = last
+        while len(place) >= lot or (first == len(texts) and len(sizes)):
+            ends = sizes.cumsum()
+            n = min(int(np.searchsorted(ends, lot)) + 1, len(sizes))
+            yield ends[:n], place[: ends[n - 1]], symbols[: ends[n - 1]], rare[:n]
+            place, symbols = place[ends[n - 1] :], symbols[ends[n - 1] :]
+            sizes, rare = sizes[n:], rare[n:]
 
 
 def features(symbols: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
@@ -252,21 +320,61 @@ def predict(weights: Weights, rows: np.ndarray, symbols: np.ndarray) -> tuple[np
     return by_class, inner, by_symbol
 
 
+def _distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different key, and which of these places stands for each key; keys are below ``bound``."""
+    slot, every = np.empty(bound, np.int32), np.arange(len(keys), dtype=np.int32)
+    slot[keys] = every
+    places = np.flatnonzero(slot[keys] == every)
+    slot[keys[places]] = np.arange(len(places))
+    return places, slot[keys]
+
+
 def log10_of(weights: Weights, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The logarithms of what :func:`predict` gives the symbols; only that is divided."""
+    """The logarithms of what :func:`predict` gives the symbols; only that is divided.
+
+    Each softmax is made once, however often the same two symbols (and class) come before it.
+    """
     owner, inside = symbols // WIDTH, symbols % WIDTH
-    inner = _symbol_rows(rows, owner)
-    chances = np.empty((2, len(symbols)), np.float32)
-    powers = np.empty((NEAR, max(CLASSES, WIDTH)), np.float32)
-    for a in range(0, len(symbols), NEAR):
+    size = CLASSES * WIDTH
+    own, pair = _distinct(rows[:, 0] * size + rows[:, 1] - size, size * size)
+    inner, context = _distinct(pair * CLASSES + owner, len(own) * CLASSES)
+    of_class = np.empty((len(own), CLASSES), np.float32)
+    of_symbol = np.empty((len(inner), WIDTH), np.float32)
+    sums = np.empty((len(own), 1), np.float32), np.empty((len(inner), 1), np.float32)
+    for a in range(0, len(own), NEAR):
         lot = slice(a, a + NEAR)
-        at = np.arange(len(symbols[lot]))
-        sums = _powers(weights.of_class, rows[lot], weights.of_class[-1], now := powers[: len(at), :CLASSES])
-        chances[0, lot] = now[at, owner[lot]] / sums[:, 0]
-        bias = weights.of_symbol.take(ROWS + owner[lot], 0)
-        sums = _powers(weights.of_symbol, inner[lot], bias, now := powers[: len(at), :WIDTH])
-        chances[1, lot] = now[at, inside[lot]] / sums[:, 0]
-    return np.log10(chances.astype(float)).sum(0)
+        sums[0][lot] = _powers(weights.of_class, rows[own[lot]], weights.of_class[-1], of_class[lot])
+    for a in range(0, len(inner), NEAR):
+        lot = slice(a, a + NEAR)
+        at = inner[lot]
+        bias = weights.of_symbol.take(ROWS + owner[at], 0)
+        sums[1][lot] = _powers(weights.of_symbol, _symbol_rows(rows[at], owner[at]), bias, of_symbol[lot])
+    chances = of_class[pair, owner] / sums[0][pair, 0], of_symbol[context, inside] / sums[1][context, 0]
+    return np.log10(np.stack(chances).astype(float)).sum(0)
+
+
+def _sums(gradient: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``np.add.reduceat(gradient[order], starts)`` gives, to the last bit.
+
+    That takes long for each group, and most are small: these are summed side by side, the first gradient
+    and the sum of the others in order.
+    """
+    total = gradient.take(order[starts], 0)
+    small = np.flatnonzero((sizes > 1) & (sizes <= FEW))
+    if len(small):
+        small = small[np.argsort(-sizes[small], kind="stable")]  # those with an n-th gradient come first
+        begin, size = starts[small], sizes[small]
+        others = gradient.take(order[begin + 1], 0)
+        for n in range(2, int(size[0])):
+            more = int(np.count_nonzero(size > n))
+            others[:more] += gradient.take(order[begin[:more] + n], 0)
+        total[small] += others
+    large = sizes > FEW
+    if large.any():
+        members = order[np.repeat(large, sizes)]
+        begin = sizes[large].cumsum() - sizes[large]
+        total[large] = np.add.reduceat(gradient.take(members, 0), begin, axis=0)
+    return total
 
 
 def _descend(table: np.ndarray, seen: np.ndarray, square: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
@@ -275,10 +383,11 @@ def _descend(table: np.ndarray, seen: np.ndarray, square: np.ndarray, rows: np.n
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     own = ordered[starts]
-    total = np.add.reduceat(gradient.take(order, 0), starts, axis=0)
+    sizes = np.diff(np.append(starts, len(rows)))
+    total = _sums(gradient, order, starts, sizes)
     square[own] += (total * total).mean(1)
     table[own] -= RATE * total / np.sqrt(square[own] + 1e-8)[:, None]
-    seen[own] += np.diff(np.append(starts, len(rows)))
+    seen[own] += sizes
 
 
 class Descent:
@@ -345,11 +454,11 @@ def fit(documents: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Weights:
     for k in range(rounds):
 
         def learn(batches: Iterator[pa.RecordBatch], now: Weights = weights) -> Iterator[pa.RecordBatch]:
-            descent = Descent(now)
+            descent, lookup = Descent(now), Lookup(plain)
             salt = 0
             for batch in batches:
                 salt = zlib.crc32(str(batch.num_rows).encode(), salt)
-                for _, _, ends, _, symbols, _ in encoded(plain, batch.column(0).to_pylist()):
+                for ends, _, symbols, _ in encoded(lookup, batch.column(0).to_pylist()):
                     descent.take(features(symbols, ends, plain.end_symbol), symbols)
             rows = [(t, b, salt % 64, *rest) for t, b, *rest in descent.changes()]
             yield pa.RecordBatch.from_arrays(
@@ -387,9 +496,10 @@ def score(documents: DataFrame, counts: Counts, weights: Weights) -> DataFrame:
         size = np.log10(plain.rest_size)
         modelled = np.append(plain.symbol >= 0, [False])
         end = math.log10(plain.documents + 1)
+        lookup = Lookup(plain)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for _, _, ends, place, symbols, rare in encoded(plain, batch.column(1).to_pylist()):
+            for ends, place, symbols, rare in encoded(lookup, batch.column(1).to_pylist(), SCORED, words=True):
                 base = known[np.maximum(place, -1)]
                 base[place == -2] = end
                 model = log10_of(weights, features(symbols, ends, plain.end_symbol), symbols)

@@ -68,6 +68,14 @@ def words(text: bytes | None, lot: int = 1 << 18) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
+def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words in ``raw`` begin and end."""
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _SPACE[raw]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    return edge[::2], edge[1::2]
+
+
 def words_of_all(texts: Sequence[bytes | None], lot: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Lots of texts as (first, past the last, word hashes, start of each text's words and the end).
 

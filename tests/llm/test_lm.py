@@ -98,3 +98,63 @@ def test_lots_do_not_change_the_chances(monkeypatch):
     for near in (1, 512, 5000):
         monkeypatch.setattr(lm, "NEAR", near)
         assert np.array_equal(lm.log10_of(weights, rows, symbols), np.log10(chance[0]) + np.log10(chance[1]))
+
+
+def test_sums_are_those_of_reduceat():
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([np.arange(1, 40), rng.integers(1, 4, 60), [700]])
+    rng.shuffle(sizes)
+    order, starts = rng.permutation(sizes.sum()), sizes.cumsum() - sizes
+    gradient = rng.normal(size=(sizes.sum(), 32)).astype(np.float32)
+    for own in (sizes, np.ones(50, int), np.full(30, 8), np.array([4096])):
+        order, starts = rng.permutation(own.sum()), own.cumsum() - own
+        gradient = rng.normal(size=(own.sum(), 32)).astype(np.float32)
+        assert np.array_equal(lm._sums(gradient, order, starts, own), np.add.reduceat(gradient[order], starts, axis=0))
+
+
+def test_words_are_found_by_lots(monkeypatch):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(300)] + ["É", "éa", "Z", "y"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 400))) for _ in range(60)]
+    texts = [None, b"", b" \t\n", *(t.encode() for t in texts), b"\x0bW1\x0c w2\r\n", None]
+    known = [w.lower().encode() for w in vocabulary[:200]]
+    symbol = rng.permutation(lm.CLASSES * lm.WIDTH)
+    own = [int(symbol[i]) if i < 100 else -1 - lm.rest_of(w) for i, w in enumerate(known)]
+    counts = lm.Counts(
+        1, 1, 1, {w: i for i, w in enumerate(known)}, np.ones(200, int), np.array(own), symbol[100 : 100 + lm.RESTS],
+        np.ones(lm.RESTS), int(symbol[-1]), None,
+    )
+    for cut, lot in ((1 << 18, 1 << 16), (100, 500), (3000, 1)):
+        monkeypatch.setattr(lm, "CUT", cut)
+        lots = list(lm.encoded(lm.Lookup(counts), texts, lot, words=True))
+        at = 0
+        for ends, place, symbols, rare in lots:
+            last, want = at, []
+            while last < len(texts) and len(want) < lot:
+                want += [counts.words.get(w, -1) for w in lm.tokens(texts[last])] + [-2]
+                assert rare[last - at] == [w for w in lm.tokens(texts[last]) if w not in counts.words]
+                assert ends[last - at] == len(want)
+                last += 1
+            assert place.tolist() == want and len(ends) == len(rare) == last - at
+            words = [w for t in texts[at:last] for w in (*lm.tokens(t), None)]
+            rest = lambda w: int(counts.rest_symbol[lm.rest_of(w)])
+            expected = [counts.end_symbol if w is None else own[i] if i >= 0 and own[i] >= 0 else rest(w) for w, i in zip(words, want, strict=True)]
+            assert symbols.tolist() == expected
+            at = last
+        assert at == len(texts)
+
+
+def test_chances_are_made_once_per_context(monkeypatch):
+    rng = np.random.default_rng(6)
+    weights = lm.Weights.zero()
+    weights.of_class += rng.normal(size=weights.of_class.shape)
+    weights.of_symbol += rng.normal(size=weights.of_symbol.shape)
+    symbols = rng.integers(0, 6, 9000) * 170
+    rows = lm.features(symbols, np.array([1000, 9000]), 5)
+    by_class, _, by_symbol = lm.predict(weights, rows, symbols)
+    at = np.arange(9000)
+    chance = by_class[at, symbols // lm.WIDTH].astype(float), by_symbol[at, symbols % lm.WIDTH].astype(float)
+    made, inner = [], lm._powers
+    monkeypatch.setattr(lm, "_powers", lambda t, r, *more: (made.append(len(r)), inner(t, r, *more))[1])
+    assert np.array_equal(lm.log10_of(weights, rows, symbols), np.log10(chance[0]) + np.log10(chance[1]))
+    assert sum(made) <= 7 * 7 + 7 * 7 * 6
