@@ -220,7 +220,9 @@ def rewrite(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
     A document that loses every line with a word has nothing left and goes; one that had none stays.
     """
-    rows = dedup(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text"), near_words)
+    # the text once: the rows are dealt by their document
+    others = [c for c in documents.columns if c != "text"]
+    rows = dedup(documents.select(F.struct(*others).alias("row"), "doc_id", "text"), near_words)
     rows = rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     fresh = {"text": F.col("text")}
     if "n_chars" in documents.columns:

@@ -77,3 +77,12 @@ def test_long_and_empty(documents, nothing, pairs):
 def test_plan_is_native(documents):
     plan = line_dedup.dedup(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rewrite_carries_each_text_once(spark, monkeypatch):
+    seen, inner = [], line_dedup.dedup
+    monkeypatch.setattr(line_dedup, "dedup", lambda d, *more: (seen.append(d), inner(d, *more))[1])
+    df = spark.createDataFrame([(1, "a b\nc", "en", 5), (2, "c\nd", "de", 3), (None, None, None, None)], "doc_id long, text string, lang string, n_chars long")
+    got = sorted(map(tuple, line_dedup.rewrite(df).collect()), key=str)
+    assert got == sorted([(1, "a b\nc", "en", 5), (2, "d", "de", 1), (None, None, None, None)], key=str)
+    assert seen[0].columns == ["row", "doc_id", "text"] and "text" not in seen[0].schema["row"].dataType.names
