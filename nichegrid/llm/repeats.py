@@ -20,8 +20,10 @@ bucket, and buckets are sorted on their own:
 
 Contexts are counted by anchor in an ordinary aggregate before any of them are brought together. An
 anchor with very many contexts (a short line that most documents hold) would make a bucket of its
-own size. Above HOT contexts its windows are dealt by their own digest instead, and their earliest
-place is an ordinary aggregate; anchors and digests that are hot are marked by a broadcast.
+own size. Above HOT contexts its equal contexts are found by an ordinary aggregate, one row each, and
+only the earliest of them are cut on: at the anchor's place in the window, into lots of 16, 4 and 1
+windows. Each lot is judged by its bytes in the same way, and is cut on only if the bytes that all its windows
+would hold occur in another lot too. Keys that are hot are marked by a broadcast.
 
 Documents are ordered by doc_id (missing first), then by the hash of their text; rows that share both
 are one document and come out alike. Null counts as empty.
@@ -29,14 +31,13 @@ are one document and come out alike. Null counts as empty.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichegrid.llm import wordhash
@@ -49,6 +50,8 @@ SPAN, BUCKET = LENGTH - GRAM + 1, 20_000
 TWICE = 128
 #: contexts of one anchor that go to one bucket at most
 HOT = 20_000
+#: windows of a hot context that are judged together, in turn; each number divides the one before
+LOTS = (16, 4, 1)
 #: keys of changed documents and of copies, and hot contexts, that are broadcast, some 20 bytes each; beyond,
 #: all texts are dealt by their key
 BROADCAST_KEYS = 500_000
@@ -359,6 +362,86 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     return _windows_of_different(firsts.select("doc_id", "text")).unionByName(whole)
 
 
+def _pieces(context: bytes, anchor: int) -> list[dict[str, int]]:
+    """A context's windows by the next anchor in them: skip (windows before), windows, ahead.
+
+    ``ahead`` is how far the anchor is from the first of the windows, one less with each. It only depends on a
+    window's bytes, so equal windows agree in it and no piece holds a window twice.
+    """
+    at = np.flatnonzero(_grams(np.frombuffer(context, np.uint8)).view(np.int64) == anchor)
+    first = np.maximum(np.append(0, at[:-1] + 1), at - SPAN + 1) if len(at) else at
+    last = np.minimum(at + 1, len(context) - LENGTH + 1)
+    rows = zip(first.tolist(), last.tolist(), at.tolist(), strict=True)
+    return [{"skip": a, "windows": b - a, "ahead": place - a} for a, b, place in rows if a < b]
+
+
+def _part(skip: Column, windows: Column) -> list[Column]:
+    """context and place of ``windows`` windows that begin ``skip`` windows on."""
+    return [
+        F.substring("context", (skip + 1).cast("int"), (windows + LENGTH - 1).cast("int")).alias("context"),
+        F.struct("place.doc_id", "place.text", (F.col("place.start") + skip).alias("start")).alias("place"),
+    ]
+
+
+def _in_pieces(contexts: DataFrame) -> DataFrame:
+    """ahead, context, place of the pieces of ``contexts``: anchor, context, place."""
+
+    @F.arrow_udf("array<struct<skip: int, windows: int, ahead: int>>")
+    def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("skip", pa.int32()), ("windows", pa.int32()), ("ahead", pa.int32())]))
+        for bodies, own in batches:
+            yield pa.array(map(_pieces, bodies.to_pylist(), own.to_pylist()), kind)
+
+    cut = contexts.select("context", "place", F.explode(pieces("context", "anchor")).alias("piece"))
+    return cut.select("piece.ahead", *_part(F.col("piece.skip"), F.col("piece.windows")))
+
+
+def _in_lots(pieces: DataFrame, width: int) -> DataFrame:
+    """The same for their lots: windows with the anchor ``width`` * lot to ``width`` * (lot + 1) - 1 bytes ahead."""
+    ahead, lot = F.col("ahead"), F.col("lot")
+    least = ahead - (F.length("context") - LENGTH)
+    lots = F.sequence(F.floor(least / width), F.floor(ahead / width))
+    most = F.least(ahead, lot * width + (width - 1))
+    windows = most - F.greatest(least, lot * width) + 1
+    cut = pieces.select("ahead", "context", "place", F.explode(lots).alias("lot"))
+    return cut.select(most.cast("int").alias("ahead"), *_part(ahead - most, windows))
+
+
+def _by_bytes(contexts: DataFrame, kept: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Ranges of the contexts whose bytes an earlier one has, and the others: ``kept``, context, place.
+
+    ``kept`` is a column that equal contexts agree in.
+    """
+    contexts = stored(contexts, name)
+    least = F.min("place").alias("least")
+    firsts = stored(contexts.groupBy("context", kept).agg(least, F.count("*").alias("n")), f"{name}-first")
+    met = _met(contexts.select("context", "place"), firsts.where("n > 1").drop(kept), "context")
+    start = F.col("place.start")
+    late = met.where("place <> least").select(
+        "place.doc_id", "place.text", start.alias("first"), (start + F.length("context") - (LENGTH - 1)).alias("last")
+    )
+    return late, firsts.select(kept, "context", F.col("least").alias("place"))
+
+
+def _late(contexts: DataFrame) -> DataFrame:
+    """doc_id, text, first, last: the repeats among the windows of hot ``contexts``: anchor, context, place.
+
+    No task holds all contexts of an anchor, and a context becomes many rows only where others have most of it.
+    """
+    late, firsts = _by_bytes(contexts, "anchor", "hot-contexts")
+    pieces = _in_pieces(firsts)
+    for width in LOTS:
+        more, firsts = _by_bytes(_in_lots(pieces, width), "ahead", f"hot-lots-{width}")
+        late = late.unionByName(more)
+        if width > 1:
+            # what all windows of a whole lot hold; without it in another lot they stand in this one alone
+            core = F.substring("context", F.col("ahead") % width + 1, F.lit(LENGTH - width + 1))
+            firsts = firsts.withColumn("core", core)
+            several = firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+            pieces = _met(firsts, stored(several, "hot-cores"), "core").select("ahead", "context", "place")
+    return late
+
+
 def _windows_of_different(documents: DataFrame) -> DataFrame:
     """The same for documents of which no two have one text, but for rows that repeat a document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -380,7 +463,7 @@ def _windows_of_different(documents: DataFrame) -> DataFrame:
             id_, F.col("hash").alias("text"), "body", "at", F.col("doc_id").isNotNull().alias("has_id")
         )
 
-    def contexts(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, bodies, has_id = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             at = batch.column(3)
@@ -396,11 +479,6 @@ def _windows_of_different(documents: DataFrame) -> DataFrame:
                 doc = (has_id[i], ids[i], hashes[i])
                 for j in range(edges[i], edges[i + 1]):
                     s, n = int(start[j]), int(windows[j]) % TWICE
-                    if hot:
-                        for w in range(s, s + n):
-                            if w + LENGTH <= len(body):
-                                put(-1, 0, doc, w, 1, hashlib.blake2b(body[w : w + LENGTH], digest_size=16).digest())
-                        continue
                     context = body[s : s + n + LENGTH - 1]
                     if len(context) != n + LENGTH - 1:
                         continue  # of another document whose row hash is the same
@@ -416,19 +494,15 @@ def _windows_of_different(documents: DataFrame) -> DataFrame:
 
     own = F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id")
     schema = f"bucket long, anchor long, has_id boolean, doc_id {kind}, text long, start long, windows int, context binary"
-    found = held(shared.where("not hot"), False).mapInArrow(lambda batches: contexts(batches, False), schema)
+    found = held(shared.where("not hot"), False).mapInArrow(contexts, schema)
     plain = found.groupBy("bucket").applyInPandas(_repeated, f"has_id boolean, doc_id {kind}, {_RANGES}")
     plain = plain.select(own, "text", "first", "last")
     if not hot_ones:
         return plain
     # the texts do not move a second time for hot contexts, unless there are very many
     few = held(shared.where("hot"), hot_ones <= BROADCAST_KEYS)
-    found = few.mapInArrow(lambda batches: contexts(batches, True), schema)
-    hot = stored(found.select("context", F.struct(own, "text", "start").alias("place")), "hot-windows")
-    least = hot.groupBy("context").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
-    late = _met(hot, stored(least, "hot-least"), "context").where("place <> least").select(
-        "place.doc_id", "place.text", F.col("place.start").alias("first"), (F.col("place.start") + 1).alias("last")
-    )
+    found = few.mapInArrow(contexts, schema)
+    late = _late(found.select("anchor", "context", F.struct(own, "text", "start").alias("place")))
     return plain.unionByName(late)
 
 

@@ -139,3 +139,65 @@ def test_equal_texts_have_contexts_once(spark, monkeypatch):
         got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {None: (0, 0), 3: (500, 1), 5: (500, 1), 7: (500, 1), 9: (500, 1), 1: (0, 0), 2: (0, 0)}
         assert [r.doc_id for r in seen if r.text == body] == [None]
+
+
+def test_hot_contexts_are_cut_only_where_others_hold_most_of_them(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 40)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = "a line of under a hundred bytes in most documents, word by word.", text(260)
+    # runs of one period; a line that makes no common window; a passage with its ends in different texts
+    rows = [(i, text(rng.randint(90, 120)) + " Is onhe." * rng.randint(12, 40)) for i in range(60)]
+    rows += [(100 + i, text(90) + line + text(90)) for i in range(200)]
+    rows += [(400 + i, text(90) + passage[rng.randint(0, 30) :] + text(90)) for i in range(60)]
+    rows += [(500 + i, passage[:150] + line + passage[i % 7 * 9 :] + line + line) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made, inner = [], repeats.stored
+
+    def counted(part, name):
+        part = inner(part, name)
+        if name.startswith("hot-"):
+            made.append(part.count())
+        return part
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    hot = repeats._shared(df).where("hot").count()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.judge(df).collect()}
+    assert got == brute(rows)
+    assert hot > 400 and made and max(made) <= 8 * hot
+
+
+def test_pieces_of_a_context_hold_no_window_twice():
+    rng = random.Random(13)
+    for body in (b"ab" * 120, b" Is onhe." * 30, b"x" * 200, bytes(rng.choice(b"ab") for _ in range(600))):
+        for anchor, start, n in zip(*(x.tolist() for x in repeats.anchors(np.frombuffer(body, np.uint8))), strict=True):
+            own = np.array(anchor, np.uint64).view(np.int64).item()
+            context = body[start : start + n % repeats.TWICE + 99]
+            found = repeats._pieces(context, own)
+            places = [(p["skip"] + i, p["ahead"] - i) for p in found for i in range(p["windows"])]
+            assert [w for w, _ in places] == list(range(len(context) - 99))
+            for w, ahead in places:
+                gram = context[w + ahead : w + ahead + 16]
+                assert 0 <= ahead <= 84 and context[w : w + 100].find(gram) == ahead
+            for p in found:
+                windows = [context[p["skip"] + i :][:100] for i in range(p["windows"])]
+                assert len(set(windows)) == len(windows)
+    assert repeats._pieces(b"y" * 120, 1) == []
+
+
+@pytest.mark.parametrize("width", repeats.LOTS)
+def test_lots_are_the_windows_by_the_place_of_the_anchor(spark, width):
+    rng = random.Random(14)
+    pieces = []
+    for i in range(40):
+        ahead = rng.randint(0, 84)
+        windows = rng.randint(1, ahead + 1)
+        pieces.append((ahead, rng.randbytes(windows + 99), (i, 0, 1000 * i)))
+    schema = "ahead int, context binary, place struct<doc_id: long, text: long, start: long>"
+    got = repeats._in_lots(spark.createDataFrame(pieces, schema), width).collect()
+    lots = Counter((r.place.doc_id, r.ahead // width) for r in got)
+    assert set(lots.values()) == {1}
+    held = [(r.place.doc_id, r.place.start + i, r.ahead - i, bytes(r.context[i : i + 100])) for r in got for i in range(len(r.context) - 99)]
+    assert all((r.ahead - len(r.context) + 100) // width == r.ahead // width for r in got)
+    expected = [(p[0], p[2] + i, a - i, c[i : i + 100]) for a, c, p in pieces for i in range(len(c) - 99)]
+    assert sorted(held) == sorted(expected)
