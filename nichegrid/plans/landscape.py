@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from nichegrid.functions.geo import cell_index
 from nichegrid.operators import sampling
 from nichegrid.operators.grid import regrid, source_cell, stack_wide
+from nichegrid.session import cut_lineage
 
 CELL = ("cx", "cy")
 YEAR = "yr"
@@ -74,8 +75,12 @@ class Landscape:
         """Placed points with a column per feature, NULL where a layer has none.
 
         A yearly layer is read for ``year``, or for each point's own year ``yr`` if that is not given.
+        The points are written between layers: they are asked for their cells, then joined, and a plan
+        that holds the layers before would hold each several times, growing as a power of their number.
         """
-        for layer, names in self.providers(features):
+        for i, (layer, names) in enumerate(self.providers(features)):
+            if i:
+                points = cut_lineage(points)
             keys = ["_sx", "_sy"]
             table = layer.table if year is None else layer.of_year(year, names)
             if YEAR in table.columns:

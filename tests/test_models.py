@@ -12,6 +12,7 @@ from nichegrid.operators import clip, correlation, metrics, ordering, sampling,
 from nichegrid.operators.metrics import roc_auc
 from nichegrid.plans import embedding, evaluation, forest, maxent, notebook, pipeline
 from nichegrid.plans import run as run_plan
+from nichegrid.plans.landscape import Landscape
 from nichegrid.standins import Views, surveyed
 
 STEP = 1.0
@@ -501,6 +502,23 @@ def test_sampling_does_not_move_the_layers(choices):
     assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plans_do_not_grow_with_the_layers(spark):
+    """The text of a plan that held the layers before it several times each filled the driver's memory."""
+    cells = spark.range(100).selectExpr("id % 10 as cx", "id div 10 as cy")
+    layers = tuple(run_plan.Layer(cells.withColumn(f"f{i}", F.col("cx") + i * F.col("cy")), 100) for i in range(4))
+    land = Landscape(layers, 100, 1.0)
+    points = land.placed(spark.range(70).selectExpr("id as occ_id", "id % 11 + 0.5D as lon", "id % 7 + 0.5D as lat"))
+    few, all_of_them = ([f"f{i}" for i in range(n)] for n in (2, 4))
+    size = lambda df: len(df._jdf.queryExecution().toString())
+    sampled = land.at_points(points, all_of_them)
+    assert size(sampled) < 1.5 * size(land.at_points(points, few))
+    rows = sampled.collect()
+    assert sorted(r.occ_id for r in rows) == list(range(70))
+    for r in rows:
+        x, y = r.occ_id % 11, r.occ_id % 7
+        assert [r[f] for f in all_of_them] == [x + i * y if x < 10 else None for i in range(4)]
+
+
 def test_configured_run(choices):
     one = run_plan.run(chosen(resolution=300, selected_layers=("elevation", "soil"), whatif_offsets={"elevation": 500.0}), choices, 4.0)
     row = one.results.first().asDict()
